@@ -37,3 +37,17 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str):
 def word_list_df(spark, words, col: str = "token") -> DataFrame:
     """A one-column DataFrame from a caller's word list (distinct)."""
     return spark.createDataFrame([(w,) for w in sorted(set(words))], f"{col} string")
+
+
+def spread_if_coarse(df: DataFrame, factor: int = 4) -> DataFrame:
+    """Round-robin a source that arrives in fewer partitions than the
+    cluster runs tasks at once (one big file, one row group).
+
+    Per-row text work (regex tokenisation of long comments) is CPU-bound,
+    so a single scan task would leave the other cores idle. A large input
+    already has many more partitions than cores and is returned as is, so
+    at scale this adds no shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target * factor)

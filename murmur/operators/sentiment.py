@@ -63,12 +63,14 @@ def score_sentiment(df: DataFrame, lexicon: DataFrame, text: str = TEXT,
             pmap = F.map_from_arrays(F.lit(words), F.lit([int(r["p"]) for r in rows]))
             smap = F.map_from_arrays(F.lit(words), F.lit([int(r["s"]) for r in rows]))
             toks = tokens_lower(F.col(text))
-            hits = F.filter(toks, lambda t: F.map_contains_key(pmap, t))
+            # matched tokens as their own column: the regex runs once per row
+            df = df.withColumn("_hits", F.filter(toks, lambda t: F.map_contains_key(pmap, t)))
+            hits = F.col("_hits")
             n = F.size(hits)
             psum = F.aggregate(hits, F.lit(0).cast("long"), lambda a, t: a + F.element_at(pmap, t))
             ssum = F.aggregate(hits, F.lit(0).cast("long"), lambda a, t: a + F.element_at(smap, t))
             pol, sub = mean_milli_to_2dp(psum, n), mean_milli_to_2dp(ssum, n)
-        out = df.withColumn(POLARITY, pol).withColumn(SUBJECTIVITY, sub)
+        out = df.withColumn(POLARITY, pol).withColumn(SUBJECTIVITY, sub).drop("_hits")
     else:
         # Large lexicon: exploded tokens join the lexicon, partial aggregation
         # per comment, then a left join back (comments without hits get 0).

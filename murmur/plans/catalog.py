@@ -12,13 +12,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.operators import prepare
+from murmur import functions as MF
+from murmur.operators import cluster, evaluate, features, model, prepare, similarity, stats, text
 from murmur.operators.sentiment import sentiment_summary
+from murmur.schemas import COMMENTS_SCHEMA, TITLES_SCHEMA, TOP_WORDS_EXTRA_STOPWORDS
+from murmur.session import scratch_path
 from murmur.sources import fixtures as fx
+from murmur.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+CHANNEL = "ch1"
+SENTIMENT = 1
+CLUSTER = 2
+SEED = 0
+SPLIT_SEED = 1
+CAP = 10_000
+K_VIDEO = 5
+
 
 def register(key: str):
     def deco(fn):
@@ -27,15 +39,444 @@ def register(key: str):
     return deco
 
 
+# --------------------------------------------------------------- flagship
 @register("entry_summary")
 def entry_summary(spark, d):
-    """Flagship: comments and mean scores per (channel, sentiment bucket)."""
+    """Comments and mean scores per (channel, sentiment bucket)."""
     scored = fx.fx_scored(spark, d)
     joined = prepare.join_titles(scored, fx.fx_titles(spark, d))
     return sentiment_summary(joined, ["channel", "sentimentBucket"])
 
 
+# ------------------------------------------------------ sources and sinks
+@register("read_comments_csv")
+def read_comments_csv(spark, d):
+    path = scratch_path(spark, "comments-csv")
+    io.write_table(fx.fx_comments(spark, d), path, fmt="csv")
+    return io.read_table_csv(spark, path, COMMENTS_SCHEMA)
+
+
+@register("read_titles_csv")
+def read_titles_csv(spark, d):
+    path = scratch_path(spark, "titles-csv")
+    io.write_table(fx.fx_titles(spark, d), path, fmt="csv")
+    return io.read_table_csv(spark, path, TITLES_SCHEMA)
+
+
+def _categories(spark, d):
+    return io.category_dim(io.read_categories(spark, fx.write_category_json(spark, d)))
+
+
+@register("category_dim")
+def category_dim(spark, d):
+    return _categories(spark, d)
+
+
+@register("csv_roundtrip")
+def csv_roundtrip(spark, d):
+    from pyspark.sql import types as T
+
+    cols = ["comment_id", "videoID", "polarity", "subjectivity", "sentimentBucket"]
+    schema = T.StructType([T.StructField("comment_id", T.LongType()), T.StructField("videoID", T.StringType()),
+                           T.StructField("polarity", T.DoubleType()), T.StructField("subjectivity", T.DoubleType()),
+                           T.StructField("sentimentBucket", T.IntegerType())])
+    path = scratch_path(spark, "scored-csv")
+    io.write_table(fx.fx_scored(spark, d).select(*cols), path, fmt="csv")
+    return io.read_table_csv(spark, path, schema)
+
+
+# ------------------------------------------- projections and derived cols
+@register("project_features")
+def project_features(spark, d):
+    return prepare.project(fx.fx_comments(spark, d), ["comment_id", "videoID", "categoryID", "views"])
+
+
+@register("category_cast")
+def category_cast(spark, d):
+    raw = io.read_categories(spark, fx.write_category_json(spark, d))
+    flat = raw.select(F.posexplode("items").alias("pos", "item")).select(
+        "pos", F.col("item.id").alias("categoryID"), F.col("item.snippet.title").alias("category"))
+    return prepare.cast_category_id(flat)
+
+
+@register("filter_channel")
+def filter_channel(spark, d):
+    j = prepare.join_titles(fx.fx_comments(spark, d), fx.fx_titles(spark, d))
+    return prepare.filter_equals(j, "channel", CHANNEL).select("comment_id", "videoID", "channel", "title")
+
+
+@register("filter_sentiment")
+def filter_sentiment(spark, d):
+    return prepare.filter_sentiment(fx.fx_scored(spark, d), SENTIMENT).select("comment_id", "polarity",
+                                                                               "sentimentBucket")
+
+
+@register("filter_cluster")
+def filter_cluster(spark, d):
+    return prepare.filter_equals(fx.fx_clustered(spark, d), "clusters", CLUSTER).select(
+        "comment_id", "polarity", "subjectivity", "clusters")
+
+
+@register("sentiment_bucket")
+def sentiment_bucket(spark, d):
+    return fx.fx_scored(spark, d).select("comment_id", "polarity", "sentimentBucket")
+
+
+@register("log2_views")
+def log2_views(spark, d):
+    c = fx.fx_comments(spark, d)
+    return c.select("comment_id", "views", F.round(MF.log2_or_neg_inf("views"), 6).alias("log2_views"))
+
+
+@register("views_bucket")
+def views_bucket(spark, d):
+    c = fx.fx_comments(spark, d)
+    return c.select("comment_id", "views", MF.views_bucket("views").alias("viewsBucket"))
+
+
+@register("views_bucket4")
+def views_bucket4(spark, d):
+    c = fx.fx_comments(spark, d)
+    return c.select("comment_id", "views", MF.views_bucket4("views").alias("viewsBucket4"))
+
+
+@register("drop_short_videos")
+def drop_short_videos(spark, d):
+    piv = features.rank_pivot(fx.fx_short(spark, d), ["quantity"])
+    return features.drop_short(piv, ["quantity_41"])
+
+
+@register("quote_text")
+def quote_text(spark, d):
+    return fx.fx_comments(spark, d).select("comment_id", MF.quote("commentText").alias("quoted"))
+
+
+# ------------------------------------------------------------------ joins
+@register("join_category")
+def join_category(spark, d):
+    j = prepare.join_categories(fx.fx_comments(spark, d), _categories(spark, d))
+    return j.select("comment_id", "categoryID", "category")
+
+
+@register("join_titles")
+def join_titles(spark, d):
+    j = prepare.join_titles(fx.fx_comments(spark, d), fx.fx_titles(spark, d))
+    return j.select("comment_id", "videoID", "title", "channel", "commentCount")
+
+
+@register("feature_join")
+def feature_join(spark, d):
+    feats = features.video_features(fx.fx_measures(spark, d))
+    return features.feature_join(fx.fx_videos(spark, d), feats)
+
+
+@register("remove_stopwords")
+def remove_stopwords(spark, d):
+    toks = text.token_table(fx.fx_comments(spark, d))
+    return text.remove_words(toks, fx.stopword_list())
+
+
+# ------------------------------------------------ distinct, sample, split
+@register("dedupe_comments")
+def dedupe_comments(spark, d):
+    j = prepare.join_titles(fx.fx_comments(spark, d), fx.fx_titles(spark, d))
+    return prepare.dedupe(j, ["videoID", "categoryID", "commentText", "channel"])
+
+
+@register("distinct_videos")
+def distinct_videos(spark, d):
+    return features.distinct_videos(fx.fx_comments(spark, d))
+
+
+@register("capped_sample")
+def capped_sample(spark, d):
+    j = prepare.filter_equals(prepare.join_titles(fx.fx_comments(spark, d), fx.fx_titles(spark, d)),
+                              "channel", CHANNEL)
+    return prepare.sample_n(j, CAP, "comment_id", SEED).select("comment_id", "videoID")
+
+
+@register("split_rows")
+def split_rows(spark, d):
+    return prepare.split_bucket(fx.fx_videos(spark, d), "videoID", SPLIT_SEED).select("videoID", "split")
+
+
+def _labelled_videos(spark, d):
+    v = fx.fx_videos(spark, d)
+    return v.withColumn("viewsBucket", MF.views_bucket("views")).filter(F.col("viewsBucket").isNotNull())
+
+
+@register("stratified_folds")
+def stratified_folds(spark, d):
+    return prepare.stratified_folds(_labelled_videos(spark, d), "viewsBucket", "videoID", 8).select(
+        "videoID", "viewsBucket", "fold")
+
+
+# --------------------------------------------------- window, pivot, sort
+def _ranked(spark, d, col):
+    ev = fx.fx_scored_events(spark, d)
+    return features.rank_measure(ev, col).select("comment_id", "videoID", col, "rn")
+
+
+@register("rank_sentiment")
+def rank_sentiment(spark, d):
+    return _ranked(spark, d, "sentimentBucket")
+
+
+@register("rank_subjectivity")
+def rank_subjectivity(spark, d):
+    return _ranked(spark, d, "subjectivity")
+
+
+@register("rank_cluster")
+def rank_cluster(spark, d):
+    return _ranked(spark, d, "clusters")
+
+
+@register("rank_pivot")
+def rank_pivot(spark, d):
+    return features.rank_pivot(fx.fx_measures(spark, d))
+
+
+@register("sort_mixed")
+def sort_mixed(spark, d):
+    m = fx.fx_measures(spark, d).filter(F.col("measure") == "subjectivity")
+    return features.sort_mixed(m, "videoID", "value").select("comment_id", "videoID", "value")
+
+
+@register("ngram_slice")
+def ngram_slice(spark, d):
+    return text.sorted_slice(text.vocabulary(fx.fx_comments(spark, d), 3), "gram", 400, 50)
+
+
+# ------------------------------------------------------------- statistics
+@register("channel_counts")
+def channel_counts(spark, d):
+    j = prepare.join_titles(fx.fx_comments(spark, d), fx.fx_titles(spark, d))
+    return prepare.count_by(j, "channel")
+
+
+@register("describe_distinct")
+def describe_distinct(spark, d):
+    return stats.describe_distinct(fx.table(spark, d, "events"), "value")
+
+
+@register("kurtosis")
+def kurtosis(spark, d):
+    return stats.kurtosis_of(fx.table(spark, d, "events"), "value")
+
+
+@register("pearson_r")
+def pearson_r(spark, d):
+    return stats.pearson(fx.fx_scored(spark, d), [("polarity", "subjectivity")], with_p=False)
+
+
+@register("histogram70")
+def histogram70(spark, d):
+    return stats.histogram(fx.table(spark, d, "events"), "value", 70)
+
+
+# ------------------------------------------------------------- clustering
+@register("kmeans_assign")
+def kmeans_assign(spark, d):
+    return fx.fx_clustered(spark, d).select("comment_id", "polarity", "subjectivity", "clusters")
+
+
+@register("kmeans_sentiment")
+def kmeans_sentiment(spark, d):
+    scored = fx.fx_scored(spark, d)
+    centres, _ = cluster.fit_kmeans(scored, k=3, starts=10, seed=SEED)
+    return cluster.assign(scored, centres).select("comment_id", "polarity", "subjectivity", "clusters")
+
+
+@register("wcss_k1")
+def wcss_k1(spark, d):
+    w = cluster.wcss_k1(fx.fx_scored(spark, d))
+    return w.select(F.round("wcss", 6).alias("wcss"))
+
+
+@register("kmeans_elbow")
+def kmeans_elbow(spark, d):
+    return cluster.elbow(fx.fx_scored(spark, d), ks=range(1, 11), starts=10, seed=SEED)
+
+
+@register("cluster_profile")
+def cluster_profile(spark, d):
+    return cluster.cluster_profile(fx.fx_clustered(spark, d))
+
+
+# ------------------------------------------------------------------- text
+@register("tokenize_lower")
+def tokenize_lower(spark, d):
+    return text.token_table(fx.fx_comments(spark, d))
+
+
+@register("vocab_unigram")
+def vocab_unigram(spark, d):
+    return text.vocabulary(fx.fx_comments(spark, d), 1)
+
+
+@register("vocab_bigram")
+def vocab_bigram(spark, d):
+    return text.vocabulary(fx.fx_comments(spark, d), 2)
+
+
+@register("vocab_trigram")
+def vocab_trigram(spark, d):
+    return text.vocabulary(fx.fx_comments(spark, d), 3)
+
+
+@register("ngram_counts")
+def ngram_counts(spark, d):
+    return text.ngram_counts(fx.fx_comments(spark, d), (1, 2, 3))
+
+
+@register("doc_term_counts")
+def doc_term_counts(spark, d):
+    return text.doc_term_counts(fx.fx_comments(spark, d), 1)
+
+
+@register("token_counts")
+def token_counts(spark, d):
+    return text.token_counts(fx.fx_comments(spark, d))
+
+
+@register("token_doc_freq")
+def token_doc_freq(spark, d):
+    return text.token_doc_freq(fx.fx_comments(spark, d), fx.stopword_list(), limit=None)
+
+
+@register("top_words")
+def top_words(spark, d):
+    sel = prepare.filter_equals(fx.fx_clustered(spark, d), "clusters", CLUSTER)
+    return text.top_words(sel, fx.stopword_list() + list(TOP_WORDS_EXTRA_STOPWORDS), 200)
+
+
 @register("sentiment_scores")
 def sentiment_scores(spark, d):
     return fx.fx_scored(spark, d).select("comment_id", "videoID", "polarity", "subjectivity",
                                           "sentimentBucket")
+
+
+@register("np_chunks")
+def np_chunks(spark, d):
+    return text.chunk_counts(text.np_chunks(fx.fx_comments(spark, d), fx.fx_tag_lexicon(spark)))
+
+
+@register("tag_tokens")
+def tag_tokens(spark, d):
+    return text.tag_tokens(fx.fx_comments(spark, d), fx.fx_tag_lexicon(spark))
+
+
+# -------------------------------------------------------------- embedding
+@register("embedding_similarity")
+def embedding_similarity(spark, d):
+    return similarity.similarity_pairs(fx.fx_embeddings(spark, d), 10, SEED)
+
+
+@register("embed_hook")
+def embed_hook(spark, d):
+    e = similarity.embed(fx.fx_comments(spark, d).select("comment_id", "commentText"), dim=64)
+    return e.select("comment_id", F.size("embedding").alias("dim"),
+                    F.round(similarity.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))
+
+
+# ------------------------------------------------------------------ model
+def _training(spark, d):
+    return features.training_table(fx.fx_videos(spark, d), features.video_features(fx.fx_measures(spark, d)))
+
+
+@register("training_table")
+def training_table(spark, d):
+    return _training(spark, d)
+
+
+def _fitted(spark, d):
+    from murmur.session import cut_lineage
+
+    t = cut_lineage(prepare.split_bucket(_training(spark, d), "videoID", SPLIT_SEED))
+    train = t.filter(F.col("split") == "train")
+    cols = model.feature_columns(t)
+    return t, train, cols, model.fit_views_model(train, cols)
+
+
+@register("pca_scores")
+def pca_scores(spark, d):
+    t, _, _, m = _fitted(spark, d)
+    return model.pca_scores(m, t)
+
+
+@register("pca_variance2")
+def pca_variance2(spark, d):
+    return model.pca_variance2(fx.fx_scored(spark, d), "polarity", "subjectivity")
+
+
+@register("lr_predictions")
+def lr_predictions(spark, d):
+    t, _, _, m = _fitted(spark, d)
+    return model.predictions(m, t.filter(F.col("split") == "test"))
+
+
+@register("model_roundtrip")
+def model_roundtrip(spark, d):
+    t, _, _, m = _fitted(spark, d)
+    path = scratch_path(spark, "views-model")
+    io.save_model(m, path)
+    return model.predictions(io.load_model(path), t.filter(F.col("split") == "test"))
+
+
+@register("cross_validation")
+def cross_validation(spark, d):
+    t, train, cols, _ = _fitted(spark, d)
+    return model.cross_validate(train.drop("split"), 8, cols)
+
+
+@register("accuracy")
+def accuracy(spark, d):
+    return evaluate.accuracy(fx.fx_predictions(spark, d))
+
+
+@register("confusion_matrix")
+def confusion_matrix(spark, d):
+    return evaluate.confusion_matrix(fx.fx_predictions(spark, d), ["0", "1"])
+
+
+@register("classification_report")
+def classification_report(spark, d):
+    return evaluate.classification_report(fx.fx_predictions(spark, d), ["0", "1"])
+
+
+# ---------------------------------------------------------------- reports
+@register("channel_cluster_report")
+def channel_cluster_report(spark, d):
+    from murmur.plans import reports
+
+    r = reports.channel_cluster_report(reports.tables_from_fixtures(spark, d), CHANNEL, SENTIMENT, 2, 0)
+    return r["profile"]
+
+
+@register("channel_elbow_report")
+def channel_elbow_report(spark, d):
+    from murmur.plans import reports
+
+    return reports.channel_elbow_report(reports.tables_from_fixtures(spark, d), CHANNEL, SENTIMENT)["elbow"]
+
+
+@register("video_features")
+def video_features(spark, d):
+    from murmur.plans import reports
+
+    return reports.video_feature_job(reports.tables_from_fixtures(spark, d), k=K_VIDEO)
+
+
+@register("views_model_report")
+def views_model_report(spark, d):
+    from murmur.plans import reports
+
+    return reports.views_model_report(_training(spark, d), "test set")["report"]
+
+
+@register("distribution_report")
+def distribution_report(spark, d):
+    from murmur.plans import reports
+
+    return reports.distribution_report(fx.fx_scored(spark, d), "polarity")["pearson"]

@@ -75,3 +75,401 @@ GROUP BY t.channel, s.sentimentBucket"""
 
 ORACLE["sentiment_scores"] = with_(FX_COMMENTS, FX_SCORED) + """
 SELECT comment_id, videoID, polarity, subjectivity, sentimentBucket FROM fx_scored"""
+
+
+# --------------------------------------------------------------------------
+# More fixtures
+# --------------------------------------------------------------------------
+def _clustered_cte():
+    ds = []
+    for cx, cy in fx.FIXED_CENTRES:
+        ds.append(f"(polarity - CAST({cx!r} AS DOUBLE)) * (polarity - CAST({cx!r} AS DOUBLE)) + "
+                  f"(subjectivity - CAST({cy!r} AS DOUBLE)) * (subjectivity - CAST({cy!r} AS DOUBLE))")
+    lst = "[" + ", ".join(ds) + "]"
+    return f"""
+fx_clustered AS (
+  SELECT *, CAST(list_position({lst}, list_min({lst})) - 1 AS INTEGER) AS clusters FROM fx_scored)"""
+
+
+FX_CLUSTERED = _clustered_cte()
+
+FX_EVENTS = """
+fx_events AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events)"""
+
+FX_SCORED_EVENTS = f"""
+fx_scored_events AS (
+  SELECT event_id AS comment_id, CAST(user_id AS VARCHAR) AS videoID,
+         CAST({_case('event_type', fx.EVENT_BUCKET)} AS INTEGER) AS sentimentBucket,
+         CAST(cents % 101 AS DOUBLE) / CAST(100.0 AS DOUBLE) AS subjectivity,
+         CAST(event_id % 5 AS INTEGER) AS clusters
+  FROM fx_events)"""
+
+FX_MEASURES = """
+fx_measures AS (
+  SELECT comment_id, videoID, 'cluster' AS measure, CAST(clusters AS DOUBLE) AS value FROM fx_scored_events
+  UNION ALL SELECT comment_id, videoID, 'subjectivity', CAST(subjectivity AS DOUBLE) FROM fx_scored_events
+  UNION ALL SELECT comment_id, videoID, 'sentiment', CAST(sentimentBucket AS DOUBLE) FROM fx_scored_events)"""
+
+FX_VIDEOS = """
+fx_videos AS (
+  SELECT CAST(user_id AS VARCHAR) AS videoID, CAST((sum(cents) * 32) // 10 AS BIGINT) AS views,
+         CAST(user_id % 8 AS INTEGER) AS categoryID
+  FROM fx_events GROUP BY user_id)"""
+
+FX_SHORT = """
+fx_short AS (
+  SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS comment_id, CAST(l_partkey AS VARCHAR) AS videoID,
+         'quantity' AS measure, CAST(l_quantity AS DOUBLE) AS value
+  FROM lineitem)"""
+
+FX_PREDICTIONS = """
+fx_predictions AS (
+  SELECT l.doc_id AS id, CAST(l.quality AS VARCHAR) AS label,
+         CASE WHEN d.n_chars >= 1000 THEN '1' ELSE '0' END AS prediction
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+FX_LTOKS = f"""
+fx_ltoks AS (
+  SELECT comment_id, regexp_extract_all(lower(coalesce(commentText, '')), '{WORD_RE}') AS toks FROM fx_comments),
+fx_ltok AS (
+  SELECT comment_id, CAST(unnest(generate_series(0, len(toks) - 1)) AS INTEGER) AS pos, unnest(toks) AS token
+  FROM fx_ltoks)"""
+
+FX_CTOKS = f"""
+fx_ctoks AS (
+  SELECT comment_id, regexp_extract_all(coalesce(commentText, ''), {q(CASED_RE)}) AS toks FROM fx_comments)"""
+
+_CAT_CODE = _case("lang", fx.LANG_CATEGORY, "-1")
+FX_CATEGORIES = f"""
+fx_catlang AS (
+  SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS pos
+  FROM (SELECT DISTINCT lang FROM documents WHERE lang IN ({", ".join(q(x) for x in fx.CATEGORY_LANGS)}))),
+fx_categories AS (
+  SELECT pos, CAST({_CAT_CODE} AS INTEGER) AS categoryID, 'Category ' || lang AS category FROM fx_catlang)"""
+
+
+def grams_sql(n: int, toks: str = "toks") -> str:
+    if n == 1:
+        return toks
+    return (f"list_transform(generate_series(1, len({toks}) - {n - 1}), "
+            f"lambda i: array_to_string({toks}[i:i + {n - 1}], ' '))")
+
+
+def _words(ws) -> str:
+    return ", ".join(q(w) for w in ws)
+
+
+def _pivot_sql(src: str, measures, ranks, require: int | None) -> str:
+    cols = ", ".join(f"max(value) FILTER (WHERE measure = {q(m)} AND rn = {r}) AS {m}_{r}"
+                     for m in measures for r in ranks)
+    having = ""
+    if require is not None:
+        having = "HAVING " + " AND ".join(
+            f"count(*) FILTER (WHERE measure = {q(m)} AND rn = {require}) > 0" for m in measures)
+    return f"""
+  SELECT videoID, {cols}
+  FROM (SELECT videoID, measure, value,
+               row_number() OVER (PARTITION BY videoID, measure ORDER BY value DESC, comment_id) AS rn
+        FROM {src})
+  WHERE rn <= {max(ranks)}
+  GROUP BY videoID {having}"""
+
+
+MEASURE_NAMES = ("cluster", "subjectivity", "sentiment")
+FEATURE_COLS = ", ".join(f"f.{m}_{r}" for m in MEASURE_NAMES for r in DEFAULT_RANKS)
+NA_LIST = ", ".join(q(x) for x in NA_TOKENS)
+
+# --------------------------------------------------------------------------
+# Sources
+# --------------------------------------------------------------------------
+ORACLE["read_comments_csv"] = with_(FX_COMMENTS) + f"""
+SELECT comment_id, videoID, categoryID, views,
+       CASE WHEN commentText IN ({NA_LIST}) THEN NULL ELSE commentText END AS commentText
+FROM fx_comments"""
+
+ORACLE["read_titles_csv"] = with_(FX_TITLES) + "SELECT videoID, title, channel, commentCount FROM fx_titles"
+
+ORACLE["category_dim"] = with_(FX_CATEGORIES) + "SELECT categoryID, category FROM fx_categories"
+
+ORACLE["category_cast"] = with_(FX_CATEGORIES) + "SELECT pos, categoryID, category FROM fx_categories"
+
+ORACLE["csv_roundtrip"] = with_(FX_COMMENTS, FX_SCORED) + """
+SELECT comment_id, videoID, polarity, subjectivity, sentimentBucket FROM fx_scored"""
+
+# --------------------------------------------------------------------------
+# Projections, predicates, derived columns
+# --------------------------------------------------------------------------
+ORACLE["project_features"] = with_(FX_COMMENTS) + "SELECT comment_id, videoID, categoryID, views FROM fx_comments"
+
+ORACLE["filter_channel"] = with_(FX_COMMENTS, FX_TITLES) + """
+SELECT c.comment_id, c.videoID, t.channel, t.title
+FROM fx_titles t JOIN fx_comments c ON t.videoID = c.videoID WHERE t.channel = 'ch1'"""
+
+ORACLE["filter_sentiment"] = with_(FX_COMMENTS, FX_SCORED) + """
+SELECT comment_id, polarity, sentimentBucket FROM fx_scored WHERE CAST(sentimentBucket AS DOUBLE) = 1.0"""
+
+ORACLE["filter_cluster"] = with_(FX_COMMENTS, FX_SCORED, FX_CLUSTERED) + """
+SELECT comment_id, polarity, subjectivity, clusters FROM fx_clustered WHERE clusters = 2"""
+
+ORACLE["sentiment_bucket"] = with_(FX_COMMENTS, FX_SCORED) + """
+SELECT comment_id, polarity, sentimentBucket FROM fx_scored"""
+
+ORACLE["log2_views"] = with_(FX_COMMENTS) + """
+SELECT comment_id, views, round(CASE WHEN views = 0 THEN CAST('-inf' AS DOUBLE) ELSE log2(views) END, 6) AS log2_views
+FROM fx_comments"""
+
+ORACLE["views_bucket"] = with_(FX_COMMENTS) + f"""
+SELECT comment_id, views,
+       CASE WHEN views < {2 ** 20} THEN '1' WHEN views > {2 ** 20} THEN '2' END AS viewsBucket
+FROM fx_comments"""
+
+ORACLE["views_bucket4"] = with_(FX_COMMENTS) + f"""
+SELECT comment_id, views,
+       CASE WHEN views <= {2 ** 18} THEN '1' WHEN views <= {2 ** 20} THEN '2'
+            WHEN views <= {2 ** 22} THEN '3' WHEN views IS NOT NULL THEN '4' END AS viewsBucket4
+FROM fx_comments"""
+
+ORACLE["drop_short_videos"] = with_(FX_SHORT) + _pivot_sql("fx_short", ["quantity"], DEFAULT_RANKS, 41)
+
+ORACLE["quote_text"] = with_(FX_COMMENTS) + """
+SELECT comment_id, '"' || commentText || '"' AS quoted FROM fx_comments"""
+
+# --------------------------------------------------------------------------
+# Joins
+# --------------------------------------------------------------------------
+ORACLE["join_category"] = with_(FX_COMMENTS, FX_CATEGORIES) + """
+SELECT c.comment_id, c.categoryID, k.category FROM fx_comments c JOIN fx_categories k ON c.categoryID = k.categoryID"""
+
+ORACLE["join_titles"] = with_(FX_COMMENTS, FX_TITLES) + """
+SELECT c.comment_id, c.videoID, t.title, t.channel, t.commentCount
+FROM fx_comments c JOIN fx_titles t ON c.videoID = t.videoID"""
+
+ORACLE["feature_join"] = with_(FX_EVENTS, FX_SCORED_EVENTS, FX_MEASURES, FX_VIDEOS,
+                               "fx_feat AS (" + _pivot_sql("fx_measures", MEASURE_NAMES, DEFAULT_RANKS, 41) + ")") + f"""
+SELECT v.videoID, v.views, v.categoryID, {FEATURE_COLS}
+FROM (SELECT DISTINCT videoID, views, categoryID FROM fx_videos) v JOIN fx_feat f ON v.videoID = f.videoID"""
+
+ORACLE["remove_stopwords"] = with_(FX_COMMENTS, FX_LTOKS) + f"""
+SELECT comment_id, pos, token FROM fx_ltok WHERE token NOT IN ({_words(fx.stopword_list())})"""
+
+# --------------------------------------------------------------------------
+# Distinct, sampling, splitting
+# --------------------------------------------------------------------------
+ORACLE["dedupe_comments"] = with_(FX_COMMENTS, FX_TITLES) + """
+SELECT DISTINCT c.videoID, c.categoryID, c.commentText, t.channel
+FROM fx_comments c JOIN fx_titles t ON c.videoID = t.videoID"""
+
+ORACLE["distinct_videos"] = with_(FX_COMMENTS) + "SELECT DISTINCT videoID, views, categoryID FROM fx_comments"
+
+ORACLE["capped_sample"] = with_(FX_COMMENTS, FX_TITLES) + """
+SELECT c.comment_id, c.videoID
+FROM fx_comments c JOIN fx_titles t ON c.videoID = t.videoID
+WHERE t.channel = 'ch1'
+ORDER BY md5(CAST(c.comment_id AS VARCHAR) || '|0'), c.comment_id
+LIMIT 10000"""
+
+ORACLE["split_rows"] = with_(FX_EVENTS, FX_VIDEOS) + """
+SELECT videoID, CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT videoID, CAST(('0x' || substr(md5(videoID || '|1'), 1, 8))::BIGINT % 100 AS INTEGER) AS b
+      FROM fx_videos)"""
+
+ORACLE["stratified_folds"] = with_(FX_EVENTS, FX_VIDEOS) + f"""
+SELECT videoID, viewsBucket, CAST(ntile(8) OVER (PARTITION BY viewsBucket ORDER BY videoID) AS INTEGER) AS fold
+FROM (SELECT videoID, CASE WHEN views < {2 ** 20} THEN '1' WHEN views > {2 ** 20} THEN '2' END AS viewsBucket
+      FROM fx_videos)
+WHERE viewsBucket IS NOT NULL"""
+
+# --------------------------------------------------------------------------
+# Window, pivot, sort
+# --------------------------------------------------------------------------
+for _key, _col in (("rank_sentiment", "sentimentBucket"), ("rank_subjectivity", "subjectivity"),
+                   ("rank_cluster", "clusters")):
+    ORACLE[_key] = with_(FX_EVENTS, FX_SCORED_EVENTS) + f"""
+SELECT comment_id, videoID, {_col},
+       CAST(row_number() OVER (PARTITION BY videoID ORDER BY {_col} DESC, comment_id) AS INTEGER) AS rn
+FROM fx_scored_events"""
+
+ORACLE["rank_pivot"] = with_(FX_EVENTS, FX_SCORED_EVENTS, FX_MEASURES) + _pivot_sql(
+    "fx_measures", MEASURE_NAMES, DEFAULT_RANKS, None)
+
+ORACLE["sort_mixed"] = with_(FX_EVENTS, FX_SCORED_EVENTS, FX_MEASURES) + """
+SELECT comment_id, videoID, value FROM fx_measures WHERE measure = 'subjectivity'"""
+
+ORACLE["ngram_slice"] = with_(FX_COMMENTS, FX_LTOKS) + f"""
+SELECT gram FROM (SELECT DISTINCT unnest({grams_sql(3)}) AS gram FROM fx_ltoks)
+ORDER BY gram LIMIT 50 OFFSET 400"""
+
+# --------------------------------------------------------------------------
+# Statistics
+# --------------------------------------------------------------------------
+ORACLE["channel_counts"] = with_(FX_COMMENTS, FX_TITLES) + """
+SELECT t.channel, count(*) AS n_comments FROM fx_comments c JOIN fx_titles t ON c.videoID = t.videoID
+GROUP BY t.channel"""
+
+ORACLE["describe_distinct"] = """
+WITH d AS (SELECT DISTINCT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL)
+SELECT count(*) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min,
+       round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50,
+       round(quantile_cont(v, 0.75), 6) AS q75, max(v) AS max
+FROM d"""
+
+ORACLE["kurtosis"] = """
+SELECT count(value) AS n, round(kurtosis_pop(CAST(value AS DOUBLE)), 6) AS kurtosis FROM events"""
+
+ORACLE["pearson_r"] = with_(FX_COMMENTS, FX_SCORED) + """
+SELECT 'polarity' AS x, 'subjectivity' AS y, round(r, 6) AS r, n,
+       round(r * sqrt(CAST(n - 2 AS DOUBLE) / (1.0 - r * r)), 6) AS t
+FROM (SELECT corr(polarity, subjectivity) AS r, count(*) AS n FROM fx_scored)"""
+
+ORACLE["histogram70"] = """
+WITH v AS (SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL),
+mm AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
+b AS (SELECT CAST(CASE WHEN hi - lo > 0
+                       THEN least(CAST(floor(CAST(70.0 AS DOUBLE) * (v - lo) / (hi - lo)) AS BIGINT) + 1, 70)
+                       ELSE 1 END AS INTEGER) AS bin, lo, hi
+      FROM v, mm)
+SELECT bin,
+       round(lo + (hi - lo) * (CAST(bin - 1 AS DOUBLE) / CAST(70.0 AS DOUBLE)), 6) AS bin_lo,
+       round(lo + (hi - lo) * (CAST(bin AS DOUBLE) / CAST(70.0 AS DOUBLE)), 6) AS bin_hi,
+       count(*) AS count
+FROM b GROUP BY bin, lo, hi"""
+
+# --------------------------------------------------------------------------
+# Clustering
+# --------------------------------------------------------------------------
+ORACLE["kmeans_assign"] = with_(FX_COMMENTS, FX_SCORED, FX_CLUSTERED) + """
+SELECT comment_id, polarity, subjectivity, clusters FROM fx_clustered"""
+
+ORACLE["wcss_k1"] = with_(FX_COMMENTS, FX_SCORED) + """
+SELECT round(count(*) * (var_pop(polarity) + var_pop(subjectivity)), 6) AS wcss FROM fx_scored"""
+
+ORACLE["cluster_profile"] = with_(FX_COMMENTS, FX_SCORED, FX_CLUSTERED) + """
+SELECT clusters, count(*) AS n_comments, round(avg(polarity), 6) AS avg_polarity,
+       round(avg(subjectivity), 6) AS avg_subjectivity
+FROM fx_clustered GROUP BY clusters"""
+
+# --------------------------------------------------------------------------
+# Text
+# --------------------------------------------------------------------------
+ORACLE["tokenize_lower"] = with_(FX_COMMENTS, FX_LTOKS) + "SELECT comment_id, pos, token FROM fx_ltok"
+
+for _n, _key in ((1, "vocab_unigram"), (2, "vocab_bigram"), (3, "vocab_trigram")):
+    ORACLE[_key] = with_(FX_COMMENTS, FX_LTOKS) + f"""
+SELECT DISTINCT unnest({grams_sql(_n)}) AS gram FROM fx_ltoks"""
+
+ORACLE["ngram_counts"] = with_(FX_COMMENTS, FX_LTOKS) + f"""
+SELECT n, count(*) AS n_distinct FROM (
+  SELECT DISTINCT 1 AS n, unnest({grams_sql(1)}) AS gram FROM fx_ltoks
+  UNION ALL SELECT DISTINCT 2 AS n, unnest({grams_sql(2)}) AS gram FROM fx_ltoks
+  UNION ALL SELECT DISTINCT 3 AS n, unnest({grams_sql(3)}) AS gram FROM fx_ltoks)
+GROUP BY n"""
+
+ORACLE["doc_term_counts"] = with_(FX_COMMENTS, FX_LTOKS) + """
+SELECT comment_id, token AS gram, count(*) AS count FROM fx_ltok GROUP BY comment_id, token"""
+
+ORACLE["token_counts"] = with_(FX_COMMENTS, FX_CTOKS) + """
+SELECT comment_id, token, count(*) AS count
+FROM (SELECT comment_id, unnest(toks) AS token FROM fx_ctoks) GROUP BY comment_id, token"""
+
+ORACLE["token_doc_freq"] = with_(FX_COMMENTS, FX_CTOKS) + f"""
+SELECT token, count(*) AS n_comments
+FROM (SELECT comment_id, unnest(list_distinct(toks)) AS token FROM fx_ctoks)
+WHERE token NOT IN ({_words(fx.stopword_list())})
+GROUP BY token"""
+
+ORACLE["top_words"] = with_(FX_COMMENTS, FX_SCORED, FX_CLUSTERED) + f"""
+SELECT token, count(*) AS count
+FROM (SELECT unnest(regexp_extract_all(lower(coalesce(commentText, '')), '{WORD_RE}')) AS token
+      FROM fx_clustered WHERE clusters = 2)
+WHERE token NOT IN ({_words(sorted(set(w.lower() for w in fx.stopword_list() + list(TOP_WORDS_EXTRA_STOPWORDS))))})
+GROUP BY token
+ORDER BY count DESC, token
+LIMIT 200"""
+
+_TAG_VALUES = ", ".join(f"({q(t)}, {q(g)})" for t, g in fx.TAG_LEXICON)
+FX_TAGGED = f"""
+fx_tag_lexicon(token, tag) AS (VALUES {_TAG_VALUES}),
+fx_tagged AS (
+  SELECT t.comment_id, t.pos, t.token, coalesce(l.tag, 'NN') AS tag
+  FROM fx_ltok t LEFT JOIN fx_tag_lexicon l ON t.token = l.token)"""
+
+ORACLE["tag_tokens"] = with_(FX_COMMENTS, FX_LTOKS, FX_TAGGED) + "SELECT comment_id, pos, token, tag FROM fx_tagged"
+
+ORACLE["np_chunks"] = with_(FX_COMMENTS, FX_LTOKS, FX_TAGGED) + f"""
+, ts AS (SELECT comment_id, string_agg('<' || tag || '>', '' ORDER BY pos) AS tags FROM fx_tagged GROUP BY comment_id),
+ch AS (SELECT unnest(regexp_extract_all(tags, '{NP_TAG_PATTERN}')) AS chunk FROM ts)
+SELECT chunk, count(*) AS n, CAST(len(string_split(chunk, '><')) AS INTEGER) AS n_tokens
+FROM ch GROUP BY chunk"""
+
+# --------------------------------------------------------------------------
+# Embedding similarity
+# --------------------------------------------------------------------------
+ORACLE["embedding_similarity"] = """
+WITH s AS (
+  SELECT vec_id, embedding, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || '|0'), vec_id) - 1 AS pos
+  FROM embeddings
+  ORDER BY md5(CAST(vec_id AS VARCHAR) || '|0'), vec_id LIMIT 10),
+p AS (
+  SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, a.vec_id AS key_i, b.vec_id AS key_j,
+         list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
+  FROM s a JOIN s b ON a.pos > b.pos)
+SELECT i, j, key_i, key_j, round(d, 6) AS inner_product,
+       round(greatest(CAST(0.0 AS DOUBLE), least(CAST(1.0 AS DOUBLE), d)), 6) AS shown
+FROM p"""
+
+# --------------------------------------------------------------------------
+# Model inputs and evaluation
+# --------------------------------------------------------------------------
+ORACLE["training_table"] = with_(FX_EVENTS, FX_SCORED_EVENTS, FX_MEASURES, FX_VIDEOS,
+                                 "fx_feat AS (" + _pivot_sql("fx_measures", MEASURE_NAMES, DEFAULT_RANKS, 41) + ")") + f"""
+SELECT v.videoID, v.categoryID, {FEATURE_COLS}, v.viewsBucket
+FROM (SELECT videoID, categoryID, max(views) AS views,
+             CASE WHEN max(views) < {2 ** 20} THEN '1' WHEN max(views) > {2 ** 20} THEN '2' END AS viewsBucket
+      FROM (SELECT DISTINCT videoID, views, categoryID FROM fx_videos) GROUP BY videoID, categoryID) v
+JOIN fx_feat f ON v.videoID = f.videoID
+WHERE v.viewsBucket IS NOT NULL"""
+
+ORACLE["pca_variance2"] = with_(FX_COMMENTS, FX_SCORED) + """
+, m AS (SELECT count(*) AS n, var_samp(polarity) AS a, covar_samp(polarity, subjectivity) AS b,
+               var_samp(subjectivity) AS c FROM fx_scored),
+l AS (SELECT n, a + c AS tot,
+             (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l1,
+             (a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l2 FROM m)
+SELECT 1 AS component, round(l1 / tot, 6) AS explained_variance_ratio,
+       round(sqrt(greatest(l1, CAST(0.0 AS DOUBLE)) * (n - 1)), 6) AS singular_value FROM l
+UNION ALL
+SELECT 2, round(l2 / tot, 6), round(sqrt(greatest(l2, CAST(0.0 AS DOUBLE)) * (n - 1)), 6) FROM l"""
+
+ORACLE["accuracy"] = with_(FX_PREDICTIONS) + """
+SELECT count(*) AS n, round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy FROM fx_predictions"""
+
+ORACLE["confusion_matrix"] = with_(FX_PREDICTIONS) + """
+SELECT label, count(*) FILTER (WHERE prediction = '0') AS "0", count(*) FILTER (WHERE prediction = '1') AS "1"
+FROM fx_predictions GROUP BY label"""
+
+
+def _report_sql(labels=("0", "1")):
+    sums = ["count(*) AS total", "sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS hits"]
+    per = []
+    for i, lab in enumerate(labels):
+        sums += [f"sum(CASE WHEN label = {q(lab)} AND prediction = {q(lab)} THEN 1 ELSE 0 END) AS tp{i}",
+                 f"sum(CASE WHEN label = {q(lab)} THEN 1 ELSE 0 END) AS sup{i}",
+                 f"sum(CASE WHEN prediction = {q(lab)} THEN 1 ELSE 0 END) AS pred{i}"]
+        per.append(f"""SELECT {q(lab)} AS class,
+         CASE WHEN pred{i} > 0 THEN CAST(tp{i} AS DOUBLE) / CAST(pred{i} AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS p,
+         CASE WHEN sup{i} > 0 THEN CAST(tp{i} AS DOUBLE) / CAST(sup{i} AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS r,
+         sup{i} AS support, total FROM c""")
+    return with_(FX_PREDICTIONS) + f"""
+, c AS (SELECT {", ".join(sums)} FROM fx_predictions),
+per AS ({" UNION ALL ".join(per)}),
+per2 AS (SELECT class, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE CAST(0.0 AS DOUBLE) END AS f1,
+                support, total FROM per)
+SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support
+FROM per2
+UNION ALL SELECT 'accuracy', NULL, NULL, round(CAST(hits AS DOUBLE) / CAST(total AS DOUBLE), 6), CAST(total AS BIGINT) FROM c
+UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f1), 6), CAST(max(total) AS BIGINT) FROM per2
+UNION ALL SELECT 'weighted avg', round(sum(p * support) / max(total), 6), round(sum(r * support) / max(total), 6),
+                 round(sum(f1 * support) / max(total), 6), CAST(max(total) AS BIGINT) FROM per2"""
+
+
+ORACLE["classification_report"] = _report_sql()

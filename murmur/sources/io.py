@@ -42,6 +42,8 @@ def read_table_csv(spark: SparkSession, path: str, schema: T.StructType,
            .option("multiLine", True)
            .option("quote", '"')
            .option("escape", '"')
+           .option("ignoreLeadingWhiteSpace", False)
+           .option("ignoreTrailingWhiteSpace", False)
            .option("mode", "FAILFAST")
            .csv(path))
     clean = na_to_null(raw, na_tokens)
@@ -53,7 +55,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w = df.write.mode(mode)
     if fmt == "csv":
         (w.option("header", True).option("quote", '"').option("escape", '"')
-         .option("quoteAll", False).option("emptyValue", '""').csv(path))
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .option("emptyValue", '""').csv(path))
     elif fmt == "parquet":
         w.parquet(path)
     else:
