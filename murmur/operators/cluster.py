@@ -127,6 +127,8 @@ def _grid_fit(spark, rows, cols, grid, max_iter: int, tol: float):
     MAX_GRID_POINTS. Returns {k: (centres, cost)} keeping the lowest cost."""
     import pandas as pd
 
+    # a fixed point order makes seeded starts independent of partitioning
+    rows = sorted(rows, key=lambda r: tuple(float(r[c]) for c in cols))
     x = np.array([[float(r[c]) for c in cols] for r in rows])
     w = np.array([float(r["n"]) for r in rows])
     bx = spark.sparkContext.broadcast((x, w))
@@ -198,14 +200,36 @@ def fit_kmeans_many(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, ks=(3,),
         prepared.unpersist()
 
 
-def wcss_k1(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS) -> DataFrame:
-    """Within-cluster sum of squares for k = 1: n * sum of population variances."""
+def wcss_k1(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, decimals: int | None = 2) -> DataFrame:
+    """Within-cluster sum of squares for k = 1 (n * sum of population variances).
+
+    With ``decimals`` (scores carry 2), values are taken as exact integers
+    X = x * 10^d and WCSS = sum over columns of (n * sum(X^2) - sum(X)^2) / (n * 10^2d):
+    the numerator is exact (widened to decimal(38,0), so no overflow), and
+    the result does not depend on the order Spark adds rows in."""
     n = F.count(F.lit(1))
-    total = None
-    for c in cols:
-        term = F.var_pop(c)
-        total = term if total is None else total + term
-    return df.agg((n * total).alias("wcss"))
+    if decimals is None:
+        total = None
+        for c in cols:
+            term = F.var_pop(c)
+            total = term if total is None else total + term
+        return df.agg((n * total).alias("wcss"))
+    scale = 10 ** decimals
+    aggs = [n.alias("_n")]
+    for i, c in enumerate(cols):
+        x = F.round(F.col(c) * F.lit(float(scale))).cast("long")
+        aggs += [F.sum(x).alias(f"_s{i}"), F.sum(x * x).alias(f"_q{i}")]
+    dec = "decimal(38,0)"
+    terms = []
+    for i in range(len(cols)):
+        num = (F.col("_n").cast(dec) * F.col(f"_q{i}").cast(dec)
+               - F.col(f"_s{i}").cast(dec) * F.col(f"_s{i}").cast(dec))
+        terms.append(num)
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    wcss = F.try_divide(total.cast("double"), F.col("_n").cast("double") * F.lit(float(scale * scale)))
+    return df.agg(*aggs).select(F.coalesce(wcss, F.lit(0.0)).alias("wcss"))
 
 
 def elbow(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, ks=range(1, 11), starts: int = 10,

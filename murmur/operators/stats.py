@@ -133,22 +133,35 @@ def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], with_p: bool = True
 
 
 def histogram(df: DataFrame, col: str, bins: int = 70) -> DataFrame:
-    """Equal-width histogram over [min, max], last bin closed (numpy rules).
+    """Equal-width histogram over [min, max], last bin closed, with numpy's
+    rules: a first guess ((v - lo) / (hi - lo)) * bins, corrected against the
+    edges i * ((hi - lo) / bins) + lo (last edge = hi), so values that sit
+    on an edge land where numpy puts them.
 
     Output: bin (1..bins), lower and upper edge, count; empty bins omitted.
-    All values equal -> a single bin holding every row.
+    All values equal -> a single bin holding every row. lo and hi are scalar
+    subqueries (no join, nothing collected).
     """
     v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     lo = v.select(F.min("v")).scalar()
     hi = v.select(F.max("v")).scalar()
     width = hi - lo
-    raw = F.floor(F.try_divide(F.lit(float(bins)) * (F.col("v") - lo), width)).cast("long") + 1
-    b = F.when(width > 0, F.least(raw, F.lit(bins))).otherwise(F.lit(1)).cast("int")
-    counts = v.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    edge = lambda i: lo + width * (i.cast("double") / F.lit(float(bins)))
+    step = width / F.lit(float(bins))
+
+    def edge(i):
+        return F.when(i == bins, hi).otherwise(i.cast("double") * step + lo)
+
+    x = F.col("v")
+    i1 = F.least(F.floor(F.try_divide(x - lo, width) * F.lit(float(bins))).cast("long"), F.lit(bins - 1))
+    counts0 = v.select(x, i1.alias("_i1"))
+    i2 = F.when(x < edge(F.col("_i1")), F.col("_i1") - 1).otherwise(F.col("_i1"))
+    counts1 = counts0.select(x, i2.alias("_i2"))
+    i3 = F.when((F.col("_i2") != bins - 1) & (x >= edge(F.col("_i2") + 1)), F.col("_i2") + 1).otherwise(F.col("_i2"))
+    b = F.when(width > 0, i3 + 1).otherwise(F.lit(1)).cast("int")
+    counts = counts1.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     return counts.select(
         "bin",
-        F.round(edge(F.col("bin") - 1), 6).alias("bin_lo"),
-        F.round(edge(F.col("bin")), 6).alias("bin_hi"),
+        F.round(edge((F.col("bin") - 1).cast("long")), 6).alias("bin_lo"),
+        F.round(edge(F.col("bin").cast("long")), 6).alias("bin_hi"),
         "count",
     )

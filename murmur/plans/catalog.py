@@ -291,7 +291,7 @@ def kmeans_sentiment(spark, d):
 @register("wcss_k1")
 def wcss_k1(spark, d):
     w = cluster.wcss_k1(fx.fx_scored(spark, d))
-    return w.select(F.round("wcss", 6).alias("wcss"))
+    return w.select(MF.round_half_away("wcss", 6).alias("wcss"))
 
 
 @register("kmeans_elbow")

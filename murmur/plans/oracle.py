@@ -323,16 +323,23 @@ FROM (SELECT corr(polarity, subjectivity) AS r, count(*) AS n FROM fx_scored)"""
 
 ORACLE["histogram70"] = """
 WITH v AS (SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL),
-mm AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
-b AS (SELECT CAST(CASE WHEN hi - lo > 0
-                       THEN least(CAST(floor(CAST(70.0 AS DOUBLE) * (v - lo) / (hi - lo)) AS BIGINT) + 1, 70)
-                       ELSE 1 END AS INTEGER) AS bin, lo, hi
-      FROM v, mm)
+mm AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / CAST(70.0 AS DOUBLE) AS step FROM v),
+a AS (SELECT v, lo, hi, step,
+             least(CAST(floor((v - lo) / (hi - lo) * CAST(70.0 AS DOUBLE)) AS BIGINT), 69) AS i1
+      FROM v, mm WHERE hi > lo),
+b AS (SELECT v, lo, hi, step,
+             CASE WHEN v < (CASE WHEN i1 = 70 THEN hi ELSE CAST(i1 AS DOUBLE) * step + lo END) THEN i1 - 1 ELSE i1 END AS i2
+      FROM a),
+c AS (SELECT lo, hi, step,
+             CAST(CASE WHEN i2 <> 69 AND v >= (CASE WHEN i2 + 1 = 70 THEN hi ELSE CAST(i2 + 1 AS DOUBLE) * step + lo END)
+                       THEN i2 + 1 ELSE i2 END + 1 AS INTEGER) AS bin
+      FROM b
+      UNION ALL SELECT lo, hi, step, 1 FROM v, mm WHERE hi = lo)
 SELECT bin,
-       round(lo + (hi - lo) * (CAST(bin - 1 AS DOUBLE) / CAST(70.0 AS DOUBLE)), 6) AS bin_lo,
-       round(lo + (hi - lo) * (CAST(bin AS DOUBLE) / CAST(70.0 AS DOUBLE)), 6) AS bin_hi,
+       round(CASE WHEN bin - 1 = 70 THEN hi ELSE CAST(bin - 1 AS DOUBLE) * step + lo END, 6) AS bin_lo,
+       round(CASE WHEN bin = 70 THEN hi ELSE CAST(bin AS DOUBLE) * step + lo END, 6) AS bin_hi,
        count(*) AS count
-FROM b GROUP BY bin, lo, hi"""
+FROM c GROUP BY bin, lo, hi, step"""
 
 # --------------------------------------------------------------------------
 # Clustering
@@ -341,7 +348,12 @@ ORACLE["kmeans_assign"] = with_(FX_COMMENTS, FX_SCORED, FX_CLUSTERED) + """
 SELECT comment_id, polarity, subjectivity, clusters FROM fx_clustered"""
 
 ORACLE["wcss_k1"] = with_(FX_COMMENTS, FX_SCORED) + """
-SELECT round(count(*) * (var_pop(polarity) + var_pop(subjectivity)), 6) AS wcss FROM fx_scored"""
+, h AS (SELECT CAST(round(polarity * 100) AS BIGINT) AS p, CAST(round(subjectivity * 100) AS BIGINT) AS s FROM fx_scored),
+a AS (SELECT CAST(count(*) AS HUGEINT) AS n, CAST(sum(p) AS HUGEINT) AS sp, CAST(sum(p * p) AS HUGEINT) AS qp,
+             CAST(sum(s) AS HUGEINT) AS ss, CAST(sum(s * s) AS HUGEINT) AS qs FROM h)
+SELECT sign(w) * floor(abs(w) * CAST(1000000.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000.0 AS DOUBLE) AS wcss
+FROM (SELECT CAST(n * qp - sp * sp + n * qs - ss * ss AS DOUBLE) / (CAST(n AS DOUBLE) * CAST(10000.0 AS DOUBLE)) AS w
+      FROM a)"""
 
 ORACLE["cluster_profile"] = with_(FX_COMMENTS, FX_SCORED, FX_CLUSTERED) + """
 SELECT clusters, count(*) AS n_comments, round(avg(polarity), 6) AS avg_polarity,
