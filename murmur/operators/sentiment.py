@@ -63,14 +63,20 @@ def score_sentiment(df: DataFrame, lexicon: DataFrame, text: str = TEXT,
             pmap = F.map_from_arrays(F.lit(words), F.lit([int(r["p"]) for r in rows]))
             smap = F.map_from_arrays(F.lit(words), F.lit([int(r["s"]) for r in rows]))
             toks = tokens_lower(F.col(text))
-            # matched tokens as their own column: the regex runs once per row
+            # Matched tokens as their own column (the regex runs once), then
+            # (n, sum p, sum s) through a one-row generator. Filters on the
+            # scores cannot be pushed below a Generate, so Catalyst never
+            # substitutes the regex into a later predicate many times over.
             df = df.withColumn("_hits", F.filter(toks, lambda t: F.map_contains_key(pmap, t)))
             hits = F.col("_hits")
-            n = F.size(hits)
-            psum = F.aggregate(hits, F.lit(0).cast("long"), lambda a, t: a + F.element_at(pmap, t))
-            ssum = F.aggregate(hits, F.lit(0).cast("long"), lambda a, t: a + F.element_at(smap, t))
-            pol, sub = mean_milli_to_2dp(psum, n), mean_milli_to_2dp(ssum, n)
-        out = df.withColumn(POLARITY, pol).withColumn(SUBJECTIVITY, sub).drop("_hits")
+            sums = F.struct(
+                F.size(hits).alias("_n"),
+                F.aggregate(hits, F.lit(0).cast("long"), lambda a, t: a + F.element_at(pmap, t)).alias("_p"),
+                F.aggregate(hits, F.lit(0).cast("long"), lambda a, t: a + F.element_at(smap, t)).alias("_s"))
+            df = df.select("*", F.inline(F.array(sums))).drop("_hits")
+            n = F.col("_n")
+            pol, sub = mean_milli_to_2dp(F.col("_p"), n), mean_milli_to_2dp(F.col("_s"), n)
+        out = df.withColumn(POLARITY, pol).withColumn(SUBJECTIVITY, sub).drop("_n", "_p", "_s")
     else:
         # Large lexicon: exploded tokens join the lexicon, partial aggregation
         # per comment, then a left join back (comments without hits get 0).

@@ -15,26 +15,75 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def describe_distinct(df: DataFrame, col: str) -> DataFrame:
+# Up to this many distinct values Spark's exact ``percentile`` is used (its
+# final merge holds one map entry per distinct value). Above it, quantiles
+# come from ``exact_rank_value``, whose every step returns a bounded table.
+PERCENTILE_MAX_DISTINCT = 1_000_000
+
+
+def exact_rank_value(values: DataFrame, k: int, col: str = "v", buckets: int = 4096,
+                     max_collect: int = 50_000) -> float:
+    """The k-th smallest (0-based) value of ``col``, exactly.
+
+    Each pass counts the remaining candidates in ``buckets`` equal-width
+    buckets (a distributed groupBy; at most ``buckets`` rows reach the
+    driver), keeps the bucket holding rank k, and repeats; once at most
+    ``max_collect`` candidates are left they are collected and indexed."""
+    sub = values.select(F.col(col).alias("v"))
+    below = 0
+    while True:
+        st = sub.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+        if st["n"] <= max_collect:
+            vals = sorted(r["v"] for r in sub.collect())
+            return float(vals[k - below])
+        if st["lo"] == st["hi"]:
+            return float(st["lo"])
+        lo, width = st["lo"], (st["hi"] - st["lo"]) / buckets
+        idx = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(buckets - 1))
+        counts = sorted((r["b"], r["c"]) for r in sub.groupBy(idx.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+                        .collect())
+        chosen = None
+        for b, c in counts:
+            if below + c > k:
+                chosen = b
+                break
+            below += c
+        sub = sub.filter(idx == F.lit(chosen))
+
+
+def _interpolated(values: DataFrame, n: int, q: float, col: str = "v", **kw) -> float:
+    h = (n - 1) * q
+    lo_r = int(h // 1)
+    hi_r = min(lo_r + 1, n - 1)
+    a = exact_rank_value(values, lo_r, col, **kw)
+    b = a if hi_r == lo_r or h == lo_r else exact_rank_value(values, hi_r, col, **kw)
+    return a + (b - a) * (h - lo_r)
+
+
+def describe_distinct(df: DataFrame, col: str, max_percentile_distinct: int = PERCENTILE_MAX_DISTINCT) -> DataFrame:
     """count, mean, std (n-1), min, quartiles (linear interpolation), max of
     the distinct non-null values of ``col``.
 
-    Quartiles use Spark's exact ``percentile``; its partial aggregate holds
-    one entry per distinct value, so the merge cost grows with the number
-    of distinct values, not with the number of rows.
-    """
+    Quartiles are exact: Spark's ``percentile`` while the number of distinct
+    values is within ``max_percentile_distinct`` (checked), else an
+    iterative selection whose every step is a bounded distributed count."""
     d = df.select(F.col(col).cast("double").alias("v")).distinct().filter(F.col("v").isNotNull())
-    qs = F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return d.agg(
+    base = [
         F.count(F.lit(1)).alias("count"),
         F.round(F.avg("v"), 6).alias("mean"),
         F.round(F.stddev_samp("v"), 6).alias("std"),
         F.min("v").alias("min"),
-        F.round(qs[0], 6).alias("q25"),
-        F.round(qs[1], 6).alias("q50"),
-        F.round(qs[2], 6).alias("q75"),
-        F.max("v").alias("max"),
-    )
+    ]
+    n_small = d.limit(max_percentile_distinct + 1).count()
+    if n_small <= max_percentile_distinct:
+        qs = F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        return d.agg(*base, F.round(qs[0], 6).alias("q25"), F.round(qs[1], 6).alias("q50"),
+                     F.round(qs[2], 6).alias("q75"), F.max("v").alias("max"))
+    d = d.persist()
+    n = d.count()
+    qv = [_interpolated(d, n, q) for q in (0.25, 0.5, 0.75)]
+    return d.agg(*base, *[F.round(F.lit(x), 6).alias(name) for x, name in zip(qv, ("q25", "q50", "q75"))],
+                 F.max("v").alias("max"))
 
 
 def kurtosis_of(df: DataFrame, col: str) -> DataFrame:

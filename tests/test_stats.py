@@ -49,3 +49,21 @@ def test_kurtosis_biased_fisher(spark):
     a = np.array(vals)
     m2, m4 = ((a - a.mean()) ** 2).mean(), ((a - a.mean()) ** 4).mean()
     assert abs(stats.kurtosis_of(df, "v").first()["kurtosis"] - round(m4 / m2 ** 2 - 3, 6)) < 1e-6
+
+
+def test_describe_distinct_large_path_equals_percentile(spark):
+    rng = np.random.default_rng(3)
+    vals = np.round(rng.lognormal(0, 2, 3000), 3)
+    df = spark.createDataFrame([(float(x),) for x in vals], "v double")
+    a = stats.describe_distinct(df, "v").first()
+    b = stats.describe_distinct(df, "v", max_percentile_distinct=10).first()
+    for k in ("count", "mean", "std", "min", "q25", "q50", "q75", "max"):
+        assert abs(a[k] - b[k]) < 1e-9, k
+
+
+def test_exact_rank_value_small_collect(spark):
+    vals = [float(x) for x in np.random.default_rng(9).normal(size=2000)]
+    df = spark.createDataFrame([(x,) for x in vals], "v double")
+    s = sorted(vals)
+    for k in (0, 17, 999, 1999):
+        assert stats.exact_rank_value(df, k, buckets=8, max_collect=50) == s[k]
