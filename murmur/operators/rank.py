@@ -43,7 +43,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], value: str | None, tie: str,
         return df.withColumn(col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
     parts = ["_b"]
-    base = df.withColumn("_b", F.floor(F.col(tie) / F.lit(width)).cast("long"))
+    base = df.withColumn("_b", F.expr(f"cast(`{tie}` as long) div {int(width)}"))
     order_cnt = []
     if value is not None:
         # NULL-safe join keys: a null flag plus a coalesced value.
@@ -88,5 +88,5 @@ def ntile_within(df: DataFrame, keys: Sequence[str], order: str, k: int, col: st
     big = rem * (size + 1)
     r = F.col("_r")
     tile = (F.when(r <= big, F.floor((r - 1) / (size + 1)) + 1)
-            .otherwise(rem + F.floor((r - 1 - big) / size) + 1))
+            .otherwise(rem + F.floor(F.try_divide((r - 1 - big).cast("double"), size.cast("double"))) + 1))
     return j.withColumn(col, tile.cast("int")).drop("_r", "_n")

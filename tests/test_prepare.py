@@ -63,3 +63,9 @@ def test_join_titles_fans_out_duplicates(spark):
 def test_project_unknown_column(spark):
     with pytest.raises(KeyError):
         prepare.project(spark.range(1), ["nope"])
+
+
+def test_ntile_fewer_rows_than_tiles(spark):
+    df = spark.range(5).select(F.col("id").alias("k"), F.lit("a").alias("label"))
+    got = sorted((r["k"], r["fold"]) for r in ntile_within(df, ["label"], "k", 8, col="fold").collect())
+    assert got == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]
