@@ -8,7 +8,8 @@ unique integer id, a sub-bucket holds at most ``width`` rows. A count per
 sub-bucket (map-side partial aggregation, tiny output) gives each
 sub-bucket its starting offset, and the final ``row_number`` runs over
 bounded sub-buckets. The result equals the plain window's row numbers
-exactly.
+exactly. A non-integer tie column (string ids) is ranked through a
+range-partitioned global sort instead (``_rank_by_range``).
 """
 
 from __future__ import annotations
@@ -35,12 +36,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], value: str | None, tie: str,
     NULLs last) then ``tie`` ascending. Adds column ``col`` (int, from 1)."""
     keys = list(keys)
     if not _is_integral(df, tie):
-        # No bounded split for a non-integer tie: plain window.
-        order = []
-        if value is not None:
-            order.append(F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last())
-        order.append(F.col(tie).asc())
-        return df.withColumn(col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return _rank_by_range(df, keys, value, tie, descending, col)
 
     parts = ["_b"]
     base = df.withColumn("_b", F.expr(f"cast(`{tie}` as long) div {int(width)}"))
@@ -65,6 +61,39 @@ def rank_within(df: DataFrame, keys: Sequence[str], value: str | None, tie: str,
     return out.drop("_b", "_vn", "_vv", "_off")
 
 
+def _rank_by_range(df: DataFrame, keys: Sequence[str], value: str | None, tie: str,
+                   descending: bool, col: str) -> DataFrame:
+    """Exact row numbers for a non-integer tie column via a global sort.
+
+    ``repartitionByRange`` on (keys, value, tie) spreads even a very hot
+    group over many balanced partitions; positions inside each sorted
+    partition come from ``monotonically_increasing_id`` and are fixed once
+    by a reliable checkpoint; per (partition, group) counts (a table of
+    partitions x groups rows) give each partition's offset in its group."""
+    from murmur.session import cut_lineage
+
+    order = [F.col(k).asc() for k in keys]
+    if value is not None:
+        order.append(F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last())
+    order.append(F.col(tie).asc())
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    s = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    s = cut_lineage(s)
+    s = s.withColumn("_li", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    gk = [F.coalesce(F.col(k).cast("string"), F.lit("\u0000null")).alias(f"_g{i}") for i, k in enumerate(keys)]
+    s = s.select("*", *gk)
+    gcols = [f"_g{i}" for i in range(len(keys))]
+    counts = s.groupBy("_pid", *gcols).agg(F.count(F.lit(1)).alias("_c"), F.min("_li").alias("_first"))
+    w = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
+    j = s.join(small_side(offs), ["_pid", *gcols], "inner")
+    rn = (F.col("_off") + (F.col("_li") - F.col("_first")) + 1).cast("int")
+    return j.withColumn(col, rn).drop("_pid", "_mid", "_li", "_first", "_off", *gcols)
+
+
 def top_n_within(df: DataFrame, keys: Sequence[str], value: str, tie: str, n: int,
                  descending: bool = True, col: str = "rn") -> DataFrame:
     """Rows ranked 1..n within each group.

@@ -69,3 +69,18 @@ def test_ntile_fewer_rows_than_tiles(spark):
     df = spark.range(5).select(F.col("id").alias("k"), F.lit("a").alias("label"))
     got = sorted((r["k"], r["fold"]) for r in ntile_within(df, ["label"], "k", 8, col="fold").collect())
     assert got == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]
+
+
+def test_rank_string_tie_equals_plain_window(spark):
+    # one hot label holding most rows, string ids
+    df = spark.range(3000).select(
+        F.format_string("v%05d", (F.col("id") * 7919) % 3000).alias("videoID"),
+        F.when(F.col("id") % 10 == 0, "1").otherwise("2").alias("label"),
+        ((F.col("id") * 31) % 7).cast("double").alias("value"))
+    ours = rank_within(df, ["label"], "value", "videoID", col="rn").select("videoID", "rn")
+    w = Window.partitionBy("label").orderBy(F.desc("value"), F.asc("videoID"))
+    plain = df.select("videoID", F.row_number().over(w).cast("int").alias("rn"))
+    assert sorted(ours.collect()) == sorted(plain.collect())
+    folds = prepare.stratified_folds(df, "label", "videoID", 8)
+    ref = df.select("videoID", F.ntile(8).over(Window.partitionBy("label").orderBy("videoID")).alias("f"))
+    assert sorted((r["videoID"], r["fold"]) for r in folds.collect()) == sorted(tuple(r) for r in ref.collect())
