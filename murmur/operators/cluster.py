@@ -176,8 +176,11 @@ def fit_kmeans_many(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, ks=(3,),
     Up to MAX_GRID_POINTS grouped points (a checked bound) all (k, seed)
     starts run as one parallel Spark job; above it each start is a Spark ML
     KMeans fit over the distributed points."""
+    from murmur.session import spark_context
+
     pts = weighted_points(df, cols)
-    rows = collect_bounded(pts, MAX_GRID_POINTS, "k-means points")
+    grid_ok = spark_context(df.sparkSession) is not None
+    rows = collect_bounded(pts, MAX_GRID_POINTS, "k-means points") if grid_ok else None
     if rows is not None:
         for k in ks:
             _check_distinct(rows, k)

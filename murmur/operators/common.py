@@ -47,7 +47,12 @@ def spread_if_coarse(df: DataFrame, factor: int = 4) -> DataFrame:
     so a single scan task would leave the other cores idle. A large input
     already has many more partitions than cores and is returned as is, so
     at scale this adds no shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
+    from murmur.session import spark_context
+
+    sc = spark_context(df.sparkSession)
+    if sc is None:
+        return df
+    target = sc.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target * factor)

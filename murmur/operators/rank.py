@@ -76,8 +76,10 @@ def _rank_by_range(df: DataFrame, keys: Sequence[str], value: str | None, tie: s
     if value is not None:
         order.append(F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last())
     order.append(F.col(tie).asc())
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    from murmur.session import spark_context
+
+    sc = spark_context(df.sparkSession)
+    parts = max(sc.defaultParallelism, df.rdd.getNumPartitions()) if sc is not None else 200
     s = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))

@@ -79,7 +79,9 @@ def describe_distinct(df: DataFrame, col: str, max_percentile_distinct: int = PE
         qs = F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         return d.agg(*base, F.round(qs[0], 6).alias("q25"), F.round(qs[1], 6).alias("q50"),
                      F.round(qs[2], 6).alias("q75"), F.max("v").alias("max"))
-    d = d.persist()
+    from murmur.session import cut_lineage
+
+    d = cut_lineage(d)  # scanned once per selection pass; reliable, no cached blocks left behind
     n = d.count()
     qv = [_interpolated(d, n, q) for q in (0.25, 0.5, 0.75)]
     return d.agg(*base, *[F.round(F.lit(x), 6).alias(name) for x, name in zip(qv, ("q25", "q50", "q75"))],
