@@ -59,18 +59,31 @@ def dedupe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.distinct() if cols is None else df.select(*cols).distinct()
 
 
-def sample_n(df: DataFrame, n: int, key: str = COMMENT_ID, seed=0, exact: bool = False) -> DataFrame:
-    """Seeded sample of ``n`` rows without replacement (all rows if fewer).
-
-    Order by md5('key|seed') and take n: planned as a per-partition top-n
-    (TakeOrderedAndProject), so only n rows per task reach the final merge.
-    ``exact=True`` raises when the table has fewer than n rows.
-    """
-    if exact:
-        have = df.limit(n).count()
-        if have < n:
-            raise ValueError(f"need {n} rows to sample, found {have}")
-    return df.orderBy(md5_key(F.col(key), seed), F.col(key)).limit(n)
+def sample_n(df: DataFrame, n: int, key: str = COMMENT_ID, seed=0, exact: bool = False,
+             oversample: float = 1.5) -> DataFrame:
+    """Seeded sample of ``n`` rows without replacement (all rows if fewer):
+    the n rows with the smallest md5('key|seed'), ties by key.
+
+    A plain ``orderBy(...).limit(n)`` merges n rows from *every* input
+    partition in one task. Instead the rows are first cut by the md5 prefix
+    to an expected ``oversample * n`` candidates (the cut is monotone in the
+    sort key, so the candidates are always a prefix of the full order; if
+    fewer than n pass, the cut is widened), and only those are top-n sorted.
+    ``exact=True`` raises when the table has fewer than n rows."""
+    total = df.count()
+    if exact and total < n:
+        raise ValueError(f"need {n} rows to sample, found {total}")
+    order = [md5_key(F.col(key), seed), F.col(key)]
+    if total <= n:
+        return df
+    head = F.conv(F.substring(md5_key(F.col(key), seed), 1, 8), 16, 10).cast("long")
+    frac = min(1.0, oversample * n / total + 64.0 / total)
+    while True:
+        cut = int(frac * (1 << 32))
+        cand = df.filter(head < F.lit(cut)) if frac < 1.0 else df
+        if frac >= 1.0 or cand.count() >= n:
+            return cand.orderBy(*order).limit(n)
+        frac = min(1.0, frac * 2)
 
 
 def first_n(df: DataFrame, n: int | None, key: str = COMMENT_ID) -> DataFrame:

@@ -84,3 +84,13 @@ def test_rank_string_tie_equals_plain_window(spark):
     folds = prepare.stratified_folds(df, "label", "videoID", 8)
     ref = df.select("videoID", F.ntile(8).over(Window.partitionBy("label").orderBy("videoID")).alias("f"))
     assert sorted((r["videoID"], r["fold"]) for r in folds.collect()) == sorted(tuple(r) for r in ref.collect())
+
+
+def test_sample_threshold_equals_full_sort(spark):
+    from murmur.functions.scalar import md5_key
+
+    df = spark.range(20000).withColumnRenamed("id", "comment_id").repartition(13)
+    for n in (1, 10, 500, 7000):
+        ours = sorted(r[0] for r in prepare.sample_n(df, n, seed=5).collect())
+        ref = sorted(r[0] for r in df.orderBy(md5_key(F.col("comment_id"), 5), "comment_id").limit(n).collect())
+        assert ours == ref
