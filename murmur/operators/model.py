@@ -119,22 +119,31 @@ def pca_variance2(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def cross_validate(train: DataFrame, k: int = 8, feature_cols: Sequence[str] | None = None,
-                   key: str = VIDEO_ID, components: int = 2, c: float = 1.0) -> DataFrame:
+                   key: str = VIDEO_ID, components: int = 2, c: float = 1.0,
+                   parallelism: int = 4) -> DataFrame:
     """k stratified folds; per fold the whole pipeline is fitted on the
-    other folds and scored on it. Result: (fold, n, accuracy)."""
+    other folds and scored on it. Result: (fold, n, accuracy).
+
+    Folds are fitted from ``parallelism`` driver threads at once (as Spark
+    ML's CrossValidator does), so their small jobs share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from murmur.session import cut_lineage
 
     cols = list(feature_cols) if feature_cols else feature_columns(train)
     folded = cut_lineage(stratified_folds(train, VIEWS_BUCKET, key, k))
-    rows = []
-    for f in range(1, k + 1):
+
+    def one(f: int):
         tr = folded.filter(F.col("fold") != f)
         te = folded.filter(F.col("fold") == f)
-        model = views_pipeline(cols, tr.count(), components, c).fit(tr)
-        p = predictions(model, te, key)
+        fitted = views_pipeline(cols, tr.count(), components, c).fit(tr)
+        p = predictions(fitted, te, key)
         r = p.agg(F.count(F.lit(1)).alias("n"),
                   F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("acc")).first()
-        rows.append((f, int(r["n"]), float(r["acc"]) if r["acc"] is not None else None))
+        return (f, int(r["n"]), float(r["acc"]) if r["acc"] is not None else None)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(one, range(1, k + 1)))
     return train.sparkSession.createDataFrame(rows, "fold int, n long, accuracy double")
 
 
