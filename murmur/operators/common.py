@@ -39,14 +39,16 @@ def word_list_df(spark, words, col: str = "token") -> DataFrame:
     return spark.createDataFrame([(w,) for w in sorted(set(words))], f"{col} string")
 
 
-def spread_if_coarse(df: DataFrame, factor: int = 4) -> DataFrame:
+def spread_if_coarse(df: DataFrame, factor: int = 4, key: str | None = None) -> DataFrame:
     """Round-robin a source that arrives in fewer partitions than the
     cluster runs tasks at once (one big file, one row group).
 
     Per-row text work (regex tokenisation of long comments) is CPU-bound,
     so a single scan task would leave the other cores idle. A large input
     already has many more partitions than cores and is returned as is, so
-    at scale this adds no shuffle."""
+    at scale this adds no shuffle. With a ``key`` the spread hash-partitions
+    on it (deterministic on retry without the local sort a keyless
+    round-robin needs)."""
     from murmur.session import spark_context
 
     sc = spark_context(df.sparkSession)
@@ -55,4 +57,4 @@ def spread_if_coarse(df: DataFrame, factor: int = 4) -> DataFrame:
     target = sc.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target * factor)
+    return df.repartition(target * factor, F.col(key)) if key else df.repartition(target * factor)

@@ -55,7 +55,7 @@ def fx_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from murmur.operators.common import spread_if_coarse
 
     d = table(spark, sf_dir, "documents")
-    return spread_if_coarse(d).select(
+    return spread_if_coarse(d, key="doc_id").select(
         F.col("doc_id").alias(COMMENT_ID),
         F.col("source").alias(VIDEO_ID),
         _lang_category(F.col("lang")).alias(CATEGORY_ID),

@@ -94,3 +94,13 @@ def test_sample_threshold_equals_full_sort(spark):
         ours = sorted(r[0] for r in prepare.sample_n(df, n, seed=5).collect())
         ref = sorted(r[0] for r in df.orderBy(md5_key(F.col("comment_id"), 5), "comment_id").limit(n).collect())
         assert ours == ref
+
+
+def test_spread_only_when_coarse(spark):
+    from murmur.operators.common import spread_if_coarse
+
+    par = spark.sparkContext.defaultParallelism
+    wide = spark.range(1000).repartition(par * 2)
+    assert spread_if_coarse(wide) is wide
+    narrow = spark.range(1000).coalesce(1)
+    assert spread_if_coarse(narrow).rdd.getNumPartitions() >= par

@@ -71,3 +71,11 @@ def test_np_chunks_greedy(spark):
 def test_remove_words_is_case_sensitive(spark):
     df = spark.createDataFrame([("The",), ("the",), ("x",)], "token string")
     assert sorted(r["token"] for r in text.remove_words(df, ["the"]).collect()) == ["The", "x"]
+
+
+def test_np_chunks_join_path_equals_map_path(spark, monkeypatch):
+    df = _comments(spark, ["the big cat that dog", "a la der und", "", None, "this old film is on"])
+    a = sorted(tuple(r) for r in text.np_chunks(df, fx.fx_tag_lexicon(spark)).collect())
+    monkeypatch.setattr(text, "MAX_LITERAL_ROWS", 0)
+    b = sorted(tuple(r) for r in text.np_chunks(df, fx.fx_tag_lexicon(spark)).collect())
+    assert a == b and len(a) > 0
