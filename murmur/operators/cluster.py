@@ -257,9 +257,16 @@ def elbow(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, ks=range(1, 11), st
     return spark.createDataFrame(rows, "k int, wcss double")
 
 
-def cluster_profile(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, col: str = CLUSTERS) -> DataFrame:
-    """Per label: size and mean of each coordinate (the data behind the scatter)."""
-    return df.groupBy(col).agg(
-        F.count(F.lit(1)).alias("n_comments"),
-        *[F.round(F.avg(c), 6).alias(f"avg_{c}") for c in cols],
-    )
+def cluster_profile(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, col: str = CLUSTERS,
+                    decimals: int | None = 2) -> DataFrame:
+    """Per label: size and mean of each coordinate (the data behind the scatter).
+    With ``decimals`` (scores carry 2) the means are exact integer sums over
+    one division, rounded half away from zero to 6 places."""
+    from murmur.functions.scalar import round_half_away
+    from murmur.operators.sentiment import exact_mean
+
+    if decimals is None:
+        means = [F.round(F.avg(c), 6).alias(f"avg_{c}") for c in cols]
+    else:
+        means = [round_half_away(exact_mean(c, decimals), 6).alias(f"avg_{c}") for c in cols]
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n_comments"), *means)

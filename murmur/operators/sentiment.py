@@ -91,9 +91,21 @@ def score_sentiment(df: DataFrame, lexicon: DataFrame, text: str = TEXT,
     return out.withColumn(SENTIMENT_BUCKET, sentiment_bucket(F.col(POLARITY)))
 
 
+def exact_mean(col: str, decimals: int = 2):
+    """Mean of a column holding values with ``decimals`` places, as an
+    aggregate: the values are summed as exact integers and divided once, so
+    the result does not depend on the order in which rows are added."""
+    scale = float(10 ** decimals)
+    total = F.sum(F.round(F.col(col) * F.lit(scale)).cast("long")).cast("double")
+    return F.try_divide(total, F.count(F.col(col)).cast("double")) / F.lit(scale)
+
+
 def sentiment_summary(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Comments and mean scores per group (map-side partial aggregation)."""
+    """Comments and mean scores per group (map-side partial aggregation).
+    Means are exact (2-decimal scores) and rounded half away from zero."""
+    from murmur.functions.scalar import round_half_away
+
     return (scored.groupBy(*by)
             .agg(F.count(F.lit(1)).alias("n_comments"),
-                 F.round(F.avg(POLARITY), 6).alias("avg_polarity"),
-                 F.round(F.avg(SUBJECTIVITY), 6).alias("avg_subjectivity")))
+                 round_half_away(exact_mean(POLARITY), 6).alias("avg_polarity"),
+                 round_half_away(exact_mean(SUBJECTIVITY), 6).alias("avg_subjectivity")))

@@ -61,6 +61,14 @@ fx_scored AS (
   SELECT *, CAST(sign(polarity) AS INTEGER) AS sentimentBucket FROM fx_scored0)"""
 
 
+def exact_mean2(col: str) -> str:
+    """Mean of 2-decimal values from exact integer hundredths, rounded half
+    away from zero to 6 places (same IEEE steps as the Spark side)."""
+    x = (f"(CAST(sum(CAST(round({col} * 100) AS BIGINT)) AS DOUBLE) / CAST(count({col}) AS DOUBLE) "
+         f"/ CAST(100.0 AS DOUBLE))")
+    return f"(sign({x}) * floor(abs({x}) * CAST(1000000.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000.0 AS DOUBLE))"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
 
@@ -69,7 +77,7 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["entry_summary"] = with_(FX_COMMENTS, FX_TITLES, FX_SCORED) + """
 SELECT t.channel, s.sentimentBucket, count(*) AS n_comments,
-       round(avg(s.polarity), 6) AS avg_polarity, round(avg(s.subjectivity), 6) AS avg_subjectivity
+       """ + exact_mean2("s.polarity") + """ AS avg_polarity, """ + exact_mean2("s.subjectivity") + """ AS avg_subjectivity
 FROM fx_titles t JOIN fx_scored s ON t.videoID = s.videoID
 GROUP BY t.channel, s.sentimentBucket"""
 
@@ -356,8 +364,8 @@ FROM (SELECT CAST(n * qp - sp * sp + n * qs - ss * ss AS DOUBLE) / (CAST(n AS DO
       FROM a)"""
 
 ORACLE["cluster_profile"] = with_(FX_COMMENTS, FX_SCORED, FX_CLUSTERED) + """
-SELECT clusters, count(*) AS n_comments, round(avg(polarity), 6) AS avg_polarity,
-       round(avg(subjectivity), 6) AS avg_subjectivity
+SELECT clusters, count(*) AS n_comments, """ + exact_mean2("polarity") + """ AS avg_polarity,
+       """ + exact_mean2("subjectivity") + """ AS avg_subjectivity
 FROM fx_clustered GROUP BY clusters"""
 
 # --------------------------------------------------------------------------
