@@ -36,3 +36,14 @@ def test_no_python_udf_in_scoring_plan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "Exchange" not in plan  # scoring is a narrow projection
+
+
+def test_regex_runs_once_under_score_filters(spark):
+    from murmur.plans import catalog
+
+    for key in ("filter_cluster", "filter_sentiment", "top_words"):
+        df = catalog.QUERIES[key](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # scoring tokenises once; top_words tokenises the selected rows once more
+        limit = 2 if key == "top_words" else 1
+        assert plan.count("regexp_extract_all") <= limit, key
