@@ -2,8 +2,9 @@
 
 Library code never creates a session; it takes the caller's. Intermediate
 files (CSV round trips, model saves, lineage cuts) go under the folder the
-cluster names in ``spark.checkpoint.dir``. Only when that is unset (local
-tests, the driver's smoke run) do we pick a folder of our own.
+cluster names in ``spark.checkpoint.dir``. Only a local master without that
+setting (tests, a smoke run) gets a folder of its own; they are deleted when
+the application ends.
 """
 
 from __future__ import annotations
@@ -45,28 +46,39 @@ def spark_context(spark: SparkSession):
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate data.
+    """The shared folder for intermediate data, as the session names it.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared folder). If the
-    session has none, as in local tests, create one under the system temp
-    folder and register it, so ``DataFrame.checkpoint()`` works too.
+    ``spark.checkpoint.dir`` (or the context's checkpoint folder) wins. Only
+    a local master without either gets a folder of its own; on a cluster a
+    machine-local folder would lose data, so there the setting is required.
     """
     sc = spark_context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and sc is not None:
         root = sc.getCheckpointDir()
-    if not root:
+    if not root and sc is not None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         root = tempfile.mkdtemp(prefix="murmur-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the checkpoint root."""
+    """A fresh, unique path in this application's folder under the checkpoint
+    root; the file system deletes that folder when the application ends."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/murmur-{name}-{uuid.uuid4().hex[:12]}"
+    sc = spark_context(spark)
+    if sc is None:
+        return f"{root}/murmur-{name}-{uuid.uuid4().hex[:12]}"
+    own = f"{root}/murmur-{sc.applicationId}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(own)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
