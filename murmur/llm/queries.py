@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from murmur.llm.common import table
+from murmur.llm.minhash import near_duplicates
+from murmur.llm.pieces import piece_digest
 from murmur.llm.token_counts import count_tokens
 from murmur.llm.token_files import token_digest
 
@@ -21,11 +23,21 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                         vocabulary_size=50_257)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 80 % of their two-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every text and the text they decode to, as digests."""
+    return piece_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), end_id=2)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text and whether they exceed 1024."""
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op7_near_duplicates, op9_pieces, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}

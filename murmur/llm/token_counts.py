@@ -39,8 +39,9 @@ def frequent_pretokens(docs: DataFrame, text: str = "text", size: int = TABLE_SI
                       F.explode(F.regexp_extract_all(F.col(text), F.lit(CANDIDATES), F.lit(0))).alias("pre"))
     sketches = pre.groupBy("task").agg(F.expr(f"approx_top_k_accumulate(pre, {tracked})").alias("s"))
     some = sketches.groupBy((F.col("task") % groups).alias("g")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
-    row = (some.groupBy().agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.count("*").alias("n"))
-           .filter("n > 0").select(F.expr(f"approx_top_k_estimate(s, {size})").alias("top")).first())
+    # A grouping key, though constant, keeps empty partitions from making empty sketches.
+    row = (some.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
+           .select(F.expr(f"approx_top_k_estimate(s, {size})").alias("top")).first())
     return [x["item"] for x in row["top"]] if row else []
 
 
