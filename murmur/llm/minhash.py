@@ -12,9 +12,12 @@ copies cost one row each. Class representatives are compared as follows.
 1. Star: every member of a table's bucket is paired with the bucket's least
    id, in one aggregation and one join. Confirmed pairs are contracted.
 2. Strays: a bucket whose members now belong to several components holds
-   unchecked pairs. Members outside the bucket's largest component are
-   paired with all members of other components; every pair of a bucket that
-   could still join two components has such a member.
+   unchecked pairs. Its members join the family of the bucket's largest
+   component. Families are compared in blocks: a family is cut into chunks
+   of at most ``BLOCK`` sets, each pair of chunks is one task group, and
+   small families share groups. Inside a group numpy compares those pairs
+   that meet in a table and lie in different components, and only confirmed
+   links leave it, one per set and component.
 
 Step 1 makes a large group of near copies one component at a linear cost;
 step 2 leaves no pair of a bucket that could change a component unchecked.
@@ -36,6 +39,8 @@ from murmur.llm.flat import byte_texts, hash_spans, mix64, spans, symbol_values,
 
 #: Hashes in each collection, and minhashes in each hash.
 COLLECTION, PER_HASH = 8, 2
+#: Sets in one chunk of a family; a task group holds two chunks.
+BLOCK = 256
 
 
 def _word_symbols() -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +177,55 @@ def set_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int
     return rows.mapInArrow(per_slice(collect, schema), "rep long, members binary")
 
 
+def stray_links(family: DataFrame, hashes: DataFrame, sets: DataFrame, m: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Confirmed (a, b) between members of one family in different components."""
+    count = family.groupBy("family").agg(F.count("*").alias("size"))
+    small = count.filter(F.col("size") <= block).agg(F.sum("size")).first()[0] or 0
+    bins = max(1, -(-small // block))
+    rows = (family.join(count, "family").join(hashes, "rep").join(sets, "rep")
+            .withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
+            .withColumn("chunk", F.expr("cast(pmod(xxhash64(rep), chunks) as int)"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .withColumn("slot", F.when(F.col("chunks") > 1, F.col("family")).otherwise(F.expr(f"pmod(xxhash64(family), {bins}) - {bins}"))))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        def column(name):
+            return np.asarray(group.column(name).combine_chunks().to_numpy(zero_copy_only=False))
+
+        rep, label, fam, chunk, other = (column(x) for x in ("rep", "label", "family", "chunk", "other"))
+        flat = group.column("hashes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), 2 * m)
+        members = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
+        n = np.array([len(x) for x in members])
+        left = np.flatnonzero(chunk <= other)
+        out_a, out_b = [], []
+        for x in left:
+            # A chunk meets another in one direction, and itself once.
+            y = np.flatnonzero((fam == fam[x]) & (label != label[x]) & ((chunk > chunk[x]) | ((chunk == other) & (rep > rep[x]))))
+            if not len(y):
+                continue
+            lo, hi = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
+            y = y[100 * lo >= percent * hi]
+            same = flat[y] == flat[x]
+            y = y[same[:, :m].any(1) & same[:, m:].any(1)]
+            linked: set[int] = set()
+            for j in y.tolist():
+                if label[j] in linked:
+                    continue
+                big, few = (members[x], members[j]) if n[x] >= n[j] else (members[j], members[x])
+                at = np.minimum(np.searchsorted(big, few), len(big) - 1)
+                shared = int((big[at] == few).sum())
+                if 100 * shared >= percent * (int(n[x]) + int(n[j]) - shared):
+                    linked.add(int(label[j]))
+                    out_a.append(int(rep[x]))
+                    out_b.append(int(rep[j]))
+        return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=schema)
+
+    own = rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    return (own.select("slot", "i", "j", "family", "rep", "label", "chunk", "other", "hashes", "members")
+            .groupBy("slot", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
                     m: int = COLLECTION, t: int = PER_HASH) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links) and kept, one row per row of ``docs``.
@@ -202,17 +256,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = stored(set_table(docs, member.select("rep").distinct(), doc_id, text, words), "sets")
     links = stored(confirmed(plausible(star), sets, percent), "links")
     labels = contract(links, classes.select(F.col("rep").alias("node")))
-    placed = member.join(labels.withColumnRenamed("node", "rep"), "rep").select("key", "rep", "n_shingles", "label")
+    placed = member.join(labels.withColumnRenamed("node", "rep"), "rep").select("key", "rep", "label")
     sizes = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = (sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
-            .filter("labels > 1").select("key", "main"))
-    mixed = stored(placed.join(main, "key"), "mixed")
-    stray = mixed.filter("label <> main").select("key", F.col("rep").alias("x"), F.col("label").alias("label_x"), F.col("n_shingles").alias("n_x"))
-    other = mixed.select("key", F.col("rep").alias("y"), F.col("label").alias("label_y"), F.col("n_shingles").alias("n_y"))
-    lo, hi = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
-    met = (stray.join(other, "key").filter((F.col("label_x") != F.col("label_y")) & (100 * lo >= percent * hi))
-           .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    more = stored(confirmed(met, sets, percent), "links")
+    main = (sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("family"), F.count("*").alias("labels"))
+            .filter("labels > 1").select("key", "family"))
+    family = stored(placed.join(main, "key").select("family", "rep", "label").distinct(), "families")
+    more = stored(stray_links(family, classes.select("rep", "hashes"), sets, m, percent), "links")
     final = contract(links.unionByName(more), classes.select(F.col("rep").alias("node")))
     by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep").select("one", "two", "n_shingles", F.col("label").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmur.llm.byte_bpe import Generations
 from murmur.llm.common import per_slice, texts_of, worker_state
@@ -79,6 +80,12 @@ class MergeTable:
         for side in (left, right):
             self.alone[side[(own[side] >= 0) & (self.ranks <= own[side])]] = True
 
+    @classmethod
+    def of(cls, arrays: dict) -> MergeTable:
+        table = cls.__new__(cls)
+        vars(table).update(arrays)
+        return table
+
     def symbols_of(self, cps: np.ndarray) -> np.ndarray:
         """Symbols of code points; ``width - 1`` for one that no piece has."""
         at = np.minimum(np.searchsorted(self.chars, cps), len(self.chars) - 1)
@@ -218,12 +225,12 @@ def encode_decode(docs: DataFrame, model_path: str, end_id: int | None = 2, text
         raise ValueError(f"docs already has a column {ids} or {decoded}")
     with open(model_path, "rb") as f:
         model = f.read()
-    shared = spark.sparkContext.broadcast((MergeTable(model), model))
-    ddl = docs.schema.add(ids, "array<int>").add(decoded, "string")
+    shared = spark.sparkContext.broadcast((vars(MergeTable(model)), model))
+    ddl = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(batch):
-        table, model = shared.value
-        enc = worker_state(f"pieces-{hash(model)}", lambda: PieceEncoder(table, model))
+        arrays, model = shared.value
+        enc = worker_state(f"pieces-{hash(model)}", lambda: PieceEncoder(MergeTable.of(arrays), model))
         flat, offsets = enc.encode(texts_of(batch.column(text)))
         if end_id is not None:
             flat = np.insert(flat, offsets[1:], end_id)
