@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,12 +59,12 @@ def worker_state(key: str, make: Callable):
     return store[key]
 
 
-def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """(from, to) row ranges of a string column holding about ``limit`` bytes each."""
-    sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.float64))
+def byte_slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """(from, to) row ranges of a string column: about ``limit`` bytes and at most ``rows`` rows each."""
+    sizes = np.nan_to_num(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.float64))
     start, held = 0, 0.0
     for i, size in enumerate(sizes):
-        if i > start and held + size > limit:
+        if i > start and (held + size > limit or i - start >= rows):
             yield start, i
             start, held = i, 0.0
         held += size
@@ -72,13 +73,13 @@ def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 
 
 def per_slice(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema, text: str = "text",
-              limit: int = SLICE_BYTES) -> Callable:
+              limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Callable:
     """A ``mapInArrow`` function that applies ``fn`` to byte-bounded slices of
     each batch; ``fn`` returns the output columns of the slice's rows."""
 
     def run(batches):
         for batch in batches:
-            for a, b in byte_slices(batch.column(text), limit):
+            for a, b in byte_slices(batch.column(text), limit, rows):
                 cols = fn(batch.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from murmur.llm.common import table
+from murmur.llm.compression import quality_rules
+from murmur.llm.histogram_sort import shard_digest
+from murmur.llm.importance import importance_sample
+from murmur.llm.language import identify
 from murmur.llm.minhash import near_duplicates
 from murmur.llm.pieces import piece_digest
 from murmur.llm.token_counts import count_tokens
@@ -17,17 +21,37 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents a Gumbel top-k sample by importance weight keeps."""
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text in bit-packed files; per document what the files hold."""
     return token_digest(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2,
                         vocabulary_size=50_257)
 
 
+def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, compression ratios and verdict of every text."""
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every text, learned outside the held-out fold."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 80 % of their two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    return shard_digest(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text and the text they decode to, as digests."""
     return piece_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), end_id=2)
@@ -38,6 +62,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op7_near_duplicates, op9_pieces, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_importance_sample, op2_token_files, op5_compression_bands, op6_language, op7_near_duplicates,
+    op8_histogram_shards, op9_pieces, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
