@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from murmur.llm import line_chunks, winnowing
 from murmur.llm.common import table
 from murmur.llm.compression import quality_rules
 from murmur.llm.histogram_sort import shard_digest
@@ -32,6 +33,17 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                         vocabulary_size=50_257)
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and benchmark items that every text shares ten-word windows with."""
+    return winnowing.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the chunks of lines that an earlier one has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_chunks.drop_repeated_chunks(docs)
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, compression ratios and verdict of every text."""
     return quality_rules(table(spark, sf_dir, "documents"))
@@ -63,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_importance_sample, op2_token_files, op5_compression_bands, op6_language, op7_near_duplicates,
+    op1_importance_sample, op2_token_files, op3_winnowing, op4_line_chunks, op5_compression_bands, op6_language, op7_near_duplicates,
     op8_histogram_shards, op9_pieces, op10_token_counts)}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_winnowing": winnowing.SQL, "op4_line_chunks": line_chunks.SQL}
