@@ -47,6 +47,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that an operator is about to add: its own replace them."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
 def worker_state(key: str, make: Callable):
     """A value kept for the life of a Python worker, across its tasks.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import fresh, stored, utf8_size
+from murmur.llm.common import fresh, stored, utf8_size, without
 
 #: Candidate keys per wanted cut and pass, and bytes a part should hold.
 PROBES, PART_BYTES = 32, 32 << 20
@@ -82,11 +82,10 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
     differ from the mean by at most ``tolerance`` of it on either side, or by
     one row where a row is larger than that. Null ids and texts hash as such;
     repeated rows are placed each, side by side. An empty table gives an
-    empty result. Raises ValueError if size, shard or slot is already a column.
+    empty result. Columns named size, shard or slot are replaced.
     """
-    if {"size", "shard", "slot"} & {c.lower() for c in docs.columns}:
-        raise ValueError("docs already has a column size, shard or slot")
-    key, part = fresh(docs, "sort_key", "part")
+    docs = without(docs, "size", "shard", "slot")
+    key, part, first_slot = fresh(docs, "sort_key", "part", "first_slot")
     text_hash = F.shiftrightunsigned(F.xxhash64(F.col(text)), 25)  # 39 bits
     id_hash = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(doc_id)), 40)  # 24 bits
     keyed = docs.withColumn(key, F.shiftleft(text_hash, 24).bitwiseOR(id_hash)).withColumn("size", utf8_size(F.col(text)) + 8)
@@ -110,11 +109,11 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
     # One row per part: the corpus divided by part_bytes.
     before = F.sum("rows").over(Window.partitionBy(F.floor(F.col("part") / each)).orderBy("part")
                                 .rowsBetween(Window.unboundedPreceding, -1))
-    first = counts.select(F.col("part").alias(part), F.coalesce(before, F.lit(0)).alias("first_slot"))
+    first = counts.select(F.col("part").alias(part), F.coalesce(before, F.lit(0)).alias(first_slot))
     rank = F.row_number().over(Window.partitionBy(part).orderBy(key, doc_id))
     return (placed.withColumn("slot", rank).join(first, part)
-            .withColumn("slot", F.col("slot") - 1 + F.col("first_slot"))
-            .withColumn("shard", F.floor(F.col(part) / each).cast("int")).drop(part, key, "first_slot"))
+            .withColumn("slot", F.col("slot") - 1 + F.col(first_slot))
+            .withColumn("shard", F.floor(F.col(part) / each).cast("int")).drop(part, key, first_slot))
 
 
 def shard_digest(docs: DataFrame, shards: int) -> DataFrame:

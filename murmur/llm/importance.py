@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import byte_slices, per_slice, stored
+from murmur.llm.common import byte_slices, fresh, per_slice, stored
 from murmur.llm.flat import byte_texts, counts_to_offsets, hash_spans, spans, symbol_values, text_of, windows
 from murmur.llm.histogram_sort import splitters
 
@@ -153,7 +153,7 @@ def flagged(docs: DataFrame, labels: DataFrame, doc_id: str, limit: int = LABELL
 def importance_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       smoothing: float = SMOOTHING, passage: int = PASSAGE, temperature: float = TEMPERATURE,
                       loss: float = LOSS, seed: int = 0) -> DataFrame:
-    """doc_id, log_weight, sampled_key and kept of every row of ``docs``.
+    """doc_id, text_hash, log_weight, sampled_key and kept of every row of ``docs``.
 
     Without any good label there is no target, so all rows are kept. A null
     or empty text has no token and log weight 0, that of a text neither
@@ -179,4 +179,12 @@ def importance_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id"
         bar, _ = splitters(table.filter("good"), "weight_key", "one", [int(loss * good)], [0])[0]
         k = table.filter(F.col("weight_key") >= bar).count()
         cut, _ = splitters(table, "sampled_key", "one", [total - k], [0])[0]
-    return table.select("doc_id", F.col("weight").alias("log_weight"), "sampled_key", (F.col("sampled_key") >= cut).alias("kept"))
+    return table.select("doc_id", "text_hash", F.col("weight").alias("log_weight"), "sampled_key", (F.col("sampled_key") >= cut).alias("kept"))
+
+
+def keep_sampled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``importance_sample`` keeps, with all their columns."""
+    sid, sth = fresh(docs, "sampled_id", "sampled_hash")
+    kept = (importance_sample(docs, labels, doc_id, text, **options).filter("kept")
+            .select(F.col("doc_id").alias(sid), F.col("text_hash").alias(sth)).distinct())
+    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col(sid)) & (F.xxhash64(F.col(text)) == F.col(sth)), "left_semi")

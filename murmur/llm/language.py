@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from murmur.llm.common import byte_slices, per_slice, texts_of, worker_state
+from murmur.llm.common import byte_slices, per_slice, texts_of, without, worker_state
 from murmur.llm.flat import code_points, mix64, text_of
 
 #: Components of a vector, letters of an n-gram, and the weight of one text.
@@ -122,7 +123,11 @@ def profiles(docs: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """Every row with lang_pred and score, the cosine with the nearest profile (at least 0)."""
+    """Every row with lang_pred and score, the cosine with the nearest profile (at least 0).
+
+    Columns of ``docs`` with these names are replaced.
+    """
+    docs = without(docs, "lang_pred", "score")
     names = sorted(learned)
     shared = docs.sparkSession.sparkContext.broadcast(
         np.array([learned[x] / (np.linalg.norm(learned[x]) or 1.0) for x in names]).reshape(len(names), SIZE))
@@ -151,7 +156,8 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text")
             schema = pa.schema([*batch.schema, ("lang_pred", pa.string()), ("score", pa.float64())])
             yield from per_slice(score, schema, text, *SLICE)(iter([batch]))
 
-    return docs.mapInArrow(batches, docs.schema.simpleString()[7:-1].replace(":", " ") + ", lang_pred string, score double")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, *added]))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import fresh, stored
+from murmur.llm.common import fresh, stored, without
 
 WINDOW, LEAST_LINES = 2, 2
 
@@ -60,12 +60,11 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     A text without a removed chunk stays as it is; one whose chunks all go
     becomes empty; a null text stays null. Chunks of white space alone stay.
     Rows that repeat an id and a text count as that one document. Null ids
-    come first in the order. An empty table gives an empty result. Raises
-    ValueError if removed_chunks or removed_lines is already a column.
+    come first in the order. An empty table gives an empty result. Columns
+    named removed_chunks or removed_lines are replaced.
     """
-    if {"removed_chunks", "removed_lines"} & {c.lower() for c in docs.columns}:
-        raise ValueError("docs already has a column removed_chunks or removed_lines")
-    th, gone = fresh(docs, "text_hash", "gone")
+    docs = without(docs, "removed_chunks", "removed_lines")
+    th, gone, wid, wth = fresh(docs, "text_hash", "gone", "wanted_id", "wanted_hash")
     rows = docs.withColumn(th, F.xxhash64(F.col(text)))
     own = rows.select(F.col(doc_id).alias("id"), F.col(th).alias("th"), F.col(text).alias("text"))
 
@@ -88,11 +87,11 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     bodies = places(held, "nos").select("id", "th", "no", "n_lines", "body").distinct()
     firsts = bodies.groupBy("body").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first <> last").select("body", "first")
     removed = bodies.join(firsts, "body").filter(order != F.col("first"))
-    per_text = removed.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(
+    per_text = removed.groupBy(F.col("id").alias(wid), F.col("th").alias(wth)).agg(
         F.collect_set("no").alias(gone), F.count("*").alias("removed_chunks"), F.sum("n_lines").alias("removed_lines"))
     kept = F.filter(chunked(F.col(text)), lambda c: ~F.array_contains(F.col(gone), c["no"]))
     rebuilt = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
-    joined = rows.join(per_text, F.col(doc_id).eqNullSafe(F.col("wid")) & (F.col(th) == F.col("wth")), "left")
+    joined = rows.join(per_text, F.col(doc_id).eqNullSafe(F.col(wid)) & (F.col(th) == F.col(wth)), "left")
     return joined.select(*[rebuilt.alias(c) if c == text else F.col(c) for c in docs.columns],
                          *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("removed_chunks", "removed_lines")])
 

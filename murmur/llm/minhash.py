@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import per_slice, stored
+from murmur.llm.common import fresh, per_slice, stored
 from murmur.llm.components import contract
 from murmur.llm.flat import byte_texts, hash_spans, mix64, spans, symbol_values, text_of, windows
 
@@ -268,3 +268,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return (signed.drop("hashes").join(by_class, ["one", "two", "n_shingles"], "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that with the least id.
+
+    Rows with a null id all stay; rows that repeat a kept id stay together.
+    """
+    (gone_id,) = fresh(docs, "gone_id")
+    gone = near_duplicates(docs, doc_id, text, words, percent).filter("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col(gone_id), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.llm.byte_bpe import Generations
-from murmur.llm.common import per_slice, texts_of, worker_state
+from murmur.llm.common import per_slice, texts_of, without, worker_state
 from murmur.llm.flat import hash_spans, mix64, text_of
 
 BLANK = 0x2581
@@ -218,11 +218,10 @@ def encode_decode(docs: DataFrame, model_path: str, end_id: int | None = 2, text
 
     Other columns are kept. A null text counts as empty: its only id is
     ``end_id``. An empty table gives an empty result; repeated rows stay.
-    Raises ValueError if ``docs`` already has a column named as an output.
+    Columns of ``docs`` that are named as an output are replaced.
     """
     spark = docs.sparkSession
-    if {ids.lower(), decoded.lower()} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has a column {ids} or {decoded}")
+    docs = without(docs, ids.lower(), decoded.lower())
     with open(model_path, "rb") as f:
         model = f.read()
     shared = spark.sparkContext.broadcast((vars(MergeTable(model)), model))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import stored
+from murmur.llm.common import fresh, stored
 
 SPAN, K = 10, 5
 WINDOW = SPAN - K + 1
@@ -135,9 +135,10 @@ def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a window of an item."""
-    spans = contamination(docs, items, doc_id, text).select("id", "text_hash").distinct()
-    return docs.join(spans, F.col(doc_id).eqNullSafe(F.col("id")) & (F.xxhash64(F.col(text)) == F.col("text_hash")), "left_anti")
+    """``docs`` without the rows that hold a window of an item; a null text holds none."""
+    sid, sth = fresh(docs, "span_id", "span_hash")
+    spans = contamination(docs, items, doc_id, text).select(F.col("id").alias(sid), F.col("text_hash").alias(sth)).distinct()
+    return docs.join(spans, F.col(doc_id).eqNullSafe(F.col(sid)) & (F.xxhash64(F.col(text)) == F.col(sth)), "left_anti")
 
 
 #: The same report in DuckDB, by comparing all windows as text.
