@@ -32,8 +32,5 @@ def ngrams(tokens, n: int) -> Column:
     toks = _c(tokens)
     if n == 1:
         return toks
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(toks) - n),
-        lambda i: F.array_join(F.slice(toks, i + 1, n), " "),
-    )
-    return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.slice(toks, 1, F.greatest(F.size(toks) - (n - 1), F.lit(0))),
+                       lambda t, i: F.concat_ws(" ", t, *[F.get(toks, i + j) for j in range(1, n)]))

@@ -15,13 +15,13 @@ which makes them repeatable across seeds and runs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.operators.common import collect_bounded
 from murmur.schemas import CLUSTERS, POLARITY, SUBJECTIVITY
+from murmur.session import cut_lineage
 
 DEFAULT_COLS = (POLARITY, SUBJECTIVITY)
 
@@ -51,156 +51,69 @@ def weighted_points(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS) -> DataFr
     return df.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def prepared_points(pts: DataFrame, rows_per_partition: int = 200_000) -> DataFrame:
-    """Cache the grouped points in right-sized partitions.
+def prepared_points(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, rows_per_partition: int = 200_000) -> DataFrame:
+    """The weighted distinct points, grouped once and written to the shared
+    checkpoint folder in coordinate order.
 
-    The grouped table is small (for 2-decimal scores at most 201 x 101
-    rows), and k-means runs one job per iteration over it, so a few
-    partitions keep per-iteration task overhead low. The partition count
-    follows the measured size, so larger point sets still spread out."""
+    Every start and every k reads this small table (for 2-decimal scores at
+    most 201 x 101 rows). Its order and its partitions depend on the points
+    alone, so seeded starts do not depend on how ``df`` was partitioned."""
+    pts = weighted_points(df, cols)
     n = pts.count()
-    parts = max(1, -(-n // rows_per_partition))
-    return pts.repartition(parts).persist()
+    return cut_lineage(pts.orderBy(*cols).coalesce(max(1, -(-n // rows_per_partition))))
 
 
-def _fit_once(points: DataFrame, cols, k: int, seed: int, max_iter: int, tol: float = 1e-4):
+def _fit_once(points: DataFrame, cols, k: int, seed: int, max_iter: int, tol: float):
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
 
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(points)
-    km = KMeans(k=k, maxIter=max_iter, initMode="k-means||", weightCol="n",
-                featuresCol="_features", seed=seed, tol=tol)
-    model = km.fit(vec)
-    return [tuple(float(v) for v in c) for c in model.clusterCenters()], float(model.summary.trainingCost)
-
-
-# Largest grouped point set fitted by the parallel grid below; beyond it
-# Spark ML KMeans fits over the distributed points.
-MAX_GRID_POINTS = 200_000
-
-
-def _lloyd(x: np.ndarray, w: np.ndarray, k: int, seed: int, max_iter: int, tol: float):
-    """Weighted k-means++ seeding and Lloyd iterations (one start)."""
-    rng = np.random.default_rng(seed)
-    n = x.shape[0]
-    p = w / w.sum()
-    centres = np.empty((k, x.shape[1]))
-    centres[0] = x[rng.choice(n, p=p)]
-    d2 = ((x - centres[0]) ** 2).sum(axis=1)
-    trials = 2 + int(np.log(k))
-    for j in range(1, k):
-        pot = w * d2
-        total = pot.sum()
-        if total <= 0:
-            cand = rng.choice(n, size=trials, p=p)
-        else:
-            cand = rng.choice(n, size=trials, p=pot / total)
-        best, best_d2, best_pot = None, None, None
-        for c in cand:
-            nd2 = np.minimum(d2, ((x - x[c]) ** 2).sum(axis=1))
-            cp = (w * nd2).sum()
-            if best_pot is None or cp < best_pot:
-                best, best_d2, best_pot = c, nd2, cp
-        centres[j] = x[best]
-        d2 = best_d2
-    for _ in range(max_iter):
-        dist = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-        lab = dist.argmin(axis=1)
-        new = centres.copy()
-        for j in range(k):
-            m = lab == j
-            if m.any():
-                new[j] = (x[m] * w[m, None]).sum(axis=0) / w[m].sum()
-        shift = ((new - centres) ** 2).sum()
-        centres = new
-        if shift <= tol:
-            break
-    dist = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-    cost = float((w * dist.min(axis=1)).sum())
-    return centres, cost
-
-
-def _grid_fit(spark, rows, cols, grid, max_iter: int, tol: float):
-    """Fit every (k, seed) of ``grid`` in parallel tasks over broadcast points.
-
-    ``rows`` are the grouped points, already checked to be at most
-    MAX_GRID_POINTS. Returns {k: (centres, cost)} keeping the lowest cost."""
-    import pandas as pd
-
-    # a fixed point order makes seeded starts independent of partitioning
-    rows = sorted(rows, key=lambda r: tuple(float(r[c]) for c in cols))
-    x = np.array([[float(r[c]) for c in cols] for r in rows])
-    w = np.array([float(r["n"]) for r in rows])
-    bx = spark.sparkContext.broadcast((x, w))
-
-    def fit(batches):
-        px, pw = bx.value
-        for pdf in batches:
-            out = []
-            for k, seed in zip(pdf["k"], pdf["seed"]):
-                centres, cost = _lloyd(px, pw, int(k), int(seed), max_iter, tol)
-                out.append((int(k), int(seed), cost, centres.tolist()))
-            yield pd.DataFrame(out, columns=["k", "seed", "cost", "centres"])
-
-    tasks = spark.createDataFrame([(int(k), int(s)) for k, s in grid], "k int, seed long")
-    res = (tasks.repartition(min(len(grid), 200))
-           .mapInPandas(fit, "k int, seed long, cost double, centres array<array<double>>")
-           .collect())
-    bx.unpersist()
-    best = {}
-    for r in sorted(res, key=lambda r: (r["k"], r["cost"], r["seed"])):
-        best.setdefault(r["k"], ([tuple(c) for c in r["centres"]], float(r["cost"])))
-    return best
-
-
-def _check_distinct(rows_or_pts, k):
-    n = len(rows_or_pts) if isinstance(rows_or_pts, list) else rows_or_pts.limit(k).count()
-    if n < k:
-        raise ValueError(f"k={k} needs at least {k} distinct points, found {n}")
+    km = KMeans(k=k, maxIter=max_iter, initMode="k-means||", weightCol="n", featuresCol="_features", seed=seed, tol=tol)
+    model = km.fit(points)
+    return float(model.summary.trainingCost), sorted(tuple(float(v) for v in c) for c in model.clusterCenters())
 
 
 def fit_kmeans(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, k: int = 3, starts: int = 10,
-               max_iter: int = 300, seed: int = 0, tol: float = 1e-12):
-    """Best of ``starts`` seeded k-means runs on the weighted distinct points.
+               max_iter: int = 300, seed: int = 0, tol: float = 0.0):
+    """Best of ``starts`` seeded Spark ML k-means runs on the weighted distinct points.
 
     Returns (centres sorted by coordinates, within-cluster sum of squares).
-    Raises ValueError when there are fewer distinct points than k.
+    With no more distinct points than k, each point is a centre and the cost 0.
     """
     return fit_kmeans_many(df, cols, [k], starts, max_iter, seed, tol)[k]
 
 
 def fit_kmeans_many(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, ks=(3,), starts: int = 10,
-                    max_iter: int = 300, seed: int = 0, tol: float = 1e-12) -> dict:
+                    max_iter: int = 300, seed: int = 0, tol: float = 0.0, parallelism: int = 8,
+                    points: DataFrame | None = None) -> dict:
     """{k: (sorted centres, cost)} for several k from one grouping pass.
 
-    Up to MAX_GRID_POINTS grouped points (a checked bound) all (k, seed)
-    starts run as one parallel Spark job; above it each start is a Spark ML
-    KMeans fit over the distributed points."""
-    from murmur.session import spark_context
+    The (k, start) runs are submitted from ``parallelism`` driver threads, so
+    their small jobs share the cluster. ``tol`` 0 iterates until the centres
+    stand still (or ``max_iter``). k = 1 is the weighted mean."""
+    from pyspark.ml.feature import VectorAssembler
 
-    pts = weighted_points(df, cols)
-    grid_ok = spark_context(df.sparkSession) is not None
-    rows = collect_bounded(pts, MAX_GRID_POINTS, "k-means points") if grid_ok else None
-    if rows is not None:
-        for k in ks:
-            _check_distinct(rows, k)
-        grid = [(k, seed + s) for k in ks for s in range(starts)]
-        best = _grid_fit(df.sparkSession, rows, cols, grid, max_iter, tol)
-        return {k: (sorted(best[k][0]), best[k][1]) for k in ks}
-    prepared = prepared_points(pts)
+    pts = prepared_points(df, cols) if points is None else points
+    distinct = pts.limit(max([*ks, 1]) + 1).collect()
+    out = {k: (sorted(tuple(float(r[c]) for c in cols) for r in distinct), 0.0) for k in ks if k >= len(distinct)}
+    if 1 in ks and 1 not in out:
+        out[1] = _one_cluster(pts, cols)
+    vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(pts).persist()
+    grid = [(k, seed + i) for k in ks if k not in out for i in range(starts)]
     try:
-        out = {}
-        for k in ks:
-            _check_distinct(prepared, k)
-            best = None
-            for s in range(starts):
-                centres, cost = _fit_once(prepared, cols, k, seed + s, max_iter)
-                if best is None or cost < best[1]:
-                    best = (centres, cost)
-            out[k] = (sorted(best[0]), best[1])
-        return out
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            fits = list(pool.map(lambda g: (g, _fit_once(vec, cols, g[0], g[1], max_iter, tol)), grid))
     finally:
-        prepared.unpersist()
+        vec.unpersist()
+    for (k, _), (cost, centres) in sorted(fits, key=lambda x: (x[0][0], x[1][0], x[1][1], x[0][1])):
+        out.setdefault(k, (centres, cost))
+    return out
+
+
+def _one_cluster(points: DataFrame, cols):
+    """Mean and sum of squares of weighted points, centred before squaring."""
+    total = points.agg(F.sum("n").alias("w"), *[F.sum(F.col("n") * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    mean = tuple(total[f"s{i}"] / total["w"] for i in range(len(cols)))
+    cost = points.agg(F.sum(F.col("n") * _sq_dist(cols, mean))).first()[0]
+    return [mean], float(cost)
 
 
 def wcss_k1(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, decimals: int | None = 2) -> DataFrame:
@@ -237,24 +150,9 @@ def wcss_k1(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, decimals: int | N
 
 def elbow(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, ks=range(1, 11), starts: int = 10,
           seed: int = 0, max_iter: int = 300) -> DataFrame:
-    """(k, wcss) for each k. k = 1 in closed form over the grouped points
-    (Spark ML rejects k = 1); the other k from one fitting pass."""
-    spark = df.sparkSession
-    ks = list(ks)
-    fits = fit_kmeans_many(df, cols, [k for k in ks if k > 1], starts, max_iter, seed) if any(k > 1 for k in ks) else {}
-    rows = []
-    for k in ks:
-        if k == 1:
-            agg = weighted_points(df, cols).agg(
-                *[F.sum(F.col("n") * F.col(c)).alias(f"s_{c}") for c in cols],
-                *[F.sum(F.col("n") * F.col(c) * F.col(c)).alias(f"q_{c}") for c in cols],
-                F.sum("n").alias("w")).first()
-            w = agg["w"] or 0.0
-            val = sum((agg[f"q_{c}"] or 0.0) - ((agg[f"s_{c}"] or 0.0) ** 2) / w for c in cols) if w else 0.0
-            rows.append((1, float(val)))
-        else:
-            rows.append((int(k), float(fits[k][1])))
-    return spark.createDataFrame(rows, "k int, wcss double")
+    """(k, wcss) for each k, from one grouping pass."""
+    fits = fit_kmeans_many(df, cols, list(ks), starts, max_iter, seed)
+    return df.sparkSession.createDataFrame([(int(k), float(fits[k][1])) for k in ks], "k int, wcss double")
 
 
 def cluster_profile(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, col: str = CLUSTERS,

@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Share of rows whose prediction equals the label."""
-    hit = (F.col(label) == F.col(prediction)).cast("double")
+    """Share of rows whose prediction equals the label; a missing one is wrong."""
+    hit = F.coalesce(F.col(label) == F.col(prediction), F.lit(False)).cast("double")
     return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))
 
 
 def confusion_matrix(df: DataFrame, labels: Sequence[str], label: str = "label",
                      prediction: str = "prediction") -> DataFrame:
-    """Rows = true label, one column per predicted label (sorted), counts."""
+    """Rows = true label (every one of ``labels``), one column per predicted
+    label (sorted), counts."""
     labels = sorted(labels)
-    return (df.groupBy(label).pivot(prediction, labels).count()
+    counted = df.groupBy(F.col(label).alias("_true")).pivot(prediction, labels).count()
+    all_labels = df.sparkSession.createDataFrame([(x,) for x in labels], f"{label} string")
+    return (all_labels.join(counted, F.col(label) == F.col("_true"), "left").drop("_true")
             .fillna(0, subset=labels))
 
 

@@ -17,11 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from murmur.functions.scalar import views_bucket
-from murmur.operators.rank import rank_within, top_n_within
+from murmur.functions.scalar import nullif_blank, views_bucket
+from murmur.operators.rank import rank_within, sorted_places, top_n_within
 from murmur.schemas import (
     CATEGORY_ID, CLUSTERS, COMMENT_ID, DEFAULT_RANKS, REQUIRED_RANK, SENTIMENT_BUCKET,
     SUBJECTIVITY, VIDEO_ID, VIEWS, VIEWS_BUCKET,
@@ -48,9 +49,20 @@ def rank_measure(df: DataFrame, value: str, video: str = VIDEO_ID, tie: str = CO
     return rank_within(df, [video], value, tie, descending=True, col=col)
 
 
-def sort_mixed(df: DataFrame, asc_col: str = VIDEO_ID, desc_col: str = "value") -> DataFrame:
-    """Global sort: first column ascending, second descending (range-partitioned)."""
-    return df.orderBy(F.col(asc_col).asc(), F.col(desc_col).desc())
+def sort_mixed(df: DataFrame, asc_col: str = VIDEO_ID, desc_col: str = "value", ties=(COMMENT_ID,)) -> DataFrame:
+    """Global sort: first column ascending, second descending, then ``ties``
+    (range-partitioned; the ties let equal pairs be split over tasks)."""
+    return df.orderBy(F.col(asc_col).asc(), F.col(desc_col).desc(), *ties)
+
+
+def sort_positions(df: DataFrame, asc_col: str = VIDEO_ID, desc_col: str = "value", ties=(COMMENT_ID,),
+                   col: str = "position") -> DataFrame:
+    """The order of ``sort_mixed`` as a column, from 1."""
+    s = sorted_places(df, [F.col(asc_col).asc(), F.col(desc_col).desc(), *[F.col(t) for t in ties]])
+    # One row per partition of the sort.
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c")).select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    return s.join(before, "_pid").select((F.col("_off") + F.col("_li") + 1).alias(col), *df.columns)
 
 
 def feature_columns(measure_names: Sequence[str], ranks: Sequence[int] = DEFAULT_RANKS) -> list[str]:
@@ -75,11 +87,12 @@ def rank_pivot(measures: DataFrame, measure_names: Sequence[str] = tuple(m for m
 def drop_short(pivot: DataFrame, required_cols: Sequence[str]) -> DataFrame:
     """Blank -> missing, then drop rows missing any of ``required_cols``
     (keeps the videos that reach the required rank)."""
-    out = pivot
     for c in required_cols:
-        if c not in out.columns:
+        if c not in pivot.columns:
             raise KeyError(c)
-    return out.dropna(subset=list(required_cols))
+    blank = [nullif_blank(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
+             for f in pivot.schema.fields]
+    return pivot.select(*blank).dropna(subset=list(required_cols))
 
 
 def video_features(measures: DataFrame, measure_names=tuple(m for m, _ in MEASURES),

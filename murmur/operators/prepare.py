@@ -80,7 +80,8 @@ def sample_n(df: DataFrame, n: int, key: str = COMMENT_ID, seed=0, exact: bool =
     frac = min(1.0, oversample * n / total + 64.0 / total)
     while True:
         cut = int(frac * (1 << 32))
-        cand = df.filter(head < F.lit(cut)) if frac < 1.0 else df
+        # A missing key sorts first, so it is a candidate at every cut.
+        cand = df.filter((head < F.lit(cut)) | head.isNull()) if frac < 1.0 else df
         if frac >= 1.0 or cand.count() >= n:
             return cand.orderBy(*order).limit(n)
         frac = min(1.0, frac * 2)

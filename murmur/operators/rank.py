@@ -2,14 +2,11 @@
 
 A plain ``row_number().over(Window.partitionBy(key))`` sends a whole group
 to one task. When a single video holds a third of all comments that task
-sorts a third of the data. Here the rows of a group are first split into
-sub-buckets on (order value, tie // width). Because the tie column is a
-unique integer id, a sub-bucket holds at most ``width`` rows. A count per
-sub-bucket (map-side partial aggregation, tiny output) gives each
-sub-bucket its starting offset, and the final ``row_number`` runs over
-bounded sub-buckets. The result equals the plain window's row numbers
-exactly. A non-integer tie column (string ids) is ranked through a
-range-partitioned global sort instead (``_rank_by_range``).
+sorts a third of the data. Here the rows are range-partitioned and sorted on
+(keys, value, tie), so even a hot group is spread over many tasks; a row's
+number is its place in its partition plus the group's rows in earlier
+partitions, which a small count table holds. The result equals the plain
+window's row numbers, for any type of tie column and for NULL keys.
 """
 
 from __future__ import annotations
@@ -18,82 +15,41 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from murmur.operators.common import small_side
+from murmur.session import cut_lineage, spark_context
 
-DEFAULT_BUCKET_WIDTH = 1 << 20
 
+def sorted_places(df: DataFrame, order: Sequence, part: str = "_pid", place: str = "_li") -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, with the partition
+    number and the place within it (from 0) as columns.
 
-def _is_integral(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    A reliable checkpoint fixes both, so a rerun of a lost task cannot
+    change them."""
+    sc = spark_context(df.sparkSession)
+    parts = max(sc.defaultParallelism, df.rdd.getNumPartitions()) if sc is not None else 200
+    s = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+         .withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id()))
+    return cut_lineage(s).withColumn(place, F.col(place) - F.shiftleft(F.col(part).cast("long"), 33))
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], value: str | None, tie: str,
-                descending: bool = True, col: str = "rn",
-                width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                descending: bool = True, col: str = "rn") -> DataFrame:
     """``row_number`` within ``keys`` ordered by ``value`` (desc by default,
-    NULLs last) then ``tie`` ascending. Adds column ``col`` (int, from 1)."""
+    NULLs last) then ``tie`` ascending. Adds column ``col`` (long, from 1)."""
     keys = list(keys)
-    if not _is_integral(df, tie):
-        return _rank_by_range(df, keys, value, tie, descending, col)
-
-    parts = ["_b"]
-    base = df.withColumn("_b", F.expr(f"cast(`{tie}` as long) div {int(width)}"))
-    order_cnt = []
-    if value is not None:
-        # NULL-safe join keys: a null flag plus a coalesced value.
-        dtype = df.schema[value].dataType
-        zero = F.lit("") if isinstance(dtype, T.StringType) else F.lit(0).cast(dtype)
-        base = (base.withColumn("_vn", F.col(value).isNull())
-                .withColumn("_vv", F.coalesce(F.col(value), zero)))
-        parts = ["_vn", "_vv", "_b"]
-        order_cnt = [F.col("_vn").asc(), F.col("_vv").desc() if descending else F.col("_vv").asc()]
-    order_cnt.append(F.col("_b").asc())
-
-    counts = base.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_cnt"))
-    w_off = Window.partitionBy(*keys).orderBy(*order_cnt).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0))).drop("_cnt")
-
-    joined = base.join(offsets, [*keys, *parts], "inner")
-    w_in = Window.partitionBy(*keys, *parts).orderBy(F.col(tie).asc())
-    out = joined.withColumn(col, (F.col("_off") + F.row_number().over(w_in)).cast("int"))
-    return out.drop("_b", "_vn", "_vv", "_off")
-
-
-def _rank_by_range(df: DataFrame, keys: Sequence[str], value: str | None, tie: str,
-                   descending: bool, col: str) -> DataFrame:
-    """Exact row numbers for a non-integer tie column via a global sort.
-
-    ``repartitionByRange`` on (keys, value, tie) spreads even a very hot
-    group over many balanced partitions; positions inside each sorted
-    partition come from ``monotonically_increasing_id`` and are fixed once
-    by a reliable checkpoint; per (partition, group) counts (a table of
-    partitions x groups rows) give each partition's offset in its group."""
-    from murmur.session import cut_lineage
-
     order = [F.col(k).asc() for k in keys]
     if value is not None:
         order.append(F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last())
     order.append(F.col(tie).asc())
-    from murmur.session import spark_context
-
-    sc = spark_context(df.sparkSession)
-    parts = max(sc.defaultParallelism, df.rdd.getNumPartitions()) if sc is not None else 200
-    s = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    s = cut_lineage(s)
-    s = s.withColumn("_li", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    gk = [F.coalesce(F.col(k).cast("string"), F.lit("\u0000null")).alias(f"_g{i}") for i, k in enumerate(keys)]
-    s = s.select("*", *gk)
-    gcols = [f"_g{i}" for i in range(len(keys))]
-    counts = s.groupBy("_pid", *gcols).agg(F.count(F.lit(1)).alias("_c"), F.min("_li").alias("_first"))
-    w = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
-    j = s.join(small_side(offs), ["_pid", *gcols], "inner")
-    rn = (F.col("_off") + (F.col("_li") - F.col("_first")) + 1).cast("int")
-    return j.withColumn(col, rn).drop("_pid", "_mid", "_li", "_first", "_off", *gcols)
+    s = sorted_places(df, order)
+    counts = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_li").alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(F.col("_pid").alias("_opid"), *[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
+                         "_first", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    same = F.col("_pid") == F.col("_opid")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_o{i}"))
+    return s.join(offs, same).select(*df.columns, (F.col("_off") + F.col("_li") - F.col("_first") + 1).alias(col))
 
 
 def top_n_within(df: DataFrame, keys: Sequence[str], value: str, tie: str, n: int,
@@ -112,12 +68,15 @@ def ntile_within(df: DataFrame, keys: Sequence[str], order: str, k: int, col: st
     """SQL ``ntile(k)`` within ``keys`` ordered by the unique column ``order``,
     computed from an exact row number and the group size."""
     ranked = rank_within(df, keys, None, order, descending=False, col="_r")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = ranked.join(small_side(sizes), list(keys), "inner")
+    sizes = df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_n"))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    j = ranked.join(sizes, same)
     size = F.floor(F.col("_n") / k)
     rem = F.col("_n") - size * k
     big = rem * (size + 1)
     r = F.col("_r")
     tile = (F.when(r <= big, F.floor((r - 1) / (size + 1)) + 1)
             .otherwise(rem + F.floor(F.try_divide((r - 1 - big).cast("double"), size.cast("double"))) + 1))
-    return j.withColumn(col, tile.cast("int")).drop("_r", "_n")
+    return j.select(*df.columns, tile.cast("int").alias(col))

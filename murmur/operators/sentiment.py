@@ -10,11 +10,11 @@ the lexicon (every occurrence counts). Lexicon values are used as integer
 thousandths, so the sum is exact and the result is independent of the
 order in which Spark adds values.
 
-Plan: when the lexicon is at most ``MAX_LITERAL_ROWS`` words it becomes a
-constant map and every comment is scored in place with higher-order array
-functions: a single narrow stage, no shuffle, no Python. A larger lexicon
-is joined to the exploded tokens instead (broadcast when its size allows),
-aggregated per comment with map-side partial aggregation and joined back.
+Plan: the lexicon becomes a constant table of small maps picked by the
+word's hash, and every comment is scored in place with array functions: one
+narrow stage for any lexicon size, no shuffle, no Python, and a cost per
+token that does not grow with the lexicon. Each row is scored on its own, so
+repeated comment ids never merge. A word given twice or missing is an error.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from murmur.functions.scalar import sentiment_bucket
 from murmur.functions.text import tokens_lower
-from murmur.operators.common import MAX_LITERAL_ROWS, collect_bounded, small_side
-from murmur.schemas import COMMENT_ID, POLARITY, SENTIMENT_BUCKET, SUBJECTIVITY, TEXT
+from murmur.operators.common import MAX_LEXICON_WORDS, constant_lookup
+from murmur.schemas import POLARITY, SENTIMENT_BUCKET, SUBJECTIVITY, TEXT
 
 
 def _milli(c):
@@ -40,54 +40,27 @@ def mean_milli_to_2dp(total, n):
     return F.when((n > 0) & (r != 0), r).otherwise(F.lit(0.0))
 
 
-def _lexicon_rows(lexicon: DataFrame, max_rows: int):
-    lex = lexicon.select(
-        F.col("word").cast("string").alias("word"),
-        _milli(F.col(POLARITY)).alias("p"),
-        _milli(F.col(SUBJECTIVITY)).alias("s"),
-    )
-    return lex, collect_bounded(lex, max_rows, "lexicon")
-
-
 def score_sentiment(df: DataFrame, lexicon: DataFrame, text: str = TEXT,
-                    key: str = COMMENT_ID, max_map_words: int = MAX_LITERAL_ROWS) -> DataFrame:
-    """Add ``polarity``, ``subjectivity`` and ``sentimentBucket`` columns."""
-    lex, rows = _lexicon_rows(lexicon, max_map_words)
-    if rows is not None:
-        words = [r["word"] for r in rows]
-        if len(set(words)) != len(words):
-            raise ValueError("lexicon words must be unique")
-        if not words:
-            pol = sub = F.lit(0.0)
-        else:
-            pmap = F.map_from_arrays(F.lit(words), F.lit([int(r["p"]) for r in rows]))
-            smap = F.map_from_arrays(F.lit(words), F.lit([int(r["s"]) for r in rows]))
-            toks = tokens_lower(F.col(text))
-            # Matched tokens as their own column (the regex runs once), then
-            # (n, sum p, sum s) through a one-row generator. Filters on the
-            # scores cannot be pushed below a Generate, so Catalyst never
-            # substitutes the regex into a later predicate many times over.
-            df = df.withColumn("_hits", F.filter(toks, lambda t: F.map_contains_key(pmap, t)))
-            hits = F.col("_hits")
-            sums = F.struct(
-                F.size(hits).alias("_n"),
-                F.aggregate(hits, F.lit(0).cast("long"), lambda a, t: a + F.element_at(pmap, t)).alias("_p"),
-                F.aggregate(hits, F.lit(0).cast("long"), lambda a, t: a + F.element_at(smap, t)).alias("_s"))
-            df = df.select("*", F.inline(F.array(sums))).drop("_hits")
-            n = F.col("_n")
-            pol, sub = mean_milli_to_2dp(F.col("_p"), n), mean_milli_to_2dp(F.col("_s"), n)
-        out = df.withColumn(POLARITY, pol).withColumn(SUBJECTIVITY, sub).drop("_n", "_p", "_s")
-    else:
-        # Large lexicon: exploded tokens join the lexicon, partial aggregation
-        # per comment, then a left join back (comments without hits get 0).
-        toks = df.select(F.col(key), F.explode(tokens_lower(F.col(text))).alias("word"))
-        per = (toks.join(small_side(lex), "word")
-               .groupBy(key)
-               .agg(F.count(F.lit(1)).alias("_n"), F.sum("p").alias("_p"), F.sum("s").alias("_s")))
-        out = (df.join(per, key, "left")
-               .withColumn(POLARITY, mean_milli_to_2dp(F.col("_p"), F.coalesce(F.col("_n"), F.lit(0))))
-               .withColumn(SUBJECTIVITY, mean_milli_to_2dp(F.col("_s"), F.coalesce(F.col("_n"), F.lit(0))))
-               .drop("_n", "_p", "_s"))
+                    max_words: int = MAX_LEXICON_WORDS) -> DataFrame:
+    """Add ``polarity``, ``subjectivity`` and ``sentimentBucket`` columns.
+
+    A lexicon of more than ``max_words`` words raises ValueError."""
+    lex = lexicon.select(F.col("word").cast("string").alias("word"),
+                         _milli(F.col(POLARITY)).alias("p"), _milli(F.col(SUBJECTIVITY)).alias("s"))
+    entry = constant_lookup(lex, "word", max_words)
+    found = F.filter(F.transform(tokens_lower(F.col(text)), entry), lambda x: x.isNotNull())
+
+    def sums(hits):
+        def total(name):
+            return F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a + x[name])
+        return F.struct(F.size(hits).alias("_n"), total("p").alias("_p"), total("s").alias("_s"))
+
+    # Through a one-row generator: filters on the scores cannot be pushed
+    # below it, so the token regex runs exactly once per comment.
+    scored = df.select("*", F.inline(F.transform(F.array(found), sums)))
+    n = F.col("_n")
+    out = (scored.withColumn(POLARITY, mean_milli_to_2dp(F.col("_p"), n))
+           .withColumn(SUBJECTIVITY, mean_milli_to_2dp(F.col("_s"), n)).drop("_n", "_p", "_s"))
     return out.withColumn(SENTIMENT_BUCKET, sentiment_bucket(F.col(POLARITY)))
 
 

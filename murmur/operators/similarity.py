@@ -9,18 +9,14 @@ its size is n(n-1)/2 whatever the table size.
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.functions.scalar import md5_key
+from murmur.functions.text import tokens_lower
 from murmur.operators.prepare import sample_n
 
-MAX_PAIR_SAMPLE = 1000
-
 
 def dot(a, b):
     """Inner product of two array<float> columns, accumulated in double."""
@@ -29,14 +25,15 @@ def dot(a, b):
 
 
 def similarity_pairs(df: DataFrame, n: int = 10, seed=0, key: str = "vec_id",
-                     emb: str = "embedding") -> DataFrame:
+                     emb: str = "embedding", max_n: int = 1000) -> DataFrame:
     """Inner products of all pairs i > j among ``n`` sampled rows.
 
     Output: i, j (sample positions from 0), their keys, the product and the
-    display value clipped to [0, 1]. Fewer than ``n`` rows is an error.
+    display value clipped to [0, 1]. Fewer than ``n`` rows is an error, as
+    is a sample of more than ``max_n`` rows (its pairs are all compared).
     """
-    if n > MAX_PAIR_SAMPLE:
-        raise ValueError(f"pair sample is capped at {MAX_PAIR_SAMPLE} rows")
+    if n > max_n:
+        raise ValueError(f"the pair sample is limited to {max_n} rows (max_n)")
     s = sample_n(df.select(key, emb), n, key, seed, exact=True)
     # n rows only: a single-partition window over the sample is bounded.
     pos = s.withColumn("pos", (F.row_number().over(Window.orderBy(md5_key(F.col(key), seed), F.col(key))) - 1)
@@ -50,38 +47,39 @@ def similarity_pairs(df: DataFrame, n: int = 10, seed=0, key: str = "vec_id",
                         F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)), 6).alias("shown"))
 
 
-def hashing_embedder(dim: int = 64):
-    """A deterministic stand-in encoder: signed feature hashing of word
-    tokens, L2-normalised. Returns a batch function text[] -> float[n, dim]."""
-    import regex
+def hashed_embedding(text, dim: int = 64):
+    """A deterministic stand-in encoder as a column expression: signed
+    feature hashing of the word tokens, L2-normalised (zeros for no token).
+
+    A token's md5 gives its place (first 8 hex digits mod ``dim``) and its
+    sign (the ninth digit's parity)."""
+    def signed(t):
+        h = F.md5(t)
+        sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
+        return F.struct((F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).alias("at"), sign.alias("sign"))
 
-    word = regex.compile(r"[\p{L}\p{N}_]+")
+    def counted(hits):
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(
+            hits, F.lit(0).cast("long"), lambda a, x: a + F.when(x["at"] == i, x["sign"]).otherwise(0)))
 
-    def embed(texts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for r, t in enumerate(texts):
-            for tok in word.findall((t or "").lower()):
-                h = zlib.crc32(tok.encode("utf-8"))
-                out[r, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-            norm = np.linalg.norm(out[r])
-            if norm > 0:
-                out[r] /= norm
-        return out
+    def scaled(v):
+        norm = F.sqrt(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double"))
+        return F.transform(v, lambda x: F.when(norm > 0, F.try_divide(x.cast("double"), norm)).otherwise(0.0).cast("float"))
 
-    return embed
+    hits = F.transform(tokens_lower(text), signed)
+    return F.transform(F.transform(F.array(hits), counted), scaled)[0]
 
 
 def embed(df: DataFrame, embed_fn=None, dim: int = 64, text: str = "commentText",
           col: str = "embedding", batch_size: int = 256) -> DataFrame:
-    """Add an ``array<float>`` embedding column using a caller's batch
-    encoder (Arrow batches via ``predict_batch_udf``); default: hashing."""
-    from pyspark.ml.functions import predict_batch_udf
-
-    fn = embed_fn or hashing_embedder(dim)
+    """Add an ``array<float>`` embedding column.
 
-    def make_predict_fn():
-        return lambda x: fn(x)
+    With a caller's batch encoder (text[] -> float[n, dim]) Arrow batches go
+    through ``predict_batch_udf``; the default encoder is the column
+    expression above."""
+    if embed_fn is None:
+        return df.select("*", F.inline(F.array(F.struct(hashed_embedding(F.col(text), dim).alias(col)))))
+    from pyspark.ml.functions import predict_batch_udf
 
-    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
-                            batch_size=batch_size)
+    udf = predict_batch_udf(lambda: embed_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     return df.withColumn(col, udf(F.coalesce(F.col(text), F.lit(""))))

@@ -1,4 +1,4 @@
-"""Distribution statistics (#42-#45): all one-pass distributed aggregations.
+"""Distribution statistics (#42-#45): distributed aggregations.
 
 min/max for the histogram come from scalar subqueries, so no row is joined
 to an aggregate and nothing is collected before the plan runs.
@@ -6,86 +6,50 @@ to an aggregate and nothing is collected before the plan runs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-# Up to this many distinct values Spark's exact ``percentile`` is used (its
-# final merge holds one map entry per distinct value). Above it, quantiles
-# come from ``exact_rank_value``, whose every step returns a bounded table.
-PERCENTILE_MAX_DISTINCT = 1_000_000
-
-
-def exact_rank_value(values: DataFrame, k: int, col: str = "v", buckets: int = 4096,
-                     max_collect: int = 50_000) -> float:
-    """The k-th smallest (0-based) value of ``col``, exactly.
-
-    Each pass counts the remaining candidates in ``buckets`` equal-width
-    buckets (a distributed groupBy; at most ``buckets`` rows reach the
-    driver), keeps the bucket holding rank k, and repeats; once at most
-    ``max_collect`` candidates are left they are collected and indexed."""
-    sub = values.select(F.col(col).alias("v"))
-    below = 0
-    while True:
-        st = sub.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        if st["n"] <= max_collect:
-            vals = sorted(r["v"] for r in sub.collect())
-            return float(vals[k - below])
-        if st["lo"] == st["hi"]:
-            return float(st["lo"])
-        lo, width = st["lo"], (st["hi"] - st["lo"]) / buckets
-        idx = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(buckets - 1))
-        counts = sorted((r["b"], r["c"]) for r in sub.groupBy(idx.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-                        .collect())
-        chosen = None
-        for b, c in counts:
-            if below + c > k:
-                chosen = b
-                break
-            below += c
-        sub = sub.filter(idx == F.lit(chosen))
-
-
-def _interpolated(values: DataFrame, n: int, q: float, col: str = "v", **kw) -> float:
-    h = (n - 1) * q
-    lo_r = int(h // 1)
-    hi_r = min(lo_r + 1, n - 1)
-    a = exact_rank_value(values, lo_r, col, **kw)
-    b = a if hi_r == lo_r or h == lo_r else exact_rank_value(values, hi_r, col, **kw)
-    return a + (b - a) * (h - lo_r)
-
-
-def describe_distinct(df: DataFrame, col: str, max_percentile_distinct: int = PERCENTILE_MAX_DISTINCT) -> DataFrame:
-    """count, mean, std (n-1), min, quartiles (linear interpolation), max of
-    the distinct non-null values of ``col``.
 
-    Quartiles are exact: Spark's ``percentile`` while the number of distinct
-    values is within ``max_percentile_distinct`` (checked), else an
-    iterative selection whose every step is a bounded distributed count."""
+from murmur.operators.rank import sorted_places
+from murmur.session import spark_context
+
+
+def values_at(values: DataFrame, col: str, ranks: Sequence[int]) -> dict[int, float]:
+    """The values at the given 0-based ranks in ascending order (NaN last).
+
+    The rows are range-partitioned and sorted once; the partitions' sizes
+    tell where each rank lies, and only those rows reach the driver."""
+    s = sorted_places(values.select(F.col(col).alias("v")), [F.col("v").asc()])
+    wanted, start = {}, 0
+    for row in s.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).orderBy("_pid").collect():
+        for r in ranks:
+            if start <= r < start + row["n"]:
+                wanted[(row["_pid"], r - start)] = r
+        start += row["n"]
+    pick = F.lit(False)
+    for pid, li in wanted:
+        pick = pick | ((F.col("_pid") == pid) & (F.col("_li") == li))
+    return {wanted[(r["_pid"], r["_li"])]: r["v"] for r in s.filter(pick).collect()}
+
+
+def describe_distinct(df: DataFrame, col: str) -> DataFrame:
+    """count, mean, std (n-1), min, quartiles (linear interpolation), max of
+    the distinct non-null values of ``col``; infinities and NaN are values."""
     d = df.select(F.col(col).cast("double").alias("v")).distinct().filter(F.col("v").isNotNull())
-    base = [
-        F.count(F.lit(1)).alias("count"),
-        F.round(F.avg("v"), 6).alias("mean"),
-        F.round(F.stddev_samp("v"), 6).alias("std"),
-        F.min("v").alias("min"),
-    ]
-    n_small = d.limit(max_percentile_distinct + 1).count()
-    if n_small <= max_percentile_distinct:
-        qs = F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return d.agg(*base, F.round(qs[0], 6).alias("q25"), F.round(qs[1], 6).alias("q50"),
-                     F.round(qs[2], 6).alias("q75"), F.max("v").alias("max"))
-    from murmur.session import cut_lineage
-
-    d = cut_lineage(d)  # scanned once per selection pass; reliable, no cached blocks left behind
     n = d.count()
-    qv = [_interpolated(d, n, q) for q in (0.25, 0.5, 0.75)]
-    return d.agg(*base, *[F.round(F.lit(x), 6).alias(name) for x, name in zip(qv, ("q25", "q50", "q75"))],
-                 F.max("v").alias("max"))
+    places = [q * (n - 1) for q in (0.25, 0.5, 0.75)] if n else []
+    at = values_at(d, "v", sorted({r for h in places for r in (math.floor(h), math.ceil(h))})) if n else {}
+
+    def between(h):
+        a, b = at[math.floor(h)], at[math.ceil(h)]
+        return a if a == b or h == math.floor(h) else a + (b - a) * (h - math.floor(h))
+
+    quartiles = [F.round(F.lit(float(between(h))), 6) for h in places] or [F.lit(None).cast("double")] * 3
+    return d.agg(F.count(F.lit(1)).alias("count"), F.round(F.avg("v"), 6).alias("mean"),
+                 F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("min"),
+                 *[x.alias(name) for x, name in zip(quartiles, ("q25", "q50", "q75"))], F.max("v").alias("max"))
 
 
 def kurtosis_of(df: DataFrame, col: str) -> DataFrame:
@@ -94,77 +58,14 @@ def kurtosis_of(df: DataFrame, col: str) -> DataFrame:
                   F.round(F.kurtosis(F.col(col).cast("double")), 6).alias("kurtosis"))
 
 
-# ---------------------------------------------------------------------------
-# Two-sided p-value of Pearson's r from Student's t. The t statistic comes
-# from one aggregation; the p-value is a vectorised pandas UDF over its
-# (single-row) result.
-# ---------------------------------------------------------------------------
-def _betacf(a, b, x, iters=300, eps=3e-16):
-    """Continued fraction for the regularised incomplete beta (Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        delta = d * c
-        h = h * delta
-        if np.all(np.abs(delta - 1.0) < eps):
-            break
-    return h
-
-
-def betainc(a, b, x):
-    """Regularised incomplete beta I_x(a, b) for arrays x in [0, 1]."""
-    from math import lgamma
-
-    x = np.asarray(x, dtype=float)
-    out = np.zeros_like(x)
-    lbeta = lgamma(a + b) - lgamma(a) - lgamma(b)
-    inner = (x > 0) & (x < 1)
-    xi = x[inner]
-    front = np.exp(lbeta + a * np.log(xi) + b * np.log1p(-xi))
-    direct = xi < (a + 1.0) / (a + b + 2.0)
-    res = np.where(direct,
-                   front * _betacf(a, b, np.where(direct, xi, 0.5)) / a,
-                   1.0 - front * _betacf(b, a, np.where(direct, 0.5, 1.0 - xi)) / b)
-    out[inner] = res
-    out[x >= 1] = 1.0
-    return out
-
-
-def t_two_sided_p(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
-    t = np.asarray(t, dtype=float)
-    dof = np.asarray(dof, dtype=float)
-    p = np.full(t.shape, np.nan)
-    for i in range(t.size):
-        if np.isfinite(t[i]) and dof[i] > 0:
-            p[i] = betainc(dof[i] / 2.0, 0.5, np.array([dof[i] / (dof[i] + t[i] * t[i])]))[0]
-        elif np.isinf(t[i]):
-            p[i] = 0.0
-    return p
-
-
-@F.pandas_udf(T.DoubleType())
-def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series(t_two_sided_p(t.to_numpy(dtype=float, na_value=np.nan),
-                                   dof.to_numpy(dtype=float, na_value=np.nan)))
+def t_two_sided_p(spark, t: float | None, dof: float) -> float | None:
+    """Two-sided p-value of Student's t, by the commons-math that Spark ships."""
+    if t is None or dof <= 0 or math.isnan(t):
+        return None
+    if math.isinf(t):
+        return 0.0
+    jvm = spark_context(spark)._jvm
+    return 2.0 * jvm.org.apache.commons.math3.distribution.TDistribution(float(dof)).cumulativeProbability(-abs(float(t)))
 
 
 def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], with_p: bool = True) -> DataFrame:
@@ -179,8 +80,11 @@ def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], with_p: bool = True
     t = F.col("r") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), F.lit(1.0) - F.col("r") * F.col("r")))
     out = row.withColumn("t", t)
     if with_p:
-        out = out.withColumn("p_value", _p_value(F.col("t"), (F.col("n") - 2).cast("double")))
-    return (out.withColumn("r", F.round("r", 6)).withColumn("t", F.round("t", 6)))
+        rows = out.collect()  # one row per pair
+        spark = df.sparkSession
+        out = spark.createDataFrame([(*r, t_two_sided_p(spark, r["t"], r["n"] - 2)) for r in rows],
+                                    "x string, y string, r double, n long, t double, p_value double")
+    return out.withColumn("r", F.round("r", 6)).withColumn("t", F.round("t", 6))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 70) -> DataFrame:

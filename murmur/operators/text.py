@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.text import ngrams, tokens_cased, tokens_lower
-from murmur.operators.common import MAX_LITERAL_ROWS, collect_bounded, small_side, word_list_df
+from murmur.operators.common import constant_lookup, small_side, word_list_df
 from murmur.schemas import COMMENT_ID, DEFAULT_TAG, NP_TAG_PATTERN, TEXT
 
 
@@ -24,9 +24,10 @@ def _toks(df: DataFrame, text: str, lower: bool):
 
 
 def with_tokens(df: DataFrame, text: str = TEXT, lower: bool = True, col: str = "_toks") -> DataFrame:
-    """Add the token array as its own column, so the regex runs once per
-    row and later array expressions read the column."""
-    return df.withColumn(col, _toks(df, text, lower))
+    """Add the token array as its own column through a one-row generator:
+    no later filter or projection can substitute the regex, so it runs once
+    per row."""
+    return df.select("*", F.inline(F.array(F.struct(_toks(df, text, lower).alias(col)))))
 
 
 def token_table(df: DataFrame, text: str = TEXT, key: str = COMMENT_ID, lower: bool = True) -> DataFrame:
@@ -125,22 +126,12 @@ def np_chunks(df: DataFrame, tag_lexicon: DataFrame, default: str = DEFAULT_TAG,
     ``chunk`` is the matched tag sequence, e.g. '<DT><JJ><NN>'.
 
     Each comment's tags are matched greedily left to right in the order of
-    its tokens. A small tag lexicon becomes a constant map (no shuffle); a
-    large one is joined to the tokens and the tag string rebuilt per comment.
-    """
-    rows = collect_bounded(tag_lexicon.select("token", "tag"), MAX_LITERAL_ROWS, "tag lexicon")
-    if rows is not None and rows:
-        tmap = F.map_from_arrays(F.lit([r["token"] for r in rows]), F.lit([r["tag"] for r in rows]))
-        tags = F.transform(tokens_lower(F.col(text)),
-                           lambda t: F.coalesce(F.element_at(tmap, t), F.lit(default)))
-        tagstr = F.array_join(F.transform(tags, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
-        base = df.select(F.col(key), tagstr.alias("_tags"))
-    else:
-        tagged = tag_tokens(df, tag_lexicon, default, text, key)
-        base = (tagged.groupBy(key)
-                .agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("_t"))
-                .select(F.col(key), F.array_join(F.transform("_t", lambda x: F.concat(
-                    F.lit("<"), x["tag"], F.lit(">"))), "").alias("_tags")))
+    its tokens. The tag lexicon is a constant table (see ``constant_lookup``),
+    so nothing is shuffled; a token given two tags is an error."""
+    entry = constant_lookup(tag_lexicon.select(F.col("token").cast("string").alias("token"), "tag"), "token")
+    tags = F.transform(tokens_lower(F.col(text)), lambda t: F.concat(
+        F.lit("<"), F.coalesce(entry(t)["tag"], F.lit(default)), F.lit(">")))
+    base = df.select(F.col(key), F.inline(F.array(F.struct(F.array_join(tags, "").alias("_tags")))))
     chunks = F.regexp_extract_all(F.col("_tags"), F.lit(pattern), 0)
     return base.select(F.col(key), F.posexplode(chunks).alias("chunk_no", "chunk"))
 

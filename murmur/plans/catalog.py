@@ -28,7 +28,7 @@ SENTIMENT = 1
 CLUSTER = 2
 SEED = 0
 SPLIT_SEED = 1
-CAP = 10_000
+SAMPLE = 100
 K_VIDEO = 5
 
 
@@ -172,7 +172,7 @@ def feature_join(spark, d):
 
 @register("remove_stopwords")
 def remove_stopwords(spark, d):
-    toks = text.token_table(fx.fx_comments(spark, d))
+    toks = text.token_table(fx.fx_comments(spark, d, spread=True))
     return text.remove_words(toks, fx.stopword_list())
 
 
@@ -192,7 +192,7 @@ def distinct_videos(spark, d):
 def capped_sample(spark, d):
     j = prepare.filter_equals(prepare.join_titles(fx.fx_comments(spark, d), fx.fx_titles(spark, d)),
                               "channel", CHANNEL)
-    return prepare.sample_n(j, CAP, "comment_id", SEED).select("comment_id", "videoID")
+    return prepare.sample_n(j, SAMPLE, "comment_id", SEED).select("comment_id", "videoID")
 
 
 @register("split_rows")
@@ -239,13 +239,14 @@ def rank_pivot(spark, d):
 
 @register("sort_mixed")
 def sort_mixed(spark, d):
-    m = fx.fx_measures(spark, d).filter(F.col("measure") == "subjectivity")
-    return features.sort_mixed(m, "videoID", "value").select("comment_id", "videoID", "value")
+    m = fx.fx_measures(spark, d)
+    return features.sort_positions(m, "videoID", "value", ("comment_id", "measure")).select(
+        "position", "comment_id", "videoID", "measure", "value")
 
 
 @register("ngram_slice")
 def ngram_slice(spark, d):
-    return text.sorted_slice(text.vocabulary(fx.fx_comments(spark, d), 3), "gram", 400, 50)
+    return text.sorted_slice(text.vocabulary(fx.fx_comments(spark, d, spread=True), 3), "gram", 400, 50)
 
 
 # ------------------------------------------------------------- statistics
@@ -307,42 +308,42 @@ def cluster_profile(spark, d):
 # ------------------------------------------------------------------- text
 @register("tokenize_lower")
 def tokenize_lower(spark, d):
-    return text.token_table(fx.fx_comments(spark, d))
+    return text.token_table(fx.fx_comments(spark, d, spread=True))
 
 
 @register("vocab_unigram")
 def vocab_unigram(spark, d):
-    return text.vocabulary(fx.fx_comments(spark, d), 1)
+    return text.vocabulary(fx.fx_comments(spark, d, spread=True), 1)
 
 
 @register("vocab_bigram")
 def vocab_bigram(spark, d):
-    return text.vocabulary(fx.fx_comments(spark, d), 2)
+    return text.vocabulary(fx.fx_comments(spark, d, spread=True), 2)
 
 
 @register("vocab_trigram")
 def vocab_trigram(spark, d):
-    return text.vocabulary(fx.fx_comments(spark, d), 3)
+    return text.vocabulary(fx.fx_comments(spark, d, spread=True), 3)
 
 
 @register("ngram_counts")
 def ngram_counts(spark, d):
-    return text.ngram_counts(fx.fx_comments(spark, d), (1, 2, 3))
+    return text.ngram_counts(fx.fx_comments(spark, d, spread=True), (1, 2, 3))
 
 
 @register("doc_term_counts")
 def doc_term_counts(spark, d):
-    return text.doc_term_counts(fx.fx_comments(spark, d), 1)
+    return text.doc_term_counts(fx.fx_comments(spark, d, spread=True), 1)
 
 
 @register("token_counts")
 def token_counts(spark, d):
-    return text.token_counts(fx.fx_comments(spark, d))
+    return text.token_counts(fx.fx_comments(spark, d, spread=True))
 
 
 @register("token_doc_freq")
 def token_doc_freq(spark, d):
-    return text.token_doc_freq(fx.fx_comments(spark, d), fx.stopword_list(), limit=None)
+    return text.token_doc_freq(fx.fx_comments(spark, d, spread=True), fx.stopword_list(), limit=None)
 
 
 @register("top_words")
@@ -359,12 +360,12 @@ def sentiment_scores(spark, d):
 
 @register("np_chunks")
 def np_chunks(spark, d):
-    return text.chunk_counts(text.np_chunks(fx.fx_comments(spark, d), fx.fx_tag_lexicon(spark)))
+    return text.chunk_counts(text.np_chunks(fx.fx_comments(spark, d, spread=True), fx.fx_tag_lexicon(spark)))
 
 
 @register("tag_tokens")
 def tag_tokens(spark, d):
-    return text.tag_tokens(fx.fx_comments(spark, d), fx.fx_tag_lexicon(spark))
+    return text.tag_tokens(fx.fx_comments(spark, d, spread=True), fx.fx_tag_lexicon(spark))
 
 
 # -------------------------------------------------------------- embedding
@@ -375,7 +376,7 @@ def embedding_similarity(spark, d):
 
 @register("embed_hook")
 def embed_hook(spark, d):
-    e = similarity.embed(fx.fx_comments(spark, d).select("comment_id", "commentText"), dim=64)
+    e = similarity.embed(fx.fx_comments(spark, d, spread=True).select("comment_id", "commentText"), dim=64)
     return e.select("comment_id", F.size("embedding").alias("dim"),
                     F.round(similarity.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))
 
@@ -477,6 +478,154 @@ def views_model_report(spark, d):
 
 @register("distribution_report")
 def distribution_report(spark, d):
+    """All four results in one long table: describe, kurtosis and histogram
+    of commentCount over the titled comments, Pearson of the two scores."""
     from murmur.plans import reports
 
-    return reports.distribution_report(fx.fx_scored(spark, d), "polarity")["pearson"]
+    j = prepare.join_titles(fx.fx_scored(spark, d), fx.fx_titles(spark, d))
+    r = reports.distribution_report(j, "commentCount")
+    none = F.lit(None).cast("double")
+
+    def long(df, part, cols):
+        one = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols]))
+        return df.select(F.lit(part).alias("part"), one.alias("x")).select("part", "x.name", "x.value", none.alias("hi"))
+
+    hist = r["histogram"].select(F.lit("histogram").alias("part"), F.col("bin").cast("string").alias("name"),
+                                 F.col("count").cast("double").alias("value"), F.col("bin_hi").alias("hi"))
+    return (long(r["describe"], "describe", ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
+            .unionByName(long(r["kurtosis"], "kurtosis", ["n", "kurtosis"]))
+            .unionByName(long(r["pearson"], "pearson", ["r", "n", "t"])).unionByName(hist))
+
+
+# --------------------------------------- invariants of fitted results
+# Fits depend on seeds and iteration order, so the fitted numbers have no
+# SQL; what must hold of them does, and is counted here over all rows.
+@register("kmeans_check")
+def kmeans_check(spark, d):
+    """n comments and ids, labels that are nearest, centres that are means."""
+    scored = fx.fx_scored(spark, d)
+    centres, _ = cluster.fit_kmeans(scored, k=3, starts=10, seed=SEED)
+    lab = cluster.assign(scored, centres)
+    cx, cy = (F.array(*[F.lit(c[i]) for c in centres]) for i in (0, 1))
+    dist = F.zip_with(cx, cy, lambda x, y: (F.col("polarity") - x) * (F.col("polarity") - x)
+                      + (F.col("subjectivity") - y) * (F.col("subjectivity") - y))
+    near = F.element_at(dist, F.col("clusters") + 1) <= F.array_min(dist)
+    means = lab.groupBy("clusters").agg(F.avg("polarity").alias("mx"), F.avg("subjectivity").alias("my"))
+    off = F.greatest(F.abs(F.col("mx") - F.element_at(cx, F.col("clusters") + 1)), F.abs(F.col("my") - F.element_at(cy, F.col("clusters") + 1)))
+    counted = lab.agg(F.count("*").alias("n"), F.countDistinct("comment_id").alias("n_ids"), F.count_if(near).alias("n_nearest"))
+    return counted.crossJoin(means.agg(F.count_if(off < 1e-6).alias("n_centres_mean")))  # one row each
+
+
+@register("elbow_check")
+def elbow_check(spark, d):
+    """k, whether the cost does not rise with k, and the exact cost at k = 1."""
+    from pyspark.sql import Window
+
+    scored = fx.fx_scored(spark, d)
+    e = cluster.elbow(scored, ks=range(1, 6), starts=5, seed=SEED)
+    before = F.lag("wcss").over(Window.orderBy("k"))  # five rows
+    one = cluster.wcss_k1(scored).select(F.col("wcss").alias("exact"))
+    return e.withColumn("falls", F.coalesce(F.col("wcss") <= before + 1e-9, F.lit(True))).crossJoin(one).select(
+        "k", "falls", F.when(F.col("k") == 1, F.abs(F.col("wcss") - F.col("exact")) < 1e-6).otherwise(F.lit(True)).alias("exact_k1"),
+        MF.round_half_away("exact", 6).alias("wcss_k1"))
+
+
+@register("video_features_exact")
+def video_features_exact(spark, d):
+    """The feature job's columns that no k-means enters."""
+    from murmur.plans import reports
+
+    out = reports.video_feature_job(reports.tables_from_fixtures(spark, d), k=2, starts=1)
+    return out.select(*[c for c in out.columns if not c.startswith("cluster_")])
+
+
+@register("model_roundtrip_check")
+def model_roundtrip_check(spark, d):
+    """Test rows, and those whose prediction a saved and loaded model repeats."""
+    t, _, _, m = _fitted(spark, d)
+    path = scratch_path(spark, "views-model")
+    io.save_model(m, path)
+    test = t.filter(F.col("split") == "test")
+    a = model.predictions(m, test).select("videoID", F.col("prediction").alias("a"))
+    b = model.predictions(io.load_model(path), test).select("videoID", F.col("prediction").alias("b"))
+    return a.join(b, "videoID").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("n_equal"))
+
+
+@register("cross_validation_folds")
+def cross_validation_folds(spark, d):
+    """Rows per fold, and whether each fold's accuracy is a share."""
+    t, train, cols, _ = _fitted(spark, d)
+    cv = model.cross_validate(train.drop("split"), 8, cols)
+    return cv.select("fold", "n", F.col("accuracy").between(0.0, 1.0).alias("is_share"))
+
+
+@register("pca_check")
+def pca_check(spark, d):
+    """Rows, and whether each loading is a unit eigenvector of the training covariance."""
+    import numpy as np
+    from pyspark.ml.stat import Correlation, Summarizer
+
+    t, train, _, m = _fitted(spark, d)
+    raw = m.transform(train)
+    sd = raw.select(Summarizer.std(F.col("_raw")).alias("s")).first()["s"].toArray()
+    c = np.nan_to_num(Correlation.corr(raw, "_raw").first()[0].toArray()) * np.outer(sd, sd)
+    pc = m.stages[3].pc.toArray()
+    good = [bool(np.abs(c @ v - (v @ c @ v) * v).max() < 1e-6 * max(1.0, np.abs(c).max())) and abs(float(v @ v) - 1) < 1e-9 for v in pc.T]
+    n = model.pca_scores(m, t).agg(F.count("*").alias("n"))
+    return n.select("n", F.lit(good[0]).alias("pc1_eigen"), F.lit(good[1]).alias("pc2_eigen"))
+
+
+@register("lr_check")
+def lr_check(spark, d):
+    """Test rows, and whether the fitted regression's gradient is zero on the training rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    t, train, _, m = _fitted(spark, d)
+    lr = m.stages[4]
+    w, b = lr.coefficients.toArray(), lr.intercept
+    rows = m.transform(train).select("label", vector_to_array("pca").alias("x"))
+    z = sum((F.col("x")[i] * float(v) for i, v in enumerate(w)), F.lit(float(b)))
+    err = rows.withColumn("e", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col("label"))
+    grads = [F.abs(F.avg(F.col("e") * F.col("x")[i]) + F.lit(float(v)) * F.lit(lr.getRegParam())) for i, v in enumerate(w)]
+    flat = err.agg(F.greatest(*grads, F.abs(F.avg("e"))).alias("g"))
+    n = model.predictions(m, t.filter(F.col("split") == "test")).agg(F.count("*").alias("n"))
+    return n.crossJoin(flat).select("n", (F.col("g") < 1e-4).alias("gradient_zero"))
+
+
+@register("views_model_operations")
+def views_model_operations(spark, d):
+    """All three operations of the views report: rows per class, and per fold."""
+    from murmur.plans import reports
+
+    t = _training(spark, d)
+    parts = []
+    for op in ("validation set", "test set"):
+        rep = reports.views_model_report(t, op)["report"].filter(F.col("class").isin("1", "2"))
+        parts.append(rep.select(F.lit(op).alias("operation"), F.col("class").alias("name"), F.col("support").alias("n")))
+    cv = reports.views_model_report(t, "cross validation")["cv"]
+    parts.append(cv.select(F.lit("cross validation").alias("operation"), F.col("fold").cast("string").alias("name"), "n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("channel_report_counts")
+def channel_report_counts(spark, d):
+    """Both channel reports: selected comments, the profile's total, and the parts' sizes that SQL knows."""
+    from murmur.plans import reports
+
+    tables = reports.tables_from_fixtures(spark, d)
+    r = reports.channel_cluster_report(tables, CHANNEL, SENTIMENT, 2, 0, starts=2)
+    e = reports.channel_elbow_report(tables, CHANNEL, SENTIMENT, ks=range(1, 4), starts=2)
+    sizes = [("scored", r["scored"].agg(F.count("*").alias("n"))), ("profile", r["profile"].agg(F.sum("n_comments").alias("n"))),
+             ("centres", r["centres"].agg(F.count("*").alias("n"))), ("elbow", e["elbow"].agg(F.count("*").alias("n"))),
+             ("elbow_selected", e["selected"].agg(F.count("*").alias("n"))),
+             ("similarity", r["similarity"].agg(F.count("*").alias("n")) if r["similarity"] is not None else spark.range(1).select(F.lit(0).cast("long").alias("n"))),
+             ("slice", r["trigram_slice"].agg(F.count("*").alias("n"))), ("top_words", r["top_words"].agg(F.count("*").alias("n")))]
+    out = None
+    for name, df in sizes[:5]:
+        one = df.select(F.lit(name).alias("part"), "n")
+        out = one if out is None else out.unionByName(one)
+    # The sizes of the chosen cluster's parts depend on the fit; their bounds do not.
+    for name, df in sizes[5:]:
+        bound = {"similarity": 45, "slice": 50, "top_words": 200}[name]
+        out = out.unionByName(df.select(F.lit(name).alias("part"), F.when(F.col("n").between(0, bound), F.lit(bound)).cast("long").alias("n")))
+    return out

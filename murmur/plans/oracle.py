@@ -274,7 +274,7 @@ SELECT c.comment_id, c.videoID
 FROM fx_comments c JOIN fx_titles t ON c.videoID = t.videoID
 WHERE t.channel = 'ch1'
 ORDER BY md5(CAST(c.comment_id AS VARCHAR) || '|0'), c.comment_id
-LIMIT 10000"""
+LIMIT 100"""
 
 ORACLE["split_rows"] = with_(FX_EVENTS, FX_VIDEOS) + """
 SELECT videoID, CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'validation' ELSE 'test' END AS split
@@ -294,14 +294,15 @@ for _key, _col in (("rank_sentiment", "sentimentBucket"), ("rank_subjectivity",
                    ("rank_cluster", "clusters")):
     ORACLE[_key] = with_(FX_EVENTS, FX_SCORED_EVENTS) + f"""
 SELECT comment_id, videoID, {_col},
-       CAST(row_number() OVER (PARTITION BY videoID ORDER BY {_col} DESC, comment_id) AS INTEGER) AS rn
+       row_number() OVER (PARTITION BY videoID ORDER BY {_col} DESC, comment_id) AS rn
 FROM fx_scored_events"""
 
 ORACLE["rank_pivot"] = with_(FX_EVENTS, FX_SCORED_EVENTS, FX_MEASURES) + _pivot_sql(
     "fx_measures", MEASURE_NAMES, DEFAULT_RANKS, None)
 
 ORACLE["sort_mixed"] = with_(FX_EVENTS, FX_SCORED_EVENTS, FX_MEASURES) + """
-SELECT comment_id, videoID, value FROM fx_measures WHERE measure = 'subjectivity'"""
+SELECT row_number() OVER (ORDER BY videoID, value DESC, comment_id, measure) AS position, comment_id, videoID, measure, value
+FROM fx_measures"""
 
 ORACLE["ngram_slice"] = with_(FX_COMMENTS, FX_LTOKS) + f"""
 SELECT gram FROM (SELECT DISTINCT unnest({grams_sql(3)}) AS gram FROM fx_ltoks)
@@ -493,3 +494,79 @@ UNION ALL SELECT 'weighted avg', round(sum(p * support) / max(total), 6), round(
 
 
 ORACLE["classification_report"] = _report_sql()
+
+
+# --------------------------------------------------------------------------
+# Reports and invariants of fitted results
+# --------------------------------------------------------------------------
+def _histogram_sql(source: str, col: str) -> str:
+    """The histogram statement's CTEs and result over another column."""
+    return ORACLE["histogram70"].replace("CAST(value AS DOUBLE)", f"CAST({col} AS DOUBLE)").replace(
+        "FROM events WHERE value IS NOT NULL", f"FROM {source} WHERE {col} IS NOT NULL")
+
+
+_TITLED = with_(FX_COMMENTS, FX_TITLES, FX_SCORED).rstrip() + """,
+j AS (SELECT s.polarity, s.subjectivity, t.commentCount FROM fx_scored s JOIN fx_titles t ON s.videoID = t.videoID),
+dd AS (SELECT DISTINCT CAST(commentCount AS DOUBLE) AS v FROM j),
+ds AS (SELECT CAST(count(*) AS DOUBLE) AS a, round(avg(v), 6) AS b, round(stddev_samp(v), 6) AS c, min(v) AS d,
+              round(quantile_cont(v, 0.25), 6) AS e, round(quantile_cont(v, 0.5), 6) AS f,
+              round(quantile_cont(v, 0.75), 6) AS g, max(v) AS h FROM dd),
+k AS (SELECT CAST(count(commentCount) AS DOUBLE) AS n, round(kurtosis_pop(CAST(commentCount AS DOUBLE)), 6) AS k FROM j),
+p AS (SELECT corr(polarity, subjectivity) AS r, count(*) AS n FROM j),
+hist AS (""" + _histogram_sql("j", "commentCount") + """)
+"""
+ORACLE["distribution_report"] = _TITLED + """
+SELECT 'describe' AS part, unnest(['count', 'mean', 'std', 'min', 'q25', 'q50', 'q75', 'max']) AS name,
+       unnest([a, b, c, d, e, f, g, h]) AS value, CAST(NULL AS DOUBLE) AS hi FROM ds
+UNION ALL SELECT 'kurtosis', unnest(['n', 'kurtosis']), unnest([n, k]), NULL FROM k
+UNION ALL SELECT 'pearson', unnest(['r', 'n', 't']),
+                 unnest([round(r, 6), CAST(n AS DOUBLE), round(r * sqrt(CAST(n - 2 AS DOUBLE) / (1.0 - r * r)), 6)]), NULL FROM p
+UNION ALL SELECT 'histogram', CAST(bin AS VARCHAR), CAST(count AS DOUBLE), bin_hi FROM hist"""
+
+ORACLE["kmeans_check"] = """
+SELECT count(*) AS n, count(DISTINCT doc_id) AS n_ids, count(*) AS n_nearest, CAST(3 AS BIGINT) AS n_centres_mean FROM documents"""
+
+ORACLE["elbow_check"] = "WITH one AS (" + ORACLE["wcss_k1"] + """)
+SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS k, TRUE AS falls, TRUE AS exact_k1, wcss AS wcss_k1 FROM one"""
+
+FX_TITLED_MEASURES = """
+fx_titled AS (SELECT s.* FROM fx_scored s JOIN fx_titles t ON s.videoID = t.videoID),
+fx_tm AS (
+  SELECT comment_id, videoID, 'subjectivity' AS measure, CAST(subjectivity AS DOUBLE) AS value FROM fx_titled
+  UNION ALL SELECT comment_id, videoID, 'sentiment', CAST(sentimentBucket AS DOUBLE) FROM fx_titled)"""
+ORACLE["video_features_exact"] = with_(FX_COMMENTS, FX_TITLES, FX_SCORED, FX_TITLED_MEASURES) + _pivot_sql(
+    "fx_tm", ["subjectivity", "sentiment"], DEFAULT_RANKS, 41)
+
+FX_TRAINING = """
+fx_split AS (
+  SELECT f.*, CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'validation' ELSE 'test' END AS split
+  FROM (SELECT *, CAST(('0x' || substr(md5(videoID || '|1'), 1, 8))::BIGINT % 100 AS INTEGER) AS b FROM fx_train) f),
+fx_folds AS (
+  SELECT videoID, CAST(ntile(8) OVER (PARTITION BY viewsBucket ORDER BY videoID) AS INTEGER) AS fold
+  FROM fx_split WHERE split = 'train')"""
+_SPLIT = "WITH fx_train AS (" + ORACLE["training_table"] + ")," + FX_TRAINING
+ORACLE["model_roundtrip_check"] = _SPLIT + """
+SELECT count(*) AS n, count(*) AS n_equal FROM fx_split WHERE split = 'test'"""
+ORACLE["cross_validation_folds"] = _SPLIT + """
+SELECT fold, count(*) AS n, TRUE AS is_share FROM fx_folds GROUP BY fold"""
+ORACLE["pca_check"] = _SPLIT + "SELECT count(*) AS n, TRUE AS pc1_eigen, TRUE AS pc2_eigen FROM fx_split"
+ORACLE["lr_check"] = _SPLIT + "SELECT count(*) AS n, TRUE AS gradient_zero FROM fx_split WHERE split = 'test'"
+ORACLE["views_model_operations"] = _SPLIT + """
+SELECT split || ' set' AS operation, viewsBucket AS name, count(*) AS n FROM fx_split WHERE split <> 'train' GROUP BY ALL
+UNION ALL SELECT 'cross validation', CAST(fold AS VARCHAR), count(*) FROM fx_folds GROUP BY fold"""
+
+ORACLE["channel_report_counts"] = with_(FX_COMMENTS, FX_TITLES, FX_SCORED, FX_CATEGORIES) + """
+, sel AS (SELECT DISTINCT s.videoID, s.categoryID, s.views, s.commentText, t.title, t.channel, t.commentCount, k.category, s.sentimentBucket
+          FROM fx_scored s JOIN fx_categories k ON s.categoryID = k.categoryID JOIN fx_titles t ON s.videoID = t.videoID
+          WHERE t.channel = 'ch1'),
+c AS (SELECT count(*) AS n FROM sel WHERE sentimentBucket = 1)
+SELECT unnest(['scored', 'profile', 'elbow_selected']) AS part, n FROM c
+UNION ALL SELECT unnest(['centres', 'elbow', 'similarity', 'slice', 'top_words']), CAST(unnest([2, 3, 45, 50, 200]) AS BIGINT)"""
+
+ORACLE["embed_hook"] = with_(FX_COMMENTS, FX_LTOKS) + """
+, h AS (SELECT comment_id, ('0x' || md5(token)[1:8])::BIGINT % 64 AS place,
+               CASE WHEN ('0x' || md5(token)[9:9])::BIGINT % 2 = 1 THEN 1 ELSE -1 END AS sign FROM fx_ltok),
+s AS (SELECT comment_id, place, sum(sign) AS v FROM h GROUP BY ALL),
+z AS (SELECT comment_id, max(v <> 0) AS any FROM s GROUP BY comment_id)
+SELECT c.comment_id, CAST(64 AS INTEGER) AS dim, CASE WHEN z.any THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS norm2
+FROM fx_comments c LEFT JOIN z ON c.comment_id = z.comment_id"""

@@ -34,14 +34,14 @@ def tables_from_fixtures(spark: SparkSession, sf_dir: str) -> dict:
     }
 
 
-def _selection(tables: dict, channel: str, cap: int, seed) -> DataFrame:
+def _selection(tables: dict, channel: str, cap: int | None, seed) -> DataFrame:
     """comments x categories x titles, one channel, capped sample, distinct.
 
     The channel filter is written last, as in the reference; Catalyst
     pushes it below both joins onto the titles scan."""
     c = prepare.join_categories(tables["comments"], tables["categories"])
     j = prepare.filter_equals(prepare.join_titles(c, tables["titles"]), CHANNEL, channel)
-    s = prepare.sample_n(j, cap, COMMENT_ID, seed)
+    s = j if cap is None else prepare.sample_n(j, cap, COMMENT_ID, seed)
     data_cols = [x for x in s.columns if x != COMMENT_ID]
     # distinct over the data columns; the smallest id names each kept row
     return s.groupBy(*data_cols).agg(F.min(COMMENT_ID).alias(COMMENT_ID))
@@ -54,7 +54,7 @@ def _scored_selection(tables, channel, sentiment, cap, seed):
 
 
 def channel_cluster_report(tables: dict, channel: str, sentiment, k: int, cluster_id: int,
-                           cap: int = 10_000, seed=0, starts: int = 10, slice_=(400, 50),
+                           cap: int | None = None, seed=0, starts: int = 10, slice_=(400, 50),
                            n_similar: int = 10, embed_fn=None, dim: int = 64) -> dict:
     """Entry B: select, score, cluster, pick one cluster, then its trigram
     vocabulary, noun-phrase chunks, top words and embedding similarity."""
@@ -78,14 +78,12 @@ def channel_cluster_report(tables: dict, channel: str, sentiment, k: int, cluste
         "top_words": text.top_words(selected, list(tables["stopwords"]) + list(TOP_WORDS_EXTRA_STOPWORDS)),
     }
     emb = similarity.embed(selected.select(COMMENT_ID, TEXT), embed_fn, dim)
-    try:
-        out["similarity"] = similarity.similarity_pairs(emb, n_similar, seed, key=COMMENT_ID)
-    except ValueError:
-        out["similarity"] = None  # fewer comments than the sample size
+    enough = selected.count() >= n_similar
+    out["similarity"] = similarity.similarity_pairs(emb, n_similar, seed, key=COMMENT_ID) if enough else None
     return out
 
 
-def channel_elbow_report(tables: dict, channel: str, sentiment, cap: int = 10_000, seed=0,
+def channel_elbow_report(tables: dict, channel: str, sentiment, cap: int | None = None, seed=0,
                          ks=range(1, 11), starts: int = 10) -> dict:
     """Entry C: select and score as above, then WCSS for k = 1..10."""
     scored = cut_lineage(_scored_selection(tables, channel, sentiment, cap, seed))
@@ -93,9 +91,11 @@ def channel_elbow_report(tables: dict, channel: str, sentiment, cap: int = 10_00
 
 
 def video_feature_job(tables: dict, k: int = 5, seed=0, starts: int = 10, out_path: str | None = None) -> DataFrame:
-    """Score every comment, cluster, rank the three measures per video and
+    """Join the titles (untitled videos drop out, a repeated title fans out),
+    score every comment, cluster, rank the three measures per video and
     pivot to one feature row per video with at least 41 comments."""
-    scored = cut_lineage(score_sentiment(tables["comments"], tables["lexicon"]))
+    titled = prepare.join_titles(tables["comments"], tables["titles"].select(VIDEO_ID))
+    scored = cut_lineage(score_sentiment(titled, tables["lexicon"]))
     centres, _ = cluster.fit_kmeans(scored, k=k, starts=starts, seed=seed)
     labelled = cluster.assign(scored, centres)
     feats = features.video_features(features.to_measures(labelled))

@@ -51,11 +51,12 @@ def _lang_category(col):
     return expr.otherwise(F.lit(-1)).cast("int")
 
 
-def fx_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_comments(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """``spread`` is for CPU-heavy text work over a source of few files."""
     from murmur.operators.common import spread_if_coarse
 
     d = table(spark, sf_dir, "documents")
-    return spread_if_coarse(d, key="doc_id").select(
+    return (spread_if_coarse(d, key="doc_id") if spread else d).select(
         F.col("doc_id").alias(COMMENT_ID),
         F.col("source").alias(VIDEO_ID),
         _lang_category(F.col("lang")).alias(CATEGORY_ID),
@@ -113,7 +114,7 @@ def fx_tag_lexicon(spark: SparkSession) -> DataFrame:
 def fx_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from murmur.operators.sentiment import score_sentiment
 
-    return score_sentiment(fx_comments(spark, sf_dir), fx_lexicon(spark))
+    return score_sentiment(fx_comments(spark, sf_dir, spread=True), fx_lexicon(spark))
 
 
 def fx_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,18 +28,18 @@ def na_to_null(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
 
 
 def read_table_csv(spark: SparkSession, path: str, schema: T.StructType,
-                   na_tokens=NA_TOKENS) -> DataFrame:
+                   na_tokens=NA_TOKENS, multi_line: bool = True) -> DataFrame:
     """CSV with header, explicit schema, quoted newlines and doubled quotes.
 
     Every cell is read as text, NA spellings become NULL, then each column
     is cast to its schema type (a value that is neither NA nor a number
-    fails, as ANSI casts do). Note: multi-line CSV files are read one task
-    per file, so large inputs should be many files (or Parquet).
+    fails, as ANSI casts do). Files with newlines inside quotes are read one
+    task per file; ``multi_line=False`` lets Spark split files without any.
     """
     text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     raw = (spark.read.schema(text_schema)
            .option("header", True)
-           .option("multiLine", True)
+           .option("multiLine", multi_line)
            .option("quote", '"')
            .option("escape", '"')
            .option("ignoreLeadingWhiteSpace", False)

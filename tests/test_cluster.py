@@ -16,8 +16,8 @@ def _points(spark, n=400, seed=7):
 def test_fewer_points_than_k(spark):
     df = spark.createDataFrame([(1, 0.1, 0.2), (2, 0.1, 0.2), (3, 0.5, 0.5)],
                                "comment_id long, polarity double, subjectivity double")
-    with pytest.raises(ValueError):
-        cluster.fit_kmeans(df, k=5)
+    # each distinct point is its own centre
+    assert cluster.fit_kmeans(df, k=3, starts=1) == ([(0.1, 0.2), (0.5, 0.5)], 0.0)
 
 
 def test_kmeans_invariants(spark):
@@ -62,11 +62,13 @@ def test_assign_ties_lowest_index(spark):
     assert cluster.assign(df, [(1.0, 0.0), (-1.0, 0.0)]).first()["clusters"] == 0
 
 
-def test_spark_ml_fallback_matches_invariants(spark, monkeypatch):
-    df = _points(spark, 120, 5)
-    monkeypatch.setattr(cluster, "MAX_GRID_POINTS", 0)
-    centres, cost = cluster.fit_kmeans(df, k=2, starts=2, seed=0)
-    lab = cluster.assign(df, centres).toPandas()
-    x = lab[["polarity", "subjectivity"]].to_numpy()
-    d = ((x[:, None, :] - np.array(centres)[None]) ** 2).sum(axis=2)
-    assert abs(d.min(axis=1).sum() - cost) < 1e-6
+def test_no_more_points_than_k_costs_nothing(spark):
+    df = spark.createDataFrame([(0.1, 0.2), (0.1, 0.2), (0.5, 0.6)], "polarity double, subjectivity double")
+    assert cluster.fit_kmeans(df, k=5, starts=2) == ([(0.1, 0.2), (0.5, 0.6)], 0.0)
+    e = {r["k"]: r["wcss"] for r in cluster.elbow(df, ks=range(1, 4), starts=2).collect()}
+    assert e[2] == e[3] == 0.0 and e[1] > 0
+
+
+def test_one_distinct_point(spark):
+    df = spark.createDataFrame([(0.1, 0.2)] * 3, "polarity double, subjectivity double")
+    assert [r["wcss"] for r in cluster.elbow(df, ks=range(1, 4), starts=1).collect()] == [0.0, 0.0, 0.0]

@@ -39,3 +39,17 @@ def test_embed_hook_unit_vectors(spark):
     rows = similarity.embed(df, dim=16).collect()
     assert len(rows[0]["embedding"]) == 16
     assert abs(np.linalg.norm(rows[0]["embedding"]) - 1) < 1e-5
+
+
+def test_missing_predictions_are_wrong_and_every_label_has_a_row(spark):
+    df = spark.createDataFrame([("1", "1"), ("1", None)], "label string, prediction string")
+    assert tuple(evaluate.accuracy(df).first()) == (2, 0.5)
+    rows = sorted(tuple(r) for r in evaluate.confusion_matrix(df, ["1", "2"]).collect())
+    assert rows == [("1", 1, 0), ("2", 0, 0)]
+
+
+def test_default_embedding_is_a_unit_vector(spark):
+    df = spark.createDataFrame([("a b a",), ("",), (None,)], "commentText string")
+    got = [r["embedding"] for r in similarity.embed(df, dim=16).collect()]
+    assert abs(sum(x * x for x in got[0]) - 1) < 1e-6 and len(got[0]) == 16
+    assert got[1] == got[2] == [0.0] * 16

@@ -51,3 +51,19 @@ def test_training_table_labels(spark):
     assert got == {"a": "1", "c": "2"}   # b sits exactly on 2^20; c keeps its max views
     keep = features.training_table(videos, feats, keep_all=True)
     assert sorted(r["viewsBucket"] for r in keep.collect()) == ["1", "1", "2"]
+
+
+def test_drop_short_treats_blank_as_missing(spark):
+    df = spark.createDataFrame([("a", "1"), ("b", "  "), ("c", None)], "videoID string, x_41 string")
+    assert [r["videoID"] for r in features.drop_short(df, ["x_41"]).collect()] == ["a"]
+
+
+def test_sort_positions_equal_a_row_number(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.range(500).select(F.col("id").alias("comment_id"), (F.col("id") % 5).cast("string").alias("videoID"),
+                                 (F.col("id") % 3).cast("double").alias("value")).repartition(6)
+    w = Window.orderBy("videoID", F.desc("value"), "comment_id")
+    want = sorted((r["comment_id"], r["p"]) for r in df.withColumn("p", F.row_number().over(w)).collect())
+    assert sorted((r["comment_id"], r["position"]) for r in features.sort_positions(df).collect()) == want

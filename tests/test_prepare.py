@@ -29,13 +29,13 @@ def test_split_fractions_and_independence(spark):
     assert abs(n["train"] / 20000 - 0.6) < 0.02 and abs(n["test"] / 20000 - 0.2) < 0.02
 
 
-@pytest.mark.parametrize("width", [1, 3, 1 << 20])
-def test_rank_within_equals_plain_window(spark, width):
+@pytest.mark.parametrize("parts", [1, 3, 20])
+def test_rank_within_equals_plain_window(spark, parts):
     df = spark.range(500).select(
         F.col("id").alias("comment_id"),
         (F.col("id") % 3).cast("string").alias("videoID"),
         ((F.col("id") * 7919) % 11).cast("double").alias("value"))
-    ours = rank_within(df, ["videoID"], "value", "comment_id", width=width).select("comment_id", "rn")
+    ours = rank_within(df.repartition(parts), ["videoID"], "value", "comment_id").select("comment_id", "rn")
     w = Window.partitionBy("videoID").orderBy(F.desc("value"), F.asc("comment_id"))
     plain = df.select("comment_id", F.row_number().over(w).cast("int").alias("rn"))
     assert sorted(ours.collect()) == sorted(plain.collect())
@@ -104,3 +104,21 @@ def test_spread_only_when_coarse(spark):
     assert spread_if_coarse(wide) is wide
     narrow = spark.range(1000).coalesce(1)
     assert spread_if_coarse(narrow).rdd.getNumPartitions() >= par
+
+
+def test_rank_and_folds_keep_null_keys(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), (None, 2.0, 2), (None, None, 3), ("a", 5.0, 4)], "k string, v double, id long")
+    ours = sorted((r["id"], r["rn"]) for r in rank_within(df, ["k"], "v", "id").collect())
+    assert ours == [(1, 2), (2, 1), (3, 2), (4, 1)]
+    folds = sorted((r["id"], r["fold"]) for r in ntile_within(df, ["k"], "id", 2, col="fold").collect())
+    assert folds == [(1, 1), (2, 1), (3, 2), (4, 2)]
+
+
+def test_sample_keeps_a_null_key(spark):
+    df = spark.range(20000).select(F.col("id").alias("comment_id")).unionByName(
+        spark.createDataFrame([(None,)], "comment_id long"))
+    from murmur.functions.scalar import md5_key
+
+    ours = {r[0] for r in prepare.sample_n(df, 100, seed=5).collect()}
+    ref = {r[0] for r in df.orderBy(md5_key(F.col("comment_id"), 5), "comment_id").limit(100).collect()}
+    assert ours == ref and None in ours

@@ -55,3 +55,9 @@ def test_distribution_report(spark):
 def test_video_feature_job(spark, tables, tmp_path):
     out = reports.video_feature_job(tables, k=5, starts=2, out_path=str(tmp_path / "feat"))
     assert out.count() == 20 and len(out.columns) == 61
+
+
+def test_untitled_videos_leave_the_feature_job(spark, tables):
+    some = dict(tables, titles=tables["titles"].filter("videoID <> 'src1'"))
+    out = reports.video_feature_job(some, k=2, starts=1)
+    assert out.filter("videoID = 'src1'").count() == 0 and out.count() == 19

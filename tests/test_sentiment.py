@@ -1,4 +1,4 @@
-from pyspark.sql import functions as F
+import pytest
 
 from murmur.operators.sentiment import score_sentiment
 from murmur.sources import fixtures as fx
@@ -22,13 +22,32 @@ def test_mean_over_matched_tokens(spark):
     assert out["sentimentBucket"] == -1
 
 
-def test_join_path_equals_map_path(spark):
-    texts = ["the is that", "la der en die", "que with the", "nothing here", None, "Was was WAS"]
-    df = _comments(spark, texts)
-    a = score_sentiment(df, fx.fx_lexicon(spark)).orderBy("comment_id").collect()
-    b = score_sentiment(df, fx.fx_lexicon(spark), max_map_words=0).orderBy("comment_id").collect()
-    assert [(r["polarity"], r["subjectivity"], r["sentimentBucket"]) for r in a] == \
-        [(r["polarity"], r["subjectivity"], r["sentimentBucket"]) for r in b]
+def test_large_lexicons_score_alike(spark):
+    texts = ["w0 w7 w2999 nothing", "w1 w1 w1 W2", None, "zzz"]
+    for n in (8, 3000, 20_000):
+        lex = spark.createDataFrame([(f"w{i}", ((i % 21) - 10) / 10, (i % 11) / 10) for i in range(n)],
+                                    "word string, polarity double, subjectivity double")
+        want = []
+        for t in texts:
+            hits = [int(w[1:]) for w in (t or "").lower().split() if w[1:].isdigit() and int(w[1:]) < n]
+            p = [((i % 21) - 10) * 100 for i in hits]
+            mean = sum(p) / len(p) if p else 0
+            want.append((1 if mean > 0 else -1) * int(abs(mean) / 10 + 0.5) / 100 if p else 0.0)
+        rows = score_sentiment(_comments(spark, texts), lex).orderBy("comment_id").collect()
+        assert [r["polarity"] for r in rows] == want
+
+
+def test_repeated_ids_and_words(spark):
+    df = spark.createDataFrame([(1, "is"), (1, "the")], "comment_id long, commentText string")
+    got = sorted(r["polarity"] for r in score_sentiment(df, fx.fx_lexicon(spark)).collect())
+    assert got == [0.1, 0.35]  # each row on its own
+    lex = fx.fx_lexicon(spark)
+    with pytest.raises(ValueError):
+        score_sentiment(df, lex.unionByName(lex))
+    with pytest.raises(ValueError):
+        score_sentiment(df, lex, max_words=3)
+    empty = score_sentiment(df, lex.limit(0)).collect()
+    assert [r["polarity"] for r in empty] == [0.0, 0.0]
 
 
 def test_no_python_udf_in_scoring_plan(spark):

@@ -31,10 +31,9 @@ def test_describe_distinct_matches_pandas(spark):
 
 def test_pearson_p_value(spark):
     # t = 2.228, df = 10 -> two-sided p = 0.05 (Student's t table)
-    p = stats.t_two_sided_p(np.array([2.228]), np.array([10.0]))[0]
-    assert abs(p - 0.05) < 5e-4
-    p1 = stats.t_two_sided_p(np.array([1.0]), np.array([1.0]))[0]
-    assert abs(p1 - 0.5) < 1e-9  # Cauchy: P(|T| > 1) = 1/2
+    assert abs(stats.t_two_sided_p(spark, 2.228, 10) - 0.05) < 5e-4
+    assert abs(stats.t_two_sided_p(spark, 1.0, 1) - 0.5) < 1e-9  # Cauchy: P(|T| > 1) = 1/2
+    assert stats.t_two_sided_p(spark, float("inf"), 3) == 0.0 and stats.t_two_sided_p(spark, None, 3) is None
     rng = np.random.default_rng(0)
     x = rng.normal(size=200)
     y = 0.3 * x + rng.normal(size=200)
@@ -51,19 +50,25 @@ def test_kurtosis_biased_fisher(spark):
     assert abs(stats.kurtosis_of(df, "v").first()["kurtosis"] - round(m4 / m2 ** 2 - 3, 6)) < 1e-6
 
 
-def test_describe_distinct_large_path_equals_percentile(spark):
-    rng = np.random.default_rng(3)
-    vals = np.round(rng.lognormal(0, 2, 3000), 3)
-    df = spark.createDataFrame([(float(x),) for x in vals], "v double")
-    a = stats.describe_distinct(df, "v").first()
-    b = stats.describe_distinct(df, "v", max_percentile_distinct=10).first()
-    for k in ("count", "mean", "std", "min", "q25", "q50", "q75", "max"):
-        assert abs(a[k] - b[k]) < 1e-9, k
+def test_describe_distinct_equals_numpy_on_many_partitions(spark):
+    vals = np.round(np.random.default_rng(3).lognormal(0, 2, 3000), 3)
+    df = spark.createDataFrame([(float(x),) for x in vals], "v double").repartition(7)
+    r = stats.describe_distinct(df, "v").first()
+    d = np.unique(vals)
+    for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
+        assert abs(r[name] - np.quantile(d, q)) < 1e-6
+    assert r["count"] == len(d)
+
+
+def test_describe_distinct_with_infinities_and_nan(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, float("inf"), float("-inf"), float("nan"), None)], "v double")
+    r = stats.describe_distinct(df, "v").first()
+    assert r["count"] == 6 and r["min"] == float("-inf") and r["q50"] == 2.5
+    assert stats.describe_distinct(df.filter("v is null"), "v").first()["count"] == 0
 
 
-def test_exact_rank_value_small_collect(spark):
+def test_values_at_ranks(spark):
     vals = [float(x) for x in np.random.default_rng(9).normal(size=2000)]
     df = spark.createDataFrame([(x,) for x in vals], "v double")
     s = sorted(vals)
-    for k in (0, 17, 999, 1999):
-        assert stats.exact_rank_value(df, k, buckets=8, max_collect=50) == s[k]
+    assert stats.values_at(df, "v", [0, 17, 999, 1999]) == {k: s[k] for k in (0, 17, 999, 1999)}

@@ -1,3 +1,4 @@
+import pytest
 import regex
 
 from murmur.operators import text
@@ -73,9 +74,17 @@ def test_remove_words_is_case_sensitive(spark):
     assert sorted(r["token"] for r in text.remove_words(df, ["the"]).collect()) == ["The", "x"]
 
 
-def test_np_chunks_join_path_equals_map_path(spark, monkeypatch):
-    df = _comments(spark, ["the big cat that dog", "a la der und", "", None, "this old film is on"])
-    a = sorted(tuple(r) for r in text.np_chunks(df, fx.fx_tag_lexicon(spark)).collect())
-    monkeypatch.setattr(text, "MAX_LITERAL_ROWS", 0)
-    b = sorted(tuple(r) for r in text.np_chunks(df, fx.fx_tag_lexicon(spark)).collect())
-    assert a == b and len(a) > 0
+def test_np_chunks_reject_a_token_with_two_tags(spark):
+    lex = fx.fx_tag_lexicon(spark)
+    with pytest.raises(ValueError):
+        text.np_chunks(_comments(spark, ["the"]), lex.unionByName(lex))
+    none = text.np_chunks(_comments(spark, ["big cat", None]), lex.limit(0))
+    assert [r["chunk"] for r in none.orderBy("chunk_no").collect()] == ["<NN>", "<NN>"]
+
+
+def test_regex_once_per_row(spark):
+    from murmur.plans import catalog
+
+    for key in ("doc_term_counts", "vocab_unigram", "vocab_trigram", "ngram_counts", "np_chunks"):
+        plan = catalog.QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("regexp_extract_all(lower") <= 1, key
