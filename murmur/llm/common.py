@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np

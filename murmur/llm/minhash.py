@@ -30,12 +30,12 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.common import fresh, per_slice, stored
 from murmur.llm.components import contract
-from murmur.llm.flat import byte_texts, hash_spans, mix64, spans, symbol_values, text_of, windows
+from murmur.llm.flat import byte_texts, hash_spans, mix64, spans, symbol_values, windows
 
 #: Hashes in each collection, and minhashes in each hash.
 COLLECTION, PER_HASH = 8, 2
@@ -131,6 +131,14 @@ def buckets(reps: DataFrame, m: int) -> DataFrame:
     return reps.select("rep", "n_shingles", F.explode(keys).alias("key"))
 
 
+def common_items(a: np.ndarray, b: np.ndarray) -> int:
+    """How many items two ascending, non-empty arrays share."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    return int((a[at] == b).sum())
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs whose full sets have 100 * intersection >= percent * union."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -138,22 +146,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def check(batches):
         held: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def members(raw: bytes) -> np.ndarray:
-            return np.frombuffer(raw, np.uint64)
-
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
             for i in range(batch.num_rows):
-                left = held.pop(a[i], None)
-                if left is None:
-                    left = members(batch.column("set_a")[i].as_py())
-                held[a[i]] = left
-                if len(held) > 64:
-                    held.popitem(last=False)
-                right = members(batch.column("set_b")[i].as_py())
-                at = np.minimum(np.searchsorted(left, right), len(left) - 1)
-                shared = int((left[at] == right).sum())
+                if a[i] not in held:  # a star's centre comes with many leaves
+                    held[a[i]] = np.frombuffer(batch.column("set_a")[i].as_py(), np.uint64)
+                    if len(held) > 64:
+                        held.popitem(last=False)
+                left, right = held[a[i]], np.frombuffer(batch.column("set_b")[i].as_py(), np.uint64)
+                shared = common_items(left, right)
                 keep.append(100 * shared >= percent * (len(left) + len(right) - shared))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], schema=schema)
@@ -212,9 +214,7 @@ def stray_links(family: DataFrame, hashes: DataFrame, sets: DataFrame, m: int, p
             for j in y.tolist():
                 if label[j] in linked:
                     continue
-                big, few = (members[x], members[j]) if n[x] >= n[j] else (members[j], members[x])
-                at = np.minimum(np.searchsorted(big, few), len(big) - 1)
-                shared = int((big[at] == few).sum())
+                shared = common_items(members[x], members[j])
                 if 100 * shared >= percent * (int(n[x]) + int(n[j]) - shared):
                     linked.add(int(label[j]))
                     out_a.append(int(rep[x]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.byte_bpe import Encoder, Generations, Pretokens, character_classes, library_tokenizer
+from murmur.llm.byte_bpe import Encoder, Pretokens, character_classes, library_tokenizer
 from murmur.llm.common import per_slice, texts_of, utf8_size, worker_state
 from murmur.llm.flat import hash_spans, mix64, code_points
 
@@ -48,18 +48,22 @@ def frequent_pretokens(docs: DataFrame, text: str = "text", size: int = TABLE_SI
 class HashTable:
     """Open addressing with linear probing over two numpy arrays; zero marks a free place."""
 
-    def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(max(1, len(hashes)) * 2))))
-        self.mask = np.int64((1 << bits) - 1)
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.values = np.zeros(1 << bits, np.int32)
-        self.probes = 1
+    def __init__(self, keys: np.ndarray, values: np.ndarray, probes: int):
+        self.keys, self.values, self.probes = keys, values, probes
+        self.mask = np.int64(len(keys) - 1)
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, values: np.ndarray) -> HashTable:
+        """A table at most half full of the given (non-zero) hashes."""
+        size = 1 << max(4, (2 * len(hashes) - 1).bit_length())
+        keys, held, probes = np.zeros(size, np.uint64), np.zeros(size, np.int32), 1
         for h, v in zip(hashes.tolist(), values.tolist()):
-            at, step = h & int(self.mask), 1
-            while self.keys[at] not in (0, h):
-                at, step = (at + 1) & int(self.mask), step + 1
-            self.keys[at], self.values[at] = h, v
-            self.probes = max(self.probes, step)
+            at, step = h & (size - 1), 1
+            while keys[at] not in (0, h):
+                at, step = (at + 1) & (size - 1), step + 1
+            keys[at], held[at] = h, v
+            probes = max(probes, step)
+        return cls(keys, held, probes)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Values, and -1 where a hash is not held."""
@@ -82,7 +86,7 @@ def frequent_table(spec: str, strings: list[str]) -> HashTable:
     strings = [s for s in dict.fromkeys(strings) if s]
     counts = [len(x.ids) for x in library_tokenizer(spec).encode_batch_fast(strings, add_special_tokens=False)]
     cps, offsets = code_points(strings)
-    return HashTable(hash_spans(mix64(cps.astype(np.uint64)), offsets[:-1], offsets[1:]), np.asarray(counts, np.int32))
+    return HashTable.of(hash_spans(mix64(cps.astype(np.uint64)), offsets[:-1], offsets[1:]), np.asarray(counts, np.int32))
 
 
 class Counter(Encoder):
@@ -127,12 +131,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def count(batch):
-        spec, runs, keys, values, probes = shared.value
+        spec, runs, *arrays = shared.value
         counter = worker_state(f"count-{hash(spec)}", lambda: Counter(spec, runs))
-        held = HashTable.__new__(HashTable)
-        held.keys, held.values, held.probes, held.mask = keys, values, probes, np.int64(len(keys) - 1)
         return {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"),
-                "n_tokens": counter.count(texts_of(batch.column("text")), held)}
+                "n_tokens": counter.count(texts_of(batch.column("text")), HashTable(*arrays))}
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
                        utf8_size(F.col(text)).alias("n_bytes"))

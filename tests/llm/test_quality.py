@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pytest
 import zstandard
 from murmur.llm import compression, importance, language
 from pyspark.sql import functions as F
@@ -181,7 +180,6 @@ def test_labelled_rows_are_thinned_by_id_beyond_the_bound(spark):
     assert 850 < n < 1150 and math.isclose(importance.flagged(docs, labels, "doc_id").filter("_good").count(), 4000)
 
 
-@pytest.mark.parametrize("bits", [5])
-def test_byte_classes(bits):
+def test_byte_classes():
     kind = importance.byte_classes()
     assert kind[ord("a")] == kind[0xC3] == kind[ord("7")] == 2 and kind[ord("!")] == 1 and kind[0x20] == 0

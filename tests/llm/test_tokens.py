@@ -41,7 +41,7 @@ def test_cache_generations_keep_results(encoder):
 
 def test_hash_table_finds_what_it_holds():
     keys = np.unique(np.random.default_rng(0).integers(1, 2**63, 5000).astype(np.uint64))
-    table = token_counts.HashTable(keys, np.arange(len(keys), dtype=np.int32))
+    table = token_counts.HashTable.of(keys, np.arange(len(keys), dtype=np.int32))
     assert (table.lookup(keys) == np.arange(len(keys))).all()
     assert (table.lookup(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == -1).all()
 
