@@ -131,3 +131,10 @@ def training_table(videos: DataFrame, features: DataFrame, threshold_log2: int =
         t = t.filter(F.col(VIEWS_BUCKET).isNotNull())
     fcols = [c for c in features.columns if c != VIDEO_ID]
     return t.select(VIDEO_ID, CATEGORY_ID, *fcols, VIEWS_BUCKET)
+
+
+def unlabelled(videos: DataFrame, features: DataFrame, threshold_log2: int = 20) -> DataFrame:
+    """How many rows ``training_table`` keeps, and drops for want of a label."""
+    t = training_table(videos, features, threshold_log2, keep_unlabelled=True)
+    missing = F.col(VIEWS_BUCKET).isNull()
+    return t.agg(F.count_if(~missing).alias("n_kept"), F.count_if(missing).alias("n_dropped"))

@@ -195,6 +195,12 @@ def capped_sample(spark, d):
     return prepare.sample_n(j, SAMPLE, "comment_id", SEED).select("comment_id", "videoID")
 
 
+@register("first_rows")
+def first_rows(spark, d):
+    """The first 100 comments by id (#40)."""
+    return prepare.first_n(fx.fx_comments(spark, d), 100).select("comment_id", "videoID")
+
+
 @register("split_rows")
 def split_rows(spark, d):
     return prepare.split_bucket(fx.fx_videos(spark, d), "videoID", SPLIT_SEED).select("videoID", "split")
@@ -391,6 +397,12 @@ def training_table(spark, d):
     return _training(spark, d)
 
 
+@register("unlabelled_videos")
+def unlabelled_videos(spark, d):
+    """Training rows kept, and dropped for want of a label."""
+    return features.unlabelled(fx.fx_videos(spark, d), features.video_features(fx.fx_measures(spark, d)))
+
+
 def _fitted(spark, d):
     from murmur.session import cut_lineage
 

@@ -276,6 +276,9 @@ WHERE t.channel = 'ch1'
 ORDER BY md5(CAST(c.comment_id AS VARCHAR) || '|0'), c.comment_id
 LIMIT 100"""
 
+ORACLE["first_rows"] = with_(FX_COMMENTS) + """
+SELECT comment_id, videoID FROM fx_comments ORDER BY comment_id LIMIT 100"""
+
 ORACLE["split_rows"] = with_(FX_EVENTS, FX_VIDEOS) + """
 SELECT videoID, CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'validation' ELSE 'test' END AS split
 FROM (SELECT videoID, CAST(('0x' || substr(md5(videoID || '|1'), 1, 8))::BIGINT % 100 AS INTEGER) AS b
@@ -450,6 +453,9 @@ FROM (SELECT videoID, categoryID, max(views) AS views,
 JOIN fx_feat f ON v.videoID = f.videoID
 WHERE v.viewsBucket IS NOT NULL"""
 
+ORACLE["unlabelled_videos"] = "WITH t AS (" + ORACLE["training_table"].replace("WHERE v.viewsBucket IS NOT NULL", "") + """)
+SELECT count(viewsBucket) AS n_kept, count(*) - count(viewsBucket) AS n_dropped FROM t"""
+
 ORACLE["pca_variance2"] = with_(FX_COMMENTS, FX_SCORED) + """
 , m AS (SELECT count(*) AS n, var_samp(polarity) AS a, covar_samp(polarity, subjectivity) AS b,
                var_samp(subjectivity) AS c FROM fx_scored),
