@@ -66,34 +66,37 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     docs = without(docs, "removed_chunks", "removed_lines")
     th, gone, wid, wth = fresh(docs, "text_hash", "gone", "wanted_id", "wanted_hash")
     rows = docs.withColumn(th, F.xxhash64(F.col(text)))
-    own = rows.select(F.col(doc_id).alias("id"), F.col(th).alias("th"), F.col(text).alias("text"))
 
     def places(df, wanted=None):
         """One row per chunk that may go, or those at the ``wanted`` places only."""
-        chunks = chunked(F.col("text"))
+        chunks = chunked(F.col(text))
         if wanted is not None:
             chunks = F.filter(chunks, lambda c: F.array_contains(F.col(wanted), c["no"]))
-        out = df.select("id", "th", F.explode_outer(chunks).alias("c")).select("id", "th", "c.no", "c.n_lines", "c.body")
+        out = (df.select(F.col(doc_id).alias("id"), F.col(th).alias("th"), F.explode_outer(chunks).alias("c"))
+               .select("id", "th", "c.no", "c.n_lines", "c.body"))
         return out.filter((F.col("n_lines") >= LEAST_LINES) & F.col("body").rlike(r"[^\x09-\x0D\x20]")).withColumn("key", F.xxhash64("body"))
 
-    digests = stored(places(own).drop("body"), "chunks")
+    digests = stored(places(rows).drop("body"), "chunks")
     order = F.struct("id", "th", "no")
     repeated = digests.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first <> last").select("key", "first")
     met = digests.join(repeated, "key")
-    wanted = met.groupBy("id", "th").agg(F.collect_set("no").alias("nos"))
+    nos = fresh(docs, "wanted_places")[0]
+    wanted = met.groupBy(F.col("id").alias(wid), F.col("th").alias(wth)).agg(F.collect_set("no").alias(nos))
     # The candidates' bytes, and the first occurrence's among them.
-    wanted = wanted.withColumnsRenamed({"id": "wid", "th": "wth"})
-    held = own.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
-    bodies = places(held, "nos").select("id", "th", "no", "n_lines", "body").distinct()
+    # Joined like the texts below, by the same keys, so that one exchange of them serves both.
+    held = rows.join(wanted, F.col(doc_id).eqNullSafe(F.col(wid)) & (F.col(th) == F.col(wth)))
+    bodies = places(held, nos).select("id", "th", "no", "n_lines", "body")
     firsts = bodies.groupBy("body").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first <> last").select("body", "first")
     removed = bodies.join(firsts, "body").filter(order != F.col("first"))
     per_text = removed.groupBy(F.col("id").alias(wid), F.col("th").alias(wth)).agg(
-        F.collect_set("no").alias(gone), F.count("*").alias("removed_chunks"), F.sum("n_lines").alias("removed_lines"))
-    kept = F.filter(chunked(F.col(text)), lambda c: ~F.array_contains(F.col(gone), c["no"]))
+        F.collect_set(F.struct("no", "n_lines")).alias(gone))  # a set: repeated rows remove the same chunks
+    places_gone = F.transform(F.col(gone), lambda x: x["no"])
+    kept = F.filter(chunked(F.col(text)), lambda c: ~F.array_contains(places_gone, c["no"]))
     rebuilt = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
     joined = rows.join(per_text, F.col(doc_id).eqNullSafe(F.col(wid)) & (F.col(th) == F.col(wth)), "left")
     return joined.select(*[rebuilt.alias(c) if c == text else F.col(c) for c in docs.columns],
-                         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("removed_chunks", "removed_lines")])
+                         F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("removed_chunks"),
+                         F.coalesce(F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + x["n_lines"]), F.lit(0).cast("long")).alias("removed_lines"))
 
 
 #: The same result in DuckDB, chunks compared by their text.
