@@ -21,13 +21,15 @@ from functools import lru_cache
 import numpy as np
 
 from murmur.llm.common import worker_state
-from murmur.llm.flat import code_points, hash_spans, mix64, text_of
+from murmur.llm.flat import code_points, hash_spans, mix64, spaced_cuts, text_of
 
 LETTER, NUMBER, OTHER, BLANK = 0, 1, 2, 3
 #: Pre-tokens in each of a worker's two cache generations (about 170 bytes each).
 CACHE_LIMIT = 300_000
 #: Longest pre-token that is remembered, in characters; longer ones are encoded each time.
 CACHE_CHARS = 64
+#: A text of more characters is worked on in pieces of about this many.
+PIECE = 4 << 20
 
 
 def library_tokenizer(spec: str):
@@ -179,8 +181,23 @@ class Encoder:
         whole = dict(zip(odd, self.library([texts[i] for i in odd]))) if odd else {}
         return [("" if i in whole else x) for i, x in enumerate(texts)] if odd else texts, whole
 
+    def pieces(self, text: str) -> list[str]:
+        """A long text cut after line ends where the split is the same on either side:
+        one newline between two characters that are not blank."""
+        cps = code_points([text])[0]
+        at = np.flatnonzero(cps[1:-1] == 0x0A) + 1
+        at = at[(self.classes[cps[at - 1]] != BLANK) & (self.classes[cps[at + 1]] != BLANK)] + 1
+        cuts = spaced_cuts(at, len(text), PIECE)
+        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and n + 1 offsets."""
+        if len(texts) == 1 and len(texts[0]) > PIECE and not self.has_special(texts[0]):
+            ids = np.concatenate([self.encode_batch([p])[0] for p in self.pieces(texts[0])])
+            return ids, np.array([0, len(ids)])
+        return self.encode_batch(texts)
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain, whole = self.split(texts)
         pre = Pretokens(plain, self.classes)
         uniq, index, place = pre.distinct()

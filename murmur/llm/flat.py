@@ -42,6 +42,12 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
 
 
+def spaced_cuts(allowed: np.ndarray, length: int, step: int) -> list[int]:
+    """0, ``length`` and the first allowed cut at or after each multiple of ``step``."""
+    at = allowed[np.searchsorted(allowed, np.arange(step, length, step)).clip(max=max(0, len(allowed) - 1))] if len(allowed) else allowed
+    return sorted({0, length, *(x for x in at.tolist() if x >= step)})
+
+
 def powers(n: int, base: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     out = np.full(n, base, np.uint64)

@@ -8,8 +8,9 @@ task), and the next candidates lie between the two that enclose each wanted
 cut, until every cut is within tolerance. Only then are the rows exchanged,
 once, straight to their final place.
 
-Each shard is written as many parts, cut by the same histogram, so no task
-holds a shard. A row's slot is its part's first slot plus its rank there.
+Each shard consists of many parts, cut by the same histogram, so no task
+holds a shard. A row's slot is its part's first slot plus its rank there. The
+driver holds a few numbers per part, and PROBES candidate keys per open cut.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
     empty result. Columns named size, shard or slot are replaced.
     """
     docs = without(docs, "size", "shard", "slot")
-    key, part, first_slot = fresh(docs, "sort_key", "part", "first_slot")
+    key, part = fresh(docs, "sort_key", "part")
     text_hash = F.shiftrightunsigned(F.xxhash64(F.col(text)), 25)  # 39 bits
     id_hash = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(doc_id)), 40)  # 24 bits
     keyed = docs.withColumn(key, F.shiftleft(text_hash, 24).bitwiseOR(id_hash)).withColumn("size", utf8_size(F.col(text)) + 8)
@@ -104,16 +105,21 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
         """The number of bounds at or below each key."""
         return pd.Series(np.searchsorted(bounds, k.to_numpy(), side="right").astype("int32"))
 
-    placed = keyed.withColumn(part, part_of(key))
-    counts = table.withColumn("part", part_of("key")).groupBy("part").agg(F.count("*").alias("rows"))
-    # One row per part: the corpus divided by part_bytes.
-    before = F.sum("rows").over(Window.partitionBy(F.floor(F.col("part") / each)).orderBy("part")
-                                .rowsBetween(Window.unboundedPreceding, -1))
-    first = counts.select(F.col("part").alias(part), F.coalesce(before, F.lit(0)).alias(first_slot))
+    rows = np.zeros(n, np.int64)
+    for r in table.groupBy(part_of("key").alias("part")).agg(F.count("*").alias("rows")).collect():  # a row per part
+        rows[r["part"]] = r["rows"]
+    before = np.cumsum(rows) - rows
+    first = before - np.repeat(before[::each], each)  # each part's first slot in its shard
+
+    @F.pandas_udf("long")
+    def first_slot(p: pd.Series) -> pd.Series:
+        return pd.Series(first[p.to_numpy()])
+
+    # The exchange: every row straight to its part, one part a task, so the ranks need no other.
+    placed = keyed.withColumn(part, part_of(key)).repartitionById(n, part)
     rank = F.row_number().over(Window.partitionBy(part).orderBy(key, doc_id))
-    return (placed.withColumn("slot", rank).join(first, part)
-            .withColumn("slot", F.col("slot") - 1 + F.col(first_slot))
-            .withColumn("shard", F.floor(F.col(part) / each).cast("int")).drop(part, key, first_slot))
+    return (placed.withColumn("slot", rank - 1 + first_slot(part))
+            .withColumn("shard", F.floor(F.col(part) / each).cast("int")).drop(part, key))
 
 
 def shard_digest(docs: DataFrame, shards: int) -> DataFrame:

@@ -27,12 +27,14 @@ from pyspark.sql import types as T
 
 from murmur.llm.byte_bpe import Generations
 from murmur.llm.common import per_slice, texts_of, without, worker_state
-from murmur.llm.flat import hash_spans, mix64, text_of
+from murmur.llm.flat import hash_spans, mix64, spaced_cuts, text_of
 
 BLANK = 0x2581
 NONE = np.int64(1) << 40
 #: Longest unit that is remembered, in characters.
 CACHE_CHARS = 64
+#: A text of more characters is worked on in pieces of about this many.
+PIECE = 4 << 20
 
 
 def library(model: bytes):
@@ -181,8 +183,18 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and n + 1 offsets."""
         marked = [chr(BLANK) + x.replace(" ", chr(BLANK)) if x else "" for x in texts]
-        sizes = np.array([len(x) for x in marked], np.int64)
-        cps = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+        if len(marked) == 1 and len(marked[0]) > PIECE:
+            # Units begin where a blank follows another character: cuts there change nothing.
+            cps = np.frombuffer(marked[0].encode("utf-32-le"), np.uint32)
+            cuts = spaced_cuts(np.flatnonzero((cps[1:] == BLANK) & (cps[:-1] != BLANK)) + 1, len(cps), PIECE)
+            ids = np.concatenate([self.encode_marked([marked[0][a:b]])[0] for a, b in zip(cuts, cuts[1:])])
+            return ids, np.array([0, len(ids)])
+        return self.encode_marked(marked)
+
+    def encode_marked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts whose blanks are marked and that begin a unit."""
+        sizes = np.array([len(x) for x in texts], np.int64)
+        cps = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         if not len(cps):
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         offsets = np.r_[0, np.cumsum(sizes)]

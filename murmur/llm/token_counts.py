@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.byte_bpe import Encoder, Pretokens, character_classes, library_tokenizer
+from murmur.llm.byte_bpe import PIECE, Encoder, Pretokens, character_classes, library_tokenizer
 from murmur.llm.common import per_slice, texts_of, utf8_size, worker_state
 from murmur.llm.flat import hash_spans, mix64, code_points
 
@@ -93,6 +93,11 @@ class Counter(Encoder):
     """An encoder that keeps only how many ids a pre-token has."""
 
     def count(self, texts: list[str], table: HashTable) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) > PIECE and not self.has_special(texts[0]):
+            return sum(self.count_batch([p], table) for p in self.pieces(texts[0]))
+        return self.count_batch(texts, table)
+
+    def count_batch(self, texts: list[str], table: HashTable) -> np.ndarray:
         plain, whole = self.split(texts)
         pre = Pretokens(plain, self.classes)
         each = table.lookup(pre.hashes)

@@ -29,6 +29,16 @@ def test_merge_rounds_equal_the_library(encoder, library):
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == library.encode(texts)
 
 
+@pytest.mark.parametrize("piece", [1, 50])
+def test_long_texts_in_pieces_have_the_same_ids(encoder, library, monkeypatch, piece):
+    monkeypatch.setattr(pieces, "PIECE", piece)
+    rnd = random.Random(piece)
+    for _ in range(40):
+        text = "".join(rnd.choice(["the ", "  ", "a", "▁", " ▁ ", "ing\n", "中", "word"]) for _ in range(200))
+        ids, offsets = encoder.encode([text])
+        assert ids.tolist() == library.encode(text) and offsets.tolist() == [0, len(ids)]
+
+
 def test_merge_table_refuses_other_models():
     from sentencepiece import sentencepiece_model_pb2
 

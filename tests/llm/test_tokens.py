@@ -32,6 +32,19 @@ def test_encoder_equals_the_library_on_random_texts(encoder):
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == library(texts)
 
 
+@pytest.mark.parametrize("piece", [1, 40, 333])
+def test_long_texts_in_pieces_have_the_same_ids(encoder, monkeypatch, piece):
+    monkeypatch.setattr(byte_bpe, "PIECE", piece)
+    rnd = random.Random(piece)
+    parts = ["don't", "'s", "\n", "\n\n", " \n", "\n ", " ", "word", "é\n中", "12", "!?", "\x85", "\r\n"]
+    for _ in range(40):
+        text = "".join(rnd.choice(parts) for _ in range(300))
+        ids, offsets = encoder.encode([text])
+        assert ids.tolist() == library([text])[0] and offsets.tolist() == [0, len(ids)]
+        assert "".join(encoder.pieces(text)) == text
+    assert len(encoder.pieces("a\nb\n" * 500)) > 2
+
+
 def test_cache_generations_keep_results(encoder):
     small = byte_bpe.Generations(limit=3)
     for i in range(10):
