@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmur.llm.common import byte_slices, per_slice, texts_of, without, worker_state
+from murmur.llm.common import byte_slices, per_slice, stored, texts_of, without, worker_state
 from murmur.llm.flat import code_points, mix64, text_of
 
 #: Components of a vector, letters of an n-gram, and the weight of one text.
@@ -113,6 +113,7 @@ def profiles(docs: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
     rows = docs.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     sums = (rows.mapInArrow(bundle, "lang string, profile array<long>").select("lang", F.posexplode("profile").alias("i", "x"))
             .groupBy("lang", "i").agg(F.sum("x").alias("x")))
+    sums = stored(sums, "profiles")
     names = sums.filter("i = 0").limit(MAX_LANGUAGES + 1).count()
     if names > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
