@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import line_chunks, winnowing
+from murmur.llm import line_chunks, minhash, winnowing
 from murmur.llm.common import table
 from murmur.llm.compression import quality_rules
 from murmur.llm.histogram_sort import shard_digest
@@ -78,4 +78,4 @@ QUERIES = {f.__name__: f for f in (
     op1_importance_sample, op2_token_files, op3_winnowing, op4_line_chunks, op5_compression_bands, op6_language, op7_near_duplicates,
     op8_histogram_shards, op9_pieces, op10_token_counts)}
 
-ORACLE = {"op3_winnowing": winnowing.SQL, "op4_line_chunks": line_chunks.SQL}
+ORACLE = {"op3_winnowing": winnowing.SQL, "op4_line_chunks": line_chunks.SQL, "op7_near_duplicates": minhash.SQL}
