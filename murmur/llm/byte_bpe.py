@@ -25,7 +25,7 @@ from murmur.llm.flat import code_points, hash_spans, mix64, spaced_cuts, text_of
 
 LETTER, NUMBER, OTHER, BLANK = 0, 1, 2, 3
 #: Pre-tokens in each of a worker's two cache generations (about 170 bytes each).
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 500_000
 #: Longest pre-token that is remembered, in characters; longer ones are encoded each time.
 CACHE_CHARS = 64
 #: A text of more characters is worked on in pieces of about this many.
