@@ -82,7 +82,7 @@ def fit_kmeans(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, k: int = 3, st
 
 
 def fit_kmeans_many(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, ks=(3,), starts: int = 10,
-                    max_iter: int = 300, seed: int = 0, tol: float = 0.0, parallelism: int = 8,
+                    max_iter: int = 300, seed: int = 0, tol: float = 0.0, parallelism: int = 16,
                     points: DataFrame | None = None) -> dict:
     """{k: (sorted centres, cost)} for several k from one grouping pass.
 
@@ -149,9 +149,10 @@ def wcss_k1(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, decimals: int | N
 
 
 def elbow(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, ks=range(1, 11), starts: int = 10,
-          seed: int = 0, max_iter: int = 300) -> DataFrame:
-    """(k, wcss) for each k, from one grouping pass."""
-    fits = fit_kmeans_many(df, cols, list(ks), starts, max_iter, seed)
+          seed: int = 0, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
+    """(k, wcss) for each k, from one grouping pass. Centres that move by at
+    most ``tol`` count as standing still (scores have 2 decimals)."""
+    fits = fit_kmeans_many(df, cols, list(ks), starts, max_iter, seed, tol)
     return df.sparkSession.createDataFrame([(int(k), float(fits[k][1])) for k in ks], "k int, wcss double")
 
 
