@@ -5,6 +5,9 @@ of compressed to raw bytes falls when a text repeats itself and rises towards
 one when it is noise; both depend on the length, so every length class has
 its own band. A text is kept when its whole ratio and the share of its chunks
 outside their band stay within the limits, and no base rule failed.
+
+The bands are what ``measure_bands`` finds on labelled good documents: their
+outer quantiles, widened by a margin.
 """
 
 from __future__ import annotations
@@ -19,10 +22,16 @@ from murmur.llm.flat import byte_texts, counts_to_offsets, hash_spans, spans, sy
 
 CHUNK_BYTES = 2048
 LEVEL = 3
-#: (shortest length in bytes, least and greatest ratio) of whole texts; shorter texts have no band.
-WHOLE_BANDS = ((200, 0.35, 0.95), (500, 0.33, 0.85), (1000, 0.30, 0.75), (5000, 0.25, 0.65), (20000, 0.20, 0.60))
-#: The band of a full chunk, and the greatest share of chunks outside it.
-CHUNK_BAND, CHUNK_SHARE = (0.25, 0.75), 0.5
+#: Shortest lengths in bytes of the classes of whole texts; shorter texts have no band.
+CLASSES = (200, 400, 600, 800, 1000, 1400, 2000, 3000, 5000, 10000, 20000)
+#: The share of labelled good ratios that lies below, and above, a band before it is widened by MARGIN at both ends.
+OUTSIDE, MARGIN = 0.001, 0.01
+#: (shortest length in bytes, least and greatest ratio) of whole texts: measure_bands on check_s.
+WHOLE_BANDS = ((200, 0.511, 0.752), (400, 0.52, 0.732), (600, 0.507, 0.668), (800, 0.489, 0.634), (1000, 0.476, 0.61),
+               (1400, 0.463, 0.568), (2000, 0.447, 0.55), (3000, 0.431, 0.524), (5000, 0.415, 0.493), (10000, 0.4, 0.464),
+               (20000, 0.383, 0.45))
+#: The band of a full chunk (measured likewise), and the greatest share of chunks outside it.
+CHUNK_BAND, CHUNK_SHARE = (0.459, 0.549), 0.5
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -83,32 +92,23 @@ def repeats(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def compression_features(column: pa.Array, chunk: int = CHUNK_BYTES, level: int = LEVEL) -> dict[str, list]:
-    """Whole ratio (null if empty), full chunks, and how many of them lie below and above their band."""
+    """The ratio of every whole text (null if empty) and of each of its full chunks."""
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
-    ratio, chunks, low, high = [], [], [], []
+    ratio, chunks = [], []
     for raw in column.cast(pa.large_binary()).to_pylist():
         raw = raw or b""
         ratio.append(len(packer.compress(raw)) / len(raw) if raw else None)
-        parts = [len(packer.compress(raw[i:i + chunk])) / chunk for i in range(0, len(raw) - chunk + 1, chunk)]
-        chunks.append(len(parts))
-        low.append(sum(x < CHUNK_BAND[0] for x in parts))
-        high.append(sum(x > CHUNK_BAND[1] for x in parts))
-    return {"ratio": ratio, "n_chunks": chunks, "low_chunks": low, "high_chunks": high}
-
+        chunks.append([len(packer.compress(raw[i:i + chunk])) / chunk for i in range(0, len(raw) - chunk + 1, chunk)])
+    return {"ratio": ratio, "chunk_ratios": chunks}
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole_bands=WHOLE_BANDS,
-                  chunk_share: float = CHUNK_SHARE) -> DataFrame:
-    """The features and verdict of every row.
 
-    A null text has no words, so it fails the base rule, as an empty or
-    white one does. Repeated rows are judged each; an empty table gives an
-    empty result. Whole texts are compressed, however long.
-    """
+def measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The base counts, ratios and base verdict of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()),
                         ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
-                        ("ratio", pa.float64()), ("n_chunks", pa.int64()), ("low_chunks", pa.int64()), ("high_chunks", pa.int64())])
+                        ("ratio", pa.float64()), ("chunk_ratios", pa.list_(pa.float64()))])
 
     def measure(batch):
         raw, offsets = byte_texts(batch.column("text"))
@@ -118,12 +118,48 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = rows.mapInArrow(per_slice(measure, schema),
                           "doc_id long, n_bytes long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                          "n_repeat_words long, ratio double, n_chunks long, low_chunks long, high_chunks long")
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+                          "n_repeat_words long, ratio double, chunk_ratios array<double>")
+    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
+def measure_bands(docs: DataFrame, labels: DataFrame, classes=CLASSES, outside: float = OUTSIDE,
+                  margin: float = MARGIN) -> tuple[tuple, tuple]:
+    """(WHOLE_BANDS, CHUNK_BAND) of the labelled good, non-toxic documents that pass the base rules.
+
+    Quantiles are exact over ratios of four decimals, so their state does
+    not grow with the rows. A class without such a document has no band of
+    its own and takes the one of the class before it.
+    """
+    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
+    rows = measured(docs.join(good, "doc_id", "left_semi"), "doc_id", "text").filter(~F.col("base_failed"))
+    kind = F.lit(None).cast("int")
+    for shortest in classes:
+        kind = F.when(F.col("n_bytes") >= shortest, shortest).otherwise(kind)
+    whole = rows.select(kind.alias("kind"), F.col("ratio").alias("x")).filter("kind is not null")
+    chunks = rows.select(F.lit(0).alias("kind"), F.explode("chunk_ratios").alias("x"))
+    found = (whole.unionByName(chunks).groupBy("kind")
+             .agg(F.percentile(F.round("x", 4), F.array(F.lit(outside), F.lit(1 - outside))).alias("q")).collect())
+    bands = {r.kind: (round(r.q[0] - margin, 3), round(r.q[1] + margin, 3)) for r in found}
+    return tuple((k, *bands[k]) for k in sorted(bands) if k), bands.get(0, (0.0, 1.0))
+
+
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole_bands=WHOLE_BANDS,
+                  chunk_share: float = CHUNK_SHARE) -> DataFrame:
+    """The features and verdict of every row.
+
+    A null text has no words, so it fails the base rule, as an empty or
+    white one does. Repeated rows are judged each; an empty table gives an
+    empty result. Whole texts are compressed, however long.
+    """
     band = F.lit(True)
     for shortest, low, high in whole_bands:
         band = F.when(F.col("n_bytes") >= shortest, F.col("ratio").between(low, high)).otherwise(band)
+    out = (measured(docs, doc_id, text)
+           .withColumn("n_chunks", F.size("chunk_ratios").cast("long"))
+           .withColumn("low_chunks", F.size(F.filter("chunk_ratios", lambda x: x < CHUNK_BAND[0])).cast("long"))
+           .withColumn("high_chunks", F.size(F.filter("chunk_ratios", lambda x: x > CHUNK_BAND[1])).cast("long")))
     chunks = F.col("low_chunks") + F.col("high_chunks") <= chunk_share * F.col("n_chunks")
-    return (out.withColumn("base_failed", base)
-            .withColumn("in_band", F.coalesce(band, F.lit(True))).withColumn("chunks_in_band", chunks)
-            .withColumn("kept", ~F.col("base_failed") & F.col("in_band") & F.col("chunks_in_band")))
+    return (out.withColumn("in_band", F.coalesce(band, F.lit(True))).withColumn("chunks_in_band", chunks)
+            .withColumn("kept", ~F.col("base_failed") & F.col("in_band") & F.col("chunks_in_band"))
+            .select("doc_id", "n_bytes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "n_chunks",
+                    "low_chunks", "high_chunks", "base_failed", "in_band", "chunks_in_band", "kept"))

@@ -62,6 +62,27 @@ def test_rules_on_edge_rows_and_noise(spark, edge, none):
     assert compression.quality_rules(none).count() == 0
 
 
+def labelled_rules(spark, path):
+    """The verdicts of the rows of ``path`` with their labels."""
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    return compression.quality_rules(spark.read.parquet(f"{path}/documents.parquet")).join(labels, "doc_id", "left")
+
+
+def test_bands_reject_documents_that_pass_the_base_rules(spark):
+    rows = labelled_rules(spark, "/root/testdata/sf0.1").filter("not base_failed").select("quality", "toxic", "kept").collect()
+    good = [r.kept for r in rows if r.quality == 1 and r.toxic == 0]
+    low = [r.kept for r in rows if r.quality == 0 and r.toxic == 0]
+    assert len(good) > 2000 and sum(good) / len(good) > 0.99
+    assert len(low) == 250 and low.count(False) >= 162
+    assert sum(not r.kept for r in rows) >= 436
+
+
+def test_bands_are_measured_on_labelled_good_documents(spark):
+    d = "/root/testdata/check_s"
+    assert compression.measure_bands(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")) == (
+        compression.WHOLE_BANDS, compression.CHUNK_BAND)
+
+
 # ---------------------------------------------------------------- language
 def test_languages_are_told_apart_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
