@@ -1,10 +1,13 @@
 """Quality rules by compression bands.
 
-Each text is compressed with zstandard, whole and in fixed chunks. The ratio
+Each text is compressed with zstandard, whole and in fixed chunks; the last
+bytes that fill no chunk are judged with those before them, as one more
+chunk. A text shorter than a chunk is one by itself: its whole ratio. The ratio
 of compressed to raw bytes falls when a text repeats itself and rises towards
 one when it is noise; both depend on the length, so every length class has
-its own band. A text is kept when its whole ratio and the share of its chunks
-outside their band stay within the limits, and no base rule failed.
+its own band. A text is kept when its whole ratio lies in its band, the share
+of its chunks outside theirs and their longest run stay within the limits,
+and no base rule failed.
 
 The bands are what ``measure_bands`` finds on labelled good documents: their
 outer quantiles, widened by a margin.
@@ -30,8 +33,10 @@ OUTSIDE, MARGIN = 0.001, 0.01
 WHOLE_BANDS = ((200, 0.511, 0.752), (400, 0.52, 0.732), (600, 0.507, 0.668), (800, 0.489, 0.634), (1000, 0.476, 0.61),
                (1400, 0.463, 0.568), (2000, 0.447, 0.55), (3000, 0.431, 0.524), (5000, 0.415, 0.493), (10000, 0.4, 0.464),
                (20000, 0.383, 0.45))
-#: The band of a full chunk (measured likewise), and the greatest share of chunks outside it.
-CHUNK_BAND, CHUNK_SHARE = (0.459, 0.549), 0.5
+#: The band of a chunk (measured likewise), and the greatest share of chunks outside it.
+CHUNK_BAND, CHUNK_SHARE = (0.459, 0.55), 0.02
+#: So many neighbouring chunks outside the band fail a text, however long it is.
+CHUNK_RUN = 2
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -92,7 +97,7 @@ def repeats(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def compression_features(column: pa.Array, chunk: int = CHUNK_BYTES, level: int = LEVEL) -> dict[str, list]:
-    """The ratio of every whole text (null if empty) and of each of its full chunks."""
+    """The ratio of every whole text (null if empty) and of each of its chunks, the last ``chunk`` bytes among them."""
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
@@ -100,7 +105,10 @@ def compression_features(column: pa.Array, chunk: int = CHUNK_BYTES, level: int
     for raw in column.cast(pa.large_binary()).to_pylist():
         raw = raw or b""
         ratio.append(len(packer.compress(raw)) / len(raw) if raw else None)
-        chunks.append([len(packer.compress(raw[i:i + chunk])) / chunk for i in range(0, len(raw) - chunk + 1, chunk)])
+        starts = [*range(0, len(raw) - chunk + 1, chunk)]
+        if starts and len(raw) % chunk:
+            starts.append(len(raw) - chunk)
+        chunks.append([len(packer.compress(raw[i:i + chunk])) / chunk for i in starts])
     return {"ratio": ratio, "chunk_ratios": chunks}
 
 
@@ -143,6 +151,17 @@ def measure_bands(docs: DataFrame, labels: DataFrame, classes=CLASSES, outside:
     return tuple((k, *bands[k]) for k in sorted(bands) if k), bands.get(0, (0.0, 1.0))
 
 
+def longest_run(flags) -> F.Column:
+    """The length of the longest run of true in an array of booleans."""
+    zero = F.struct(F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("most"))
+
+    def step(a, x):
+        now = F.when(x, a["now"] + 1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(flags, zero, step, lambda a: a["most"])
+
+
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole_bands=WHOLE_BANDS,
                   chunk_share: float = CHUNK_SHARE) -> DataFrame:
     """The features and verdict of every row.
@@ -157,9 +176,10 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     out = (measured(docs, doc_id, text)
            .withColumn("n_chunks", F.size("chunk_ratios").cast("long"))
            .withColumn("low_chunks", F.size(F.filter("chunk_ratios", lambda x: x < CHUNK_BAND[0])).cast("long"))
-           .withColumn("high_chunks", F.size(F.filter("chunk_ratios", lambda x: x > CHUNK_BAND[1])).cast("long")))
-    chunks = F.col("low_chunks") + F.col("high_chunks") <= chunk_share * F.col("n_chunks")
+           .withColumn("high_chunks", F.size(F.filter("chunk_ratios", lambda x: x > CHUNK_BAND[1])).cast("long"))
+           .withColumn("bad_run", longest_run(F.transform("chunk_ratios", lambda x: ~x.between(*CHUNK_BAND)))))
+    chunks = (F.col("low_chunks") + F.col("high_chunks") <= chunk_share * F.col("n_chunks")) & (F.col("bad_run") < CHUNK_RUN)
     return (out.withColumn("in_band", F.coalesce(band, F.lit(True))).withColumn("chunks_in_band", chunks)
             .withColumn("kept", ~F.col("base_failed") & F.col("in_band") & F.col("chunks_in_band"))
             .select("doc_id", "n_bytes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "n_chunks",
-                    "low_chunks", "high_chunks", "base_failed", "in_band", "chunks_in_band", "kept"))
+                    "low_chunks", "high_chunks", "bad_run", "base_failed", "in_band", "chunks_in_band", "kept"))

@@ -1,3 +1,4 @@
+import base64
 import collections
 import math
 import random
@@ -83,6 +84,32 @@ def test_bands_are_measured_on_labelled_good_documents(spark):
         compression.WHOLE_BANDS, compression.CHUNK_BAND)
 
 
+def test_noise_anywhere_in_a_text_is_found(spark):
+    long = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang = 'en'").join(
+        spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality = 1 and toxic = 0"), "doc_id", "left_semi")
+    prose = " ".join(r.text for r in long.orderBy("doc_id").limit(400).collect())
+    assert len(prose) > 450_000
+    rnd = random.Random(3)
+
+    def noise(n):
+        return base64.b64encode(rnd.randbytes(n)).decode()[:n]
+
+    def mixed(before, bad, after=0):
+        return prose[:before] + noise(bad) + prose[before:before + after]
+
+    k = compression.CHUNK_BYTES
+    bad = [mixed(900, 3000), mixed(1000, 900), mixed(2100, 1900), mixed(12_000, 8000), mixed(5 * k, 1500), mixed(60_000, 4 * k, 60_000),
+           mixed(222_000, 3 * k, 222_000)]
+    rows = spark.createDataFrame(list(enumerate([*bad, prose[:1900], prose[:7 * k], prose[:7 * k + 1500]])), "doc_id long, text string")
+    got = {r.doc_id: r for r in compression.quality_rules(rows.coalesce(1)).collect()}
+    for i in range(len(bad)):
+        assert not got[i].kept, got[i]
+    assert [got[i].chunks_in_band for i in (len(bad), len(bad) + 1, len(bad) + 2)] == [True] * 3
+    assert [got[i].n_chunks for i in (len(bad), len(bad) + 1, len(bad) + 2)] == [0, 7, 8]
+    assert got[4].high_chunks == 1 and got[6].bad_run >= 2 and not got[6].chunks_in_band
+    assert got[6].high_chunks + got[6].low_chunks <= compression.CHUNK_SHARE * got[6].n_chunks
+
+
 # ---------------------------------------------------------------- language
 def test_languages_are_told_apart_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
