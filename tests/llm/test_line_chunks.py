@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 import random
 import re
 
@@ -76,3 +77,32 @@ def test_edge_rows(spark, edge, none):
 def test_no_python_in_the_plan(spark, edge):
     plan = line_chunks.drop_repeated_chunks(edge)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def passage_loss(spark, lengths, pairs=1000):
+    """Per passage length: passages in two texts, with ten other lines around each, that lose nothing, and lines removed on average."""
+    rows, of = [], {}
+    for n in lengths:
+        for p in range(pairs):
+            passage = [f"passage {n} {p} line {i}" for i in range(n)]
+            for copy in range(2):
+                own = [f"text {n} {p} {copy} line {i}" for i in range(20)]
+                of[len(rows)] = n
+                rows.append((len(rows), "\n".join(own[:10] + passage + own[10:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    gone = {n: [] for n in lengths}
+    for r in line_chunks.drop_repeated_chunks(df).select("doc_id", "removed_lines").collect():
+        if r.doc_id % 2:
+            gone[of[r.doc_id]].append(r.removed_lines)
+        else:
+            assert r.removed_lines == 0
+    return {n: (100 * sum(x == 0 for x in v) / pairs, sum(v) / pairs) for n, v in gone.items()}
+
+
+def test_readme_states_the_loss_of_short_passages(spark):
+    readme = (pathlib.Path(__file__).parents[2] / "README.md").read_text()
+    stated = {int(n): (float(share), float(lines)) for n, share, lines in
+              re.findall(r"^  \| (\d+) \| ([\d.]+) % \| ([\d.]+) \|$", readme, re.M)}
+    assert {2, 3, 4, 5, 6} <= set(stated)
+    for n, (share, lines) in passage_loss(spark, sorted(stated)).items():
+        assert abs(share - stated[n][0]) < 0.1 and abs(lines - stated[n][1]) < 0.01, (n, share, lines)
