@@ -463,8 +463,7 @@ def classification_report(spark, d):
 def channel_cluster_report(spark, d):
     from murmur.plans import reports
 
-    r = reports.channel_cluster_report(reports.tables_from_fixtures(spark, d), CHANNEL, SENTIMENT, 2, 0)
-    return r["profile"]
+    return reports.report_rows(reports.channel_cluster_report(reports.tables_from_fixtures(spark, d), CHANNEL, SENTIMENT, 2, 0))
 
 
 @register("channel_elbow_report")
@@ -636,8 +635,13 @@ def channel_report_counts(spark, d):
     for name, df in sizes[:5]:
         one = df.select(F.lit(name).alias("part"), "n")
         out = one if out is None else out.unionByName(one)
-    # The sizes of the chosen cluster's parts depend on the fit; their bounds do not.
+    # The sizes of the chosen cluster's parts depend on the fit: each is held against a recount of the
+    # selected rows, and gives the bound that SQL knows only if it is equal.
+    selected, bound = r["selected"], {"similarity": 45, "slice": 50, "top_words": 200}
+    words = text.remove_words(text.token_table(selected), [w.lower() for w in [*tables["stopwords"], *TOP_WORDS_EXTRA_STOPWORDS]])
+    trigrams = text.doc_term_counts(selected, 3).select("gram").distinct().count()
+    want = {"similarity": 45 if selected.count() >= 10 else 0, "slice": min(50, max(0, trigrams - 400)),
+            "top_words": min(200, words.select("token").distinct().count())}
     for name, df in sizes[5:]:
-        bound = {"similarity": 45, "slice": 50, "top_words": 200}[name]
-        out = out.unionByName(df.select(F.lit(name).alias("part"), F.when(F.col("n").between(0, bound), F.lit(bound)).cast("long").alias("n")))
+        out = out.unionByName(df.select(F.lit(name).alias("part"), F.when(F.col("n") == want[name], F.lit(bound[name])).cast("long").alias("n")))
     return out

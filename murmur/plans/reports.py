@@ -83,6 +83,33 @@ def channel_cluster_report(tables: dict, channel: str, sentiment, k: int, cluste
     return out
 
 
+def report_rows(r: dict) -> DataFrame:
+    """All parts of a cluster report in one long table (part, name, n, x, y).
+
+    profile: label, comments, mean coordinates. centres: label, coordinates.
+    trigram_count: n. trigram_slice: gram. chunks: chunk, times, x its tokens.
+    top_words: word, times. similarity: places and keys, inner product and
+    the value shown; no rows if the cluster has too few comments.
+    """
+    def part(name, df, key=None, n=None, x=None, y=None):
+        def value(c, kind):
+            return (F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c).cast(kind)
+        return df.select(F.lit(name).alias("part"), value(key, "string").alias("name"), value(n, "long").alias("n"),
+                         value(x, "double").alias("x"), value(y, "double").alias("y"))
+
+    out = part("profile", r["profile"], "clusters", "n_comments", "avg_polarity", "avg_subjectivity")
+    rest = [part("centres", r["centres"], "clusters", None, "polarity", "subjectivity"),
+            part("trigram_count", r["trigram_count"], None, "n_trigrams"),
+            part("trigram_slice", r["trigram_slice"], "gram"),
+            part("chunks", r["chunks"], "chunk", "n", "n_tokens"),
+            part("top_words", r["top_words"], "token", "count")]
+    if r["similarity"] is not None:
+        rest.append(part("similarity", r["similarity"], F.concat_ws(",", "i", "j", "key_i", "key_j"), None, "inner_product", "shown"))
+    for df in rest:
+        out = out.unionByName(df)
+    return out
+
+
 def channel_elbow_report(tables: dict, channel: str, sentiment, cap: int | None = None, seed=0,
                          ks=range(1, 11), starts: int = 10) -> dict:
     """Entry C: select and score as above, then WCSS for k = 1..10."""

@@ -24,6 +24,32 @@ def test_channel_cluster_report(spark, tables):
         reports.channel_cluster_report(tables, "ch1", 1, 3, 7, starts=1)
 
 
+def test_registered_cluster_report_has_all_parts(spark, tables):
+    from murmur.operators import text
+    from murmur.plans import catalog
+
+    seen = {}
+    made = reports.channel_cluster_report
+
+    def keep(*a, **b):
+        seen.update(made(*a, **b, starts=2))
+        return seen
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(reports, "channel_cluster_report", keep)
+        rows = catalog.QUERIES["channel_cluster_report"](spark, SF).collect()
+    part = {p: [r for r in rows if r.part == p] for p in ("profile", "centres", "trigram_count", "trigram_slice", "chunks", "top_words", "similarity")}
+    assert sum(map(len, part.values())) == len(rows) and all(part.values())
+    selected = seen["selected"]
+    grams = sorted(r.gram for r in text.doc_term_counts(selected, 3).select("gram").distinct().collect())
+    assert part["trigram_count"][0].n == len(grams)
+    assert sorted(r.name for r in part["trigram_slice"]) == grams[400:450]
+    assert sum(r.n for r in part["chunks"]) == text.np_chunks(selected, tables["tag_lexicon"]).count()
+    words = {(r.token, r.n) for r in text.token_table(selected).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    assert len(part["top_words"]) == 200 and {(r.name, r.n) for r in part["top_words"]} <= words
+    assert len(part["similarity"]) == 45
+
+
 def test_channel_elbow_report(spark, tables):
     e = reports.channel_elbow_report(tables, "ch2", 1, ks=range(1, 5), starts=2)["elbow"].orderBy("k").collect()
     w = [r["wcss"] for r in e]
