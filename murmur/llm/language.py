@@ -7,7 +7,8 @@ n-gram vectors, a language the sum of its texts, each with the same weight.
 A text gets the language whose sum has the greatest cosine with its own.
 
 Sums are kept in whole numbers, so the profiles do not depend on the order
-in which tasks add up.
+in which tasks add up. A text's weight is so large that an n-gram seen once
+counts in any text of under 2^31 letters; 2^33 texts a language fit.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from murmur.llm.common import byte_slices, per_slice, stored, texts_of, without,
 from murmur.llm.flat import code_points, mix64, text_of
 
 #: Components of a vector, letters of an n-gram, and the weight of one text.
-SIZE, ORDER, WEIGHT = 1024, 3, 1 << 20
+SIZE, ORDER, WEIGHT = 1024, 3, 1 << 30
 #: Languages that the driver may hold profiles of (SIZE numbers each).
 MAX_LANGUAGES = 5000
 GAP = 0x20

@@ -111,6 +111,15 @@ def test_noise_anywhere_in_a_text_is_found(spark):
 
 
 # ---------------------------------------------------------------- language
+def test_rare_ngrams_of_a_very_long_text_stay_in_the_profile(spark):
+    text = "abc" * 800_000 + " xyz"
+    got = language.profiles(spark.createDataFrame([(text, "a")], "text string, lang string"), "text", "lang")["a"]
+    grams, counts = language.gram_counts([text], language.letter_table())
+    exact = (counts[0] / counts[0].sum()) @ language.gram_vectors(grams).astype(float)
+    assert counts[0].sum() > 1 << 21 and (counts[0] == 1).any()
+    assert np.abs(got / language.WEIGHT - exact).max() < 1e-7
+
+
 def test_languages_are_told_apart_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
