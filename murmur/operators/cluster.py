@@ -24,6 +24,8 @@ from murmur.schemas import CLUSTERS, POLARITY, SUBJECTIVITY
 from murmur.session import cut_lineage
 
 DEFAULT_COLS = (POLARITY, SUBJECTIVITY)
+#: Centres that move by at most this count as standing still, in every fit.
+TOL = 0.0
 
 
 def _sq_dist(cols, centre):
@@ -72,7 +74,7 @@ def _fit_once(points: DataFrame, cols, k: int, seed: int, max_iter: int, tol: fl
 
 
 def fit_kmeans(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, k: int = 3, starts: int = 10,
-               max_iter: int = 300, seed: int = 0, tol: float = 0.0):
+               max_iter: int = 300, seed: int = 0, tol: float = TOL):
     """Best of ``starts`` seeded Spark ML k-means runs on the weighted distinct points.
 
     Returns (centres sorted by coordinates, within-cluster sum of squares).
@@ -82,7 +84,7 @@ def fit_kmeans(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, k: int = 3, st
 
 
 def fit_kmeans_many(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, ks=(3,), starts: int = 10,
-                    max_iter: int = 300, seed: int = 0, tol: float = 0.0, parallelism: int = 16,
+                    max_iter: int = 300, seed: int = 0, tol: float = TOL, parallelism: int = 16,
                     points: DataFrame | None = None) -> dict:
     """{k: (sorted centres, cost)} for several k from one grouping pass.
 
@@ -149,9 +151,8 @@ def wcss_k1(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, decimals: int | N
 
 
 def elbow(df: DataFrame, cols: Sequence[str] = DEFAULT_COLS, ks=range(1, 11), starts: int = 10,
-          seed: int = 0, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
-    """(k, wcss) for each k, from one grouping pass. Centres that move by at
-    most ``tol`` count as standing still (scores have 2 decimals)."""
+          seed: int = 0, max_iter: int = 300, tol: float = TOL) -> DataFrame:
+    """(k, wcss) for each k, from one grouping pass, as ``fit_kmeans`` gives it."""
     fits = fit_kmeans_many(df, cols, list(ks), starts, max_iter, seed, tol)
     return df.sparkSession.createDataFrame([(int(k), float(fits[k][1])) for k in ks], "k int, wcss double")
 

@@ -46,6 +46,12 @@ def test_kmeans_partition_independent(spark):
     assert np.allclose(a[0], b[0]) and abs(a[1] - b[1]) < 1e-9
 
 
+def test_elbow_and_fit_stop_at_the_same_tolerance():
+    import inspect
+
+    assert {inspect.signature(f).parameters["tol"].default for f in (cluster.elbow, cluster.fit_kmeans, cluster.fit_kmeans_many)} == {cluster.TOL}
+
+
 def test_elbow_k1_closed_form_and_monotone(spark):
     df = _points(spark)
     e = cluster.elbow(df, ks=range(1, 6), starts=3).orderBy("k").collect()
