@@ -8,6 +8,8 @@ polynomial over random per-symbol values, from one prefix sum over the slice.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -113,3 +115,30 @@ def windows(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.
     owner = text_of(np.arange(n), offsets)
     whole = np.arange(n) + k <= offsets[owner + 1]
     return out[whole], owner[whole]
+
+
+def long_cuts(raw: bytes, limit: int, cut) -> Iterator[bytes]:
+    """``raw`` in pieces of about ``limit`` bytes, each ending after a match of the pattern ``cut``."""
+    a = 0
+    while len(raw) - a > limit:
+        found = cut.search(raw, a + limit)
+        if not found:
+            break
+        yield raw[a:found.end()]
+        a = found.end()
+    yield raw[a:] if a else raw
+
+
+def text_units(column: pa.Array, cut, limit: int = 1 << 20) -> Iterator[list[tuple[int, bytes]]]:
+    """Lists of (row, bytes) of about ``limit`` bytes: short texts whole, long ones in pieces cut after ``cut``."""
+    unit, held = [], 0
+    for row in range(len(column)):
+        text = column[row].as_py()
+        for piece in long_cuts(text.encode("utf-8") if text else b"", limit, cut):
+            unit.append((row, piece))
+            held += len(piece)
+            if held >= limit:
+                yield unit
+                unit, held = [], 0
+    if unit:
+        yield unit

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import line_chunks, minhash, winnowing
+from murmur.llm import aho_resample, line_chunks, minhash, winnowing
 from murmur.llm.common import table
 from murmur.llm.compression import quality_rules
 from murmur.llm.histogram_sort import shard_digest
 from murmur.llm.importance import importance_sample
 from murmur.llm.language import identify
 from murmur.llm.minhash import near_duplicates
+from murmur.llm.periodic_runs import run_digest
 from murmur.llm.pieces import piece_digest
+from murmur.llm.syncmers import syncmer_digest
 from murmur.llm.token_counts import count_tokens
 from murmur.llm.token_files import token_digest
 
@@ -74,8 +76,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_dictionary_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, resampled towards the benchmark's words."""
+    return aho_resample.target_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its half-edited text, and how alike they and the next text's are."""
+    return syncmer_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text's words, planted ones among them, and what is left without repeats."""
+    return run_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_importance_sample, op2_token_files, op3_winnowing, op4_line_chunks, op5_compression_bands, op6_language, op7_near_duplicates,
-    op8_histogram_shards, op9_pieces, op10_token_counts)}
+    op8_histogram_shards, op9_pieces, op10_token_counts, op11_dictionary_resample,
+    op12_closed_syncmers, op13_periodic_runs)}
 
-ORACLE = {"op3_winnowing": winnowing.SQL, "op4_line_chunks": line_chunks.SQL, "op7_near_duplicates": minhash.SQL}
+ORACLE = {"op3_winnowing": winnowing.SQL, "op4_line_chunks": line_chunks.SQL, "op7_near_duplicates": minhash.SQL,
+          "op11_dictionary_resample": aho_resample.SQL}
