@@ -295,6 +295,15 @@ def kmeans_sentiment(spark, d):
     return cluster.assign(scored, centres).select("comment_id", "polarity", "subjectivity", "clusters")
 
 
+@register("kmeans_seeds")
+def kmeans_seeds(spark, d):
+    """The k-means++ draws of ten starts, and the cost of the centres drawn so far."""
+    points = cluster.prepared_points(fx.fx_scored(spark, d))
+    rows = [(start, place, c[0] / 100, c[1] / 100, w / 10_000) for start, (centres, costs) in enumerate(cluster.seed_centres(points, 10, 10, SEED))
+            for place, (c, w) in enumerate(zip(centres, costs))]
+    return spark.createDataFrame(rows, "start int, place int, polarity double, subjectivity double, cost double")
+
+
 @register("wcss_k1")
 def wcss_k1(spark, d):
     w = cluster.wcss_k1(fx.fx_scored(spark, d))
@@ -303,7 +312,8 @@ def wcss_k1(spark, d):
 
 @register("kmeans_elbow")
 def kmeans_elbow(spark, d):
-    return cluster.elbow(fx.fx_scored(spark, d), ks=range(1, 11), starts=10, seed=SEED)
+    e = cluster.elbow(fx.fx_scored(spark, d), ks=range(1, 11), starts=10, seed=SEED)
+    return e.withColumn("wcss", MF.round_half_away("wcss", 9))
 
 
 @register("cluster_profile")
@@ -533,8 +543,8 @@ def elbow_check(spark, d):
     from pyspark.sql import Window
 
     scored = fx.fx_scored(spark, d)
-    e = cluster.elbow(scored, ks=range(1, 6), starts=5, seed=SEED)
-    before = F.lag("wcss").over(Window.orderBy("k"))  # five rows
+    e = cluster.elbow(scored, ks=range(1, 11), starts=10, seed=SEED)
+    before = F.lag("wcss").over(Window.orderBy("k"))  # ten rows
     one = cluster.wcss_k1(scored).select(F.col("wcss").alias("exact"))
     return e.withColumn("falls", F.coalesce(F.col("wcss") <= before + 1e-9, F.lit(True))).crossJoin(one).select(
         "k", "falls", F.when(F.col("k") == 1, F.abs(F.col("wcss") - F.col("exact")) < 1e-6).otherwise(F.lit(True)).alias("exact_k1"),

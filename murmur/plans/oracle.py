@@ -533,7 +533,64 @@ ORACLE["kmeans_check"] = """
 SELECT count(*) AS n, count(DISTINCT doc_id) AS n_ids, count(*) AS n_nearest, CAST(3 AS BIGINT) AS n_centres_mean FROM documents"""
 
 ORACLE["elbow_check"] = "WITH one AS (" + ORACLE["wcss_k1"] + """)
-SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS k, TRUE AS falls, TRUE AS exact_k1, wcss AS wcss_k1 FROM one"""
+SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS k, TRUE AS falls, TRUE AS exact_k1, wcss AS wcss_k1 FROM one"""
+
+
+def kmeans_sql(source: str, seed: int, starts: int, ks: list[int]) -> str:
+    """CTEs of k-means over ``source``'s (polarity, subjectivity): km_draw (one start's draws and their costs),
+    km_run (every round of every run), km_best (each k's best run). Coordinates are whole hundredths."""
+    ctes = [f"""
+km_points AS (SELECT CAST(round(polarity * 100) AS BIGINT) AS x0, CAST(round(subjectivity * 100) AS BIGINT) AS x1, count(*) AS n
+              FROM {source} GROUP BY ALL),
+km_far0 AS (SELECT s.start, p.*, CAST(1 AS DOUBLE) AS far FROM km_points p, range({starts}) s(start))"""]
+    for j in range(max(ks)):
+        ctes.append(f"""
+km_next{j} AS (
+  SELECT start, x0, x1 FROM km_far{j} WHERE far > 0
+  QUALIFY row_number() OVER (PARTITION BY start ORDER BY
+    -ln((('0x' || md5(x0 || '|' || x1 || '|' || (start + {seed}) || '|{j}')[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / (n * far),
+    x0, x1) = 1),
+km_far{j + 1} AS (
+  SELECT f.start, f.x0, f.x1, f.n, CAST(least({'f.far, ' if j else ''}(f.x0 - c.x0) * (f.x0 - c.x0) + (f.x1 - c.x1) * (f.x1 - c.x1)) AS DOUBLE) AS far
+  FROM km_far{j} f JOIN km_next{j} c USING (start))""")
+    draws = " UNION ALL ".join(f"SELECT {j} AS place, start, x0, x1, (SELECT sum(n * far) FROM km_far{j + 1} f WHERE f.start = c.start) AS cost FROM km_next{j} c"
+                               for j in range(max(ks)))
+    return ",".join(ctes) + f""",
+km_draw AS ({draws}),
+km_seed AS (SELECT start, list([CAST(x0 AS DOUBLE), CAST(x1 AS DOUBLE)] ORDER BY place) AS cs FROM km_draw GROUP BY start),
+km_run AS (
+  SELECT k, start, 0 AS round, cs[1:k] AS cs, FALSE AS still, CAST(NULL AS DOUBLE) AS cost FROM km_seed, (SELECT unnest({ks}) AS k)
+  UNION ALL
+  SELECT k, start, round + 1, moved, moved = cs, cost FROM (
+    SELECT k, start, any_value(round) AS round, any_value(cs) AS cs, sum(cost) AS cost,
+           list_transform(any_value(cs), lambda c, j: coalesce(map_from_entries(list(struct_pack(k := label, v := mean)))[j], c)) AS moved
+    FROM (SELECT k, start, label, any_value(round) AS round, any_value(cs) AS cs, sum(n * far) AS cost,
+                 [CAST(sum(n * x0) AS DOUBLE) / CAST(sum(n) AS DOUBLE), CAST(sum(n * x1) AS DOUBLE) / CAST(sum(n) AS DOUBLE)] AS mean
+          FROM (SELECT *, list_min(d) AS far, list_position(d, list_min(d)) AS label
+                FROM (SELECT r.k, r.start, r.round, r.cs, p.*,
+                             list_transform(r.cs, lambda c: (p.x0 - c[1]) * (p.x0 - c[1]) + (p.x1 - c[2]) * (p.x1 - c[2])) AS d
+                      FROM km_run r, km_points p WHERE NOT r.still))
+          GROUP BY k, start, label)
+    GROUP BY k, start)),
+km_best AS (
+  SELECT k, cost / 10000 AS wcss, list_sort(list_transform(cs, lambda c: [c[1] / 100, c[2] / 100])) AS centres FROM km_run WHERE still
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(cost / 10000, 9), list_sort(cs)) = 1)"""
+
+
+def nearest_sql(x: str, y: str, centres: str) -> str:
+    d = f"list_transform({centres}, lambda c: ({x} - c[1]) * ({x} - c[1]) + ({y} - c[2]) * ({y} - c[2]))"
+    return f"CAST(list_position({d}, list_min({d})) - 1 AS INTEGER)"
+
+
+_KMEANS_SEED = 0
+ORACLE["kmeans_seeds"] = with_(FX_COMMENTS, FX_SCORED, kmeans_sql("fx_scored", _KMEANS_SEED, 10, [10])).replace("WITH", "WITH RECURSIVE", 1) + """
+SELECT CAST(start AS INTEGER) AS start, CAST(place AS INTEGER) AS place, x0 / 100 AS polarity, x1 / 100 AS subjectivity,
+       cost / 10000 AS cost FROM km_draw"""
+ORACLE["kmeans_sentiment"] = with_(FX_COMMENTS, FX_SCORED, kmeans_sql("fx_scored", _KMEANS_SEED, 10, [3])).replace("WITH", "WITH RECURSIVE", 1) + f"""
+SELECT comment_id, polarity, subjectivity, {nearest_sql('polarity', 'subjectivity', 'centres')} AS clusters FROM fx_scored, km_best"""
+ORACLE["kmeans_elbow"] = with_(FX_COMMENTS, FX_SCORED, kmeans_sql("fx_scored", _KMEANS_SEED, 10, list(range(1, 11)))).replace(
+    "WITH", "WITH RECURSIVE", 1) + """
+SELECT CAST(k AS INTEGER) AS k, floor(wcss * 1000000000::DOUBLE + 0.5::DOUBLE) / 1000000000::DOUBLE AS wcss FROM km_best"""
 
 FX_TITLED_MEASURES = """
 fx_titled AS (SELECT s.* FROM fx_scored s JOIN fx_titles t ON s.videoID = t.videoID),

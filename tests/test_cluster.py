@@ -76,3 +76,74 @@ def test_no_more_points_than_k_costs_nothing(spark):
 def test_one_distinct_point(spark):
     df = spark.createDataFrame([(0.1, 0.2)] * 3, "polarity double, subjectivity double")
     assert [r["wcss"] for r in cluster.elbow(df, ks=range(1, 4), starts=1).collect()] == [0.0, 0.0, 0.0]
+
+
+def _brute_lloyd(points, centres):
+    """Plain rounds over (x, y, n) until the centres stand still: (centres, cost)."""
+    while True:
+        groups = {}
+        cost = 0.0
+        for x, y, n in points:
+            d = [(x - a) * (x - a) + (y - b) * (y - b) for a, b in centres]
+            j = d.index(min(d))
+            cost += n * d[j]
+            groups.setdefault(j, []).append((x, y, n))
+        new = list(centres)
+        for j, rows in groups.items():
+            w = sum(n for *_, n in rows)
+            new[j] = (sum(n * x for x, _, n in rows) / w, sum(n * y for _, y, n in rows) / w)
+        if new == centres:
+            return centres, cost
+        centres = new
+
+
+def test_shared_rounds_equal_single_runs(spark):
+    pts = cluster.prepared_points(_points(spark, 250, 11))
+    rows = [tuple(r) for r in pts.collect()]
+    seeds = cluster.seed_centres(pts, 6, 4, seed=3)
+    fits = cluster.lloyd(pts, {(k, i): c[:k] for k in (1, 2, 4, 6) for i, (c, _) in enumerate(seeds)})
+    for (k, i), (centres, cost) in fits.items():
+        want, brute = _brute_lloyd(rows, [tuple(map(float, c)) for c in seeds[i][0][:k]])
+        assert centres == want and abs(cost - brute) < 1e-6 * max(1, brute)
+
+
+def test_seeds_equal_the_drawing_rule(spark):
+    import hashlib
+    import math
+
+    pts = cluster.prepared_points(_points(spark, 120, 5))
+    rows = [tuple(r) for r in pts.collect()]
+    for i, (centres, costs) in enumerate(cluster.seed_centres(pts, 5, 3, seed=7)):
+        chosen = []
+        for place in range(5):
+            keys = []
+            for x, y, n in rows:
+                far = min((x - a) ** 2 + (y - b) ** 2 for a, b in chosen) if chosen else 1
+                u = (int(hashlib.md5(f"{x}|{y}|{i + 7}|{place}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+                if far > 0:
+                    keys.append((-math.log(u) / (n * far), x, y))
+            chosen.append(min(keys)[1:])
+            assert costs[place] == sum(n * min((x - a) ** 2 + (y - b) ** 2 for a, b in chosen) for x, y, n in rows)
+        assert centres == chosen
+
+
+def test_first_draw_follows_the_weights(spark):
+    df = spark.createDataFrame([(0.0, 0.0)] * 60 + [(0.5, 0.5)] * 30 + [(1.0, 1.0)] * 10, "polarity double, subjectivity double")
+    firsts = [c[0][0] for c, _ in cluster.seed_centres(cluster.prepared_points(df), 1, 400)]
+    shares = [firsts.count(x) / 400 for x in (0, 50, 100)]
+    assert abs(shares[0] - 0.6) < 0.08 and abs(shares[1] - 0.3) < 0.08 and abs(shares[2] - 0.1) < 0.06
+
+
+def test_missing_coordinates_empty_table_and_raw_points(spark):
+    df = spark.createDataFrame([(0.1, None), (0.1, 0.2), (None, 0.2), (0.3, 0.2)], "polarity double, subjectivity double")
+    assert cluster.fit_kmeans(df, k=2, starts=1) == ([(0.1, 0.2), (0.3, 0.2)], 0.0)
+    assert cluster.fit_kmeans(df.limit(0), k=2, starts=1) == ([], 0.0)
+    raw = spark.createDataFrame([(0.12345, 0.5), (0.12351, 0.5), (0.9, 0.1)], "polarity double, subjectivity double")
+    centres, cost = cluster.fit_kmeans(raw, k=2, starts=3, decimals=None)
+    assert np.allclose(centres, [(0.12348, 0.5), (0.9, 0.1)]) and abs(cost - 2 * 0.00003 ** 2) < 1e-12
+
+
+def test_starts_do_not_depend_on_row_order(spark):
+    df = _points(spark, 200, 9)
+    a, b = (cluster.fit_kmeans_many(x, ks=(2, 5), starts=4) for x in (df.repartition(7), df.orderBy(df.comment_id.desc()).coalesce(1)))
+    assert a == b
