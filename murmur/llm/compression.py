@@ -9,19 +9,25 @@ its own band. A text is kept when its whole ratio lies in its band, the share
 of its chunks outside theirs and their longest run stay within the limits,
 and no base rule failed.
 
-The bands are what ``measure_bands`` finds on labelled good documents: their
-outer quantiles, widened by a margin.
+The bands are a parameter. Where the caller gives none, they are learned from
+the labels that come with the documents: the outer quantiles of the ratios of
+all labelled good documents, widened by a margin. All ratios are measured
+once, in one pass over the texts; bands and verdicts come from that table.
 """
 
 from __future__ import annotations
 
+import re
+from hashlib import blake2b
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import per_slice
-from murmur.llm.flat import byte_texts, counts_to_offsets, hash_spans, spans, symbol_values, text_of, windows
+from murmur.llm.common import SLICE_BYTES, per_slice, stored
+from murmur.llm.flat import byte_texts, counts_to_offsets, hash_spans, long_cuts, spans, symbol_values, text_of, windows
 
 CHUNK_BYTES = 2048
 LEVEL = 3
@@ -29,15 +35,23 @@ LEVEL = 3
 CLASSES = (200, 400, 600, 800, 1000, 1400, 2000, 3000, 5000, 10000, 20000)
 #: The share of labelled good ratios that lies below, and above, a band before it is widened by MARGIN at both ends.
 OUTSIDE, MARGIN = 0.001, 0.01
-#: (shortest length in bytes, least and greatest ratio) of whole texts: measure_bands on check_s.
-WHOLE_BANDS = ((200, 0.511, 0.752), (400, 0.52, 0.732), (600, 0.507, 0.668), (800, 0.489, 0.634), (1000, 0.476, 0.61),
-               (1400, 0.463, 0.568), (2000, 0.447, 0.55), (3000, 0.431, 0.524), (5000, 0.415, 0.493), (10000, 0.4, 0.464),
-               (20000, 0.383, 0.45))
-#: The band of a chunk (measured likewise), and the greatest share of chunks outside it.
-CHUNK_BAND, CHUNK_SHARE = (0.459, 0.55), 0.02
+#: Ratios that a class needs for a band of its own; texts of a class with fewer are judged by their chunks alone.
+LEAST_RATIOS = 30
+#: The greatest share of chunks outside the band of chunks.
+CHUNK_SHARE = 0.02
 #: So many neighbouring chunks outside the band fail a text, however long it is.
 CHUNK_RUN = 2
 SYMBOLS = b"#*$%&|<>"
+CUT = re.compile(rb"[\x20\x09-\x0D]")
+
+
+class Bands(NamedTuple):
+    """(shortest length in bytes, least and greatest ratio) per class of whole texts, and (least, greatest) of a chunk.
+
+    A class without a band has None for both; texts below the first class have none."""
+
+    whole: tuple
+    chunk: tuple
 
 
 def base_features(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -80,6 +94,38 @@ def base_features(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
             "n_repeat_words": n_repeat}
 
 
+def long_features(raw: bytes, step: int) -> dict[str, np.ndarray]:
+    """``base_features`` of one long text, in pieces: what is held for the whole text is a hash per word and per line."""
+    blank = np.zeros(256, bool)
+    blank[[0x20, *range(0x09, 0x0E)]] = True
+    table, hashes = symbol_values(5), []
+    word_chars = n_symbols = 0
+    for piece in long_cuts(raw, step, CUT):
+        part, offsets = np.frombuffer(piece, np.uint8), np.array([0, len(piece)])
+        starts, ends = spans(~blank[part], offsets)
+        hashes.append(hash_spans(table[part], starts, ends))
+        word_chars += int((((part & 0xC0) != 0x80) & ~blank[part]).sum())
+        n_symbols += sum(piece.count(SYMBOLS[i:i + 1]) for i in range(len(SYMBOLS)))
+    words = np.concatenate(hashes)
+    lines, a = [], 0
+    held = memoryview(raw)
+    while a <= len(raw):
+        b = raw.find(b"\n", a)
+        b = len(raw) if b < 0 else b
+        if raw[a:b].strip(b"\x20\x09\x0A\x0B\x0C\x0D"):
+            lines.append(int.from_bytes(blake2b(held[a:b], digest_size=8).digest(), "little"))
+        a = b + 1
+    line = np.array(lines, np.uint64)
+    n_dup = len(line) - len(np.unique(line))
+    h, _ = windows(words, np.array([0, len(words)]), 3)
+    again = np.flatnonzero(twice(h, np.zeros(len(h), np.int64)))
+    covered = np.zeros(len(words) + 3, bool)
+    for j in range(3):
+        covered[again + j] = True
+    values = {"n_words": len(words), "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": int(covered.sum())}
+    return {name: np.array([value]) for name, value in values.items()}
+
+
 def twice(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Whether an item's hash occurs twice or more under its owner."""
     order = np.lexsort((h, owner))
@@ -112,43 +158,49 @@ def compression_features(column: pa.Array, chunk: int = CHUNK_BYTES, level: int
     return {"ratio": ratio, "chunk_ratios": chunks}
 
 
-def measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The base counts, ratios and base verdict of every row."""
+def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", step: int = SLICE_BYTES) -> DataFrame:
+    """The base counts, ratios and base verdict of every row; a text longer than ``step`` bytes is counted in pieces."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()),
                         ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
                         ("ratio", pa.float64()), ("chunk_ratios", pa.list_(pa.float64()))])
 
     def measure(batch):
         raw, offsets = byte_texts(batch.column("text"))
-        return ({"doc_id": batch.column("doc_id"), "n_bytes": np.diff(offsets)} | base_features(raw, offsets)
+        long = batch.num_rows == 1 and len(raw) > step
+        return ({"doc_id": batch.column("doc_id"), "n_bytes": np.diff(offsets)} | (long_features(raw.tobytes(), step) if long else base_features(raw, offsets))
                 | compression_features(batch.column("text")))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(per_slice(measure, schema),
+    out = rows.mapInArrow(per_slice(measure, schema, limit=step),
                           "doc_id long, n_bytes long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                           "n_repeat_words long, ratio double, chunk_ratios array<double>")
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def measure_bands(docs: DataFrame, labels: DataFrame, classes=CLASSES, outside: float = OUTSIDE,
-                  margin: float = MARGIN) -> tuple[tuple, tuple]:
-    """(WHOLE_BANDS, CHUNK_BAND) of the labelled good, non-toxic documents that pass the base rules.
+def learn_bands(measures: DataFrame, labels: DataFrame | None, classes=CLASSES, outside: float = OUTSIDE, margin: float = MARGIN,
+                least: int = LEAST_RATIOS) -> Bands:
+    """The bands of labelled good, non-toxic documents that pass the base rules.
 
-    Quantiles are exact over ratios of four decimals, so their state does
-    not grow with the rows. A class without such a document has no band of
-    its own and takes the one of the class before it.
+    ``measures`` is what ``measured`` gives. Without such a label, all documents
+    that pass the base rules take their place. Quantiles are exact over ratios
+    of four decimals, so their state does not grow with the rows; a class (or
+    the chunks) with fewer than ``least`` ratios has no band.
     """
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
-    rows = measured(docs.join(good, "doc_id", "left_semi"), "doc_id", "text").filter(~F.col("base_failed"))
+    rows = measures.filter(~F.col("base_failed"))
+    if labels is not None:
+        good = (labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+                .agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("doc_id"))
+        labelled = rows.join(good, "doc_id", "left_semi")
+        rows = labelled if not labelled.isEmpty() else rows
     kind = F.lit(None).cast("int")
     for shortest in classes:
         kind = F.when(F.col("n_bytes") >= shortest, shortest).otherwise(kind)
     whole = rows.select(kind.alias("kind"), F.col("ratio").alias("x")).filter("kind is not null")
     chunks = rows.select(F.lit(0).alias("kind"), F.explode("chunk_ratios").alias("x"))
     found = (whole.unionByName(chunks).groupBy("kind")
-             .agg(F.percentile(F.round("x", 4), F.array(F.lit(outside), F.lit(1 - outside))).alias("q")).collect())
-    bands = {r.kind: (round(r.q[0] - margin, 3), round(r.q[1] + margin, 3)) for r in found}
-    return tuple((k, *bands[k]) for k in sorted(bands) if k), bands.get(0, (0.0, 1.0))
+             .agg(F.count("*").alias("n"), F.percentile(F.round("x", 4), F.array(F.lit(outside), F.lit(1 - outside))).alias("q")).collect())
+    bands = {r["kind"]: (round(r["q"][0] - margin, 4), round(r["q"][1] + margin, 4)) for r in found if r["n"] >= least}
+    return Bands(tuple((k, *bands.get(k, (None, None))) for k in sorted(classes)), bands.get(0, (0.0, float("inf"))))
 
 
 def longest_run(flags) -> F.Column:
@@ -162,24 +214,36 @@ def longest_run(flags) -> F.Column:
     return F.aggregate(flags, zero, step, lambda a: a["most"])
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole_bands=WHOLE_BANDS,
-                  chunk_share: float = CHUNK_SHARE) -> DataFrame:
-    """The features and verdict of every row.
-
-    A null text has no words, so it fails the base rule, as an empty or
-    white one does. Repeated rows are judged each; an empty table gives an
-    empty result. Whole texts are compressed, however long.
-    """
+def judged(measures: DataFrame, bands: Bands, chunk_share: float = CHUNK_SHARE, chunk_run: int = CHUNK_RUN) -> DataFrame:
+    """The features of ``measured`` and the verdict that ``bands`` give."""
     band = F.lit(True)
-    for shortest, low, high in whole_bands:
-        band = F.when(F.col("n_bytes") >= shortest, F.col("ratio").between(low, high)).otherwise(band)
-    out = (measured(docs, doc_id, text)
-           .withColumn("n_chunks", F.size("chunk_ratios").cast("long"))
-           .withColumn("low_chunks", F.size(F.filter("chunk_ratios", lambda x: x < CHUNK_BAND[0])).cast("long"))
-           .withColumn("high_chunks", F.size(F.filter("chunk_ratios", lambda x: x > CHUNK_BAND[1])).cast("long"))
-           .withColumn("bad_run", longest_run(F.transform("chunk_ratios", lambda x: ~x.between(*CHUNK_BAND)))))
-    chunks = (F.col("low_chunks") + F.col("high_chunks") <= chunk_share * F.col("n_chunks")) & (F.col("bad_run") < CHUNK_RUN)
+    for shortest, low, high in sorted(bands.whole):
+        band = F.when(F.col("n_bytes") >= shortest, F.lit(True) if low is None else F.col("ratio").between(low, high)).otherwise(band)
+    low, high = bands.chunk
+    out = (measures.withColumn("n_chunks", F.size("chunk_ratios").cast("long"))
+           .withColumn("low_chunks", F.size(F.filter("chunk_ratios", lambda x: x < low)).cast("long"))
+           .withColumn("high_chunks", F.size(F.filter("chunk_ratios", lambda x: x > high)).cast("long"))
+           .withColumn("bad_run", longest_run(F.transform("chunk_ratios", lambda x: ~x.between(low, high)))))
+    chunks = (F.col("low_chunks") + F.col("high_chunks") <= chunk_share * F.col("n_chunks")) & (F.col("bad_run") < chunk_run)
     return (out.withColumn("in_band", F.coalesce(band, F.lit(True))).withColumn("chunks_in_band", chunks)
             .withColumn("kept", ~F.col("base_failed") & F.col("in_band") & F.col("chunks_in_band"))
             .select("doc_id", "n_bytes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "n_chunks",
                     "low_chunks", "high_chunks", "bad_run", "base_failed", "in_band", "chunks_in_band", "kept"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text",
+                  bands: Bands | None = None, chunk_share: float = CHUNK_SHARE, chunk_run: int = CHUNK_RUN) -> DataFrame:
+    """The features and verdict of every row, by ``bands`` or those learned from ``labels``.
+
+    A null text has no words, so it fails the base rule, as an empty or
+    white one does. Repeated rows are judged each; null ids are judged but
+    have no label; an empty table gives an empty result. Whole texts are
+    compressed, however long; one of more than a megabyte is counted in
+    pieces. A ratio at the edge of a band lies in it. Columns of ``docs`` other
+    than the two named ones play no part, whatever their names.
+    """
+    measures = measured(docs, doc_id, text)
+    if bands is None:
+        measures = stored(measures, "ratios")
+        bands = learn_bands(measures, labels)
+    return judged(measures, bands, chunk_share, chunk_run)

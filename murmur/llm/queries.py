@@ -47,8 +47,8 @@ def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts, compression ratios and verdict of every text."""
-    return quality_rules(table(spark, sf_dir, "documents"))
+    """Base counts, compression ratios and verdict of every text, by bands learned from the labels."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
