@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.text import ngrams, tokens_cased, tokens_lower
 from murmur.operators.common import constant_lookup, small_side, word_list_df
+from murmur.operators.rank import sorted_places
 from murmur.schemas import COMMENT_ID, DEFAULT_TAG, NP_TAG_PATTERN, TEXT
 
 
@@ -68,6 +69,45 @@ def doc_term_counts(df: DataFrame, n: int = 1, text: str = TEXT, key: str = COMM
     return ex.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("count"))
 
 
+def vocabulary_ids(df: DataFrame, n: int = 1, text: str = TEXT) -> DataFrame:
+    """(id, gram): every distinct n-gram with its column number, 0 to n - 1 in sorted order.
+
+    The grams are range-partitioned and sorted; a gram's number is its place
+    in its partition plus the rows of the partitions before it, so no task
+    sees the whole vocabulary."""
+    placed = sorted_places(vocabulary(df, n, text), ["gram"])
+    before = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    offsets = (placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_pid", F.coalesce(before, F.lit(0)).alias("_before")))
+    return placed.join(F.broadcast(offsets), "_pid").select((F.col("_before") + F.col("_li")).alias("id"), "gram")
+
+
+def document_vectors(df: DataFrame, vocab: DataFrame, n: int = 1, text: str = TEXT, key: str = COMMENT_ID) -> DataFrame:
+    """(comment_id, ids, counts): a sparse vector per row of ``df``, ids ascending.
+
+    Grams that ``vocab`` (see ``vocabulary_ids``) lacks are no columns; a row
+    without any has empty arrays. The vocabulary is broadcast after a size
+    check, else joined by a shuffle on the gram. Rows of one key are one document."""
+    terms = doc_term_counts(df, n, text, key).join(small_side(vocab), "gram")
+    pairs = terms.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "count"))).alias("_p"))
+    empty = df.select(key).distinct().join(pairs.select(F.col(key).alias("_k"), "_p"), F.col(key).eqNullSafe(F.col("_k")), "left")
+    found = F.coalesce("_p", F.array().cast(pairs.schema["_p"].dataType))
+    return empty.select(key, F.transform(found, lambda p: p["id"]).alias("ids"), F.transform(found, lambda p: p["count"]).alias("counts"))
+
+
+def dot_products(vectors: DataFrame, others: DataFrame, key: str = COMMENT_ID) -> DataFrame:
+    """(comment_id, other_id, dot) for every pair of vectors that share a column.
+
+    The columns of ``others`` are broadcast after a size check; products are
+    added per pair inside each task before the shuffle."""
+    def long(v, names):
+        return v.select(F.col(key).alias(names[0]), F.explode(F.arrays_zip("ids", "counts")).alias("_p")).select(
+            names[0], F.col("_p.ids").alias("id"), F.col("_p.counts").alias(names[1]))
+
+    left, right = long(vectors, (key, "_a")), long(others, ("other_id", "_b"))
+    return left.join(small_side(right), "id").groupBy(key, "other_id").agg(F.sum(F.col("_a") * F.col("_b")).alias("dot"))
+
+
 def sorted_slice(df: DataFrame, col: str, start: int, length: int, desc: bool = False) -> DataFrame:
     """Rows ``start`` .. ``start+length-1`` of ``df`` sorted by ``col``
     (top-k plan: TakeOrderedAndProject, no global sort)."""
@@ -111,6 +151,54 @@ def top_words(df: DataFrame, stopwords: Iterable[str], n: int = 200, text: str =
     return counts.orderBy(F.desc("count"), F.asc("token")).limit(n)
 
 
+def _weighted_log(k, n, x):
+    """k ln x + (n - k) ln(1 - x), each probability at least 1e-10."""
+    least = F.lit(1e-10)
+    return F.log(F.greatest(x, least)) * k + F.log(F.greatest(F.lit(1.0) - x, least)) * (n - k)
+
+
+def likelihood_ratio(c12, c1, c2, n):
+    """Dunning's G2 of a pair: its count, those of its words, and all words; 0 where one word makes up the text."""
+    c12, c1, c2, n = (c.cast("double") for c in (c12, c1, c2, n))
+    p, p1, p2 = c2 / n, c12 / c1, F.try_divide(c2 - c12, n - c1)
+    score = (_weighted_log(c12, c1, p) + _weighted_log(c2 - c12, n - c1, p)
+             - _weighted_log(c12, c1, p1) - _weighted_log(c2 - c12, n - c1, p2))
+    return F.when((n > c1) & (n > c2), -2.0 * score).otherwise(F.lit(0.0))
+
+
+def top_collocations(df: DataFrame, stopwords: Iterable[str], n: int = 200, threshold: float = 30.0, text: str = TEXT) -> DataFrame:
+    """(term, is_pair, count, score): the n most frequent words and word pairs (ties by term).
+
+    Neighbouring words, neither of them a stop word, are a term of their own
+    where their G2 exceeds ``threshold``; both words then lose the pair's
+    occurrences, and words with none left go. ``score`` is NULL for words. A
+    lower-cased word counts everywhere, stop words nowhere. Words and pairs are
+    counted in one pass and added up inside each task before the shuffle; stop
+    words leave the counted vocabulary, not every token."""
+    toks = F.col("_toks")
+    pairs = F.zip_with(toks, F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))),
+                       lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+    one = F.transform(toks, lambda a: F.struct(a.alias("w1"), F.lit(None).cast("string").alias("w2")))
+    pairs = F.filter(pairs, lambda p: p["w2"].isNotNull())  # the last word has no next one
+    counted = (with_tokens(df.select(text), text).select(F.explode(F.concat(one, pairs)).alias("g"))
+               .groupBy("g.w1", "g.w2").agg(F.count(F.lit(1)).alias("c")))
+    stops = [w.lower() for w in stopwords]
+    counted = remove_words(counted, stops, "w1")
+    single = counted.filter("w2 IS NULL").select(F.col("w1").alias("word"), "c")
+    double = remove_words(counted.filter("w2 IS NOT NULL"), stops, "w2")
+    total = single.agg(F.sum("c").alias("n"))
+    scored = (double.join(single.select(F.col("word").alias("w1"), F.col("c").alias("c1")), "w1")
+              .join(single.select(F.col("word").alias("w2"), F.col("c").alias("c2")), "w2")
+              .crossJoin(F.broadcast(total))  # one row
+              .withColumn("score", likelihood_ratio(F.col("c"), F.col("c1"), F.col("c2"), F.col("n"))).filter(F.col("score") > threshold))
+    lost = (scored.select(F.explode(F.array("w1", "w2")).alias("word"), "c").groupBy("word").agg(F.sum("c").alias("lost")))
+    words = (single.join(lost, "word", "left").select(F.col("word").alias("term"), F.lit(False).alias("is_pair"),
+                                                      (F.col("c") - F.coalesce("lost", F.lit(0))).alias("count"),
+                                                      F.lit(None).cast("double").alias("score")).filter("count > 0"))
+    terms = words.unionByName(scored.select(F.concat_ws(" ", "w1", "w2").alias("term"), F.lit(True).alias("is_pair"), F.col("c").alias("count"), "score"))
+    return terms.orderBy(F.desc("count"), F.asc("term")).limit(n)
+
+
 def tag_tokens(df: DataFrame, tag_lexicon: DataFrame, default: str = DEFAULT_TAG,
                text: str = TEXT, key: str = COMMENT_ID) -> DataFrame:
     """(comment_id, pos, token, tag): lexicon tag, else ``default``."""
@@ -128,14 +216,48 @@ def np_chunks(df: DataFrame, tag_lexicon: DataFrame, default: str = DEFAULT_TAG,
     Each comment's tags are matched greedily left to right in the order of
     its tokens. The tag lexicon is a constant table (see ``constant_lookup``),
     so nothing is shuffled; a token given two tags is an error."""
-    entry = constant_lookup(tag_lexicon.select(F.col("token").cast("string").alias("token"), "tag"), "token")
-    tags = F.transform(tokens_lower(F.col(text)), lambda t: F.concat(
-        F.lit("<"), F.coalesce(entry(t)["tag"], F.lit(default)), F.lit(">")))
-    base = df.select(F.col(key), F.inline(F.array(F.struct(F.array_join(tags, "").alias("_tags")))))
-    chunks = F.regexp_extract_all(F.col("_tags"), F.lit(pattern), 0)
+    base = _tagged(df, tag_lexicon, default, text, key).select(key, F.array_join(_bracketed(F.col("_tags")), "").alias("_line"))
+    chunks = F.regexp_extract_all(F.col("_line"), F.lit(pattern), 0)
     return base.select(F.col(key), F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
+def _tagged(df: DataFrame, tag_lexicon: DataFrame, default: str, text: str, key: str) -> DataFrame:
+    """(comment_id, _toks, _tags): the lower-cased tokens and their tags, found once per row."""
+    entry = constant_lookup(tag_lexicon.select(F.col("token").cast("string").alias("token"), "tag"), "token")
+    toks = with_tokens(df.select(key, text), text).select(key, "_toks")
+    tags = F.transform(F.col("_toks"), lambda t: F.coalesce(entry(t)["tag"], F.lit(default)))
+    return toks.select(key, "_toks", F.inline(F.array(F.struct(tags.alias("_tags")))))
+
+
+def _bracketed(tags):
+    return F.transform(tags, lambda t: F.concat(F.lit("<"), t, F.lit(">")))
+
+
+def np_chunk_words(df: DataFrame, tag_lexicon: DataFrame, default: str = DEFAULT_TAG,
+                   pattern: str = NP_TAG_PATTERN, text: str = TEXT, key: str = COMMENT_ID) -> DataFrame:
+    """(comment_id, chunk_no, start, words, tags, tagged): each noun-phrase chunk with its words.
+
+    ``start`` is the number of its first token (from 0), ``words`` and ``tags``
+    are arrays, ``tagged`` reads 'detail/JJ assure/NN'. The matches of the
+    pattern on the row's tag string are marked where they begin and end; cut
+    at the closing brackets the string falls into one piece per token, so a
+    mark's piece number is its token's place. A match holds one tag or more; a
+    tag holds neither brackets nor control characters. Nothing is shuffled."""
+    first, last = "\x01", "\x02"
+    tagged = _tagged(df, tag_lexicon, default, text, key)
+    marked = F.regexp_replace(F.array_join(_bracketed(F.col("_tags")), ""), f"({pattern})", f"{first}$1{last}")
+    parts = tagged.select(key, "_toks", "_tags", F.inline(F.array(F.struct(F.split(marked, ">", -1).alias("_parts")))))
+    # Where pieces begin with a mark: the first token of a chunk, and the one after its last.
+    at = F.sequence(F.lit(0), F.size("_parts") - 1)
+    starts = F.filter(at, lambda i: F.contains(F.get("_parts", i), F.lit(first)))
+    ends = F.filter(at, lambda i: F.startswith(F.get("_parts", i), F.lit(last)))
+    out = parts.select(key, "_toks", "_tags", F.posexplode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("chunk_no", "_c"))
+    size = F.col("_c.e") - F.col("_c.s")
+    words, tags = (F.slice(c, F.col("_c.s") + 1, size) for c in ("_toks", "_tags"))
+    return out.select(key, "chunk_no", F.col("_c.s").alias("start"), words.alias("words"), tags.alias("tags"),
+                      F.array_join(F.zip_with(words, tags, lambda w, t: F.concat_ws("/", w, t)), " ").alias("tagged"))
+
+
 def chunk_counts(chunks: DataFrame) -> DataFrame:
     """How often each chunk shape occurs, and its length in tokens."""
     return (chunks.groupBy("chunk")

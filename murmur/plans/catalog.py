@@ -379,6 +379,51 @@ def np_chunks(spark, d):
     return text.chunk_counts(text.np_chunks(fx.fx_comments(spark, d, spread=True), fx.fx_tag_lexicon(spark)))
 
 
+@register("np_chunk_words")
+def np_chunk_words(spark, d):
+    """Every noun-phrase chunk with the words it holds."""
+    out = text.np_chunk_words(fx.fx_comments(spark, d, spread=True), fx.fx_tag_lexicon(spark))
+    return out.select("comment_id", "chunk_no", "start", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags"), "tagged")
+
+
+@register("top_collocations")
+def top_collocations(spark, d):
+    """The chosen cluster's words and word pairs, pairs joined by likelihood ratio."""
+    sel = prepare.filter_equals(fx.fx_clustered(spark, d), "clusters", CLUSTER)
+    out = text.top_collocations(sel, fx.stopword_list() + list(TOP_WORDS_EXTRA_STOPWORDS), 200)
+    return out.withColumn("score", MF.round_half_away("score", 3))
+
+
+@register("vocab_ids")
+def vocab_ids(spark, d):
+    """Column numbers of the words."""
+    return text.vocabulary_ids(fx.fx_comments(spark, d, spread=True), 1)
+
+
+@register("bigram_ids")
+def bigram_ids(spark, d):
+    """Column numbers of the word pairs."""
+    return text.vocabulary_ids(fx.fx_comments(spark, d, spread=True), 2)
+
+
+@register("doc_vectors")
+def doc_vectors(spark, d):
+    """The sparse vector of every comment, as text."""
+    comments = fx.fx_comments(spark, d, spread=True)
+    v = text.document_vectors(comments, text.vocabulary_ids(comments, 1))
+    cells = F.zip_with("ids", "counts", lambda i, c: F.concat_ws(":", i.cast("string"), c.cast("string")))
+    return v.select("comment_id", F.size("ids").alias("n_columns"), F.array_join(cells, " ").alias("vector"))
+
+
+@register("vector_dots")
+def vector_dots(spark, d):
+    """Dot products of every comment's word vector with those of ten sampled comments."""
+    comments = fx.fx_comments(spark, d, spread=True)
+    v = text.document_vectors(comments, text.vocabulary_ids(comments, 1))
+    chosen = prepare.sample_n(comments.select("comment_id"), 10, "comment_id", SEED)
+    return text.dot_products(v, v.join(F.broadcast(chosen), "comment_id", "left_semi"))
+
+
 @register("tag_tokens")
 def tag_tokens(spark, d):
     return text.tag_tokens(fx.fx_comments(spark, d, spread=True), fx.fx_tag_lexicon(spark))

@@ -425,6 +425,54 @@ ch AS (SELECT unnest(regexp_extract_all(tags, '{NP_TAG_PATTERN}')) AS chunk FROM
 SELECT chunk, count(*) AS n, CAST(len(string_split(chunk, '><')) AS INTEGER) AS n_tokens
 FROM ch GROUP BY chunk"""
 
+# The tag line is searched from the end of the last match: RE2's matches are found one after the other.
+ORACLE["np_chunk_words"] = with_(FX_COMMENTS, FX_LTOKS, FX_TAGGED) + f"""
+, ts AS (SELECT comment_id, list(token ORDER BY pos) AS toks, list(tag ORDER BY pos) AS tags FROM fx_tagged GROUP BY comment_id),
+mk AS (SELECT comment_id, toks, tags, string_split(regexp_replace(
+         array_to_string(list_transform(tags, lambda t: '<' || t || '>'), ''), '({NP_TAG_PATTERN})', chr(1) || '\\1' || chr(2), 'g'), '>') AS parts FROM ts),
+se AS (SELECT comment_id, toks, tags, list_filter(range(len(parts)), lambda i: contains(parts[i + 1], chr(1))) AS s,
+              list_filter(range(len(parts)), lambda i: starts_with(parts[i + 1], chr(2))) AS e FROM mk),
+ch AS (SELECT comment_id, toks, tags, unnest(range(len(s))) AS j, unnest(s) AS a, unnest(e) AS b FROM se)
+SELECT comment_id, CAST(j AS INTEGER) AS chunk_no, CAST(a AS INTEGER) AS start, array_to_string(toks[a + 1:b], ' ') AS words,
+       array_to_string(tags[a + 1:b], ' ') AS tags,
+       array_to_string(list_transform(range(a + 1, b + 1), lambda i: toks[i] || '/' || tags[i]), ' ') AS tagged FROM ch"""
+
+
+def _wlog(k, n, x):
+    return f"(ln(greatest({x}, 1e-10)) * {k} + ln(greatest(1.0::DOUBLE - {x}, 1e-10)) * ({n} - {k}))"
+
+
+_G2 = ("-2.0::DOUBLE * (" + _wlog("c", "c1", "(c2 / n)") + " + " + _wlog("(c2 - c)", "(n - c1)", "(c2 / n)") + " - "
+       + _wlog("c", "c1", "(c / c1)") + " - " + _wlog("(c2 - c)", "(n - c1)", "((c2 - c) / (n - c1))") + ")")
+ORACLE["top_collocations"] = with_(FX_COMMENTS, FX_SCORED, FX_CLUSTERED) + f"""
+, tk AS (SELECT regexp_extract_all(lower(coalesce(commentText, '')), '{WORD_RE}') AS t FROM fx_clustered WHERE clusters = 2),
+st AS (SELECT unnest([{_words(sorted(set(w.lower() for w in fx.stopword_list() + list(TOP_WORDS_EXTRA_STOPWORDS))))}]) AS word),
+u AS (SELECT word, CAST(count(*) AS DOUBLE) AS c FROM (SELECT unnest(t) AS word FROM tk) WHERE word NOT IN (SELECT word FROM st) GROUP BY word),
+b AS (SELECT w1, w2, CAST(count(*) AS DOUBLE) AS c FROM (SELECT unnest(t[1:len(t) - 1]) AS w1, unnest(t[2:]) AS w2 FROM tk WHERE len(t) > 1)
+      WHERE w1 NOT IN (SELECT word FROM st) AND w2 NOT IN (SELECT word FROM st) GROUP BY ALL),
+j AS (SELECT b.w1, b.w2, b.c, x.c AS c1, y.c AS c2, (SELECT sum(c) FROM u) AS n FROM b JOIN u x ON b.w1 = x.word JOIN u y ON b.w2 = y.word),
+g AS (SELECT *, CASE WHEN n > c1 AND n > c2 THEN {_G2} ELSE 0 END AS score FROM j),
+k AS (SELECT * FROM g WHERE score > 30),
+l AS (SELECT word, sum(c) AS lost FROM (SELECT w1 AS word, c FROM k UNION ALL SELECT w2, c FROM k) GROUP BY word),
+a AS (SELECT u.word AS term, FALSE AS is_pair, CAST(u.c - coalesce(l.lost, 0) AS BIGINT) AS count, CAST(NULL AS DOUBLE) AS score
+      FROM u LEFT JOIN l USING (word) WHERE u.c - coalesce(l.lost, 0) > 0
+      UNION ALL SELECT w1 || ' ' || w2, TRUE, CAST(c AS BIGINT), sign(score) * floor(abs(score) * 1000 + 0.5) / 1000 FROM k)
+SELECT * FROM a ORDER BY count DESC, term LIMIT 200"""
+
+for _n, _key in ((1, "vocab_ids"), (2, "bigram_ids")):
+    ORACLE[_key] = with_(FX_COMMENTS, FX_LTOKS) + f"""
+SELECT row_number() OVER (ORDER BY gram) - 1 AS id, gram FROM (SELECT DISTINCT unnest({grams_sql(_n)}) AS gram FROM fx_ltoks)"""
+FX_VECTORS = """
+fx_vocab AS (SELECT row_number() OVER (ORDER BY token) - 1 AS id, token FROM (SELECT DISTINCT token FROM fx_ltok)),
+fx_cells AS (SELECT t.comment_id, v.id, count(*) AS n FROM fx_ltok t JOIN fx_vocab v ON t.token = v.token GROUP BY ALL)"""
+ORACLE["doc_vectors"] = with_(FX_COMMENTS, FX_LTOKS, FX_VECTORS) + """
+SELECT c.comment_id, CAST(count(x.id) AS INTEGER) AS n_columns, coalesce(string_agg(x.id || ':' || x.n, ' ' ORDER BY x.id), '') AS vector
+FROM fx_comments c LEFT JOIN fx_cells x ON c.comment_id = x.comment_id GROUP BY c.comment_id"""
+ORACLE["vector_dots"] = with_(FX_COMMENTS, FX_LTOKS, FX_VECTORS) + """
+, s AS (SELECT comment_id FROM fx_comments ORDER BY md5(CAST(comment_id AS VARCHAR) || '|0'), comment_id LIMIT 10)
+SELECT a.comment_id, b.comment_id AS other_id, CAST(sum(a.n * b.n) AS BIGINT) AS dot
+FROM fx_cells a JOIN fx_cells b ON a.id = b.id JOIN s ON b.comment_id = s.comment_id GROUP BY ALL"""
+
 # --------------------------------------------------------------------------
 # Embedding similarity
 # --------------------------------------------------------------------------
