@@ -21,7 +21,8 @@ the first occurrence's.
 DataFrame functions only. Shuffled are one digest row per pair of lines, and
 the texts once (one exchange serves both joins with them) plus the bytes of
 repeated chunks. Joins on a chunk are salted, so a chunk that a third of all
-texts hold is spread over ``SALTS`` tasks.
+texts hold is spread over many tasks: ``SALTS`` for the digests, one for each
+``SHARE`` occurrences for the bytes (the first occurrence's go to each).
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from murmur.llm.common import fresh, stored, without
 
-#: Boundary sets (bits of a line's hash), and tasks that share one chunk's join.
-SETS, SALTS = 60, 16
+#: Boundary sets (bits of a line's hash), tasks that share one chunk's digests, and occurrences whose bytes one task compares.
+SETS, SALTS, SHARE = 60, 8, 1024
 WORDY = r"[^\x09-\x0D\x20]"
 
 
@@ -79,16 +80,19 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     th, gone, wid, wth, wanted_at = fresh(docs, "text_hash", "gone", "wanted_id", "wanted_hash", "wanted_places")
     rows = docs.withColumn(th, F.xxhash64(F.col(text)))
     place = F.struct("id", "th", "no")
-    salt = F.pmod(F.xxhash64("id", "th", "no"), F.lit(SALTS)).alias("salt")
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    spread = F.xxhash64("id", "th", "no")
+
+    def salts(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("salt")
 
     digests = stored(rows.select(F.col(doc_id).alias("id"), F.col(th).alias("th"), F.explode(chunked(F.col(text))).alias("c"))
                      .select("id", "th", "c.no", "c.last", "c.key"), "chunks")
-    repeated = (digests.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last_place"))
-                .filter("first <> last_place").select("key", "first"))
-    met = digests.select("*", salt).join(repeated.select("*", salts), ["key", "salt"])
+    repeated = (digests.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last_place"), F.count("*").alias("n"))
+                .filter("first <> last_place").select("key", "first", F.ceil(F.col("n") / SHARE).alias("shares")))
+    met = digests.select("*", F.pmod(spread, F.lit(SALTS)).alias("salt")).join(
+        repeated.select("*", salts(F.lit(SALTS).cast("long"))), ["key", "salt"])
     wanted = met.groupBy(F.col("id").alias(wid), F.col("th").alias(wth)).agg(
-        F.collect_set(F.struct("no", "last", "key", (place == F.col("first")).alias("is_first"))).alias(wanted_at))
+        F.collect_set(F.struct("no", "last", "key", "shares", (place == F.col("first")).alias("is_first"))).alias(wanted_at))
 
     def own(other_id, other_hash):
         return F.col(doc_id).eqNullSafe(F.col(other_id)) & (F.col(th) == F.col(other_hash))
@@ -98,10 +102,10 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     lines = F.split(F.col(text), "\n", -1)
     held = rows.join(wanted, own(wid, wth)).select(F.col(doc_id).alias("id"), F.col(th).alias("th"), F.explode(bind(lines, lambda x: F.transform(
         F.col(wanted_at), lambda c: F.struct(
-            c["no"].alias("no"), c["last"].alias("last"), c["key"].alias("key"), c["is_first"].alias("is_first"),
+            c["no"].alias("no"), c["last"].alias("last"), c["key"].alias("key"), c["shares"].alias("shares"), c["is_first"].alias("is_first"),
             body(x, c["no"], c["last"]).alias("body"))))).alias("c")).select("id", "th", "c.*")
-    firsts = held.filter("is_first").select("key", F.col("body").alias("first_body")).distinct().select("*", salts)
-    removed = held.filter(~F.col("is_first")).select("*", salt).join(firsts, ["key", "salt"]).filter(F.col("body") == F.col("first_body"))
+    firsts = held.filter("is_first").select("key", "shares", F.col("body").alias("first_body")).distinct().select("key", "first_body", salts(F.col("shares")))
+    removed = held.filter(~F.col("is_first")).withColumn("salt", F.pmod(spread, F.col("shares"))).join(firsts, ["key", "salt"]).filter(F.col("body") == F.col("first_body"))
     per_text = removed.groupBy(F.col("id").alias(wid), F.col("th").alias(wth)).agg(
         F.collect_set(F.struct("no", "last")).alias(gone))  # a set: repeated rows remove the same chunks
     joined = rows.join(per_text, own(wid, wth), "left")
