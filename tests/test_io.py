@@ -34,6 +34,46 @@ def test_csv_roundtrip(spark, tmp_path):
     assert sorted(back.collect()) == sorted(df.collect())
 
 
+def _cells(rnd):
+    return rnd.choice(["", "plain", 'a "quoted" word', "two\nlines", "\n\n", '"', '""\n"', "comma, here", " sp ", "é😀", "x" * 60, "tail\n"])
+
+
+def test_quoted_files_split_into_blocks_equal_the_whole_file_reader(spark, tmp_path):
+    import csv
+    import random
+
+    from pyspark.sql import types as T
+
+    rnd = random.Random(12)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "text", "more")])
+    for name, n, end in (("a", 200, "\n"), ("b", 1, "\n"), ("c", 0, "\n"), ("d", 90, "\r\n")):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerow(["id", "text", 'a "more" name'])
+            w.writerows([f"{name}{i}", _cells(rnd), _cells(rnd)] for i in range(n))
+    (tmp_path / "e.csv").write_text('id,text,more\n\n"e1","' + "long\n" * 300 + '",z\n\n')
+    (tmp_path / "f.csv").write_text("id,text,more\nf1,no end,of line", encoding="utf-8")
+    want = sorted(map(tuple, io.read_table_csv(spark, str(tmp_path), schema, multi_line=True).collect()), key=str)
+    assert len(want) == 293
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64", "1000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = io.read_table_csv(spark, str(tmp_path), schema)
+            assert sorted(map(tuple, got.collect()), key=str) == want
+            records = io.quoted_records(spark, str(tmp_path / "a.csv"))
+            assert size != "64" or records.select("block").distinct().count() > 40
+        (tmp_path / "bad.csv").write_text('id,text,more\nx,"open,y\nz,z,z\n')
+        import pytest
+
+        for size in ("16", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            with pytest.raises(Exception, match="quotes that do not close"):
+                io.read_table_csv(spark, str(tmp_path / "bad.csv"), schema).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def _json(tmp_path, obj):
     p = tmp_path / f"cat{len(os.listdir(tmp_path))}.json"
     p.write_text(json.dumps(obj, indent=2))
