@@ -18,4 +18,5 @@ from murmur.functions.text import (  # noqa: F401
     ngrams,
     tokens_cased,
     tokens_lower,
+    tokens_parted,
 )

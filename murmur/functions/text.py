@@ -12,6 +12,32 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 CASED_TOKEN_PATTERN = r"[\p{L}\p{N}_]+|'\p{L}+|[^\p{L}\p{N}_\t\n\x0B\f\r ]"
 
+# The rewrites that part a text into treebank-style tokens, in
+# order. Valid in Java regex and RE2 (no look-around); \\1 is the first group.
+# First on the text: quotes, marks, brackets and dashes stand alone, but for
+# commas and colons between digits.
+MARK_STEPS = (
+    (r'(^|[\t\n\x0B\f\r (\[{<])"', r"\1 `` "),
+    (r"\.\.\.", r" ... "),
+    (r"([0-9]),([0-9])", "\\1\x01\\2"), (r"([0-9]),([0-9])", "\\1\x01\\2"),
+    (r"([0-9]):([0-9])", "\\1\x02\\2"), (r"([0-9]):([0-9])", "\\1\x02\\2"),
+    (r"([,:;@#$%&?!()\[\]{}<>])", r" \1 "),
+    ("\x01", ","), ("\x02", ":"),
+    (r"--", r" -- "),
+    (r'"', r" '' "),
+)
+# Then on the pieces, two spaces between them: closing quotes, final periods
+# (not of words with inner periods), and the parts of contractions.
+PART_STEPS = (
+    (r"([^ '])' ", r"\1  ' "),
+    (r"( [^ .]*[^ .])\. ", r"\1  . "),
+    (r"([^ ])([nN]'[tT]) ", r"\1  \2 "),
+    (r"([^ '])('(?:[sSmMdD]|ll|LL|re|RE|ve|VE)) ", r"\1  \2 "),
+    (r" ([cC]an)([nN]ot) ", r" \1  \2 "), (r" ([gG]on)([nN]a) ", r" \1  \2 "), (r" ([gG]ot)([tT]a) ", r" \1  \2 "),
+    (r" ([gG]im)([mM]e) ", r" \1  \2 "), (r" ([lL]em)([mM]e) ", r" \1  \2 "), (r" ([wW]an)([nN]a) ", r" \1  \2 "),
+    (r" ([dD])('[yY][eE]) ", r" \1  \2 "), (r" ([mM]ore)('[nN]) ", r" \1  \2 "), (r" ('[tT])([iI]s) ", r" \1  \2 "), (r" ('[tT])([wW]as) ", r" \1  \2 "),
+)
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -27,6 +53,22 @@ def tokens_cased(text) -> Column:
     return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(CASED_TOKEN_PATTERN), 0)
 
 
+def tokens_parted(text) -> Column:
+    """Case-kept treebank-style tokens: "Don't" -> Do, n't; "it's" -> it, 's; cannot -> can, not.
+
+    Quotes become `` and '', marks and brackets stand alone, a period only at
+    the end of a word without other periods. Missing text gives an empty
+    array. A single quote that opens a word stays with it."""
+    def rewritten(c, steps):
+        for pattern, to in steps:
+            c = F.regexp_replace(c, pattern, to.replace("$", r"\$").replace("\\1", "$1").replace("\\2", "$2"))
+        return c
+
+    pieces = F.split(rewritten(F.coalesce(_c(text), F.lit("")), MARK_STEPS), r"[\t\n\x0B\f\r ]+", -1)
+    line = F.concat(F.lit(" "), F.array_join(F.filter(pieces, lambda x: x != ""), "  "), F.lit(" "))
+    return F.filter(F.split(rewritten(line, PART_STEPS), " +", -1), lambda x: x != "")
+
+
 def ngrams(tokens, n: int) -> Column:
     """Adjacent n-token windows joined by one space; fewer than n tokens -> []."""
     toks = _c(tokens)

@@ -64,6 +64,75 @@ def score_sentiment(df: DataFrame, lexicon: DataFrame, text: str = TEXT,
     return out.withColumn(SENTIMENT_BUCKET, sentiment_bucket(F.col(POLARITY)))
 
 
+#: What a negated word's polarity is multiplied by (a fixed value of the scoring rule).
+NEGATED = -0.5
+
+
+def score_phrases(df: DataFrame, lexicon: DataFrame, text: str = TEXT, max_words: int = MAX_LEXICON_WORDS) -> DataFrame:
+    """Add ``polarity``, ``subjectivity`` and ``sentimentBucket`` from a lexicon of phrases and modifiers.
+
+    ``lexicon`` has (phrase, polarity, subjectivity, intensity, negates): a
+    phrase is one or more lower-cased words joined by one space. From left to
+    right the longest phrase that begins at a word is taken, and its words are
+    used up. One that negates turns the next scored phrase (polarity times
+    ``NEGATED``); one with an intensity but no polarity multiplies the next
+    scored phrase's values, and intensities in a row multiply; one with a
+    polarity is scored, with both limited to their range, and its own
+    intensity (if any) then works on the next. A word in no phrase ends what
+    negations and intensities there are. Scores are means over scored phrases,
+    rounded to 2 places; a null or empty text has 0.
+
+    One narrow stage: phrases are found in a constant table, and a fold over
+    the words carries the state. Values are whole thousandths, so sums are exact.
+    """
+    lex = lexicon.select(F.col("phrase").cast("string").alias("phrase"), _milli(F.col(POLARITY)).alias("p"),
+                         _milli(F.coalesce(F.col(SUBJECTIVITY), F.lit(0.0))).alias("s"), F.col("intensity").cast("double").alias("x"),
+                         F.coalesce("negates", F.lit(False)).alias("neg"))
+    longest = lex.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    entry = constant_lookup(lex, "phrase", max_words)
+
+    def matches(toks):
+        """Per word the longest phrase that begins there: its words and its entry, or NULL."""
+        def found(i, n):
+            words = [F.get(toks, i + j) for j in range(n)]
+            e = F.when(words[-1].isNotNull(), entry(F.concat_ws(" ", *words)))
+            return F.when(e.isNotNull(), F.struct(F.lit(n).alias("n"), e.alias("e")))
+        places = F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.coalesce(*[found(i, n) for n in range(longest, 0, -1)]))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("skip"), F.lit(1.0).alias("x"), F.lit(False).alias("neg"), zero.alias("p"), zero.alias("s"), zero.alias("n"))
+
+    def step(a, m):
+        e = m["e"]
+        scored = e["p"].isNotNull()
+        flip = F.when(a["neg"], F.lit(NEGATED)).otherwise(F.lit(1.0))
+
+        def part(value, least):
+            y = F.greatest(F.lit(least), F.least(F.lit(1000.0), value))
+            return (F.signum(y) * F.floor(F.abs(y) + F.lit(0.5))).cast("long")
+
+        taken = F.struct(
+            (m["n"] - 1).alias("skip"),
+            F.when(scored, F.coalesce(e["x"], F.lit(1.0))).otherwise(a["x"] * F.coalesce(e["x"], F.lit(1.0))).alias("x"),
+            F.when(scored, F.lit(False)).otherwise(a["neg"] | e["neg"]).alias("neg"),
+            (a["p"] + F.when(scored, part(e["p"].cast("double") * a["x"] * flip, -1000.0)).otherwise(zero)).alias("p"),
+            (a["s"] + F.when(scored, part(e["s"].cast("double") * a["x"], 0.0)).otherwise(zero)).alias("s"),
+            (a["n"] + F.when(scored, 1).otherwise(0)).alias("n"))
+        used = F.struct((a["skip"] - 1).alias("skip"), a["x"].alias("x"), a["neg"].alias("neg"), a["p"].alias("p"), a["s"].alias("s"), a["n"].alias("n"))
+        ended = F.struct(F.lit(0).alias("skip"), F.lit(1.0).alias("x"), F.lit(False).alias("neg"), a["p"].alias("p"), a["s"].alias("s"), a["n"].alias("n"))
+        return F.when(a["skip"] > 0, used).when(m.isNull(), ended).otherwise(taken)
+
+    held = df.select("*", F.inline(F.array(F.struct(tokens_lower(F.col(text)).alias("_toks")))))
+    found = held.select("*", F.inline(F.array(F.struct(matches(F.col("_toks")).alias("_found"))))).drop("_toks")
+    folded = F.aggregate("_found", start, step)
+    scored = found.select("*", F.inline(F.transform(F.array(folded), lambda a: F.struct(a["p"].alias("_p"), a["s"].alias("_s"), a["n"].alias("_n"))))).drop("_found")
+    n = F.col("_n")
+    out = (scored.withColumn(POLARITY, mean_milli_to_2dp(F.col("_p"), n))
+           .withColumn(SUBJECTIVITY, mean_milli_to_2dp(F.col("_s"), n)).drop("_n", "_p", "_s"))
+    return out.withColumn(SENTIMENT_BUCKET, sentiment_bucket(F.col(POLARITY)))
+
+
 def exact_mean(col: str, decimals: int = 2):
     """Mean of a column holding values with ``decimals`` places, as an
     aggregate: the values are summed as exact integers and divided once, so

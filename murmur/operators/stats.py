@@ -12,32 +12,74 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.operators.rank import sorted_places
-from murmur.session import spark_context
-
-
-def values_at(values: DataFrame, col: str, ranks: Sequence[int]) -> dict[int, float]:
-    """The values at the given 0-based ranks in ascending order (NaN last).
-
-    The rows are range-partitioned and sorted once; the partitions' sizes
-    tell where each rank lies, and only those rows reach the driver."""
-    s = sorted_places(values.select(F.col(col).alias("v")), [F.col("v").asc()])
-    wanted, start = {}, 0
-    for row in s.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).orderBy("_pid").collect():
-        for r in ranks:
-            if start <= r < start + row["n"]:
-                wanted[(row["_pid"], r - start)] = r
-        start += row["n"]
-    pick = F.lit(False)
-    for pid, li in wanted:
-        pick = pick | ((F.col("_pid") == pid) & (F.col("_li") == li))
-    return {wanted[(r["_pid"], r["_li"])]: r["v"] for r in s.filter(pick).collect()}
+from murmur.session import cut_lineage, spark_context
+
+
+#: Accuracy of the sketch that proposes brackets, and rows of a bracket that the driver takes.
+ACCURACY, HELD = 10_000, 10_000
+
+
+def values_at(values: DataFrame, col: str, ranks: Sequence[int], held: int = HELD) -> dict[int, float]:
+    """The values at the given 0-based ranks in ascending order (NaN last, ranks beyond the rows left out).
+
+    Nothing is sorted: a quantile sketch proposes a value on either side of a
+    rank, one pass counts exactly what lies below and inside that bracket, and
+    the search goes on inside (or beside, where the sketch was off) until a
+    bracket holds one value or at most ``held`` rows, which the driver takes.
+    Each pass narrows a bracket by about ``ACCURACY``."""
+    v = values.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    inf = float("inf")
+    row = v.agg(F.count_if(F.col("v") == -inf).alias("low"), F.count_if(F.col("v") == inf).alias("high"), F.count_if(F.isnan("v")).alias("nan"),
+                F.count("*").alias("n"), F.min(F.when((F.col("v") > -inf) & (F.col("v") < inf), F.col("v"))).alias("least"),
+                F.max(F.when((F.col("v") > -inf) & (F.col("v") < inf), F.col("v"))).alias("most")).first()
+    finite = row["n"] - row["low"] - row["high"] - row["nan"]
+    out: dict[int, float] = {}
+    open_: dict[tuple, list[int]] = {}
+    for r in sorted(set(ranks)):
+        if r < row["low"]:
+            out[r] = -inf
+        elif r < row["low"] + finite:
+            open_.setdefault((row["least"], row["most"], row["low"], finite), []).append(r)
+        elif r < row["n"]:
+            out[r] = inf if r < row["low"] + finite + row["high"] else float("nan")
+    while open_:
+        found: dict[tuple, list[int]] = {}
+        for (lo, hi, below, n), wanted in open_.items():
+            inside = v.filter(F.col("v").between(lo, hi))
+            if lo == hi:
+                out.update(dict.fromkeys(wanted, lo))
+                continue
+            if n <= held:
+                rows = sorted(x["v"] for x in inside.collect())
+                out.update({r: rows[r - below] for r in wanted})
+                continue
+            step = 2.0 / ACCURACY
+            shares = [min(1.0, max(0.0, (r - below) / n + d)) for r in wanted for d in (-step, step)]
+            cuts = inside.agg(F.percentile_approx("v", shares, ACCURACY).alias("c")).first()["c"]
+            edges = sorted({lo, hi, *cuts})
+            # Exact rows at each edge and between each two: one aggregation.
+            cells = [F.count_if(F.col("v") == x) for x in edges] + [F.count_if((F.col("v") > x) & (F.col("v") < y)) for x, y in zip(edges, edges[1:])]
+            counts = inside.agg(*cells).first()
+            at, between = counts[:len(edges)], counts[len(edges):]
+            for r in wanted:
+                start = below
+                for i, x in enumerate(edges):
+                    if r < start + at[i]:
+                        found.setdefault((x, x, start, at[i]), []).append(r)
+                        break
+                    start += at[i]
+                    if i < len(between) and r < start + between[i]:
+                        found.setdefault((math.nextafter(x, inf), math.nextafter(edges[i + 1], -inf), start, between[i]), []).append(r)
+                        break
+                    start += between[i] if i < len(between) else 0
+        open_ = found
+    return out
 
 
 def describe_distinct(df: DataFrame, col: str) -> DataFrame:
     """count, mean, std (n-1), min, quartiles (linear interpolation), max of
     the distinct non-null values of ``col``; infinities and NaN are values."""
-    d = df.select(F.col(col).cast("double").alias("v")).distinct().filter(F.col("v").isNotNull())
+    d = cut_lineage(df.select(F.col(col).cast("double").alias("v")).distinct().filter(F.col("v").isNotNull()))
     n = d.count()
     places = [q * (n - 1) for q in (0.25, 0.5, 0.75)] if n else []
     at = values_at(d, "v", sorted({r for h in places for r in (math.floor(h), math.ceil(h))})) if n else {}

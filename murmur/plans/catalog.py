@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from murmur import functions as MF
 from murmur.operators import cluster, evaluate, features, model, prepare, similarity, stats, text
-from murmur.operators.sentiment import sentiment_summary
+from murmur.operators.sentiment import score_phrases, sentiment_summary
 from murmur.schemas import COMMENTS_SCHEMA, TITLES_SCHEMA, TOP_WORDS_EXTRA_STOPWORDS
 from murmur.session import scratch_path
 from murmur.sources import fixtures as fx
@@ -379,6 +379,39 @@ def np_chunks(spark, d):
     return text.chunk_counts(text.np_chunks(fx.fx_comments(spark, d, spread=True), fx.fx_tag_lexicon(spark)))
 
 
+@register("parted_token_counts")
+def parted_token_counts(spark, d):
+    """Counts of treebank-style tokens per comment, contractions and quotes split."""
+    return text.token_counts(_with_contractions(fx.fx_comments(spark, d, spread=True)), parted=True)
+
+
+def _with_contractions(comments):
+    """Comments whose words take apostrophe endings, marks and quotes by a rule on neighbouring letters: the tables hold hardly any."""
+    c = F.col("commentText")
+    for pattern, to in CONTRACTED:
+        c = F.regexp_replace(c, pattern, to)
+    return comments.withColumn("commentText", c)
+
+
+#: Stand-in spellings for the given prose: (pattern, replacement), valid in Java regex and RE2.
+CONTRACTED = (("on ", "on't "), ("re ", "re's "), ("th the", "\"th the\""), ("and ", "cannot "), (" in ", " in... "), (" that ", " 3,141:59 'that' "))
+
+
+@register("phrase_scores")
+def phrase_scores(spark, d):
+    """Comments scored by a lexicon of phrases, negations and intensities."""
+    out = score_phrases(fx.fx_comments(spark, d, spread=True), fx.fx_phrase_lexicon(spark))
+    return out.select("comment_id", "polarity", "subjectivity", "sentimentBucket")
+
+
+@register("fitted_embeddings")
+def fitted_embeddings(spark, d):
+    """Every value of the corpus-fitted embedding of every comment."""
+    comments = fx.fx_comments(spark, d, spread=True)
+    e = similarity.encode_fitted(comments, similarity.fit_term_weights(comments), 64)
+    return e.select("comment_id", F.posexplode("embedding").alias("place", "v")).withColumn("v", F.round("v", 5))
+
+
 @register("np_chunk_words")
 def np_chunk_words(spark, d):
     """Every noun-phrase chunk with the words it holds."""

@@ -7,6 +7,8 @@ lists, centres, ranks) are rendered from the same Python constants.
 
 from __future__ import annotations
 
+from murmur.functions.text import MARK_STEPS, PART_STEPS
+from murmur.plans.catalog import CONTRACTED
 from murmur.schemas import DEFAULT_RANKS, NA_TOKENS, NP_TAG_PATTERN, TOP_WORDS_EXTRA_STOPWORDS
 from murmur.sources import fixtures as fx
 
@@ -425,6 +427,59 @@ ch AS (SELECT unnest(regexp_extract_all(tags, '{NP_TAG_PATTERN}')) AS chunk FROM
 SELECT chunk, count(*) AS n, CAST(len(string_split(chunk, '><')) AS INTEGER) AS n_tokens
 FROM ch GROUP BY chunk"""
 
+def _rewritten(c: str, steps, group: str = "\\") -> str:
+    for pattern, to in steps:
+        c = f"regexp_replace({c}, {q(pattern)}, {q(to)}, 'g')"
+    return c
+
+
+ORACLE["parted_token_counts"] = with_(FX_COMMENTS) + f"""
+, t AS (SELECT comment_id, {_rewritten("coalesce(commentText, '')", CONTRACTED)} AS x FROM fx_comments),
+p AS (SELECT comment_id, list_filter(regexp_split_to_array({_rewritten("x", MARK_STEPS)}, '[\\t\\n\\x0B\\f\\r ]+'), lambda w: w <> '') AS w FROM t),
+l AS (SELECT comment_id, ' ' || array_to_string(w, '  ') || ' ' AS line FROM p),
+k AS (SELECT comment_id, unnest(regexp_split_to_array({_rewritten("line", PART_STEPS)}, ' +')) AS token FROM l)
+SELECT comment_id, token, count(*) AS count FROM k WHERE token <> '' GROUP BY ALL"""
+
+
+def _sql_value(v) -> str:
+    return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v)
+
+
+_PHRASES = ", ".join(f"({q(w)}, " + ", ".join(map(_sql_value, (
+    None if p is None else int(round(p * 1000)), int(round((s or 0) * 1000)), x, bool(neg)))) + ")" for w, p, s, x, neg in fx.PHRASE_LEXICON)
+_LONGEST = max(len(r[0].split()) for r in fx.PHRASE_LEXICON)
+_BY_LENGTH = "coalesce(" + ", ".join(f"CASE WHEN i + {n - 1} <= len(toks) THEN lex[array_to_string(toks[i:i + {n - 1}], ' ')] END"
+                                     for n in range(_LONGEST, 0, -1)) + ")"
+_HALF_AWAY = "CAST(sign({0}) * floor(abs({0}) + 0.5) AS BIGINT)"
+_P = _HALF_AWAY.format("greatest(-1000.0::DOUBLE, least(1000.0::DOUBLE, m.p::DOUBLE * a.ax * CASE WHEN a.aneg THEN -0.5::DOUBLE ELSE 1.0::DOUBLE END))")
+_S = _HALF_AWAY.format("greatest(0.0::DOUBLE, least(1000.0::DOUBLE, m.s::DOUBLE * a.ax))")
+_STATE = "k := m.k, p := m.p, s := m.s, x := m.x, neg := m.neg, skip := {}, ax := {}, aneg := {}, ap := {}, asum := {}, an := {}"
+ORACLE["phrase_scores"] = with_(FX_COMMENTS, FX_LTOKS) + f"""
+, lx(phrase, p, s, x, neg) AS (VALUES {_PHRASES}),
+mp AS (SELECT map_from_entries(list((phrase, struct_pack(k := len(string_split(phrase, ' ')), p := p::BIGINT, s := s::BIGINT, x := x::DOUBLE, neg := neg)))) AS lex FROM lx),
+mt AS (SELECT comment_id, list_transform(range(1, len(toks) + 1), lambda i: {_BY_LENGTH}) AS ms FROM fx_ltoks, mp),
+st AS (SELECT comment_id, list_prepend(struct_pack(k := NULL::BIGINT, p := NULL::BIGINT, s := NULL::BIGINT, x := NULL::DOUBLE, neg := NULL::BOOLEAN,
+         skip := 0::BIGINT, ax := 1.0::DOUBLE, aneg := FALSE, ap := 0::BIGINT, asum := 0::BIGINT, an := 0::BIGINT),
+         list_transform(ms, lambda m: struct_pack(k := m.k, p := m.p, s := m.s, x := m.x, neg := m.neg,
+         skip := 0::BIGINT, ax := 1.0::DOUBLE, aneg := FALSE, ap := 0::BIGINT, asum := 0::BIGINT, an := 0::BIGINT))) AS e FROM mt),
+rd AS (SELECT comment_id, list_reduce(e, lambda a, m: CASE
+         WHEN a.skip > 0 THEN struct_pack({_STATE.format('a.skip - 1', 'a.ax', 'a.aneg', 'a.ap', 'a.asum', 'a.an')})
+         WHEN m.k IS NULL THEN struct_pack({_STATE.format('0::BIGINT', '1.0::DOUBLE', 'FALSE', 'a.ap', 'a.asum', 'a.an')})
+         WHEN m.p IS NULL THEN struct_pack({_STATE.format('m.k - 1', 'a.ax * coalesce(m.x, 1.0::DOUBLE)', '(a.aneg OR m.neg)', 'a.ap', 'a.asum', 'a.an')})
+         ELSE struct_pack({_STATE.format('m.k - 1', 'coalesce(m.x, 1.0::DOUBLE)', 'FALSE', f'a.ap + {_P}', f'a.asum + {_S}', 'a.an + 1')}) END) AS r FROM st),
+sc AS (SELECT comment_id, {round2_milli('r.ap', 'r.an')} AS polarity, {round2_milli('r.asum', 'r.an')} AS subjectivity FROM rd)
+SELECT comment_id, polarity, subjectivity, CAST(sign(polarity) AS INTEGER) AS sentimentBucket FROM sc"""
+
+ORACLE["fitted_embeddings"] = with_(FX_COMMENTS, FX_LTOKS) + """
+, f AS (SELECT token, ln(((SELECT count(*) FROM fx_comments) + 1)::DOUBLE / (count(DISTINCT comment_id) + 1)::DOUBLE) + 1 AS w FROM fx_ltok GROUP BY token),
+c AS (SELECT t.comment_id, ('0x' || md5(t.token)[1:8])::BIGINT % 64 AS place,
+             sum(f.w * CASE WHEN ('0x' || md5(t.token)[9:9])::BIGINT % 2 = 1 THEN 1.0 ELSE -1.0 END) AS v
+      FROM fx_ltok t JOIN f ON t.token = f.token GROUP BY ALL),
+z AS (SELECT comment_id, sqrt(sum(v * v)) AS norm FROM c GROUP BY comment_id)
+SELECT x.comment_id, CAST(p.place AS INTEGER) AS place, round(CASE WHEN z.norm > 0 THEN coalesce(c.v, 0) / z.norm ELSE 0 END, 5) AS v
+FROM fx_comments x CROSS JOIN range(64) p(place) LEFT JOIN z ON x.comment_id = z.comment_id
+LEFT JOIN c ON c.comment_id = x.comment_id AND c.place = p.place"""
+
 # The tag line is searched from the end of the last match: RE2's matches are found one after the other.
 ORACLE["np_chunk_words"] = with_(FX_COMMENTS, FX_LTOKS, FX_TAGGED) + f"""
 , ts AS (SELECT comment_id, list(token ORDER BY pos) AS toks, list(tag ORDER BY pos) AS tags FROM fx_tagged GROUP BY comment_id),

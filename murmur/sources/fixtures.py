@@ -28,6 +28,13 @@ LEXICON = (
     ("la", 0.25, 0.4), ("der", -0.2, 0.3), ("en", 0.15, 0.9), ("die", -0.6, 0.8),
     ("que", 0.5, 0.1), ("with", -0.05, 0.35),
 )
+# (phrase, polarity, subjectivity, intensity, negates)
+PHRASE_LEXICON = (
+    ("the", 0.1, 0.2, None, False), ("is", 0.35, 0.5, None, False), ("that", -0.3, 0.6, 1.5, False), ("of the", 0.4, 0.3, None, False),
+    ("and the that", -0.9, 0.9, None, False), ("in the", 0.7, None, None, False), ("with", None, None, 1.3, False), ("on", None, None, 0.6, False),
+    ("for", None, None, None, True), ("and", None, None, None, True), ("la", 0.25, 0.4, None, False), ("de", None, None, 2.0, False),
+    ("de la", 0.85, 0.75, None, None), ("der", -0.2, 0.3, None, False), ("und", None, None, 1.2, True), ("und der", -0.65, 0.8, 1.1, False),
+)
 STOPWORDS = ("the", "of", "and", "to", "in", "a", "is", "it", "for", "on",
              "de", "la", "der", "und", "et")
 TAG_LEXICON = (
@@ -102,6 +109,10 @@ def fx_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEXICON), LEXICON_SCHEMA)
 
 
+def fx_phrase_lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(PHRASE_LEXICON), "phrase string, polarity double, subjectivity double, intensity double, negates boolean")
+
+
 def stopword_list() -> list[str]:
     """Fixture stop words plus every character of the punctuation strings."""
     return sorted(set(STOPWORDS) | set("".join(PUNCTUATION)))
