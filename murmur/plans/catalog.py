@@ -277,6 +277,14 @@ def pearson_r(spark, d):
     return stats.pearson(fx.fx_scored(spark, d), [("polarity", "subjectivity")], with_p=False)
 
 
+@register("pearson_p")
+def pearson_p(spark, d):
+    """Correlations of three pairs with their two-sided p-values."""
+    scored = fx.fx_scored(spark, d)
+    out = stats.pearson(scored, [("polarity", "subjectivity"), ("views", "subjectivity"), ("polarity", "comment_id")], with_p=True)
+    return out.select("x", "y", "r", "n", F.round("p_value", 6).alias("p_value"))
+
+
 @register("histogram70")
 def histogram70(spark, d):
     return stats.histogram(fx.table(spark, d, "events"), "value", 70)
@@ -506,6 +514,13 @@ def pca_scores(spark, d):
     return model.pca_scores(m, t)
 
 
+@register("pca_summary")
+def pca_summary(spark, d):
+    """Variance ratio and singular value of the components fitted on the training videos."""
+    _, train, cols, m = _fitted(spark, d)
+    return model.pca_summary(m, train, cols)
+
+
 @register("pca_variance2")
 def pca_variance2(spark, d):
     return model.pca_variance2(fx.fx_scored(spark, d), "polarity", "subjectivity")
@@ -558,7 +573,8 @@ def channel_cluster_report(spark, d):
 def channel_elbow_report(spark, d):
     from murmur.plans import reports
 
-    return reports.channel_elbow_report(reports.tables_from_fixtures(spark, d), CHANNEL, SENTIMENT)["elbow"]
+    e = reports.channel_elbow_report(reports.tables_from_fixtures(spark, d), CHANNEL, SENTIMENT)["elbow"]
+    return e.withColumn("wcss", MF.round_half_away("wcss", 9))
 
 
 @register("video_features")

@@ -736,3 +736,92 @@ s AS (SELECT comment_id, place, sum(sign) AS v FROM h GROUP BY ALL),
 z AS (SELECT comment_id, max(v <> 0) AS any FROM s GROUP BY comment_id)
 SELECT c.comment_id, CAST(64 AS INTEGER) AS dim, CASE WHEN z.any THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS norm2
 FROM fx_comments c LEFT JOIN z ON c.comment_id = z.comment_id"""
+
+# --------------------------------------------------------------------------
+# Reports, with the k-means fit in SQL
+# --------------------------------------------------------------------------
+FX_SELECTED = """
+km_src AS (
+  SELECT min(s.comment_id) AS comment_id, s.commentText, s.polarity, s.subjectivity
+  FROM fx_scored s JOIN fx_categories k ON s.categoryID = k.categoryID JOIN fx_titles t ON s.videoID = t.videoID
+  WHERE t.channel = 'ch1' AND s.sentimentBucket = 1
+  GROUP BY s.videoID, s.categoryID, s.views, s.commentText, t.title, t.channel, t.commentCount, k.category, s.polarity, s.subjectivity)"""
+
+
+def recursive_(*ctes: str) -> str:
+    return with_(*ctes).replace("WITH", "WITH RECURSIVE", 1)
+
+
+ORACLE["channel_elbow_report"] = recursive_(FX_COMMENTS, FX_TITLES, FX_SCORED, FX_CATEGORIES, FX_SELECTED,
+                                            kmeans_sql("km_src", _KMEANS_SEED, 10, list(range(1, 11)))) + """
+SELECT CAST(k AS INTEGER) AS k, floor(wcss * 1000000000::DOUBLE + 0.5::DOUBLE) / 1000000000::DOUBLE AS wcss FROM km_best"""
+
+_STOPS = _words(sorted({w.lower() for w in fx.stopword_list() + list(TOP_WORDS_EXTRA_STOPWORDS)}))
+ORACLE["channel_cluster_report"] = recursive_(FX_COMMENTS, FX_TITLES, FX_SCORED, FX_CATEGORIES, FX_SELECTED,
+                                              kmeans_sql("km_src", _KMEANS_SEED, 10, [2])) + f"""
+, lab AS (SELECT s.*, {nearest_sql('polarity', 'subjectivity', 'centres')} AS clusters FROM km_src s, km_best),
+tk AS (SELECT comment_id, regexp_extract_all(lower(coalesce(commentText, '')), '{WORD_RE}') AS toks FROM lab WHERE clusters = 0),
+w AS (SELECT comment_id, CAST(unnest(generate_series(0, len(toks) - 1)) AS INTEGER) AS pos, unnest(toks) AS token FROM tk),
+tri AS (SELECT DISTINCT unnest({grams_sql(3)}) AS gram FROM tk),
+lx(token, tag) AS (VALUES {_TAG_VALUES}),
+tg AS (SELECT w.comment_id, string_agg('<' || coalesce(lx.tag, 'NN') || '>', '' ORDER BY w.pos) AS tags
+       FROM w LEFT JOIN lx ON w.token = lx.token GROUP BY w.comment_id),
+ch AS (SELECT unnest(regexp_extract_all(tags, '{NP_TAG_PATTERN}')) AS chunk FROM tg),
+tw AS (SELECT token, count(*) AS n FROM w WHERE token NOT IN ({_STOPS}) GROUP BY token ORDER BY n DESC, token LIMIT 200),
+sm AS (SELECT comment_id, row_number() OVER (ORDER BY md5(CAST(comment_id AS VARCHAR) || '|0'), comment_id) - 1 AS pos FROM tk
+       ORDER BY md5(CAST(comment_id AS VARCHAR) || '|0'), comment_id LIMIT 10),
+eh AS (SELECT w.comment_id, ('0x' || md5(token)[1:8])::BIGINT % 64 AS place,
+              sum(CASE WHEN ('0x' || md5(token)[9:9])::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS v FROM w JOIN sm USING (comment_id) GROUP BY ALL),
+en AS (SELECT comment_id, sqrt(CAST(sum(v * v) AS DOUBLE)) AS norm FROM eh GROUP BY comment_id),
+ev AS (SELECT sm.pos, sm.comment_id, list(CAST(CASE WHEN en.norm > 0 THEN coalesce(eh.v, 0) / en.norm ELSE 0 END AS FLOAT) ORDER BY p.i) AS e
+       FROM sm CROSS JOIN range(64) p(i) LEFT JOIN en ON en.comment_id = sm.comment_id
+       LEFT JOIN eh ON eh.comment_id = sm.comment_id AND eh.place = p.i GROUP BY ALL),
+pr AS (SELECT a.pos AS i, b.pos AS j, a.comment_id AS ka, b.comment_id AS kb, list_dot_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS d
+       FROM ev a JOIN ev b ON a.pos > b.pos WHERE (SELECT count(*) FROM tk) >= 10)
+SELECT 'profile' AS part, CAST(clusters AS VARCHAR) AS name, count(*) AS n, {exact_mean2('polarity')} AS x, {exact_mean2('subjectivity')} AS y
+FROM lab GROUP BY clusters
+UNION ALL SELECT 'centres', CAST(i - 1 AS VARCHAR), NULL, centres[i][1], centres[i][2] FROM km_best, range(1, 3) r(i)
+UNION ALL SELECT 'trigram_count', NULL, count(*), NULL, NULL FROM tri
+UNION ALL SELECT 'trigram_slice', gram, NULL, NULL, NULL FROM (SELECT gram FROM tri ORDER BY gram LIMIT 50 OFFSET 400)
+UNION ALL SELECT 'chunks', chunk, count(*), len(string_split(chunk, '><')), NULL FROM ch GROUP BY chunk
+UNION ALL SELECT 'top_words', token, n, NULL, NULL FROM tw
+UNION ALL SELECT 'similarity', concat_ws(',', i, j, ka, kb), NULL, round(d, 6), round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, d)), 6) FROM pr"""
+
+ORACLE["video_features"] = recursive_(FX_COMMENTS, FX_TITLES, FX_SCORED, """
+fx_titled AS (SELECT s.* FROM fx_scored s JOIN fx_titles t ON s.videoID = t.videoID)""", kmeans_sql("fx_titled", _KMEANS_SEED, 10, [5]), f"""
+fx_tm AS (
+  SELECT comment_id, videoID, 'cluster' AS measure, CAST({nearest_sql('polarity', 'subjectivity', 'centres')} AS DOUBLE) AS value FROM fx_titled, km_best
+  UNION ALL SELECT comment_id, videoID, 'subjectivity', CAST(subjectivity AS DOUBLE) FROM fx_titled
+  UNION ALL SELECT comment_id, videoID, 'sentiment', CAST(sentimentBucket AS DOUBLE) FROM fx_titled)""") + _pivot_sql(
+    "fx_tm", MEASURE_NAMES, DEFAULT_RANKS, 41)
+
+# Leading eigenvectors of the training covariance by power iteration; the first one's part is taken out for the second.
+_FEATURES = "list_value(CAST(categoryID AS DOUBLE), " + ", ".join(f"CAST({m}_{r} AS DOUBLE)" for m in MEASURE_NAMES for r in DEFAULT_RANKS) + ")"
+_POWER = """
+{name} AS (
+  SELECT 0 AS step, list_transform(range(1, len(m) + 1), lambda i: 1.0::DOUBLE / i) AS v FROM {matrix}
+  UNION ALL SELECT step + 1, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) FROM (
+    SELECT step, list_transform(m, lambda row: list_dot_product(row, v)) AS u FROM {name}, {matrix} WHERE step < 3000)),
+{name}_last AS (SELECT v, list_dot_product(v, list_transform(m, lambda row: list_dot_product(row, v))) AS value FROM {name}, {matrix} WHERE step = 3000)"""
+ORACLE["pca_summary"] = _SPLIT.replace("WITH", "WITH RECURSIVE", 1) + f"""
+, x AS (SELECT {_FEATURES} AS x FROM fx_split WHERE split = 'train'),
+c AS (SELECT a.i, b.j, covar_samp(x[a.i], x[b.j]) AS c FROM x, (SELECT unnest(range(1, (SELECT max(len(x)) FROM x) + 1)) AS i) a,
+      (SELECT unnest(range(1, (SELECT max(len(x)) FROM x) + 1)) AS j) b GROUP BY ALL),
+m1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM c GROUP BY i)),{_POWER.format(name='p1', matrix='m1')},
+m2 AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - value * v[i] * v[j])) AS m
+       FROM m1, p1_last),{_POWER.format(name='p2', matrix='m2')},
+t AS (SELECT (SELECT sum(c) FROM c WHERE i = j) AS total, (SELECT count(*) FROM x) AS n)
+SELECT component, round(value / total, 6) AS explained_variance_ratio, round(sqrt(value * (n - 1)), 6) AS singular_value
+FROM (SELECT 1 AS component, value FROM p1_last UNION ALL SELECT 2, value FROM p2_last), t"""
+
+# Student's t by its finite series: 1 - A(t | v), v even or odd.
+ORACLE["pearson_p"] = with_(FX_COMMENTS, FX_SCORED) + """
+, k AS (SELECT 'polarity' AS x, 'subjectivity' AS y, corr(polarity, subjectivity) AS r, count(*) AS n FROM fx_scored
+        UNION ALL SELECT 'views', 'subjectivity', corr(CAST(views AS DOUBLE), subjectivity), count(*) FROM fx_scored
+        UNION ALL SELECT 'polarity', 'comment_id', corr(polarity, CAST(comment_id AS DOUBLE)), count(*) FROM fx_scored),
+a AS (SELECT *, n - 2 AS v, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM k),
+b AS (SELECT *, atan(t / sqrt(CAST(v AS DOUBLE))) AS th FROM a),
+s AS (SELECT *, list_sum(list_transform(range(0, v // 2),
+        lambda j: exp(coalesce(list_sum(list_transform(range(1, j + 1), lambda i: ln(CASE WHEN v % 2 = 1 THEN 2.0 * i / (2 * i + 1) ELSE (2.0 * i - 1) / (2 * i) END))), 0)
+                      + 2 * j * ln(cos(th))))) AS sum FROM b)
+SELECT x, y, round(r, 6) AS r, n, round(1 - CASE WHEN v % 2 = 1 THEN 2 / pi() * (th + sin(th) * cos(th) * sum) ELSE sin(th) * sum END, 6) AS p_value FROM s"""
