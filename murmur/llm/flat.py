@@ -117,8 +117,8 @@ def windows(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return out[whole], owner[whole]
 
 
-def long_cuts(raw: bytes, limit: int, cut) -> Iterator[bytes]:
-    """``raw`` in pieces of about ``limit`` bytes, each ending after a match of the pattern ``cut``."""
+def long_cuts(raw, limit: int, cut) -> Iterator:
+    """``raw`` (bytes or str) in pieces of about ``limit`` items, each ending after a match of the pattern ``cut``."""
     a = 0
     while len(raw) - a > limit:
         found = cut.search(raw, a + limit)

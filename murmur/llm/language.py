@@ -13,6 +13,8 @@ counts in any text of under 2^31 letters; 2^33 texts a language fit.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.llm.common import byte_slices, per_slice, stored, texts_of, without, worker_state
-from murmur.llm.flat import code_points, mix64, text_of
+from murmur.llm.flat import code_points, long_cuts, mix64
 
 #: Components of a vector, letters of an n-gram, and the weight of one text.
 SIZE, ORDER, WEIGHT = 1024, 3, 1 << 30
@@ -29,6 +31,10 @@ MAX_LANGUAGES = 5000
 GAP = 0x20
 #: Bytes and rows that one matrix of counts spans.
 SLICE = (1 << 18, 512)
+#: Code points of one piece of a long text, and n-grams whose vectors are held at once.
+PIECE, VECTORS = 1 << 20, 8192
+#: A long text may be cut after any ASCII white space, which is no letter.
+CUT = re.compile(r"[\x20\x09-\x0D]")
 
 
 def letter_table() -> np.ndarray:
@@ -88,6 +94,31 @@ def gram_counts(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.n
     return packed, counts.reshape(len(texts), len(distinct))
 
 
+def slice_gram_counts(texts: list[str], letters: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """``gram_counts``, of one long text in pieces: cuts are gaps, and only n-grams around a gap join two pieces."""
+    if len(texts) != 1 or len(texts[0]) <= piece:
+        return gram_counts(texts, letters)
+    grams, counts, last = np.empty(0, np.int64), np.empty(0, np.int64), None
+    for part in long_cuts(texts[0], piece, CUT):
+        found, n = gram_counts([part], letters)
+        own = np.array([ord(c) for c in part.lower()], np.int64) if len(part) < 64 else code_points([part.lower()])[0].astype(np.int64)
+        own = own[letters[own]]
+        if last is not None and len(own):
+            found, n = np.r_[found, last | GAP << 21 | own[0] << np.int64(42)], np.c_[n, [[1]]]
+        last = own[-1] if len(own) else last
+        grams, at = np.unique(np.r_[grams, found], return_inverse=True)
+        counts = np.bincount(at, weights=np.r_[counts, n[0]], minlength=len(grams)).astype(np.int64)
+    return grams, counts[None, :]
+
+
+def bundled(grams: np.ndarray, counts: np.ndarray, kind) -> np.ndarray:
+    """Per text the sum of its n-grams' vectors; whole numbers, so exact in any order while they fit ``kind``."""
+    out = np.zeros((len(counts), SIZE), kind)
+    for a in range(0, len(grams), VECTORS):
+        out += counts[:, a:a + VECTORS].astype(kind) @ gram_vectors(grams[a:a + VECTORS]).astype(kind)
+    return out
+
+
 def profiles(docs: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
     """The profile of each non-null value of ``lang``."""
     schema = pa.schema([("lang", pa.string()), ("profile", pa.list_(pa.int64()))])
@@ -98,11 +129,11 @@ def profiles(docs: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
 
         def add(batch):
             texts, langs = texts_of(batch.column("text")), batch.column("lang").to_pylist()
-            distinct, counts = gram_counts(texts, letters)
+            distinct, counts = slice_gram_counts(texts, letters)
             share = np.rint(counts * (WEIGHT / np.maximum(1, counts.sum(axis=1, keepdims=True))))
             names, of = np.unique(np.array(langs, object).astype(str), return_inverse=True)
             held = np.stack([share[of == i].sum(axis=0) for i in range(len(names))])
-            sums = held @ gram_vectors(distinct).astype(np.float64)
+            sums = bundled(distinct, held, np.float64)
             for name, row in zip(names.tolist(), sums):
                 total[name] = total.get(name, 0) + row.astype(np.int64)
 
@@ -137,12 +168,11 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text")
     def score(batch):
         texts = texts_of(batch.column(text))
         letters = worker_state("letters", letter_table)
-        distinct, counts = gram_counts(texts, letters)
-        own = counts.astype(np.float32) @ gram_vectors(distinct).astype(np.float32)
+        distinct, counts = slice_gram_counts(texts, letters)
+        own = bundled(distinct, counts, np.float32 if sum(map(len, texts)) < 1 << 22 else np.float64)
         norm = np.linalg.norm(own.astype(np.float64), axis=1)
-        has = np.zeros(len(texts), bool)
-        cps, offsets = code_points(texts)
-        has[text_of(np.flatnonzero(letters[cps]), offsets)] = True
+        # A letter gives at least one n-gram: with the gap on either side of it.
+        has = counts.sum(axis=1) > 0
         known = has & (norm > 0) & bool(names)
         lang, best = ["und"] * len(texts), np.zeros(len(texts))
         if known.any():
@@ -169,7 +199,9 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     and whose language is given; all of them, not a sample. A text that is
     null or has no letter is ``und`` with score 0, as is every text when
     nothing could be learned. A null id is neither learned from nor held out.
-    Ties go to the language that sorts first.
+    Ties go to the language that sorts first. Repeated rows are learned from
+    and predicted each; long texts are counted in pieces; an empty table gives
+    an empty result. Other columns play no part, whatever their names.
     """
     fold = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
     learned = profiles(docs.filter(fold != 2), text, lang)

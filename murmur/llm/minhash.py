@@ -13,11 +13,14 @@ copies cost one row each. Class representatives are compared as follows.
    id, in one aggregation and one join. Confirmed pairs are contracted.
 2. Strays: a bucket whose members now belong to several components holds
    unchecked pairs. Its members join the family of the bucket's largest
-   component. Families are compared in blocks: a family is cut into chunks
-   of at most ``BLOCK`` sets, each pair of chunks is one task group, and
-   small families share groups. Inside a group numpy compares those pairs
-   that meet in a table and lie in different components, and only confirmed
-   links leave it, one per set and component.
+   component, the main one; all others are strays. Main members are connected
+   already, so only strays are compared, with main members and with each
+   other. Both are cut into chunks of about ``BLOCK`` shingles; each pair of a
+   stray chunk with a main or stray chunk is one task group, and small
+   families share groups: a family of n with s strays costs n * s pairs, and
+   a main set is copied once per chunk of strays. Inside a group numpy compares
+   those pairs that meet in a table and lie in different components, and only
+   confirmed links leave it, one per set and component.
 
 Step 1 makes a large group of near copies one component at a linear cost;
 step 2 leaves no pair of a bucket that could change a component unchecked.
@@ -26,6 +29,7 @@ Every link is confirmed on the full sets.
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 
 import numpy as np
@@ -33,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import fresh, per_slice, stored
+from murmur.llm.common import SLICE_BYTES, fresh, per_slice, stored
 from murmur.llm.components import contract
-from murmur.llm.flat import byte_texts, hash_spans, mix64, spans, symbol_values, windows
+from murmur.llm.flat import byte_texts, hash_spans, long_cuts, mix64, spans, symbol_values, windows
 
 #: Hashes in each collection, and minhashes in each hash.
 COLLECTION, PER_HASH = 8, 2
-#: Sets in one chunk of a family; a task group holds two chunks.
-BLOCK = 256
+#: Shingles in one chunk of a family (8 bytes each); a task group holds two chunks.
+BLOCK = 1 << 18
+#: A cut through a long text may follow any white space.
+CUT = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _word_symbols() -> tuple[np.ndarray, np.ndarray]:
@@ -52,19 +58,30 @@ def _word_symbols() -> tuple[np.ndarray, np.ndarray]:
     return values, word
 
 
-def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, step: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the n + 1 numbers of each text's first word; a single text longer than ``step`` is taken in pieces."""
+    values, word = _word_symbols()
+    raw, offsets = byte_texts(column)
+    if len(offsets) == 2 and len(raw) > step:
+        parts = []
+        for piece in long_cuts(raw.tobytes(), step, CUT):
+            part = np.frombuffer(piece, np.uint8)
+            parts.append(hash_spans(values[part], *spans(word[part], np.array([0, len(part)]))))
+        h = np.concatenate(parts)
+        return h, np.array([0, len(h)])
+    starts, ends = spans(word[raw], offsets)
+    return hash_spans(values[raw], starts, ends), np.searchsorted(starts, offsets)
+
+
+def shingle_sets(column: pa.Array, k: int, step: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts end to end (ascending in each), and n + 1 offsets.
 
     Words are runs without ASCII white space, A-Z lower-cased. A text of
     fewer than k words has its whole sequence as one shingle; one without
     words (or null) has none.
     """
-    values, word = _word_symbols()
-    raw, offsets = byte_texts(column)
-    n = len(offsets) - 1
-    starts, ends = spans(word[raw], offsets)
-    h = hash_spans(values[raw], starts, ends)
-    first = np.searchsorted(starts, offsets)  # each text's first word
+    h, first = word_hashes(column, step)
+    n = len(first) - 1
     shingles, owner = windows(h, first, k)
     counts = np.diff(first)
     short = np.flatnonzero((counts > 0) & (counts < k))
@@ -179,51 +196,74 @@ def set_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int
     return rows.mapInArrow(per_slice(collect, schema), "rep long, members binary")
 
 
-def stray_links(family: DataFrame, hashes: DataFrame, sets: DataFrame, m: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Confirmed (a, b) between members of one family in different components."""
-    count = family.groupBy("family").agg(F.count("*").alias("size"))
-    small = count.filter(F.col("size") <= block).agg(F.sum("size")).first()[0] or 0
-    bins = max(1, -(-small // block))
-    rows = (family.join(count, "family").join(hashes, "rep").join(sets, "rep")
-            .withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
-            .withColumn("chunk", F.expr("cast(pmod(xxhash64(rep), chunks) as int)"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .withColumn("slot", F.when(F.col("chunks") > 1, F.col("family")).otherwise(F.expr(f"pmod(xxhash64(family), {bins}) - {bins}"))))
+def stray_links(family: DataFrame, reps: DataFrame, sets: DataFrame, m: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Confirmed (a, b) between strays of a family and its other members, where they lie in different components.
+
+    ``family`` has (family, rep, label), ``reps`` (rep, n_shingles, hashes), ``sets`` (rep, members)."""
+    main = F.col("label") == F.col("family")
+    sized = family.join(reps, "rep").withColumn("main", main)
+    count = (sized.groupBy("family").agg(F.sum(F.when(F.col("main"), F.col("n_shingles")).otherwise(0)).alias("main_size"),
+                                         F.sum(F.when(F.col("main"), 0).otherwise(F.col("n_shingles"))).alias("stray_size"))
+             .withColumn("mains", F.greatest(F.lit(1), F.ceil(F.col("main_size") / block)).cast("int"))
+             .withColumn("strays", F.greatest(F.lit(1), F.ceil(F.col("stray_size") / block)).cast("int"))
+             .withColumn("small", F.col("main_size") + F.col("stray_size") <= block))
+    held = count.filter("small").agg(F.sum(F.col("main_size") + F.col("stray_size"))).first()[0] or 0
+    bins = max(1, -(-held // block))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("strays"))).cast("int")
+
+    def groups(kind, n, i, j):
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.lit(kind).alias("kind"), i(x).alias("i"), j(x).alias("j")))
+
+    # kind 0: a small family whole; 1: stray chunk i with main chunk j; 2: stray chunks i <= j.
+    chunk = F.col("chunk")
+    with_main = groups(1, F.col("strays"), lambda x: x, lambda x: chunk)
+    as_stray = F.concat(groups(1, F.col("mains"), lambda x: chunk, lambda x: x),
+                        groups(2, F.col("strays"), lambda x: F.least(x, chunk), lambda x: F.greatest(x, chunk)))
+    places = (F.when(F.col("small"), groups(0, F.lit(1), lambda x: x, lambda x: x)).when(F.col("main"), with_main).otherwise(as_stray))
+    rows = (sized.join(count.drop("main_size", "stray_size"), "family").withColumn("chunk", own).withColumn("g", F.explode(places))
+            .withColumn("slot", F.when(F.col("small"), F.expr(f"pmod(xxhash64(family), {bins}) - {bins}")).otherwise(F.col("family"))).join(sets, "rep"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(group: pa.Table) -> pa.Table:
         def column(name):
             return np.asarray(group.column(name).combine_chunks().to_numpy(zero_copy_only=False))
 
-        rep, label, fam, chunk, other = (column(x) for x in ("rep", "label", "family", "chunk", "other"))
+        rep, label, fam, chunk, main, n = (column(x) for x in ("rep", "label", "family", "chunk", "main", "n_shingles"))
+        kind, i, j = (int(group.column(c)[0].as_py()) for c in ("kind", "i", "j"))
         flat = group.column("hashes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), 2 * m)
-        members = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
-        n = np.array([len(x) for x in members])
-        left = np.flatnonzero(chunk <= other)
+        raw = group.column("members")
+        members: dict[int, np.ndarray] = {}
+
+        def members_of(x):
+            if x not in members:
+                members[x] = np.frombuffer(raw[x].as_py(), np.uint64)
+            return members[x]
+
+        main = main.astype(bool)
+        left = np.flatnonzero(~main & ((chunk == i) | (kind == 0)))
         out_a, out_b = [], []
-        for x in left:
-            # A chunk meets another in one direction, and itself once.
-            y = np.flatnonzero((fam == fam[x]) & (label != label[x]) & ((chunk > chunk[x]) | ((chunk == other) & (rep > rep[x]))))
+        for x in left.tolist():
+            other = main if kind == 1 else ~main & (rep > rep[x]) if kind == 2 and i == j else ~main & (chunk == j) if kind == 2 else main | (rep > rep[x])
+            lo, hi = np.minimum(n, n[x]), np.maximum(n, n[x])
+            y = np.flatnonzero(other & (fam == fam[x]) & (label != label[x]) & (100 * lo >= percent * hi))
             if not len(y):
                 continue
-            lo, hi = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
-            y = y[100 * lo >= percent * hi]
             same = flat[y] == flat[x]
             y = y[same[:, :m].any(1) & same[:, m:].any(1)]
             linked: set[int] = set()
-            for j in y.tolist():
-                if label[j] in linked:
+            for z in y.tolist():
+                if label[z] in linked:
                     continue
-                shared = common_items(members[x], members[j])
-                if 100 * shared >= percent * (int(n[x]) + int(n[j]) - shared):
-                    linked.add(int(label[j]))
+                a, b = members_of(x), members_of(z)
+                shared = common_items(a, b)
+                if 100 * shared >= percent * (len(a) + len(b) - shared):
+                    linked.add(int(label[z]))
                     out_a.append(int(rep[x]))
-                    out_b.append(int(rep[j]))
+                    out_b.append(int(rep[z]))
         return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=schema)
 
-    own = rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    return (own.select("slot", "i", "j", "family", "rep", "label", "chunk", "other", "hashes", "members")
-            .groupBy("slot", "i", "j").applyInArrow(compare, "a long, b long"))
+    return (rows.select("slot", "g.kind", "g.i", "g.j", "family", "rep", "label", "chunk", "main", "n_shingles", "hashes", "members")
+            .groupBy("slot", "kind", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
@@ -234,7 +274,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     percent * union. A text that is null, empty or white space has an empty
     set and links with nothing. Rows with a null id link with nothing, have
     a null component and are kept. Rows that repeat an id count as linked.
-    An empty table gives an empty result.
+    The words of a long text are hashed in pieces, its shingles held as a
+    whole. An empty table gives an empty result. Columns of ``docs`` other than
+    the two named ones play no part, whatever their names.
     """
     signed = stored(shingle_table(docs, doc_id, text, words, m, t), "shingles")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -261,7 +303,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     main = (sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("family"), F.count("*").alias("labels"))
             .filter("labels > 1").select("key", "family"))
     family = stored(placed.join(main, "key").select("family", "rep", "label").distinct(), "families")
-    more = stored(stray_links(family, classes.select("rep", "hashes"), sets, m, percent), "links")
+    more = stored(stray_links(family, classes.select("rep", "n_shingles", "hashes"), sets, m, percent), "links")
     final = contract(links.unionByName(more), classes.select(F.col("rep").alias("node")))
     by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep").select("one", "two", "n_shingles", F.col("label").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

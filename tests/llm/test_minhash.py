@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from murmur.llm import components, minhash
 
@@ -62,12 +64,47 @@ def test_components_equal_all_pairs(spark, words):
 
 def test_families_cut_into_chunks_find_the_same(spark, monkeypatch):
     rows = families(7)
-    monkeypatch.setattr(minhash.stray_links, "__defaults__", (8,))
+    monkeypatch.setattr(minhash.stray_links, "__defaults__", (600,))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, words=2).collect()}
     assert got == brute(rows, 2)
 
 
+def test_strays_cost_no_pairs_of_main_members(spark):
+    """A family of many connected members with few strays: every group holds strays, main sets are copied once per stray chunk."""
+    n, s = 900, 7
+    base = list(range(100))
+    sets, family = [], []
+    for i in range(n + s):
+        own = base[:97] + [1000 + i, 2000 + i, 3000 + i] if i < n else base[:95] + [5000 + 10 * i + j for j in range(5)]
+        sets.append((i, np.array(sorted(own), np.uint64).tobytes(), 100, [1, 2, 3, 4]))
+        family.append((0, i, 0 if i < n else i))
+    reps = spark.createDataFrame([(r, k, h) for r, _, k, h in sets], "rep long, n_shingles long, hashes array<long>")
+    members = spark.createDataFrame([(r, bytearray(x)) for r, x, _, _ in sets], "rep long, members binary")
+    fam = spark.createDataFrame(family, "family long, rep long, label long")
+    out = minhash.stray_links(fam, reps, members, 2, 80, block=1000)
+    assert {r.a for r in out.collect()} == set(range(n, n + s))
+    plan = out._jdf.queryExecution().toString()
+    assert "Generate" in plan
+    # Rows that reach the groups: a main set once per stray chunk, a stray once per main and stray chunk.
+    grouped = out._jdf.queryExecution().optimizedPlan().children().apply(0)
+    from pyspark.sql import DataFrame
+
+    jvm = spark._jvm.org.apache.spark.sql.classic.Dataset
+    rows = DataFrame(jvm.ofRows(spark._jsparkSession, grouped), spark).count()
+    mains, strays = -(-n * 100 // 1000), 1
+    assert rows <= n * strays + s * (mains + strays) + 5
+
+
+def test_long_texts_are_hashed_in_pieces():
+    rnd = random.Random(3)
+    text = "".join(rnd.choice(["aB ", "é\n", "word\t", "x" * 40 + " ", "  "]) for _ in range(2000)) + "y" * 300
+    want = minhash.shingle_sets(pa.array([text]), 3, 1 << 30)
+    for step in (1, 64, 1000):
+        got = minhash.shingle_sets(pa.array([text]), 3, step)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_edge_rows(spark, edge, none):
     rows = minhash.near_duplicates(edge, words=2).collect()
     assert len(rows) == edge.count()

@@ -195,6 +195,57 @@ def test_profile_of_one_text_is_its_sum_of_products():
         assert (v == one[s[0]] * np.roll(one[s[1]], 1) * np.roll(one[s[2]], 2)).all()
 
 
+def plain_grams(text):
+    stream = " " + re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")).strip() + " "
+    return collections.Counter(stream[i:i + 3] for i in range(len(stream) - 2)) if stream.strip() else collections.Counter()
+
+
+def test_long_texts_are_counted_by_grams_in_pieces():
+    letters, rnd = language.letter_table(), random.Random(9)
+    text = "".join(rnd.choice(["ab ", "é", "Σ ", "1 2  ", "日本", "\n", "-", "don't "]) for _ in range(1500))
+    for t in (text, "a b c d e f g", " 1 2 3 ", "x" * 40 + " y"):
+        for piece in (1, 7, 100, 1 << 20):
+            grams, counts = language.slice_gram_counts([t], letters, piece)
+            got = {"".join(chr(g >> (21 * j) & 0x1FFFFF) for j in range(3)): int(c) for g, c in zip(grams.tolist(), counts[0].tolist()) if c}
+            assert got == dict(plain_grams(t))
+
+
+def test_predictions_equal_plain_loops(spark):
+    """Profiles of several languages, cosines and ties, by loops over letters."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([
+        ("the cat sat on the mat", "en"), ("the dog and the fog", "en"), ("der hund und die katze", "de"), ("das ist der mann", "de"),
+        ("le chat est sur la table", "fr"), ("la vie est belle", "fr"), ("same words", "aa"), ("same words", "zz"), ("the end", None), ("hund", None),
+        ("chat la", None), ("same words", None), ("123", "en"), (None, "de"), ("", None), ("q", None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    vec = {}
+
+    def letter(c):
+        if c not in vec:
+            vec[c] = language.letter_vectors(np.array([ord(c)]))[0].astype(int)
+        return vec[c]
+
+    def bundle(grams, weight=lambda n: n):
+        return sum((weight(n) * letter(g[0]) * np.roll(letter(g[1]), 1) * np.roll(letter(g[2]), 2) for g, n in grams.items()), np.zeros(language.SIZE, int))
+
+    import zlib
+
+    profile = collections.defaultdict(lambda: np.zeros(language.SIZE))
+    for d, t, lang in rows:
+        grams = plain_grams(t or "")
+        if lang is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            profile[lang] = profile[lang] + bundle(grams, lambda n: round(n * language.WEIGHT / sum(grams.values())))
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    for d, t, _ in rows:
+        own = bundle(plain_grams(t or ""))
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
+        if not own.any():
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        cosine = {x: float(own @ p / np.linalg.norm(own) / (np.linalg.norm(p) or 1)) for x, p in profile.items()}
+        best = max(sorted(cosine), key=lambda x: round(cosine[x], 9))
+        assert got[d].lang_pred == best and abs(got[d].score - min(1, max(0, cosine[best]))) < 1e-6
+
+
 def test_many_letters_take_the_sorted_path():
     texts = ["".join(chr(0x4E00 + i) for i in range(400)), "abc"]
     grams, counts = language.gram_counts(texts, language.letter_table())
