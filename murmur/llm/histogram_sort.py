@@ -8,9 +8,15 @@ task), and the next candidates lie between the two that enclose each wanted
 cut, until every cut is within tolerance. Only then are the rows exchanged,
 once, straight to their final place.
 
+A cut between shards is first sought between texts, by counting below values
+of the text's hash alone, so that equal texts share a shard; only where no
+such cut lies within ``GROUP_TOLERANCE`` of a shard (one text's rows are too
+many bytes) it goes through that text's rows.
+
 Each shard consists of many parts, cut by the same histogram, so no task
 holds a shard. A row's slot is its part's first slot plus its rank there. The
-driver holds a few numbers per part, and PROBES candidate keys per open cut.
+driver holds a few numbers per part, and PROBES candidate keys per open cut;
+beyond ``PARTS`` parts it is their size that grows with the corpus.
 """
 
 from __future__ import annotations
@@ -23,8 +29,12 @@ from pyspark.sql import functions as F
 
 from murmur.llm.common import fresh, stored, utf8_size, without
 
-#: Candidate keys per wanted cut and pass, and bytes a part should hold.
-PROBES, PART_BYTES = 32, 32 << 20
+#: Candidate keys per wanted cut and pass, bytes a part should hold, and parts at most.
+PROBES, PART_BYTES, PARTS = 32, 32 << 20, 12_000
+#: How far a cut may lie from its place to keep equal texts together, as a share of a shard's bytes.
+GROUP_TOLERANCE = 0.025
+#: Bits of the key that tell rows of one text hash apart.
+ID_BITS = 24
 
 
 def below(table: DataFrame, key: str, weight: str, candidates: np.ndarray) -> np.ndarray:
@@ -76,29 +86,43 @@ def splitters(table: DataFrame, key: str, weight: str, wanted: list[int], tolera
 
 
 def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES,
-          tolerance: float = 0.001) -> DataFrame:
+          tolerance: float = 0.001, most_parts: int = PARTS) -> DataFrame:
     """``docs`` with size, shard and slot; all columns are kept.
 
     A row's size is its text's UTF-8 bytes (null: none) plus 8. Shard sizes
     differ from the mean by at most ``tolerance`` of it on either side, or by
-    one row where a row is larger than that. Null ids and texts hash as such;
-    repeated rows are placed each, side by side. An empty table gives an
-    empty result. Columns named size, shard or slot are replaced.
+    one row where a row is larger than that; where equal texts would be parted,
+    by up to twice ``GROUP_TOLERANCE``, and only a text whose rows leave no such
+    cut lies in more than one shard. Null ids and texts hash as such;
+    repeated rows are placed each, side by side; long texts count their bytes
+    alone. An empty table gives an empty result. Columns named size, shard or slot are replaced.
     """
     docs = without(docs, "size", "shard", "slot")
     key, part = fresh(docs, "sort_key", "part")
     text_hash = F.shiftrightunsigned(F.xxhash64(F.col(text)), 25)  # 39 bits
-    id_hash = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(doc_id)), 40)  # 24 bits
-    keyed = docs.withColumn(key, F.shiftleft(text_hash, 24).bitwiseOR(id_hash)).withColumn("size", utf8_size(F.col(text)) + 8)
+    id_hash = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(doc_id)), 64 - ID_BITS)
+    keyed = docs.withColumn(key, F.shiftleft(text_hash, ID_BITS).bitwiseOR(id_hash)).withColumn("size", utf8_size(F.col(text)) + 8)
     table = stored(keyed.select(F.col(key).alias("key"), "size"), "keys")
     total = int(table.agg(F.sum("size")).first()[0] or 0)
-    each = max(1, -(-total // (shards * part_bytes)))  # parts per shard
+    each = max(1, min(-(-total // (shards * part_bytes)), most_parts // shards))  # parts per shard
     n = shards * each
     wanted = [total * i // n for i in range(1, n)]
     # Cuts between shards are fine, those between a shard's parts need not be.
     slack = [int(tolerance * total / shards / 2) if i % each == 0 else total // n // 8 for i in range(1, n)]
-    cuts = splitters(table, "key", "size", wanted, slack)
-    bounds = np.maximum.accumulate(np.array([c for c, _ in cuts], np.int64)) if cuts else np.empty(0, np.int64)
+    found = [c for c, _ in splitters(table, "key", "size", wanted, slack)] if wanted else []
+    borders = [i for i in range(1, n) if i % each == 0]
+    texts = table.select(F.shiftright("key", ID_BITS).alias("text"), "size")
+    near = GROUP_TOLERANCE * total / shards
+    for i, (text_key, below_it) in zip(borders, splitters(texts, "text", "size", [wanted[i - 1] for i in borders], [slack[i - 1] for i in borders])):
+        if abs(below_it - wanted[i - 1]) <= near:
+            found[i - 1] = text_key << ID_BITS
+    bounds = np.maximum.accumulate(np.array(found, np.int64)) if found else np.empty(0, np.int64)
+    if borders:
+        # The cuts between a shard's parts stay inside it, wherever its borders have moved to.
+        edges = np.r_[np.iinfo(np.int64).min, np.maximum.accumulate([found[i - 1] for i in borders]), np.iinfo(np.int64).max]
+        for i in range(1, n):
+            s = i // each
+            bounds[i - 1] = edges[s] if i % each == 0 else min(max(found[i - 1], edges[s]), edges[s + 1])
 
     @F.pandas_udf("int")
     def part_of(k: pd.Series) -> pd.Series:
@@ -123,7 +147,10 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
 
 
 def shard_digest(docs: DataFrame, shards: int) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
+
+    Nulls, empty and long texts, ties, repeated rows and empty tables as in ``shard``.
+    """
     out = shard(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shards)
     return out.select("doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
                       F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
