@@ -40,11 +40,14 @@ from pyspark.sql import functions as F
 from murmur.llm.common import SLICE_BYTES, fresh, per_slice, stored
 from murmur.llm.components import contract
 from murmur.llm.flat import byte_texts, hash_spans, long_cuts, mix64, spans, symbol_values, windows
+from murmur.operators.common import small_side
 
 #: Hashes in each collection, and minhashes in each hash.
 COLLECTION, PER_HASH = 8, 2
 #: Shingles in one chunk of a family (8 bytes each); a task group holds two chunks.
 BLOCK = 1 << 18
+#: Leaves of one star's centre that one task compares.
+LEAVES = 256
 #: A cut through a long text may follow any white space.
 CUT = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -157,7 +160,10 @@ def common_items(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full sets have 100 * intersection >= percent * union."""
+    """The (a, b) pairs whose full sets have 100 * intersection >= percent * union.
+
+    A centre ``a`` of many pairs has them spread over tasks of about ``LEAVES``
+    pairs, and its set goes to each."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches):
@@ -177,8 +183,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], schema=schema)
 
-    both = (pairs.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b")), "b")
-            .join(sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), "a"))
+    pairs = stored(pairs, "pairs")
+    hot = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > LEAVES).select("a", F.ceil(F.col("n") / LEAVES).alias("shares"))
+    hot = small_side(stored(hot, "centres"))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("shares")), F.lit(0)).alias("salt"))
+    centres = (sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a")).join(pairs.select("a").distinct(), "a", "left_semi")
+               .join(hot, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)) - 1))))
+    both = (dealt.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b")), "b")
+            .join(centres.select("a", "salt", "set_a"), ["a", "salt"]))
     return both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 

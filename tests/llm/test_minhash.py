@@ -65,6 +65,7 @@ def test_components_equal_all_pairs(spark, words):
 def test_families_cut_into_chunks_find_the_same(spark, monkeypatch):
     rows = families(7)
     monkeypatch.setattr(minhash.stray_links, "__defaults__", (600,))
+    monkeypatch.setattr(minhash, "LEAVES", 3)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, words=2).collect()}
     assert got == brute(rows, 2)
