@@ -108,56 +108,81 @@ def ukkonen(s: list[int], width: int) -> tuple[list[int], list[int], dict[int, i
 
 
 class Extensions:
-    """Longest common extensions of suffixes by lowest common ancestors in a suffix tree."""
+    """Longest common extensions of suffixes by lowest common ancestors in a suffix tree.
+
+    The Euler tour's leaf order is found level by level: a node's first leaf
+    stands where its parent's does, plus the leaves below its earlier siblings.
+    """
 
     def __init__(self, s: np.ndarray, width: int):
         first, last, child, leaf = ukkonen(s.tolist(), width)
         keys = np.fromiter(child.keys(), np.int64, len(child))
         nodes = np.fromiter(child.values(), np.int64, len(child))
         del child
-        parent, symbol = np.divmod(keys, width)
-        self.size, self.nodes, self.leaf = len(s), len(first), leaf
-        self.edge = (np.asarray(last) - np.asarray(first)).tolist()
-        self.below, self.parent, self.symbol, self.width = nodes, parent, symbol, width
-        order, between = self.tour(np.lexsort((symbol, parent)))
-        self.rank = self.ranked(order)
-        self.table = [np.asarray(between, np.int32)]
+        self.size, self.width, n = len(s), width, len(first)
+        self.leaf = np.asarray(leaf)
+        self.edge = np.asarray(last) - np.asarray(first)
+        self.parent, self.symbol = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.parent[nodes], self.symbol[nodes] = np.divmod(keys, width)
+        below, starts = self.children(self.symbol)
+        self.levels = list(self.walk(below, starts))
+        # Leaves below each node, from the deepest level up.
+        self.leaves = (self.leaf >= 0).astype(np.int64)
+        for level in reversed(self.levels):
+            np.add.at(self.leaves, self.parent[level], self.leaves[level])
+        depth = np.zeros(n, np.int64)
+        for level in self.levels:
+            depth[level] = depth[self.parent[level]] + self.edge[level]
+        place = self.places(self.levels)
+        self.rank = self.ranked(place)
+        # Where a node is no first child, its parent parts its first leaf from the one before.
+        later = np.flatnonzero(place > place[self.parent])
+        between = np.zeros(self.size - 1, np.int32)
+        between[place[later] - 1] = depth[self.parent[later]]
+        self.table = [between]
         step = 1
         while 2 * step <= len(between):
             t = self.table[-1]
             self.table.append(np.minimum(t[:-step], t[step:]))
             step *= 2
 
-    def ranked(self, order: list[int]) -> np.ndarray:
+    def children(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All nodes but the root by parent, then symbol, and where each parent's begin."""
+        order = np.lexsort((symbol[1:], self.parent[1:])) + 1
+        return order, np.searchsorted(self.parent[order], np.arange(len(symbol) + 1))
+
+    @staticmethod
+    def walk(below: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """The nodes of each level under the root, siblings side by side in their order."""
+        level = np.zeros(1, np.int64)
+        while True:
+            n = starts[level + 1] - starts[level]
+            level, n = level[n > 0], n[n > 0]
+            if not len(level):
+                return
+            level = below[np.repeat(starts[level] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            yield level
+
+    def places(self, levels) -> np.ndarray:
+        """The tour's number of each node's first leaf."""
+        place = np.zeros(len(self.leaf), np.int64)
+        for level in levels:
+            before = np.cumsum(self.leaves[level]) - self.leaves[level]
+            up = self.parent[level]
+            new = np.flatnonzero(np.r_[True, up[1:] != up[:-1]])
+            place[level] = place[up] + before - np.repeat(before[new], np.diff(np.r_[new, len(level)]))
+        return place
+
+    def ranked(self, place: np.ndarray) -> np.ndarray:
         rank = np.empty(self.size, np.int64)
-        rank[order] = np.arange(self.size)
+        own = np.flatnonzero(self.leaf >= 0)
+        rank[self.leaf[own]] = place[own]
         return rank
 
-    def tour(self, by: np.ndarray) -> tuple[list[int], list[int]]:
-        """The suffixes in the tour's order, and the string depth of the lowest common ancestor of each two neighbours."""
-        below = self.below[by][::-1].tolist()  # reversed: the stack gives the first child first
-        ends = np.searchsorted(-self.parent[by][::-1], -np.arange(self.nodes), side="right").tolist()
-        starts = np.searchsorted(-self.parent[by][::-1], -np.arange(self.nodes), side="left").tolist()
-        edge, leaf = self.edge, self.leaf
-        stack, order, between, after_leaf = [(0, 0)], [], [], False
-        while stack:
-            v, above = stack.pop()
-            if after_leaf:
-                between.append(above)
-            suffix = leaf[v]
-            if suffix >= 0:
-                order.append(suffix)
-                after_leaf = True
-            else:
-                after_leaf = False
-                depth = above + edge[v]
-                stack += [(w, depth) for w in below[starts[v]:ends[v]]]
-        return order, between
-
     def reverse_rank(self, separators: int) -> np.ndarray:
         """Ranks of the suffixes for the reversed order of words; separators stay below all words."""
         symbol = np.where(self.symbol >= separators, separators + self.width - 1 - self.symbol, self.symbol)
-        return self.ranked(self.tour(np.lexsort((symbol, self.parent)))[0])
+        return self.ranked(self.places(self.walk(*self.children(symbol))))
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common words of the suffixes at a and b (a != b)."""
@@ -200,7 +225,8 @@ def runs_of(zones: list[np.ndarray], least: int = LEAST) -> list[np.ndarray]:
     n, width = len(s), k + len(words)
     forward = Extensions(s, width)
     found = [(place, next_smaller(rank)[place] - place) for rank in (forward.rank, forward.reverse_rank(k))]
-    i, p = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
+    roots = np.concatenate([x * (n + 1) + y for x, y in found])  # a pair as one number
+    i, p = np.divmod(np.unique(roots), n + 1)
     # The reversal, with the last symbol of s first: moved to the end so that it stays unique there.
     backward = Extensions(np.r_[s[:-1][::-1], s[-1]], width)
     right = forward(i, i + p)
@@ -208,9 +234,11 @@ def runs_of(zones: list[np.ndarray], least: int = LEAST) -> list[np.ndarray]:
     back = backward(n - 1 - i, n - 1 - i - p)
     start, length = i - back, back + p + right
     good = (length >= 2 * p) & (length >= least)
-    rows = np.unique(np.stack([start[good], p[good], length[good]]), axis=1)
-    zone = np.searchsorted(starts, rows[0], side="right") - 1
-    out = np.stack([rows[0] - starts[zone], rows[2], rows[1]], axis=1)
+    # Start and period name a run, by start, then period.
+    key, at = np.unique(start[good] * (n + 1) + p[good], return_index=True)
+    first, period = np.divmod(key, n + 1)
+    zone = np.searchsorted(starts, first, side="right") - 1
+    out = np.stack([first - starts[zone], length[good][at], period], axis=1)
     cut = np.searchsorted(zone, np.arange(k + 1))
     return [out[cut[z]:cut[z + 1]] for z in range(k)]
 
