@@ -1,7 +1,7 @@
 """The training-text pipeline: five filtering and encoding stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor
-kept, and returns a DataFrame; ``run`` writes it as Parquet into the shared
+kept (an empty table gives an empty one), and returns a DataFrame; ``run`` writes it as Parquet into the shared
 scratch folder and reads it back for the next one. All stages but the last
 return the columns of ``documents``.
 """
@@ -21,14 +21,21 @@ from murmur.llm.winnowing import drop_contaminated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling; documents that it does not draw go."""
+    """Importance resampling; documents that it does not draw, or that hold a passage it rejects, go.
+
+    Null and empty texts have weight 0 and stay or go by it; repeated rows and
+    ties of the sampling key share their fate; null ids draw noise from their
+    text; without good labels all stay; long texts are counted in pieces.
+    """
     return keep_sampled(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks go, and documents that consisted of nothing else.
+    """Repeated chunks of two lines and more go, and documents that consisted of nothing else.
 
-    n_chars, where present, counts the text that is left.
+    n_chars, where present, counts the text that is left. Null, empty and
+    one-line texts stay as they are; rows that repeat an id and a text are one
+    document; null ids come first in the order; long texts are taken whole.
     """
     out = drop_repeated_chunks(docs)
     out = out.filter((F.col("removed_chunks") == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
@@ -39,17 +46,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, 0.8)."""
+    """One document of each group of near copies stays (five-word shingles, 0.8).
+
+    Texts without words, and rows with a null id, link with nothing and stay;
+    rows that repeat a kept id stay together; of a group the least id stays.
+    """
     return drop_near_duplicates(docs, words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a ten-word window with a benchmark item go."""
+    """Documents that share a ten-word window with a benchmark item go.
+
+    Shorter items are one window; null texts and items have none; repeated
+    rows share their fate; without items all stay.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns, the text's SentencePiece ids (end id last) and what they decode to."""
+    """All columns, the text's SentencePiece ids (end id last) and what they decode to.
+
+    A null text counts as empty: the end id alone, which decodes to nothing.
+    Repeated rows and null ids are encoded each; long texts in pieces.
+    """
     return encode_decode(docs, tokenizer_file("piece_bpe_32k.model"), end_id=2)
 
 

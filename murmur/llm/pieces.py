@@ -229,7 +229,8 @@ def encode_decode(docs: DataFrame, model_path: str, end_id: int | None = 2, text
     """Every row with its text's ``ids`` (array<int>, ``end_id`` last) and the text they decode to.
 
     Other columns are kept. A null text counts as empty: its only id is
-    ``end_id``. An empty table gives an empty result; repeated rows stay.
+    ``end_id``. An empty table gives an empty result; repeated rows and null
+    ids stay; pairs of equal rank merge from the left; long texts go in pieces.
     Columns of ``docs`` that are named as an output are replaced.
     """
     spark = docs.sparkSession
@@ -260,7 +261,10 @@ def encode_decode(docs: DataFrame, model_path: str, end_id: int | None = 2, text
 
 
 def piece_digest(docs: DataFrame, model_path: str, end_id: int = 2) -> DataFrame:
-    """doc_id, n_tokens and the sha256 of the ids and of the decoded text."""
+    """doc_id, n_tokens and the sha256 of the ids and of the decoded text.
+
+    Null, empty and long texts, null and repeated ids and empty tables as in ``encode_decode``.
+    """
     out = encode_decode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model_path, end_id)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -182,7 +182,10 @@ def read_range(spark: SparkSession, path: str, start: int, n: int) -> np.ndarray
 
 
 def token_digest(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary_size: int) -> DataFrame:
-    """Write the files into shared scratch, then describe each document from what they hold."""
+    """Write the files into shared scratch, then describe each document from what they hold.
+
+    Null, empty and long texts, null and repeated ids and empty tables as in ``write_token_files``.
+    """
     path = scratch_path(docs.sparkSession, "tokens")
     write_token_files(docs, tokenizer_path, path, end_id, vocabulary_size)
     return read_documents(docs.sparkSession, path)

@@ -73,7 +73,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """Hit spans: id, text_hash, item, start and length in words, each span maximal.
 
     A null text has no words and no span, nor has an item with a null id or
-    without words. Rows that repeat an id and a text are one document here.
+    without words. Rows that repeat an id and a text are one document here;
+    null ids are told apart by their texts. Items of fewer than ten words are
+    one window; equal items are hit alike. Long texts are taken whole. Empty
+    tables give an empty result. Columns other than the named ones play no part.
     """
     own = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     item = stored(items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("w"))
