@@ -71,3 +71,37 @@ def test_pca_variance2_equals_ml(spark, table):
     for k in (1, 2):
         assert abs(a[k]["explained_variance_ratio"] - b[k]["explained_variance_ratio"]) < 1e-6
         assert abs(a[k]["singular_value"] - b[k]["singular_value"]) < 1e-4
+
+
+def _plain_fit(x, y, components=2, c=1.0):
+    """Centred PCA by SVD, then the penalised logistic regression by Newton's steps: a function from features to labels 0/1."""
+    mean = x.mean(axis=0)
+    vt = np.linalg.svd(x - mean, full_matrices=False)[2][:components]
+    z = np.column_stack([(x - mean) @ vt.T, np.ones(len(x))])
+    penalty = np.diag([1.0] * components + [0.0])
+    w = np.zeros(components + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        gradient = c * z.T @ (p - y) + penalty @ w
+        w = w - np.linalg.solve(c * (z * (p * (1 - p))[:, None]).T @ z + penalty, gradient)
+    assert np.abs(gradient).max() < 1e-8
+    return lambda rows: (np.column_stack([(rows - mean) @ vt.T, np.ones(len(rows))]) @ w > 0).astype(int)
+
+
+def test_cross_validated_accuracies_equal_an_independent_fit(spark, table):
+    """Every fold's accuracy, and a held-out part's, against numpy: no accuracy comes from the library alone."""
+    from murmur.operators.prepare import stratified_folds
+
+    cols = ["f1", "f2", "f3", "f4"]
+    folded = stratified_folds(table, "viewsBucket", "videoID", 8).toPandas()
+    x, y, fold = folded[cols].to_numpy(), (folded["viewsBucket"] == "2").to_numpy().astype(int), folded["fold"].to_numpy()
+    want = {f: float((_plain_fit(x[fold != f], y[fold != f])(x[fold == f]) == y[fold == f]).mean()) for f in range(1, 9)}
+    got = {r["fold"]: r["accuracy"] for r in model.cross_validate(table, 8, cols).collect()}
+    assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-12 for f in want) and min(want.values()) > 0.5
+    m = model.fit_views_model(table.filter("cast(videoID as int) % 4 > 0"), cols)
+    rest = table.filter("cast(videoID as int) % 4 = 0")
+    pdf = table.toPandas()
+    held = pdf["videoID"].astype(int) % 4 == 0
+    plain = _plain_fit(pdf[cols][~held].to_numpy(), (pdf["viewsBucket"] == "2")[~held].to_numpy().astype(int))(pdf[cols][held].to_numpy())
+    mine = {r.videoID: r.prediction for r in model.predictions(m, rest).collect()}
+    assert [mine[v] for v in pdf["videoID"][held]] == ["2" if p else "1" for p in plain]
