@@ -82,46 +82,54 @@ def score_phrases(df: DataFrame, lexicon: DataFrame, text: str = TEXT, max_words
     negations and intensities there are. Scores are means over scored phrases,
     rounded to 2 places; a null or empty text has 0.
 
-    One narrow stage: phrases are found in a constant table, and a fold over
-    the words carries the state. Values are whole thousandths, so sums are exact.
+    One narrow stage: a constant table says which words begin a phrase and how
+    many words it may have; only there are phrases looked for, and a fold over
+    those found carries the state. Values are whole thousandths, so sums are exact.
     """
     lex = lexicon.select(F.col("phrase").cast("string").alias("phrase"), _milli(F.col(POLARITY)).alias("p"),
                          _milli(F.coalesce(F.col(SUBJECTIVITY), F.lit(0.0))).alias("s"), F.col("intensity").cast("double").alias("x"),
-                         F.coalesce("negates", F.lit(False)).alias("neg"))
-    longest = lex.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+                         F.coalesce("negates", F.lit(False)).alias("neg"), F.size(F.split("phrase", " ")).alias("n"))
+    longest = lex.agg(F.max("n")).first()[0] or 1
     entry = constant_lookup(lex, "phrase", max_words)
+    head = constant_lookup(lex.groupBy(F.split("phrase", " ")[0].alias("word")).agg(F.max("n").alias("most")), "word", max_words)
 
     def matches(toks):
-        """Per word the longest phrase that begins there: its words and its entry, or NULL."""
-        def found(i, n):
-            words = [F.get(toks, i + j) for j in range(n)]
-            e = F.when(words[-1].isNotNull(), entry(F.concat_ws(" ", *words)))
-            return F.when(e.isNotNull(), F.struct(F.lit(n).alias("n"), e.alias("e")))
-        places = F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.coalesce(*[found(i, n) for n in range(longest, 0, -1)]))
-
+        """The places where phrases begin, in order, each with the entry of the longest one."""
+        def longest_at(t, i):
+            def found(n):
+                if n == 1:
+                    return entry(t)
+                words = [t, *[F.get(toks, i + j) for j in range(1, n)]]
+                whole = F.transform(F.array(F.concat_ws(" ", *words)), entry)[0]
+                return F.when((head(t)["most"] >= n) & words[-1].isNotNull(), whole)
+            return F.when(head(t).isNotNull(), F.struct(i.alias("at"), F.coalesce(*[found(n) for n in range(longest, 0, -1)]).alias("e")))
+        return F.filter(F.transform(toks, longest_at), lambda m: m["e"].isNotNull())
+
+    # The state: the first word that no taken phrase uses, and what modifiers and sums there are.
     zero = F.lit(0).cast("long")
-    start = F.struct(F.lit(0).alias("skip"), F.lit(1.0).alias("x"), F.lit(False).alias("neg"), zero.alias("p"), zero.alias("s"), zero.alias("n"))
+    start = F.struct(F.lit(0).alias("next"), F.lit(1.0).alias("x"), F.lit(False).alias("neg"), zero.alias("p"), zero.alias("s"), zero.alias("n"))
 
     def step(a, m):
         e = m["e"]
         scored = e["p"].isNotNull()
-        flip = F.when(a["neg"], F.lit(NEGATED)).otherwise(F.lit(1.0))
+        # Words lie between: they are in no phrase and end the modifiers.
+        apart = m["at"] > a["next"]
+        x = F.when(apart, F.lit(1.0)).otherwise(a["x"])
+        neg = ~apart & a["neg"]
+        flip = F.when(neg, F.lit(NEGATED)).otherwise(F.lit(1.0))
 
         def part(value, least):
-            y = F.greatest(F.lit(least), F.least(F.lit(1000.0), value))
-            return (F.signum(y) * F.floor(F.abs(y) + F.lit(0.5))).cast("long")
+            return F.transform(F.array(F.greatest(F.lit(least), F.least(F.lit(1000.0), value))),
+                               lambda y: (F.signum(y) * F.floor(F.abs(y) + F.lit(0.5))).cast("long"))[0]
 
         taken = F.struct(
-            (m["n"] - 1).alias("skip"),
-            F.when(scored, F.coalesce(e["x"], F.lit(1.0))).otherwise(a["x"] * F.coalesce(e["x"], F.lit(1.0))).alias("x"),
-            F.when(scored, F.lit(False)).otherwise(a["neg"] | e["neg"]).alias("neg"),
-            (a["p"] + F.when(scored, part(e["p"].cast("double") * a["x"] * flip, -1000.0)).otherwise(zero)).alias("p"),
-            (a["s"] + F.when(scored, part(e["s"].cast("double") * a["x"], 0.0)).otherwise(zero)).alias("s"),
+            (m["at"] + e["n"]).alias("next"),
+            (F.when(scored, F.lit(1.0)).otherwise(x) * F.coalesce(e["x"], F.lit(1.0))).alias("x"),
+            (~scored & (neg | e["neg"])).alias("neg"),
+            (a["p"] + F.when(scored, part(e["p"].cast("double") * x * flip, -1000.0)).otherwise(zero)).alias("p"),
+            (a["s"] + F.when(scored, part(e["s"].cast("double") * x, 0.0)).otherwise(zero)).alias("s"),
             (a["n"] + F.when(scored, 1).otherwise(0)).alias("n"))
-        used = F.struct((a["skip"] - 1).alias("skip"), a["x"].alias("x"), a["neg"].alias("neg"), a["p"].alias("p"), a["s"].alias("s"), a["n"].alias("n"))
-        ended = F.struct(F.lit(0).alias("skip"), F.lit(1.0).alias("x"), F.lit(False).alias("neg"), a["p"].alias("p"), a["s"].alias("s"), a["n"].alias("n"))
-        return F.when(a["skip"] > 0, used).when(m.isNull(), ended).otherwise(taken)
+        return F.when(m["at"] < a["next"], a).otherwise(taken)
 
     held = df.select("*", F.inline(F.array(F.struct(tokens_lower(F.col(text)).alias("_toks")))))
     found = held.select("*", F.inline(F.array(F.struct(matches(F.col("_toks")).alias("_found"))))).drop("_toks")
