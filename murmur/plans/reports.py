@@ -162,7 +162,11 @@ def views_model_report(table: DataFrame, operation: str, seed: int = 1, folds: i
 
 
 def distribution_report(df: DataFrame, col: str, pairs=(("polarity", "subjectivity"),), bins: int = 70) -> dict:
-    """describe of distinct values, kurtosis, Pearson r with p, histogram."""
+    """describe of distinct values, kurtosis, Pearson r with p, histogram.
+
+    Each of them passes over its columns several times, so these are stored
+    first: what made them (scores of whole texts, joins) runs once."""
+    df = cut_lineage(df.select(*dict.fromkeys([col, *(c for pair in pairs for c in pair)])))
     return {
         "describe": stats.describe_distinct(df, col),
         "kurtosis": stats.kurtosis_of(df, col),
