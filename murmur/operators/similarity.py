@@ -48,27 +48,39 @@ def similarity_pairs(df: DataFrame, n: int = 10, seed=0, key: str = "vec_id",
                         F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)), 6).alias("shown"))
 
 
+def _place_and_sign(token, dim: int):
+    """A token's place (the first 8 hex digits of its md5 mod ``dim``) and whether its sign is plus (the ninth digit is odd)."""
+    h = F.coalesce(F.conv(F.substring(F.md5(token), 1, 9), 16, 10).cast("long"), F.lit(0).cast("long"))
+    return (F.shiftright(h, 4) % dim).cast("int"), (h % 2).cast("int")
+
+
 def hashed_embedding(text, dim: int = 64):
     """A deterministic stand-in encoder as a column expression: signed
     feature hashing of the word tokens, L2-normalised (zeros for no token).
 
     A token's md5 gives its place (first 8 hex digits mod ``dim``) and its
-    sign (the ninth digit's parity)."""
+    sign (the ninth digit's parity). Place and sign make one small number; the
+    tokens' numbers are sorted with each possible one added once, so a number's
+    run begins where it differs from its neighbour, and the row is read once
+    whatever ``dim`` is."""
     def signed(t):
-        h = F.md5(t)
-        sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-        return F.struct((F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).alias("at"), sign.alias("sign"))
+        place, plus = _place_and_sign(t, dim)
+        return F.coalesce(place * 2 + plus, F.lit(0))
+
+    def starts(s):
+        return F.concat(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))), F.array(F.size(s)))
 
-    def counted(hits):
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(
-            hits, F.lit(0).cast("long"), lambda a, x: a + F.when(x["at"] == i, x["sign"]).otherwise(0)))
+    def counted(at):
+        # Number c's tokens: its run without the added one. The added ones of plus and minus cancel out.
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (
+            F.get(at, i * 2 + 2) - F.get(at, i * 2 + 1) * 2 + F.get(at, i * 2)).cast("long"))
 
     def scaled(v):
         norm = F.sqrt(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double"))
-        return F.transform(v, lambda x: F.when(norm > 0, F.try_divide(x.cast("double"), norm)).otherwise(0.0).cast("float"))
+        return F.transform(F.array(norm), lambda z: F.transform(v, lambda x: F.when(z > 0, F.try_divide(x.cast("double"), z)).otherwise(0.0).cast("float")))[0]
 
-    hits = F.transform(tokens_lower(text), signed)
-    return F.transform(F.transform(F.array(hits), counted), scaled)[0]
+    numbers = F.sort_array(F.concat(F.transform(tokens_lower(text), signed), F.sequence(F.lit(0), F.lit(2 * dim - 1))))
+    return F.transform(F.transform(F.transform(F.array(numbers), starts), counted), scaled)[0]
 
 
 def embed(df: DataFrame, embed_fn=None, dim: int = 64, text: str = "commentText",
