@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.text import ngrams, tokens_cased, tokens_lower, tokens_parted
+from murmur.functions.text import marked_pieces, ngrams, piece_tokens, tokens_cased, tokens_lower
 from murmur.operators.common import constant_lookup, small_side, word_list_df
 from murmur.operators.rank import sorted_places
 from murmur.schemas import COMMENT_ID, DEFAULT_TAG, NP_TAG_PATTERN, TEXT
@@ -118,8 +118,11 @@ def sorted_slice(df: DataFrame, col: str, start: int, length: int, desc: bool =
 def token_counts(df: DataFrame, text: str = TEXT, key: str = COMMENT_ID, parted: bool = False) -> DataFrame:
     """Case-kept token counts per comment (words, apostrophe tails, marks);
     with ``parted`` of treebank-style tokens, contractions split."""
-    toks = tokens_parted(F.col(text)) if parted else tokens_cased(F.col(text))
-    ex = df.select(F.col(key), F.explode(toks).alias("token"))
+    if parted:  # as tokens_parted, without a function per array element
+        pieces = df.select(F.col(key), F.explode(marked_pieces(F.col(text))).alias("_piece"))
+        ex = pieces.select(key, F.explode(piece_tokens("_piece")).alias("token")).filter(F.col("token") != "")
+    else:
+        ex = df.select(F.col(key), F.explode(tokens_cased(F.col(text))).alias("token"))
     return ex.groupBy(key, "token").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -397,7 +397,7 @@ def _with_contractions(comments):
     """Comments whose words take apostrophe endings, marks and quotes by a rule on neighbouring letters: the tables hold hardly any."""
     c = F.col("commentText")
     for pattern, to in CONTRACTED:
-        c = F.regexp_replace(c, pattern, to)
+        c = F.replace(c, F.lit(pattern), F.lit(to))  # fixed strings
     return comments.withColumn("commentText", c)
 
 
