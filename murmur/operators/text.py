@@ -42,22 +42,47 @@ def ngram_table(df: DataFrame, n: int, text: str = TEXT, key: str = COMMENT_ID)
     return t.select(F.col(key), F.posexplode(ngrams(F.col("_toks"), n)).alias("pos", "gram"))
 
 
+def word_windows(df: DataFrame, n: int, text: str = TEXT) -> DataFrame:
+    """(w1, ..., wn): each word with the n - 1 words after it, NULL beyond the text's last one.
+
+    One row per word in plain columns: no string is joined and no function
+    runs per array element before equal windows are merged."""
+    at = with_tokens(df.select(text), text).select("_toks", F.posexplode("_toks").alias("_i", "w1"))
+    return at.select("w1", *[F.get("_toks", F.col("_i") + j).alias(f"w{j + 1}") for j in range(1, n)])
+
+
 def vocabulary(df: DataFrame, n: int = 1, text: str = TEXT) -> DataFrame:
     """Distinct n-grams (the fitted vectoriser's feature names)."""
-    t = with_tokens(df.select(text), text)
-    return t.select(F.explode(ngrams(F.col("_toks"), n)).alias("gram")).distinct()
+    found = word_windows(df, n, text).filter(F.col(f"w{n}").isNotNull()).distinct()
+    return found.select(F.concat_ws(" ", *found.columns).alias("gram"))
 
 
-def ngram_counts(df: DataFrame, orders: Sequence[int] = (1, 2, 3), text: str = TEXT) -> DataFrame:
-    """Vocabulary size per n-gram order, all orders in one pass over the text."""
-    toks = F.col("_toks")
+def _hashes_differ(words: DataFrame, col: str) -> bool:
+    """Whether no two of the distinct words have one 64-bit hash (counted, not assumed)."""
+    hashes = words.groupBy(F.xxhash64(col)).agg(F.count(F.lit(1)).alias("_n"))
+    return hashes.filter("_n > 1").isEmpty()
 
-    def tag(n):
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
 
-    tagged = F.flatten(F.array(*[F.transform(ngrams(toks, n), tag(n)) for n in orders]))
-    ex = with_tokens(df.select(text), text).select(F.explode(tagged).alias("g")).select("g.n", "g.gram").distinct()
-    return ex.groupBy("n").agg(F.count(F.lit(1)).alias("n_distinct"))
+def ngram_counts(df: DataFrame, orders: Sequence[int] = (1, 2, 3), text: str = TEXT) -> DataFrame:
+    """Vocabulary size per n-gram order, all orders in one pass over the text.
+
+    A shorter gram begins a window of the longest order, so its distinct
+    values are counted among the distinct windows: one row per word and no
+    gram of each order. Words stand as 64-bit hashes there, after all words of
+    the text were found to have different ones; if not, as themselves."""
+    longest = max(orders)
+    words = [f"w{k}" for k in range(1, longest + 1)]
+    found, counts = word_windows(df, longest, text), []
+    if _hashes_differ(vocabulary(df, 1, text), "gram"):
+        found = found.select(*[F.when(F.col(w).isNotNull(), F.xxhash64(w)).alias(w) for w in words])
+    found = found.distinct()
+    for k in range(longest, 0, -1):
+        # Rows are distinct windows of k words here: those with a k-th word are the grams of order k.
+        sums = [F.sum(c).alias(c) for c in counts] + ([F.count(words[k - 1]).alias(f"_n{k}")] if k in orders else [])
+        counts += [f"_n{k}"] if k in orders else []
+        found = found.groupBy(*words[:k - 1]).agg(*sums) if sums else found.select(*words[:k - 1]).distinct()
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"_n{n}").alias("n_distinct")) for n in sorted(set(orders))])
+    return found.select(F.inline(rows)).filter("n_distinct > 0")
 
 
 def doc_term_counts(df: DataFrame, n: int = 1, text: str = TEXT, key: str = COMMENT_ID) -> DataFrame:
