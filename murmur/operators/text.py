@@ -18,6 +18,7 @@ from murmur.functions.text import marked_pieces, ngrams, piece_tokens, tokens_ca
 from murmur.operators.common import constant_lookup, small_side, word_list_df
 from murmur.operators.rank import sorted_places
 from murmur.schemas import COMMENT_ID, DEFAULT_TAG, NP_TAG_PATTERN, TEXT
+from murmur.session import cut_lineage
 
 
 def _toks(df: DataFrame, text: str, lower: bool):
@@ -203,24 +204,20 @@ def top_collocations(df: DataFrame, stopwords: Iterable[str], n: int = 200, thre
     where their G2 exceeds ``threshold``; both words then lose the pair's
     occurrences, and words with none left go. ``score`` is NULL for words. A
     lower-cased word counts everywhere, stop words nowhere. Words and pairs are
-    counted in one pass and added up inside each task before the shuffle; stop
-    words leave the counted vocabulary, not every token."""
-    toks = F.col("_toks")
-    pairs = F.zip_with(toks, F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))),
-                       lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
-    one = F.transform(toks, lambda a: F.struct(a.alias("w1"), F.lit(None).cast("string").alias("w2")))
-    pairs = F.filter(pairs, lambda p: p["w2"].isNotNull())  # the last word has no next one
-    counted = (with_tokens(df.select(text), text).select(F.explode(F.concat(one, pairs)).alias("g"))
-               .groupBy("g.w1", "g.w2").agg(F.count(F.lit(1)).alias("c")))
+    counted in one pass, a row per word with its next one, added up inside each
+    task before the shuffle and stored: what follows reads the counts, not the
+    texts. Stop words leave the counted vocabulary, not every token."""
+    counted = cut_lineage(word_windows(df, 2, text).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")))
     stops = [w.lower() for w in stopwords]
     counted = remove_words(counted, stops, "w1")
-    single = counted.filter("w2 IS NULL").select(F.col("w1").alias("word"), "c")
+    single = cut_lineage(counted.groupBy(F.col("w1").alias("word")).agg(F.sum("c").alias("c")))
     double = remove_words(counted.filter("w2 IS NOT NULL"), stops, "w2")
     total = single.agg(F.sum("c").alias("n"))
     scored = (double.join(single.select(F.col("word").alias("w1"), F.col("c").alias("c1")), "w1")
               .join(single.select(F.col("word").alias("w2"), F.col("c").alias("c2")), "w2")
               .crossJoin(F.broadcast(total))  # one row
               .withColumn("score", likelihood_ratio(F.col("c"), F.col("c1"), F.col("c2"), F.col("n"))).filter(F.col("score") > threshold))
+    scored = cut_lineage(scored)
     lost = (scored.select(F.explode(F.array("w1", "w2")).alias("word"), "c").groupBy("word").agg(F.sum("c").alias("lost")))
     words = (single.join(lost, "word", "left").select(F.col("word").alias("term"), F.lit(False).alias("is_pair"),
                                                       (F.col("c") - F.coalesce("lost", F.lit(0))).alias("count"),
