@@ -101,7 +101,8 @@ def vocabulary_ids(df: DataFrame, n: int = 1, text: str = TEXT) -> DataFrame:
     The grams are range-partitioned and sorted; a gram's number is its place
     in its partition plus the rows of the partitions before it, so no task
     sees the whole vocabulary."""
-    placed = sorted_places(vocabulary(df, n, text), ["gram"])
+    # Stored first: planning a sort by ranges reads its input more than once.
+    placed = sorted_places(cut_lineage(vocabulary(df, n, text)), ["gram"])
     before = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
     offsets = (placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
                .select("_pid", F.coalesce(before, F.lit(0)).alias("_before")))
@@ -112,13 +113,15 @@ def document_vectors(df: DataFrame, vocab: DataFrame, n: int = 1, text: str = TE
     """(comment_id, ids, counts): a sparse vector per row of ``df``, ids ascending.
 
     Grams that ``vocab`` (see ``vocabulary_ids``) lacks are no columns; a row
-    without any has empty arrays. The vocabulary is broadcast after a size
+    without any has empty arrays. The texts are dealt out by their key once, and
+    everything else happens there: the vocabulary is broadcast after a size
     check, else joined by a shuffle on the gram. Rows of one key are one document."""
-    terms = doc_term_counts(df, n, text, key).join(small_side(vocab), "gram")
-    pairs = terms.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "count"))).alias("_p"))
-    empty = df.select(key).distinct().join(pairs.select(F.col(key).alias("_k"), "_p"), F.col(key).eqNullSafe(F.col("_k")), "left")
-    found = F.coalesce("_p", F.array().cast(pairs.schema["_p"].dataType))
-    return empty.select(key, F.transform(found, lambda p: p["id"]).alias("ids"), F.transform(found, lambda p: p["count"]).alias("counts"))
+    t = with_tokens(df.select(key, text).repartition(F.col(key)), text)
+    terms = t.select(key, F.explode_outer(ngrams(F.col("_toks"), n)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("count"))
+    cells = terms.join(small_side(vocab.select("id", "gram")), "gram", "left")
+    cell = F.when(F.col("id").isNotNull(), F.struct("id", "count"))
+    pairs = cells.groupBy(key).agg(F.sort_array(F.collect_list(cell)).alias("_p"))
+    return pairs.select(key, F.col("_p.id").alias("ids"), F.col("_p.count").alias("counts"))
 
 
 def dot_products(vectors: DataFrame, others: DataFrame, key: str = COMMENT_ID) -> DataFrame:

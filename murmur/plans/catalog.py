@@ -451,7 +451,7 @@ def bigram_ids(spark, d):
 def doc_vectors(spark, d):
     """The sparse vector of every comment, as text."""
     comments = fx.fx_comments(spark, d, spread=True)
-    v = text.document_vectors(comments, text.vocabulary_ids(comments, 1))
+    v = text.document_vectors(fx.fx_comments(spark, d), text.vocabulary_ids(comments, 1))
     cells = F.zip_with("ids", "counts", lambda i, c: F.concat_ws(":", i.cast("string"), c.cast("string")))
     return v.select("comment_id", F.size("ids").alias("n_columns"), F.array_join(cells, " ").alias("vector"))
 
