@@ -460,9 +460,11 @@ def doc_vectors(spark, d):
 def vector_dots(spark, d):
     """Dot products of every comment's word vector with those of ten sampled comments."""
     comments = fx.fx_comments(spark, d, spread=True)
-    v = text.document_vectors(comments, text.vocabulary_ids(comments, 1))
-    chosen = prepare.sample_n(comments.select("comment_id"), 10, "comment_id", SEED)
-    return text.dot_products(v, v.join(F.broadcast(chosen), "comment_id", "left_semi"))
+    vocab = text.vocabulary_ids(comments, 1)
+    plain = fx.fx_comments(spark, d)  # dealt out by document_vectors
+    chosen = prepare.sample_n(plain.select("comment_id"), 10, "comment_id", SEED)
+    few = plain.join(F.broadcast(chosen), "comment_id", "left_semi")
+    return text.dot_products(text.document_vectors(plain, vocab), text.document_vectors(few, vocab))
 
 
 @register("tag_tokens")
