@@ -17,6 +17,7 @@ from murmur.functions.scalar import md5_key
 from murmur.functions.text import tokens_lower
 from murmur.operators.common import small_side
 from murmur.operators.prepare import sample_n
+from murmur.session import cut_lineage
 
 
 def dot(a, b):
@@ -106,7 +107,8 @@ def fit_term_weights(df: DataFrame, text: str = "commentText", key: str = "comme
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     found = df.select(F.explode(F.array_distinct(tokens_lower(F.col(text)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     weight = F.log((F.col("_total") + 1).cast("double") / (F.col("_df") + 1).cast("double")) + 1.0
-    return found.crossJoin(F.broadcast(total)).select("token", weight.alias("weight"))  # one row
+    # Stored: those who use the table read it more than once.
+    return cut_lineage(found.crossJoin(F.broadcast(total)).select("token", weight.alias("weight")))  # one row
 
 
 def encode_fitted(df: DataFrame, weights: DataFrame, dim: int = 64, text: str = "commentText", key: str = "comment_id") -> DataFrame:
@@ -114,15 +116,19 @@ def encode_fitted(df: DataFrame, weights: DataFrame, dim: int = 64, text: str =
 
     A word's md5 gives its place and sign, as in ``hashed_embedding``; its part
     is occurrences times weight. Words without a weight count nothing; a row
-    without words has zeros. Parts are added per row and place by aggregation;
-    the weights are broadcast after a size check. Rows of one key are one text."""
-    counted = (df.select(F.col(key), F.explode(tokens_lower(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("_n")))
-    h = F.md5("token")
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    parts = (counted.join(small_side(weights.select("token", "weight")), "token")
-             .select(key, (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("_at"), (F.col("_n") * F.col("weight") * sign).alias("_v")))
-    places = (parts.groupBy(key, "_at").agg(F.sum("_v").alias("_v")).groupBy(F.col(key).alias("_k"))
-              .agg(F.map_from_entries(F.collect_list(F.struct("_at", "_v"))).alias("_m"), F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm")))
+    without words has zeros. The texts are dealt out by their key once, and parts
+    are added per row and place there; a weight's place and sign are found once
+    per word of the table, which is broadcast after a size check. Rows of one
+    key are one text."""
+    place, plus = _place_and_sign(F.col("token"), dim)
+    fitted = weights.select("token", place.alias("_at"), (F.col("weight") * F.when(plus == 1, 1.0).otherwise(-1.0)).alias("_w"))
+    texts = df.select(key, text).repartition(F.col(key))
+    counted = texts.select(F.col(key), F.explode_outer(tokens_lower(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("_n"))
+    parts = counted.join(small_side(fitted), "token", "left").select(key, "_at", (F.col("_n") * F.col("_w")).alias("_v"))
+    places = (parts.groupBy(key, "_at").agg(F.sum("_v").alias("_v")).groupBy(key)
+              .agg(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_v"))).alias("_p"), F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm")))
     vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                          lambda i: F.when(F.col("_norm") > 0, F.coalesce(F.col("_m")[i], F.lit(0.0)) / F.col("_norm")).otherwise(F.lit(0.0)))
-    return (df.select(key).distinct().join(places, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, vector.alias("embedding")))
+    # Through a one-row generator: the map is made once per row, not once per place.
+    mapped = places.select(key, "_norm", F.inline(F.array(F.struct(F.map_from_entries("_p").alias("_m")))))
+    return mapped.select(key, vector.alias("embedding"))

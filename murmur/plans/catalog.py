@@ -416,7 +416,7 @@ def phrase_scores(spark, d):
 def fitted_embeddings(spark, d):
     """Every value of the corpus-fitted embedding of every comment."""
     comments = fx.fx_comments(spark, d, spread=True)
-    e = similarity.encode_fitted(comments, similarity.fit_term_weights(comments), 64)
+    e = similarity.encode_fitted(fx.fx_comments(spark, d), similarity.fit_term_weights(comments), 64)
     return e.select("comment_id", F.posexplode("embedding").alias("place", "v")).withColumn("v", F.round("v", 5))
 
 
